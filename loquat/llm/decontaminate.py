@@ -8,8 +8,10 @@ two fingerprints within the radius agree in at least one block, so an equi-join
 on (length, block, value) finds all of them.  Candidates are verified exactly:
 weighted Jaccard similarity of the shingles, weights being occurrences.
 
-A window with any similarity shares a shingle with the item, so only windows
-around a shared shingle are fingerprinted; no alike window is lost by that.
+A window that is alike enough has that share of its item's shingles, so only
+windows with as many known shingles are fingerprinted; that loses none.  The
+radius of 23 bits is 4.5 deviations over the distance expected at similarity
+0.8 (9.7 of 64 bits).
 
 Defined results: null and empty texts and items without words match nothing; a
 text or an item with fewer than k words has its whole sequence as shingle;
@@ -75,6 +77,23 @@ def similarity(a: Column, b: Column) -> Column:
     return common / (F.size(a) + F.size(b) - common)
 
 
+def window_starts(pos: Column, length: Column, k: int, threshold: float) -> Column:
+    """Starts of all windows of `length` words that can be alike enough.
+
+    pos: sorted word positions of shingles that items of this length hold.  A
+    window's common weight is at most the number of these inside it, and must
+    be `threshold` of the item's shingles; so the window spans at least that
+    many neighbours of `pos`."""
+    reach = length - F.least(length, F.lit(k))  # a shingle starts at most so far into a window
+    need = F.greatest(F.ceil((reach + 1) * threshold - 1e-9).cast("int"), F.lit(1))
+    last = lambda i: F.get(pos, i + need - 1)
+    starts = F.transform(
+        F.sequence(F.lit(0), F.greatest(F.size(pos) - need, F.lit(0))),
+        lambda i: F.when(last(i) - F.get(pos, i) <= reach, F.sequence(F.greatest(last(i) - reach, F.lit(0)), F.get(pos, i))).otherwise(F.array().cast("array<int>")),
+    )
+    return F.array_sort(F.array_distinct(F.flatten(F.filter(starts, lambda x: x.isNotNull()))))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: float = 0.8, radius: int = 23) -> DataFrame:
     """Rows (doc_id, item_id, similarity, start_word): a document's best window
     for each item that it holds."""
@@ -87,15 +106,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: f
     anchors = None
     text = docs.select("doc_id", words(F.col("text")).alias("w"))
     for g in sizes or [k]:
-        known = items.where(F.least("length", F.lit(k)) == g).select("length", F.posexplode(hashes(F.col("w"), g)).alias("at", "h")).distinct()
+        known = items.where(F.least("length", F.lit(k)) == g).select("length", F.explode(hashes(F.col("w"), g)).alias("h")).distinct()
         runs = text.select("doc_id", F.posexplode(hashes(F.col("w"), g)).alias("pos", "h"))
-        hit = runs.join(small(known, n_items), "h").select("doc_id", "length", (F.col("pos") - F.col("at")).alias("start"))
+        hit = runs.join(small(known, n_items), "h").select("doc_id", "length", "pos")
         anchors = hit if anchors is None else anchors.unionByName(hit)
-    anchors = anchors.where("start >= 0").groupBy("doc_id").agg(F.collect_set(F.struct("length", "start")).alias("windows"))
+    anchors = anchors.groupBy("doc_id", "length").agg(F.array_sort(F.collect_set("pos")).alias("pos"))
+    anchors = anchors.withColumn("starts", window_starts(F.col("pos"), F.col("length"), k, threshold)).where(F.size("starts") > 0)
+    anchors = anchors.groupBy("doc_id").agg(F.collect_list(F.struct("length", "starts")).alias("windows"))
     anchors = materialise(anchors.select(F.col("doc_id").alias("_id"), "windows"), "anchors")
-    n_docs = anchors.select(F.sum(F.size("windows"))).first()[0] or 0
+    n_docs = anchors.select(F.sum(F.aggregate("windows", F.lit(0), lambda n, x: n + F.size(x["starts"])))).first()[0] or 0
     near = docs.select("doc_id", "text").join(small(anchors, n_docs), F.col("doc_id").eqNullSafe(F.col("_id"))).select("doc_id", words(F.col("text")).alias("w"), "windows")
-    near = near.select("doc_id", F.explode(F.transform("windows", lambda x: F.struct(x["length"].alias("length"), x["start"].alias("start"), F.slice("w", x["start"] + 1, x["length"]).alias("w")))).alias("x")).select("doc_id", "x.*")
+    window = lambda n, at: F.struct(n.alias("length"), at.alias("start"), F.slice("w", at + 1, n).alias("w"))
+    cut = F.flatten(F.transform("windows", lambda x: F.transform(x["starts"], lambda at: window(x["length"], at))))
+    near = near.select("doc_id", F.explode(cut).alias("x")).select("doc_id", "x.*")
     near = near.where(F.size("w") == F.col("length")).select("doc_id", "length", "start", shingles(F.col("w"), k).alias("grams")).distinct()
     near = materialise(near.withColumn("fingerprint", simhash(F.col("grams"))), "windows")
     left = near.select("doc_id", "length", "start", "grams", "fingerprint", F.explode(blocks(F.col("fingerprint"), radius)).alias("x")).select("*", "x.*").drop("x")
