@@ -11,7 +11,7 @@ the empty set, which links with nothing.  Equal sets form one class.
    the rest of its prefix under each order is a few shared shingles.  Order 1
    is rarest first, orders 2 and 3 are independent hashes.
 3. Classes that share a token of prefix 1 are linked through the bucket's most
-   central class; then every pair of a bucket that is still in different
+   central class (whose shingles most others hold); then every pair of a bucket that is still in different
    components is a candidate, none is left out.  A candidate must share prefix
    tokens under all orders; only then are the sets intersected.
 4. Components by alternating large-star and small-star rounds.
@@ -237,10 +237,11 @@ def _prefixes(share: int, orders: int):
             return pa.ListArray.from_arrays(pa.array(cut), pa.array(t))
 
         keys = [flat.mix(token * m) for m in flat.multipliers(orders, 23)]
-        columns = [pa.array(who[alive].view(np.int64)), pa.array(n[alive]), pa.array(held[alive].astype(np.int64)), lists(np.lexsort((token, owner)), None)]
+        central = np.bincount(owner, weights=rare, minlength=len(who)) / np.maximum(n, 1)
+        columns = [pa.array(who[alive].view(np.int64)), pa.array(n[alive]), pa.array(held[alive].astype(np.int64)), pa.array(central[alive]), lists(np.lexsort((token, owner)), None)]
         for j, h in enumerate(keys):
             columns.append(lists(np.lexsort((h, rare, owner) if j == 0 else (h, owner)), length))
-        return pa.table(columns, ["cls", "n", "held", "tokens"] + [f"pre{j + 1}" for j in range(orders)])
+        return pa.table(columns, ["cls", "n", "held", "central", "tokens"] + [f"pre{j + 1}" for j in range(orders)])
 
     return run
 
@@ -297,10 +298,10 @@ def classes_and_links(docs: DataFrame, k: int = 5, share: int = 80, orders: int
                 yield pa.record_batch([ids, pa.array(np.frombuffer(r["c"], np.int64)), pa.array(np.frombuffer(r["d"], np.uint64).view(np.int64))], ["doc_id", "n_shingles", "cls"])
 
     members = found.where("kind = 0").mapInArrow(unpack, "doc_id long, n_shingles long, cls long")
-    schema = "cls long, n long, held long, tokens array<long>" + "".join(f", pre{j + 1} array<long>" for j in range(orders))
+    schema = "cls long, n long, held long, central double, tokens array<long>" + "".join(f", pre{j + 1} array<long>" for j in range(orders))
     sets = materialise(found.where("kind = 1").repartition(parts, "part").groupBy("part").applyInArrow(_prefixes(share, orders), schema), "prefixes")
-    rows = sets.select("cls", "n", "held", F.explode("pre1").alias("t"))
-    central = rows.groupBy("t").agg(F.min(F.struct((1 - F.col("held") / F.col("n")).alias("alone"), "cls")).alias("p"), F.count("*").alias("size")).where("size > 1").select("t", F.col("p.cls").alias("b"))
+    rows = sets.select("cls", "n", "held", "central", F.explode("pre1").alias("t"))
+    central = rows.groupBy("t").agg(F.max(F.struct("central", "cls")).alias("p"), F.count("*").alias("size")).where("size > 1").select("t", F.col("p.cls").alias("b"))
     tries = rows.join(central, "t").where("cls != b").groupBy(F.col("cls").alias("a"), "b").agg(F.count("*").alias("hits"))
     tries = tries.groupBy("a").agg(F.max(F.struct("hits", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
     first = materialise(verified(tries, sets, share, orders), "links")
