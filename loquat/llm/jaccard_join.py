@@ -276,8 +276,11 @@ def verified(pairs: DataFrame, sets: DataFrame, share: int, orders: int) -> Data
     right = sets.select([F.col(c).alias("b_" + c) for c in sets.columns])
     both = pairs.join(left, F.col("a") == F.col("a_cls")).join(right, F.col("b") == F.col("b_cls"))
     alike = None
+    # of the sizes of a pair follows the overlap it needs, and with it the length of its prefixes
+    least = F.ceil(share * (F.col("a_n") + F.col("b_n")) / (100 + share)).cast("int")
+    head = lambda side, j: F.slice(f"{side}_pre{j + 1}", F.lit(1), F.greatest(F.col(f"{side}_held").cast("int") - least + 1, F.lit(0)))
     for j in range(orders):
-        c = F.arrays_overlap(f"a_pre{j + 1}", f"b_pre{j + 1}")
+        c = F.arrays_overlap(head("a", j), head("b", j))
         alike = c if alike is None else alike & c
     both = both.where(alike).withColumn("common", F.size(F.array_intersect("a_tokens", "b_tokens")).cast("long"))
     return both.where(100 * F.col("common") >= share * (F.col("a_n") + F.col("b_n") - F.col("common"))).select("a", "b")
@@ -300,7 +303,7 @@ def classes_and_links(docs: DataFrame, k: int = 5, share: int = 80, orders: int
     members = found.where("kind = 0").mapInArrow(unpack, "doc_id long, n_shingles long, cls long")
     schema = "cls long, n long, held long, central double, tokens array<long>" + "".join(f", pre{j + 1} array<long>" for j in range(orders))
     sets = materialise(found.where("kind = 1").repartition(parts, "part").groupBy("part").applyInArrow(_prefixes(share, orders), schema), "prefixes")
-    rows = sets.select("cls", "n", "held", "central", F.explode("pre1").alias("t"))
+    rows = sets.select("cls", "n", "held", "central", F.posexplode("pre1").alias("pos", "t"))
     central = rows.groupBy("t").agg(F.max(F.struct("central", "cls")).alias("p"), F.count("*").alias("size")).where("size > 1").select("t", F.col("p.cls").alias("b"))
     tries = rows.join(central, "t").where("cls != b").groupBy(F.col("cls").alias("a"), "b").agg(F.count("*").alias("hits"))
     tries = tries.groupBy("a").agg(F.max(F.struct("hits", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
@@ -312,8 +315,9 @@ def classes_and_links(docs: DataFrame, k: int = 5, share: int = 80, orders: int
     rows = materialise(rows.join(main, "t"), "open")
     x = rows.where("component != main").alias("x")
     y = rows.alias("y")
-    least = F.least("x.held", "y.held")
-    pairs = x.join(y, (F.col("x.t") == F.col("y.t")) & (F.col("x.component") != F.col("y.component")) & (100 * least >= share * (F.col("x.n") + F.col("y.n") - least)))
+    # if t is the pair's first common shingle, only what follows it can be common too
+    rest = F.least(F.col("x.held") - F.col("x.pos"), F.col("y.held") - F.col("y.pos"))
+    pairs = x.join(y, (F.col("x.t") == F.col("y.t")) & (F.col("x.component") != F.col("y.component")) & ((100 + share) * rest >= share * (F.col("x.n") + F.col("y.n"))))
     pairs = pairs.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
     links = materialise(verified(pairs, sets, share, orders).unionByName(first), "links")
     return members, links, components(links)
