@@ -70,11 +70,23 @@ def blocks(fingerprint: Column, radius: int) -> Column:
     ])
 
 
-def similarity(a: Column, b: Column) -> Column:
-    """Weighted Jaccard of two shingle arrays, weights being occurrences."""
+def first_block(difference: Column, radius: int) -> Column:
+    """The first block in which two fingerprints agree, given their xor."""
+    n = radius + 1
+    edge = [64 * i // n for i in range(n + 1)]
+    out = F.lit(-1)
+    for i in reversed(range(n)):
+        part = F.shiftrightunsigned(difference, edge[i]).bitwiseAND(F.lit((1 << (edge[i + 1] - edge[i])) - 1))
+        out = F.when(part == 0, F.lit(i)).otherwise(out)
+    return out
+
+
+def common_weight(a: Column, b: Column) -> Column:
+    """Common weight of two shingle arrays, weights being occurrences."""
     count = lambda grams, g: F.size(F.filter(grams, lambda x: x == g))
-    common = F.aggregate(F.array_distinct(b), F.lit(0), lambda acc, g: acc + F.least(count(a, g), count(b, g)))
-    return common / (F.size(a) + F.size(b) - common)
+    counted = F.aggregate(F.array_distinct(b), F.lit(0), lambda acc, g: acc + F.least(count(a, g), count(b, g)))
+    once = (F.size(F.array_distinct(a)) == F.size(a)) | (F.size(F.array_distinct(b)) == F.size(b))
+    return F.when(once, F.size(F.array_intersect(a, b))).otherwise(counted)
 
 
 def window_starts(pos: Column, length: Column, k: int, threshold: float) -> Column:
@@ -125,9 +137,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: f
     right = items.select("item_id", "length", F.col("grams").alias("item_grams"), F.col("fingerprint").alias("item_fingerprint"), F.explode(blocks(F.col("fingerprint"), radius)).alias("x")).select("*", "x.*").drop("x")
     close = left.join(small(right, n_items * (radius + 1) // 8), ["length", "block", "value"]).where(F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("item_fingerprint"))) <= radius)
     # of the blocks in which a pair agrees, the first one stands for it
-    agree = F.filter(F.arrays_zip(blocks(F.col("fingerprint"), radius).alias("p"), blocks(F.col("item_fingerprint"), radius).alias("q")), lambda z: z["p"]["value"] == z["q"]["value"])
-    close = close.where(F.get(agree, F.lit(0))["p"]["block"] == F.col("block"))
-    scored = close.withColumn("similarity", similarity(F.col("grams"), F.col("item_grams"))).where(F.col("similarity") >= threshold)
+    close = close.where(first_block(F.col("fingerprint").bitwiseXOR(F.col("item_fingerprint")), radius) == F.col("block"))
+    close = close.withColumn("common", common_weight(F.col("grams"), F.col("item_grams")))
+    scored = close.withColumn("similarity", F.col("common") / (F.size("grams") + F.size("item_grams") - F.col("common"))).where(F.col("similarity") >= threshold)
     best = F.max(F.struct("similarity", (-F.col("start")).alias("back"))).alias("best")
     return scored.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.similarity", (-F.col("best.back")).cast("long").alias("start_word"))
 
