@@ -10,6 +10,7 @@ from __future__ import annotations
 import numpy as np
 
 WIDTH = 64
+PART = 200_000  # positions of a training step's part
 
 
 def _prefix(m: np.ndarray) -> np.ndarray:
@@ -94,8 +95,12 @@ def fit(features: np.ndarray, size: int, labels: np.ndarray, starts: np.ndarray,
     theta, trans, begin = np.zeros(size), np.zeros(4), np.zeros(2)
     if not n:
         return theta, trans, begin
-    used, inverse = np.unique(features, return_inverse=True)
-    inverse = inverse.reshape(n, k)
+    there = np.zeros(size, bool)
+    for j in range(k):
+        there[features[:, j]] = True
+    used = np.flatnonzero(there)
+    place = np.zeros(size, np.int32)
+    place[used] = np.arange(len(used))
     w, gw, gt, gb = np.zeros(len(used)), np.full(len(used), 1e-8), np.full(4, 1e-8), np.full(2, 1e-8)
     live = used != 0
     y = labels.astype(float)
@@ -104,12 +109,23 @@ def fit(features: np.ndarray, size: int, labels: np.ndarray, starts: np.ndarray,
     at = np.flatnonzero(inner)
     seen = np.bincount(2 * labels[at - 1].astype(int) + labels[at].astype(int), minlength=4).astype(float)
     first = np.array([(1 - y[starts]).sum(), y[starts].sum()])
+    del inner, at
+    # whole chains in parts, so that memory follows PART and not the sample
+    cut = np.unique(np.append(starts[np.searchsorted(starts, np.arange(0, n, PART))[np.arange(0, n, PART) <= starts[-1]]], n))
+    cut = np.unique(np.append(cut, 0))
     for _ in range(rounds):
-        g, x, b = marginals(w[inverse].sum(1), starts, trans, begin, pairs=True)
-        r = y - g if weight is None else (y - g) * weight
-        d = np.zeros(len(used))
-        for j in range(k):
-            d += np.bincount(inverse[:, j], weights=r, minlength=len(used))
+        d, x, b = np.zeros(len(used)), np.zeros(4), np.zeros(2)
+        for lo, hi in zip(cut[:-1], cut[1:]):
+            score = np.zeros(hi - lo)
+            columns = [place[features[lo:hi, j]] for j in range(k)]
+            for c in columns:
+                score += w[c]
+            own = starts[np.searchsorted(starts, lo) : np.searchsorted(starts, hi)] - lo
+            g, more, head = marginals(score, own, trans, begin, pairs=True)
+            r = y[lo:hi] - g if weight is None else (y[lo:hi] - g) * weight[lo:hi]
+            for c in columns:
+                d += np.bincount(c, weights=r, minlength=len(used))
+            x, b = x + more, b + head
         d = (d / n - l2 / n * w * 100) * live
         gw += d * d
         w += rate * d / np.sqrt(gw)

@@ -131,7 +131,7 @@ def fit_texts(rows: list, totals: dict, rounds: int = 60) -> QualityModel:
         return QualityModel(np.zeros(SIZE), np.zeros(4), np.zeros(2), np.array([-30.0 if len(y) and not y[0] else 30.0, 0, 0]))
     parts = []
     texts = [t for t, _ in rows]
-    for a, b in flat.chunks(texts):
+    for a, b in flat.chunks(texts, flat.CHUNK // 3):
         ids, doc, size = lines(texts[a:b])
         parts.append((ids, doc + a, size))
     ids, doc, size = (np.concatenate([p[i] for p in parts]) for i in range(3))

@@ -105,7 +105,7 @@ def _summary(p: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
 def lexicon(texts: list, toxic: np.ndarray, ratio: float = 20.0, share: float = 0.01) -> np.ndarray:
     """Feature ids whose share of toxic documents is `ratio` times that of others."""
     bad, good = np.zeros(SIZE), np.zeros(SIZE)
-    for a, b in flat.chunks(texts):
+    for a, b in flat.chunks(texts, flat.CHUNK // 3):
         _, _, doc, _, ids = tokens(texts[a:b])
         seen = np.unique(np.concatenate([ids[:, c].astype(np.int64) * (b - a) + doc for c in LEXICAL]))
         feature, y = seen // (b - a), toxic[a:b][seen % (b - a)]
@@ -123,7 +123,7 @@ def distinct(texts: list) -> list:
     minima of hashed word triplets seen before): copies of one toxic document
     would make its ordinary words look toxic."""
     out, seen = [], [set() for _ in range(10)]
-    for a, b in flat.chunks(texts):
+    for a, b in flat.chunks(texts, flat.CHUNK // 3):
         _, _, doc, _, ids = tokens(texts[a:b])
         triple = (ids[:, 0].astype(np.uint64) << np.uint64(42)) ^ (ids[:, 8].astype(np.uint64) << np.uint64(21)) ^ ids[:, 9].astype(np.uint64)
         least = np.full((10, b - a), np.iinfo(np.uint64).max, np.uint64)
@@ -151,7 +151,10 @@ def fit_texts(rows: list, totals: dict, rounds: int = 40) -> ToxicityModel:
     n_toxic = int(y.sum())
     keep = lexicon(texts, y)
     some = np.sort(np.concatenate([np.flatnonzero(y == 1), np.flatnonzero(y == 0)[:n_toxic]]))
-    _, _, doc, _, ids = tokens([texts[i] for i in some])
+    part = [texts[i] for i in some]
+    parts = [(ids, doc + a) for a, b in flat.chunks(part, flat.CHUNK // 3) for _, _, doc, _, ids in [tokens(part[a:b])]]
+    ids, doc = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    del parts
     if not len(doc):
         return ToxicityModel(np.zeros(SIZE, np.float32), *none, np.array([np.log(totals[1] / totals[0]), 0, 0, 0]))
     labels = keep[ids[:, LEXICAL]].any(1) & (y[some][doc] == 1)
@@ -164,7 +167,7 @@ def fit_texts(rows: list, totals: dict, rounds: int = 40) -> ToxicityModel:
 
 def summaries(texts: list, model: ToxicityModel) -> np.ndarray:
     out = [np.zeros((0, 3))]
-    for a, b in flat.chunks(texts):
+    for a, b in flat.chunks(texts, flat.CHUNK // 3):
         _, _, doc, _, ids = tokens(texts[a:b])
         p = chain_crf.marginals(model.weights[ids].sum(1, dtype=np.float64), _chains(doc), model.trans, model.begin)
         out.append(_summary(p, doc, b - a))
@@ -179,7 +182,7 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_out: int = 1,
 
 def score_texts(texts: list, model: ToxicityModel) -> pd.DataFrame:
     scores, spans = [], []
-    for a, b in flat.chunks(texts):
+    for a, b in flat.chunks(texts, flat.CHUNK // 3):
         start, end, doc, offsets, ids = tokens(texts[a:b])
         p = chain_crf.marginals(model.weights[ids].sum(1, dtype=np.float64), _chains(doc), model.trans, model.begin)
         scores.append(chain_crf.logistic(_summary(p, doc, b - a), model.calibration))
