@@ -19,7 +19,7 @@ TOPIC_STOP = "a, an, the, and, or, but, in, on, at, to, for, of, with, by, is, a
 EVALUATION_STOP = "what, when, where, who, how, which, did, do, was, were, have, has, had, is, are, the, a, an, my, me, i, you, your, their, it, its, in, on, at, to, for, of, with, by, from, ago, last, that, this, there, about, get, got, give, gave, buy, bought, made, make, said, would, could, should, might, can, will, shall, kind, type, like, prefer, enjoy, think, feel".split(", ")
 NOT_NAMES = "What, When, Where, Who, How, Which, Did, Do, Was, Were, Have, Has, Had, Is, Are, The, My, Our, I, It, Its, This, That, These, Those".split(", ")
 # Capitalised words that are no entity candidates.
-NOT_ENTITIES = "The, This, That, These, Those, There, Their, They, When, Where, What, Which, Who, Why, How, And, But, For, Not, All, Any, Each, Few, More, Most, Other, Some, Such, Into, Over, After, Before, Since, Just, Only, Also, Very, Well, Even, Still, While, Then, Than, With, From, About, Through, During, Including, Until, Against, Among, Throughout, Despite, Towards, Upon, Monday, Tuesday, Wednesday, Thursday, Friday, Saturday, Sunday, January, February, March, April, May, June, July, August, September, October, November, December, True, False, None, Null, String, Integer, Boolean, Object, Array, List, Section, Chapter, Table, Figure, Note, Example, Version, Update, New, Old, First, Second, Third, Last, Next, Previous, Current, Default, He, She, It, We, You, I, A, An, If, Or, So, As, At, By, Do, Go, In, Is, Be, Up, No, On, To, Of, Our, Its, His, Her, Was, Has, Had, Did, Are, Can, Let, Get, Got, Use, See, Put, Set, Try, Run, Add, However, Therefore, Although, Because, Whether, Between, Without, Within, Along, Below, Above".split(", ")
+NOT_ENTITIES = "The, This, That, These, Those, There, Their, They, When, Where, What, Which, Who, Why, How, And, But, For, Not, All, Any, Each, Few, More, Most, Other, Some, Such, Into, Over, After, Before, Since, Just, Only, Also, Very, Well, Even, Still, While, Then, Than, With, From, About, Through, During, Including, Until, Against, Among, Throughout, Despite, Towards, Upon, Monday, Tuesday, Wednesday, Thursday, Friday, Saturday, Sunday, January, February, March, April, May, June, July, August, September, October, November, December, True, False, None, Null, String, Integer, Boolean, Object, Array, List, Section, Chapter, Table, Figure, Note, Example, Version, Update, New, Old, First, Second, Third, Last, Next, Previous, Current, Default, He, She, It, We, You, I, A, An, If, Or, So, As, At, By, Do, Go, In, Is, Be, Up, No, On, To, Of, Our, Its, His, Her, Was, Has, Had, Did, Are, Can, May, Let, Get, Got, Use, See, Put, Set, Try, Run, Add, However, Therefore, Although, Because, Whether, Between, Without, Within, Along, Below, Above".split(", ")
 
 # Memory marker families, in tie-break order.
 MEMORY_MARKERS = {
@@ -57,3 +57,27 @@ CONVERSATION_EXTENSIONS = [".txt", ".md", ".json", ".jsonl"]
 
 # Ranking and assembly.
 K1, B, IDF_FLOOR, RRF_K, DEPTH = 1.2, 0.75, 1e-6, 60, 3
+LAYER_CHARS, LAYER_CHUNKS = 3200, 15
+
+# Signs that a name is a person's or a project's; {n} stands for the name.
+PERSON_SIGNS = {
+    "dialogue": (3, [r"\b{n} said\b", r"\b{n} asked\b", r"\b{n} told\b", r"\b{n} replied\b"]),
+    "verbs": (2, [r"\b{n} (went|came|got|had|was|is|has|did|made|felt)\b"]),
+    "address": (4, [r"\bhi {n}\b", r"\bhey {n}\b", r"\bdear {n}\b"]),
+}
+PROJECT_SIGNS = {
+    "versioned": (3, [r"\b{n} (version|v[0-9]|v [0-9])\b"]),
+    "code": (2, [r"\b(using|import|require|install)\s+{n}\b"]),
+    "files": (3, [r"{n}\.(py|js|ts|rs|go|java|cs|cpp|rb|sh)\b"]),
+    "nouns": (2, [r"\b(project|repo|library|framework|package|tool|app)\s+{n}\b"]),
+}
+PRONOUNS = ["he", "she", "him", "her", "his", "hers", "they", "them"]
+# Names that are common words too, and words of a context that speaks of a person.
+COMMON_WORDS = "ever, grace, will, bill, mark, april, may, june, dawn, faith, hope, joy, pat, iris, violet, crystal, amber, ruby, jade, rose, lily, ivy, sage, ash, cliff, glen, gene, rich, frank, earnest, hunter, chase, reed, clay, wade, brock, lance, ace, leo, rex, max, jack, john, james, mike, adam, alan".split(", ")
+PERSON_CONTEXT = ["said", "asked", "told", "replied", "went", "came", "got", "had", "was", "is", "has", "did", "made", "felt", "hi ", "hey ", "dear "]
+PROSE_EXTENSIONS = [".txt", ".md", ".rst", ".csv"]
+
+# Lines that open a session, lines that tell of an earlier one, words that are no speakers.
+SESSION_MARKER = "claude code"
+SESSION_NEGATIVES = ["ctrl+e", "previous messages", "continuing from"]
+NOT_SPEAKERS = ["The", "A", "An", "I", "You", "He", "She", "We", "They", "This", "That", "Claude", "User", "Human", "Assistant"]

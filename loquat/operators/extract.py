@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions import text as T
+from .chunking import strip
 
 
 def marker_scores(s: Column) -> dict[str, Column]:
@@ -26,21 +27,44 @@ def memories(segments: DataFrame, least: float = 0.3) -> DataFrame:
 
 
 def is_code_line(line: Column) -> Column:
-    indented = line.rlike(r"^(\s{4}|\t)") & line.rlike(r"[=(){};]|//|#")
+    indented = line.rlike(r"^[ \t]") & line.rlike(r"[=(){};]|//|#")
     sparse = (F.length(line) > 10) & (F.length(F.regexp_replace(line, r"\P{L}", "")) / F.length(line) < 0.4)
     return indented | sparse | F.ltrim(line).rlike("^(" + "|".join(C.CODE_WORDS) + r") ")
 
 
 def prose(s: Column) -> Column:
-    kept = F.filter(F.split(s, "\n"), lambda x: ~is_code_line(x))
-    return F.regexp_replace(F.array_join(kept, "\n"), r"\n{3,}", "\n\n")
+    """Text without code lines; a run of blank lines counts as one."""
+    kept = F.transform(F.filter(F.split(s, "\n"), lambda x: ~is_code_line(x)), lambda x: F.when(x.rlike(r"\S"), x).otherwise(F.lit("")))
+    return strip(F.regexp_replace(F.array_join(kept, "\n"), r"\n{3,}", "\n\n"))
+
+
+def memory_parts(s: Column, size: int = 500) -> Column:
+    """Paragraphs; longer ones as runs of sentences of at most `size` characters."""
+    def add(acc, x):
+        over = (F.length(acc["cur"]) > 0) & (F.length(acc["cur"]) + F.length(x) + 2 > size)
+        joined = F.when(F.length(acc["cur"]) > 0, F.concat(acc["cur"], F.lit(". "), x)).otherwise(x)
+        return F.struct(F.when(over, F.concat(acc["out"], F.array(strip(acc["cur"])))).otherwise(acc["out"]).alias("out"), F.when(over, x).otherwise(joined).alias("cur"))
+
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("cur"))
+    runs = lambda p: F.aggregate(F.filter(F.split(p, r"\. "), lambda x: x != ""), start, add, lambda a: F.concat(a["out"], F.array(strip(a["cur"]))))
+    parts = F.filter(F.transform(F.split(s, r"\r?\n\r?\n"), strip), lambda x: x != "")
+    return F.flatten(F.transform(parts, lambda p: F.when(F.length(p) > size, runs(p)).otherwise(F.array(p))))
+
+
+def memory_segments(docs: DataFrame) -> DataFrame:
+    """docs (id, content) to (id, chunk_index, content): the distinct prose segments, first seen first."""
+    return docs.select("id", F.posexplode(F.array_distinct(F.filter(memory_parts(prose(F.col("content"))), lambda x: x != ""))).alias("chunk_index", "content"))
+
+
+def extract_memories(docs: DataFrame, least: float = 0.3) -> DataFrame:
+    return memories(memory_segments(docs), least)
 
 
 def candidates(docs: DataFrame, least: int = 3) -> DataFrame:
     """(id, name, count): title-case runs, and single words outside such runs."""
-    runs = docs.select("id", F.explode(F.regexp_extract_all("content", F.lit(r"\b[A-Z][a-z]+(?: [A-Z][a-z]+)+\b"), F.lit(0))).alias("name"))
-    parts = runs.select("id", F.explode(F.split("name", " ")).alias("name")).distinct()
-    single = docs.select("id", F.explode(F.regexp_extract_all("content", F.lit(r"\b[A-Z][a-z]+\b"), F.lit(0))).alias("name")).where(~F.col("name").isin(C.NOT_ENTITIES)).join(parts, ["id", "name"], "left_anti")
+    runs = docs.select("id", F.explode(F.regexp_extract_all("content", F.lit(r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+\b"), F.lit(0))).alias("name"))
+    parts = runs.select("id", F.explode(F.split("name", r"\s+")).alias("name")).distinct()
+    single = docs.select("id", F.explode(F.regexp_extract_all("content", F.lit(r"\b[A-Z][a-z]{1,19}\b"), F.lit(0))).alias("name")).where(~F.col("name").isin(C.NOT_ENTITIES)).join(parts, ["id", "name"], "left_anti")
     return runs.unionByName(single).groupBy("id", "name").agg(F.count("*").alias("count")).where(F.col("count") >= least)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
@@ -11,43 +11,72 @@ from ..functions.text import snippet, title, tokens
 COLUMNS = ["content", "domain", "topic", "category", "source_file"]
 
 
-def phrases(queries: DataFrame) -> DataFrame:
+def phrases(queries: DataFrame, within: str | None = None) -> DataFrame:
     """(query_id, phrase, tokens): each white-space word without `" * ^` is a phrase."""
     words = F.filter(F.split(F.regexp_replace("query", '["*^]', ""), " "), lambda w: w != "")
-    rows = queries.select("query_id", F.posexplode(words).alias("phrase", "word"))
+    rows = queries.select("query_id", *([within] if within else []), F.posexplode(words).alias("phrase", "word"))
     return rows.withColumn("tokens", tokens(F.col("word"))).where(F.size("tokens") > 0).drop("word")
 
 
-def matches(chunks: DataFrame, wanted: DataFrame) -> DataFrame:
+def bounded(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """The frame, marked for broadcast if it has at most `most` rows; beyond, Spark joins by shuffle."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def index(chunks: DataFrame, within: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Postings (id, col, pos, token) and sizes (id, len, domain, topic); with
+    `within`, a column that names the corpus of a chunk, both carry it."""
+    keys = [within] if within else []
+    text = chunks.select("id", *keys, F.explode(F.array(*[F.struct(F.lit(i).alias("col"), tokens(F.col(c)).alias("t")) for i, c in enumerate(COLUMNS)])).alias("x"))
+    length = sum(F.coalesce(F.size(tokens(F.col(c))), F.lit(0)) for c in COLUMNS)
+    return text.select("id", *keys, "x.col", F.posexplode("x.t").alias("pos", "token")), chunks.select("id", *keys, length.alias("len"), "domain", "topic")
+
+
+def save_index(chunks: DataFrame, folder: str) -> None:
+    """Write both tables anew.  Postings are dealt by token range, so a query reads the row groups of its words only."""
+    postings, sizes = index(chunks)
+    postings.repartitionByRange("token", "id").sortWithinPartitions("token").write.mode("overwrite").parquet(f"{folder}/postings")
+    sizes.write.mode("overwrite").parquet(f"{folder}/sizes")
+
+
+def load_index(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    return spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/sizes")
+
+
+def matches(postings: DataFrame, wanted: DataFrame, within: str | None = None) -> DataFrame:
     """(query_id, phrase, id, f): occurrences of each phrase in each chunk.
 
     A posting at position p of a phrase's j-th token votes for a start at
     p - j; a start with a vote of every token is an occurrence."""
-    terms = wanted.select("query_id", "phrase", F.size("tokens").alias("n"), F.posexplode("tokens").alias("j", "token"))
-    text = chunks.select("id", F.explode(F.array(*[F.struct(F.lit(i).alias("col"), tokens(F.col(c)).alias("t")) for i, c in enumerate(COLUMNS)])).alias("x"))
-    postings = text.select("id", "x.col", F.posexplode("x.t").alias("pos", "token"))
-    # the query words are few; they prune the postings before any shuffle
-    votes = postings.join(F.broadcast(terms), "token").groupBy("query_id", "phrase", "n", "id", "col", (F.col("pos") - F.col("j")).alias("start")).count()
-    return votes.where("count = n").groupBy("query_id", "phrase", "id").agg(F.count("*").alias("f"))
+    keys = [within] if within else []
+    terms = wanted.select("query_id", *keys, "phrase", F.size("tokens").alias("n"), F.posexplode("tokens").alias("j", "token"))
+    # a few query words prune the postings before any shuffle
+    votes = postings.join(bounded(terms), ["token", *keys]).groupBy("query_id", *keys, "phrase", "n", "id", "col", (F.col("pos") - F.col("j")).alias("start")).count()
+    return votes.where("count = n").groupBy("query_id", *keys, "phrase", "id").agg(F.count("*").alias("f"))
 
 
-def search(chunks: DataFrame, queries: DataFrame, k: int = 10, domain: str | None = None, topic: str | None = None) -> DataFrame:
+def search(chunks: DataFrame, queries: DataFrame, k: int = 10, domain: str | None = None, topic: str | None = None, within: str | None = None) -> DataFrame:
     """(query_id, id, score, rank): the k best chunks of each query.  All its
     phrases must occur; filters come after matching, so they leave the corpus
-    statistics as they are."""
-    wanted = phrases(queries)
-    found = matches(chunks, wanted)
-    length = sum(F.size(tokens(F.col(c))) for c in COLUMNS)
-    sizes = chunks.select("id", length.alias("len"), "domain", "topic")
-    corpus = sizes.agg(F.count("*").alias("docs"), F.avg("len").alias("mean"))
+    statistics as they are.  With `within`, a column of both frames, a query
+    sees only its own corpus, statistics included."""
+    return search_index(*index(chunks, within), queries, k, domain, topic, within)
+
+
+def search_index(postings: DataFrame, sizes: DataFrame, queries: DataFrame, k: int = 10, domain: str | None = None, topic: str | None = None, within: str | None = None) -> DataFrame:
+    keys = [within] if within else []
+    wanted = phrases(queries, within)
+    found = matches(postings, wanted, within)
+    corpus = sizes.groupBy(*keys).agg(F.count("*").alias("docs"), F.avg("len").alias("mean"))
     df = found.groupBy("query_id", "phrase").agg(F.count("*").alias("df"))
     need = wanted.groupBy("query_id").agg(F.count("*").alias("need"))
-    x = found.join(F.broadcast(df), ["query_id", "phrase"]).join(sizes, "id").crossJoin(F.broadcast(corpus))  # one row
+    x = found.join(df, ["query_id", "phrase"]).join(sizes, ["id", *keys])
+    x = x.join(corpus, keys) if keys else x.crossJoin(F.broadcast(corpus))  # one row
     idf = F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(idf > 0, idf).otherwise(F.lit(C.IDF_FLOOR))
     part = idf * F.col("f") * (C.K1 + 1) / (F.col("f") + C.K1 * (1 - C.B + C.B * F.col("len") / F.col("mean")))
     scored = x.groupBy("query_id", "id", "domain", "topic").agg(F.sum(part).alias("score"), F.count("*").alias("got"))
-    scored = scored.join(F.broadcast(need), "query_id").where("got = need")
+    scored = scored.join(need, "query_id").where("got = need")
     if domain is not None:
         scored = scored.where(F.col("domain") == domain)
     if topic is not None:
@@ -58,7 +87,7 @@ def search(chunks: DataFrame, queries: DataFrame, k: int = 10, domain: str | Non
 
 def hydrate(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     meta = chunks.select("id", title(F.col("source_file")).alias("title"), snippet(F.col("content")).alias("snippet"), "domain", "topic", "category")
-    return meta.join(F.broadcast(hits), "id")  # at most k rows a query
+    return meta.join(bounded(hits), "id")
 
 
 def fuse(legs: list[DataFrame], k: int = 10, rrf: int = C.RRF_K) -> DataFrame:

@@ -12,9 +12,12 @@ from . import fts
 
 def knn(vectors: DataFrame, queries: DataFrame, k: int = 30) -> DataFrame:
     """(query_id, id, score, rank): the k vectors nearest to each query.  The
-    queries are a stated set and stream past the vectors as one array."""
-    one = queries.agg(F.collect_list(F.struct("query_id", F.col("embedding").alias("q"))).alias("qs"))
-    pairs = vectors.select("id", "embedding").crossJoin(F.broadcast(one)).select("id", "embedding", F.explode("qs").alias("x"))
+    queries are a stated set; they meet the vectors in blocks of about a
+    thousand, broadcast while they are few."""
+    blocks = queries.count() // 1000 + 1
+    one = queries.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("b")).agg(F.collect_list(F.struct("query_id", F.col("embedding").alias("q"))).alias("qs")).select("qs")
+    one = F.broadcast(one) if blocks <= 20 else one
+    pairs = vectors.select("id", "embedding").crossJoin(one).select("id", "embedding", F.explode("qs").alias("x"))
     scored = pairs.select("x.query_id", "id", dot(F.col("embedding"), F.col("x.q")).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 7)), "id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
