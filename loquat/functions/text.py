@@ -23,6 +23,11 @@ def entity_id(s: Column) -> Column:
     return F.replace(F.replace(F.replace(F.lower(s), F.lit(" "), F.lit("_")), F.lit("'"), F.lit("")), F.lit("-"), F.lit("_"))
 
 
+def entity_key(name: str) -> str:
+    """`entity_id` of a string."""
+    return name.lower().replace(" ", "_").replace("'", "").replace("-", "_")
+
+
 def tokens(s: Column) -> Column:
     """Case- and accent-folded runs of letters and digits."""
     return F.regexp_extract_all(F.translate(F.lower(s), ACCENTED, PLAIN), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import keyword_overlap
+from ..functions.text import keyword_overlap, keywords, person_names, snippet
+from . import fts
 
 
 def rerank(found: DataFrame, penalise: bool = False) -> DataFrame:
@@ -22,3 +23,33 @@ def recall(found: DataFrame, relevant: DataFrame, k: int = 5) -> DataFrame:
     hit = relevant.join(found.where(F.col("rank") <= k).select("query_id", "id", F.lit(1).alias("hit")), ["query_id", "id"], "left")
     per = hit.groupBy("query_id", "category").agg(F.coalesce(F.max("hit"), F.lit(0)).alias("hit"))
     return per.rollup("category").agg(F.count("*").alias("queries"), F.sum("hit").cast("long").alias("hits"), F.avg("hit").alias("recall"))
+
+
+def run(corpus: DataFrame, questions: DataFrame, k: int = 5, hybrid: bool = True, penalise: bool = False, deep_evidence: bool = False) -> DataFrame:
+    """(query_id, category, retrieved, hit): every question asked of its own
+    item's corpus, all items in one job.
+
+    A hit is a target id among the first k, or a text of `evidence` within
+    their snippets, case folded (`deep_evidence`: within all that were
+    retrieved before the k best were taken).  A question without words or
+    matches is a miss."""
+    chunks = corpus.select("item_id", "id", "content", F.col("item_id").alias("domain"), F.col("role").alias("topic"), F.lit("").alias("category"), F.col("id").alias("source_file"))
+    q = questions.select("query_id", "item_id", "category", "query", "targets", "evidence")
+    found = fts.search(chunks, q, 3 * k if hybrid else k, within="item_id")
+    names = lambda s: F.transform(person_names(s), F.lower)
+    asked = q.withColumn("keywords", F.filter(keywords(F.col("query")), lambda w: ~F.array_contains(names(F.col("query")), w)))
+    rows = found.join(asked, "query_id").join(chunks.select("item_id", "id", snippet(F.col("content")).alias("content")), ["item_id", "id"])
+    rows = rerank(rows, penalise) if hybrid else rows
+    near = F.lit(True) if deep_evidence else F.col("rank") <= k
+    by_id = (F.col("rank") <= k) & F.exists(F.coalesce("targets", F.array().cast("array<string>")), lambda t: F.lower(t) == F.lower("id"))
+    by_text = near & F.exists(F.coalesce("evidence", F.array().cast("array<string>")), lambda e: (e != "") & F.contains(F.lower("content"), F.lower(e)))
+    kept = F.array_sort(F.collect_list(F.when(F.col("rank") <= k, F.struct("rank", "id"))))
+    hits = rows.groupBy("query_id").agg(F.transform(kept, lambda x: x["id"]).alias("retrieved"), F.bool_or(by_id | by_text).alias("hit"))
+    out = q.select("query_id", "category").join(hits, "query_id", "left")
+    return out.select("query_id", "category", F.coalesce("retrieved", F.array().cast("array<string>")).alias("retrieved"), F.coalesce("hit", F.lit(False)).alias("hit"))
+
+
+def summary(results: DataFrame) -> DataFrame:
+    """Recall by category and over all (category null)."""
+    hit = F.col("hit").cast("int")
+    return results.rollup("category").agg(F.count("*").alias("queries"), F.sum(hit).cast("long").alias("hits"), F.avg(hit).alias("recall"))

@@ -111,3 +111,16 @@ def decode(s: Column) -> Column:
     name = F.create_map(*[F.lit(x) for k, v in C.EMOTION_CODES.items() for x in (v, k)])
     feelings = F.transform(F.filter(F.split(F.get(parts, F.lit(2)), r"\+"), lambda c: c != ""), lambda c: F.coalesce(F.try_element_at(name, c), c))
     return F.struct(F.get(parts, F.lit(0)).alias("topics"), F.get(parts, F.lit(1)).alias("sentence"), feelings.alias("emotions"), F.get(parts, F.lit(3)).alias("flags"))
+
+
+def spec() -> str:
+    """The summary's format in words."""
+    lines = ["# Summary format", "", "topics|key sentence|emotion codes|flags; lines that begin with # are comments", "", "Emotion codes:"]
+    lines += [f"  {k} = {v}" for k, v in sorted(C.EMOTION_CODES.items())]
+    lines += ["", "Flags and their words:"] + [f"  {k}: {', '.join(v)}" for k, v in sorted(C.FLAGS.items())]
+    return "\n".join([*lines, "", "Topics: the three words with the most points, a capitalised one counts three.", "Key sentence: the one with the most decision phrases, cut at 55 characters.", "Tokens: a third of the characters."])
+
+
+def compression_stats(original: Column, compressed: Column) -> Column:
+    ratio = F.coalesce(F.try_divide(F.length(original).cast("double"), F.length(compressed)), F.lit(0.0))
+    return F.struct(F.length(original).alias("original_chars"), F.length(compressed).alias("compressed_chars"), T.count_tokens(original).alias("original_tokens"), T.count_tokens(compressed).alias("compressed_tokens"), ratio.alias("ratio"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,10 +32,21 @@ def ignored(path: Column, rules: list[str]) -> Column:
     return out
 
 
-def scan(files: DataFrame, rules: list[str] | None = None, include: list[str] = ()) -> DataFrame:
+def ignored_by(path: Column, nested: dict[str, list[str]]) -> Column:
+    out = F.lit(False)
+    for folder in sorted(nested, key=lambda f: f.count("/") + bool(f)):
+        under = F.startswith(path, F.lit(folder + "/")) if folder else F.lit(True)
+        for rule in filter(None, map(rule_regex, nested[folder])):
+            out = F.when(under & path.rlike(rule[0]), F.lit(not rule[1])).otherwise(out)
+    return out
+
+
+def scan(files: DataFrame, rules: list[str] | dict[str, list[str]] | None = None, include: list[str] = ()) -> DataFrame:
     """files (path) that a project scan takes.  A folder that is ignored or
     skipped is not entered; `include` names files or folders that are taken
-    all the same."""
+    all the same.  `rules` are the root's, or those of several folders by
+    their path ("" the root): a folder's rules hold for what lies under it,
+    after those of the folders above, and match paths from the root."""
     path = F.col("path")
     forced = F.lit(False)
     for x in include:
@@ -43,12 +55,64 @@ def scan(files: DataFrame, rules: list[str] | None = None, include: list[str] =
     folders = F.slice(parts, 1, F.size(parts) - 1)
     skipped = F.arrays_overlap(folders, F.array(*map(F.lit, C.SKIP_DIRS)))
     above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
-    hidden = F.exists(above, lambda p: ignored(p, rules or []))
+    nested = rules if isinstance(rules, dict) else {"": rules or []}
+    hidden = F.exists(above, lambda p: ignored_by(p, nested))
     extension = F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1))
     return files.where(forced | (~skipped & ~hidden & extension.isin(C.ALLOW_EXTENSIONS) & ~extension.isin(C.DENY_EXTENSIONS)))
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
     """(path, content) of the text files under a folder; blank files are left out."""
-    raw = spark.read.option("recursiveFileLookup", True).option("wholetext", True).text(folder).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+    raw = spark.read.option("recursiveFileLookup", True).text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
     return raw.where(F.col("content").rlike(r"\S"))
+
+
+def relative(files: DataFrame, folder: str) -> DataFrame:
+    """Paths from the folder on; both may or may not name the file system."""
+    bare = F.regexp_replace(F.regexp_replace("path", "^[a-z0-9]+:/+", "/"), "%20", " ")
+    root = re.sub("^[a-z0-9]+:/+", "/", folder).rstrip("/") + "/"
+    return files.withColumn("path", F.substring(bare, len(root) + 1, 1 << 30))
+
+
+def unlisted(spark: SparkSession, folder: str, wanted: Callable[[str], bool]) -> list[tuple[str, str]]:
+    """(path, content) of files that Spark's readers leave out: those with a name
+    or folder that begins with `_` or `.`; folders that a scan skips are left.
+    They are few in a source tree and are read through Hadoop's file system."""
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    top = fs.makeQualified(root).toUri().getPath().rstrip("/") + "/"
+    todo, out = [root], []
+    while todo:
+        for status in fs.listStatus(todo.pop()):
+            path = status.getPath().toUri().getPath().removeprefix(top)
+            parts = path.split("/")
+            if status.isDirectory():
+                if parts[-1] not in C.SKIP_DIRS:
+                    todo.append(status.getPath())
+            elif any(p[0] in "_." for p in parts) and wanted(path):
+                stream = fs.open(status.getPath())
+                out.append((path, jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
+                stream.close()
+    return out
+
+
+def project(spark: SparkSession, folder: str, include: list[str] = (), respect_ignore: bool = True) -> DataFrame:
+    """(path, content) of the files that a project scan takes, with the ignore files found in it."""
+    hidden = unlisted(spark, folder, lambda p: p.endswith((*C.ALLOW_EXTENSIONS, ".gitignore")))
+    rules = {p.rpartition("/")[0]: text.splitlines() for p, text in hidden if p.rpartition("/")[2] == ".gitignore"}
+    more = spark.createDataFrame(hidden, "path string, content string").where(F.col("content").rlike(r"\S"))
+    return scan(relative(read(spark, folder), folder).unionByName(more), rules if respect_ignore else None, include)
+
+
+def conversations(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, content) of the files that may hold chats."""
+    extension = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
+    return relative(read(spark, folder), folder).where(extension.isin(C.CONVERSATION_EXTENSIONS))
+
+
+def prose(spark: SparkSession, folder: str, n: int = 10) -> DataFrame:
+    """The first n prose files, those nearest to the root first."""
+    extension = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
+    depth = F.size(F.split("path", "/"))
+    return relative(read(spark, folder), folder).where(extension.isin(C.PROSE_EXTENSIONS)).orderBy(depth, "path").limit(n)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def files(spark: SparkSession, folder: str) -> DataFrame:
     """A stream of (path, content) of files as they arrive."""
-    return spark.readStream.option("wholetext", True).text(folder).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+    return spark.readStream.text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
 
 
 def append_new(stream: DataFrame, target: str, checkpoint: str, key: str = "path"):
