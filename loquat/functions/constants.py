@@ -61,9 +61,9 @@ LAYER_CHARS, LAYER_CHUNKS = 3200, 15
 
 # Signs that a name is a person's or a project's; {n} stands for the name.
 PERSON_SIGNS = {
-    "dialogue": (3, [r"\b{n} said\b", r"\b{n} asked\b", r"\b{n} told\b", r"\b{n} replied\b"]),
+    "dialogue": (3, [r"\b{n} (said|asked|told|replied)\b"]),
     "verbs": (2, [r"\b{n} (went|came|got|had|was|is|has|did|made|felt)\b"]),
-    "address": (4, [r"\bhi {n}\b", r"\bhey {n}\b", r"\bdear {n}\b"]),
+    "address": (4, [r"\b(hi|hey|dear) {n}\b"]),
 }
 PROJECT_SIGNS = {
     "versioned": (3, [r"\b{n} (version|v[0-9]|v [0-9])\b"]),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,20 +12,32 @@ from ..functions import text as T
 from .chunking import strip
 
 
-def marker_scores(s: Column) -> dict[str, Column]:
-    """Per family n / (n + 2), n the matches of its patterns."""
+def cues(pattern: str) -> list[str]:
+    """Words one of which every match of a marker holds: the choices of its
+    first group, else its longest literal."""
+    group = re.search(r"\(([^()]*)\)", pattern)
+    return group[1].split("|") if group else [max(re.split(r"\\b|\.\*", pattern), key=len)]
+
+
+def marker_scores(s: Column, low: Column) -> dict[str, Column]:
+    """Per family n / (n + 2), n the matches of its patterns in `s`; `low` is
+    `s` in lower case, where a pattern's cues are looked for first, as that is
+    much cheaper than the pattern."""
     out = {}
     for family, patterns in C.MEMORY_MARKERS.items():
-        n = sum((F.regexp_count(s, F.lit("(?i)" + p)) for p in patterns), F.lit(0))
+        n = sum((F.when(T.hits(low, cues(p)) > 0, F.regexp_count(s, F.lit("(?i)" + p))).otherwise(0) for p in patterns), F.lit(0))
         out[family] = n / (n + 2.0)
     return out
 
 
 def memories(segments: DataFrame, least: float = 0.3) -> DataFrame:
     """segments (id, chunk_index, content) to those that a marker family claims."""
-    scores = marker_scores(F.col("content"))
-    top = F.greatest(*scores.values())
-    return segments.select("id", "chunk_index", "content", T.best(scores, None).alias("memory_type"), top.alias("confidence")).where(F.col("confidence") >= least)
+    scores = marker_scores(F.col("content"), F.col("_low"))
+    rows = segments.select("id", "chunk_index", "content", F.lower("content").alias("_low"))
+    rows = rows.select("id", "chunk_index", "content", *[v.alias(f"_{k}") for k, v in scores.items()])
+    top = F.greatest(*[F.col(f"_{k}") for k in scores])
+    kind = T.best({k: F.col(f"_{k}") for k in scores}, None)
+    return rows.select("id", "chunk_index", "content", kind.alias("memory_type"), top.alias("confidence")).where(F.col("confidence") >= least)
 
 
 def is_code_line(line: Column) -> Column:

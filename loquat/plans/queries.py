@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions import text as T
-from ..operators import chunking, evaluate, extract, fts, kg, store, topicgraph, vectors
-from ..sources import normalize
+from ..operators import chunking, embed, entities, evaluate, extract, fts, kg, layers, store, topicgraph, vectors
+from ..sources import files, normalize, transcripts as exports
 from ..streaming import ingest
 
 TOPIC_NAMES = [*C.TOPICS, "general"]
@@ -130,7 +130,13 @@ def emb_missing(spark, sf):
     return vectors.missing(chunks(spark, sf).drop("id").withColumnRenamed("doc_id", "id"), embedded(spark, sf)).select(F.col("id").alias("doc_id"), "domain")
 
 
-@query()
+HYBRID_SQL = """, near AS (SELECT q.vec_id AS query_id, e.vec_id AS id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 7) DESC, e.vec_id) AS rank FROM embeddings e CROSS JOIN (SELECT * FROM embeddings WHERE vec_id BETWEEN 1 AND 5) q),
+legs AS (SELECT query_id, id, 0 AS leg, rank FROM ranked WHERE rank <= 30 UNION ALL SELECT query_id, id, 1, rank FROM near WHERE rank <= 30),
+fused AS (SELECT query_id, id, sum(1.0::DOUBLE / (60 + rank)) AS score, min(leg * 1000 + rank) AS first FROM legs GROUP BY query_id, id)
+SELECT query_id::BIGINT AS query_id, id, round(score, 6) AS score, rank FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, first, id))::INT AS rank FROM fused) WHERE rank <= 10"""
+
+
+@query(bm25_sql(FTS_SQL, HYBRID_SQL).replace("sha256(source_file || '0') AS id", "doc_id AS id"))
 def hybrid_search(spark, sf):
     c = chunks(spark, sf).drop("id").withColumn("id", F.col("doc_id"))
     e = embedded(spark, sf)
@@ -235,12 +241,21 @@ def transcript(spark, sf):
     return transcripts(spark, sf)
 
 
-@query()
+TALK = """talk AS (SELECT conv_id AS id, rtrim(string_agg(CASE WHEN role = 'user' THEN '> ' || text ELSE text END, chr(10) || chr(10) ORDER BY turn), ' ' || chr(9) || chr(10) || chr(13)) AS content FROM conversations GROUP BY conv_id),
+lines AS (SELECT id, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) - 1 AS pos FROM talk)"""
+
+
+@query(f"""WITH {TALK}, full_lines AS (SELECT id, pos, regexp_replace(line, '\\s+$', '') AS line, line[1] = '>' AS quoted FROM lines WHERE trim(line) <> ''),
+runs AS (SELECT *, sum((quoted AND NOT coalesce(before, false))::INT) OVER (PARTITION BY id ORDER BY pos) AS turn FROM (SELECT *, lag(quoted) OVER (PARTITION BY id ORDER BY pos) AS before FROM full_lines)),
+kept AS (SELECT *, row_number() OVER (PARTITION BY id, turn, quoted ORDER BY pos) AS n FROM runs WHERE turn > 0),
+sides AS (SELECT id, turn, string_agg(regexp_replace(line, '^>\\s*', ''), ' ' ORDER BY pos) FILTER (WHERE quoted) AS q, string_agg(trim(line), chr(10) ORDER BY pos) FILTER (WHERE NOT quoted AND n <= 8) AS a FROM kept GROUP BY id, turn)
+SELECT id, (turn - 1)::INT AS chunk_index, '> ' || q || coalesce(chr(10) || chr(10) || a, '') AS content FROM sides""")
 def convo_exchanges(spark, sf):
     return chunking.exchanges(transcripts(spark, sf))
 
 
-@query()
+@query(f"""WITH {TALK}, starts AS (SELECT *, contains(line, '> ') AND NOT coalesce(max(contains(lower(line), 'previous messages')::INT) OVER (PARTITION BY id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND 6 FOLLOWING), 0)::BOOLEAN AS fresh FROM lines)
+SELECT id, session::INT AS session, pos::INT AS line_no, line FROM (SELECT *, sum(fresh::INT) OVER (PARTITION BY id ORDER BY pos) - 1 AS session FROM starts) WHERE session >= 0""")
 def sessions_split(spark, sf):
     return chunking.sessions(transcripts(spark, sf), "> ", ["previous messages"])
 
@@ -256,8 +271,7 @@ def topic_classify(spark, sf):
 
 @query()
 def memories(spark, sf):
-    c = chunking.paragraphs(chunks(spark, sf).select("id", "content"))
-    return extract.memories(c, 0.0)
+    return extract.extract_memories(chunks(spark, sf).select("id", "content"))
 
 
 @query()
@@ -290,12 +304,15 @@ def event_sessions(spark, sf):
     return ingest.sessions(table(spark, sf, "events"))
 
 
-@query()
+@query(f"""WITH {CHUNKS}, newest AS (SELECT * FROM chunks ORDER BY filed_at DESC, id LIMIT 15),
+sized AS (SELECT *, count(*) OVER (PARTITION BY topic) AS size, max(filed_at) OVER (PARTITION BY topic) AS latest, row_number() OVER (PARTITION BY topic ORDER BY filed_at DESC, id) AS n FROM newest),
+listed AS (SELECT topic, '- ' || CASE WHEN length(content) > 200 THEN substr(content, 1, 200) || '…' ELSE content END AS line, row_number() OVER (ORDER BY size DESC, latest DESC, n) AS place FROM sized WHERE n <= 2)
+SELECT place::INT AS place, topic, line FROM (SELECT *, sum(length(line) + 1) OVER (ORDER BY place) AS used FROM listed) WHERE used <= 3200""")
 def context_layer(spark, sf):
     return store.essentials(chunks(spark, sf))
 
 
-@query()
+@query("SELECT conv_id, n::BIGINT AS turn, lower(role) AS role, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS n FROM conversations) WHERE role IS NOT NULL AND trim(text) <> ''")
 def norm_role_content(spark, sf):
     turns = table(spark, sf, "conversations").groupBy("conv_id").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))), lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content")))).alias("text"))
     return normalize.role_content(turns.withColumnRenamed("conv_id", "id"))
@@ -304,3 +321,84 @@ def norm_role_content(spark, sf):
 @query("SELECT table_a.domain, count(*) AS chunks FROM (SELECT source AS domain FROM documents) table_a GROUP BY 1")
 def domains(spark, sf):
     return chunks(spark, sf).groupBy("domain").agg(F.count("*").alias("chunks"))
+
+
+@query("SELECT conv_id AS id, string_agg(CASE WHEN lower(role) IN ('user', 'human') THEN '> ' ELSE '' END || trim(text, ' ' || chr(9) || chr(10) || chr(13)), chr(10) || chr(10) ORDER BY turn) AS content FROM conversations WHERE trim(text) <> '' AND (conv_id % 3 <> 2 OR role IN ('human', 'user', 'assistant')) GROUP BY conv_id")
+def norm_transcripts(spark, sf):
+    """Conversations written as JSON of three shapes and read back."""
+    turns = F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content"))))
+    flat = F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content")))
+    chat = F.transform("t", lambda x: F.struct(x["role"].alias("sender"), F.array(F.struct(x["content"].alias("text"))).alias("content")))
+    lines = F.array_join(F.transform("t", lambda x: F.to_json(F.struct(x["role"].alias("type"), F.struct(x["content"].alias("content")).alias("message")))), "\n")
+    raw = table(spark, sf, "conversations").groupBy("conv_id").agg(turns.alias("t"))
+    text = F.when(F.col("conv_id") % 3 == 0, F.to_json(flat)).when(F.col("conv_id") % 3 == 1, F.to_json(F.struct(chat.alias("chat_messages")))).otherwise(lines)
+    path = F.when(F.col("conv_id") % 3 == 2, "log.jsonl").otherwise("chat.json")
+    return exports.transcripts(raw.select("conv_id", path.alias("path"), text.alias("content"))).select(F.col("conv_id").alias("id"), "content")
+
+
+PATHS = "paths AS (SELECT (['src/', 'node_modules/', 'src/gen/', 'docs/', ''])[doc_id % 5 + 1] || lang || '_' || doc_id || (['.py', '.md', '.exe', '.TXT', '.bin', '.json', '.csv'])[doc_id % 7 + 1] AS path FROM documents)"
+
+
+@query(f"WITH {PATHS} SELECT path FROM paths WHERE regexp_matches(lower(path), '\\.(py|md|txt|json|csv)$') AND NOT starts_with(path, 'node_modules/') AND (NOT starts_with(path, 'src/gen/') OR ends_with(path, '.py')) AND NOT (ends_with(path, '.csv') AND NOT starts_with(path, 'docs/'))")
+def scan_paths(spark, sf):
+    at = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (F.col("doc_id") % n + 1).cast("int"))
+    path = F.concat(at(["src/", "node_modules/", "src/gen/", "docs/", ""], 5), "lang", F.lit("_"), "doc_id", at([".py", ".md", ".exe", ".TXT", ".bin", ".json", ".csv"], 7))
+    return files.scan(table(spark, sf, "documents").select(path.alias("path")), {"": ["*.csv"], "docs": ["!*.csv"], "src": ["/src/gen/*", "!/src/gen/*.py"]})
+
+
+@query(f"WITH {CHUNKS} SELECT vec_id::VARCHAR AS id, domain, topic, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 5) AS norm, round(embedding[1]::DOUBLE, 5) AS d0, (len(embedding) - 8)::INT AS more FROM embeddings JOIN chunks ON doc_id = vec_id ORDER BY domain, topic, source_file LIMIT 20")
+def embeddings_list(spark, sf):
+    c = chunks(spark, sf).withColumn("id", F.col("doc_id").cast("string"))
+    v = embedded(spark, sf).select(F.col("id").cast("string").alias("chunk_id"), "embedding")
+    return embed.listing(c, v).select("id", "domain", "topic", F.round("norm", 5).alias("norm"), F.round(F.col("head")[0].cast("double"), 5).alias("d0"), "more")
+
+
+@query("SELECT doc_id AS id, true AS unit, 384::INT AS dims FROM documents WHERE trim(text) <> ''")
+def embed_text(spark, sf):
+    d = table(spark, sf, "documents").where("trim(text) <> ''")
+    v = d.select(F.col("doc_id").alias("id"), embed.embedding(F.col("text")).alias("v"))
+    return v.select("id", (F.abs(T.norm(F.col("v")) - 1) < 1e-4).alias("unit"), F.size("v").alias("dims"))
+
+
+@query(f"WITH {CHUNKS} SELECT id, filed_at FROM chunks WHERE domain = 'src0' AND topic = 'planning'")
+def chunks_filtered(spark, sf):
+    return chunks(spark, sf).where((F.col("domain") == "src0") & (F.col("topic") == "planning")).orderBy(F.desc("filed_at"), "id").select("id", "filed_at")
+
+
+@query(f"WITH {CHUNKS} SELECT id FROM chunks WHERE doc_id % 3 <> 0")
+def not_mined(spark, sf):
+    c = chunks(spark, sf)
+    return store.not_mined(c, c.where("doc_id % 3 = 0")).select("id")
+
+
+@query(f"WITH {TRIPLES} SELECT event_id, subject, object FROM triples WHERE predicate = 'click' AND valid_from <= '2024-01-10' AND (valid_to IS NULL OR valid_to >= '2024-01-10')")
+def kg_relationship(spark, sf):
+    return kg.query_relationship(triples(spark, sf), "click", "2024-01-10").select("event_id", "subject", "object")
+
+
+@query("SELECT r_name AS subject, 'related_to' AS predicate, n_name AS object FROM nation JOIN region ON n_regionkey = r_regionkey")
+def kg_seed(spark, sf):
+    n, r = table(spark, sf, "nation"), table(spark, sf, "region")
+    facts = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_regionkey", "r_name").agg(F.to_json(F.collect_list("n_name")).alias("value"))
+    return entities.seed_facts(facts.select(F.concat(F.lit("region:"), "r_name").alias("key"), "value", F.col("r_regionkey").alias("seq")))[1].select("subject", "predicate", "object")
+
+
+@query("WITH c AS (SELECT conv_id, conv_id || '_' || turn AS id, role, text FROM conversations WHERE text IS NOT NULL), q AS (SELECT conv_id FROM c GROUP BY conv_id) SELECT 'all' AS category, count(*) AS queries, count(*)::BIGINT AS hits, 1.0::DOUBLE AS recall FROM q")
+def eval_run(spark, sf):
+    """Each conversation is asked for the longest word of its first turn; the turn must be found."""
+    c = table(spark, sf, "conversations").where("text IS NOT NULL").select(F.col("conv_id").cast("string").alias("item_id"), F.concat_ws("_", "conv_id", "turn").alias("id"), F.col("text").alias("content"), "role", "turn")
+    first = c.groupBy("item_id").agg(F.min_by(F.struct("id", "content"), "turn").alias("f"))
+    word = F.array_max(F.transform(T.tokens(F.col("f.content")), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    q = first.select(F.col("item_id").alias("query_id"), "item_id", F.lit("all").alias("category"), word.alias("query"), F.array("f.id").alias("targets"), F.array().cast("array<string>").alias("evidence"))
+    return evaluate.summary(evaluate.run(c, q, k=1000)).where("category IS NOT NULL")
+
+
+@query()
+def entity_classes(spark, sf):
+    d = chunks(spark, sf).select("id", "content")
+    return entities.classify(extract.candidates(d), d)
+
+
+@query()
+def context_story(spark, sf):
+    return layers.story(chunks(spark, sf))
