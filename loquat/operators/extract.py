@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 
 from pyspark.sql import Column, DataFrame, Window
@@ -33,7 +34,11 @@ def marker_scores(s: Column, low: Column) -> dict[str, Column]:
 def memories(segments: DataFrame, least: float = 0.3) -> DataFrame:
     """segments (id, chunk_index, content) to those that a marker family claims."""
     scores = marker_scores(F.col("content"), F.col("_low"))
-    rows = segments.select("id", "chunk_index", "content", F.lower("content").alias("_low"))
+    # exploding keeps the lower-cased text a column; inlined, each cue would lower it again
+    rows = segments.select("id", "chunk_index", "content", F.explode(F.array(F.lower("content"))).alias("_low"))
+    if least > 0:
+        words = {w for patterns in C.MEMORY_MARKERS.values() for p in patterns for w in cues(p)}
+        rows = rows.where(functools.reduce(lambda a, b: a | b, [F.contains("_low", F.lit(w)) for w in sorted(words)]))
     rows = rows.select("id", "chunk_index", "content", *[v.alias(f"_{k}") for k, v in scores.items()])
     top = F.greatest(*[F.col(f"_{k}") for k in scores])
     kind = T.best({k: F.col(f"_{k}") for k in scores}, None)
@@ -42,7 +47,7 @@ def memories(segments: DataFrame, least: float = 0.3) -> DataFrame:
 
 def is_code_line(line: Column) -> Column:
     indented = line.rlike(r"^[ \t]") & line.rlike(r"[=(){};]|//|#")
-    sparse = (F.length(line) > 10) & (F.length(F.regexp_replace(line, r"\P{L}", "")) / F.length(line) < 0.4)
+    sparse = (F.length(line) > 10) & (F.length(F.regexp_replace(line, r"\P{L}+", "")) / F.length(line) < 0.4)
     return indented | sparse | F.ltrim(line).rlike("^(" + "|".join(C.CODE_WORDS) + r") ")
 
 
