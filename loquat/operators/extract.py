@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import json
 import re
 
 from pyspark.sql import Column, DataFrame, Window
@@ -143,3 +144,24 @@ def spec() -> str:
 def compression_stats(original: Column, compressed: Column) -> Column:
     ratio = F.coalesce(F.try_divide(F.length(original).cast("double"), F.length(compressed)), F.lit(0.0))
     return F.struct(F.length(original).alias("original_chars"), F.length(compressed).alias("compressed_chars"), T.count_tokens(original).alias("original_tokens"), T.count_tokens(compressed).alias("compressed_tokens"), ratio.alias("ratio"))
+
+
+def substitute(s: Column, names: dict[str, str]) -> Column:
+    """Text with whole-word names replaced by their codes, longer names first, case folded."""
+    for name in sorted(names, key=len, reverse=True):
+        s = F.regexp_replace(s, r"(?i)\b" + re.escape(name) + r"\b", names[name].replace("\\", r"\\").replace("$", r"\$"))
+    return s
+
+
+def save_codes(path: str, names: dict[str, str]) -> None:
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump({"entities": names}, f, ensure_ascii=False, indent=2)
+
+
+def load_codes(path: str) -> dict[str, str]:
+    """Codes of a file that `save_codes` wrote; without it, or if it is damaged, none."""
+    try:
+        with open(path, encoding="utf-8") as f:
+            return dict(json.load(f)["entities"])
+    except (FileNotFoundError, ValueError, KeyError, TypeError):
+        return {}

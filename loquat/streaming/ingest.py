@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import tokens
+
 
 def files(spark: SparkSession, folder: str) -> DataFrame:
     """A stream of (path, content) of files as they arrive."""
@@ -29,3 +31,22 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -
     """Sessions of each user; on a stream, events later than the watermark are dropped."""
     df = events.withWatermark("ts", late) if events.isStreaming else events
     return df.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("events")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "events")
+
+
+def corpus_statistics(stream: DataFrame, target: str, checkpoint: str):
+    """Document frequencies and lengths of a stream of (id, content), added up
+    batch by batch.  A batch writes its own folder, so one that runs again
+    after a loss replaces what it wrote."""
+    def write(batch: DataFrame, number: int) -> None:
+        words = batch.select("id", tokens(F.col("content")).alias("t")).where("t IS NOT NULL")
+        df = words.select(F.explode(F.array_distinct("t")).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+        df.write.mode("overwrite").parquet(f"{target}/df/batch={number}")
+        words.agg(F.count("*").alias("docs"), F.coalesce(F.sum(F.size("t")), F.lit(0)).cast("long").alias("length")).write.mode("overwrite").parquet(f"{target}/size/batch={number}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_statistics(spark: SparkSession, target: str) -> tuple[DataFrame, DataFrame]:
+    """(token, df) and one row (docs, mean length) over all batches."""
+    df = spark.read.parquet(f"{target}/df").groupBy("token").agg(F.sum("df").alias("df"))
+    return df, spark.read.parquet(f"{target}/size").agg(F.sum("docs").alias("docs"), F.try_divide(F.sum("length"), F.sum("docs")).alias("mean"))

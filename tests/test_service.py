@@ -11,6 +11,7 @@ from loquat.operators import embed, entities, evaluate, extract, fts, layers, se
 from loquat.service import cli, rpc
 from loquat.service.memory import Memory
 from loquat.sources import datasets, files, transcripts
+from loquat.streaming import ingest
 
 MARK = "Claude Code v1"
 
@@ -194,3 +195,22 @@ def test_session_names(spark):
     one = lambda s: df(spark, [(s,)], "s string").select(sessions.slug(F.col("s")).alias("x")).first().x
     assert one("Fix: the  API -- bug, a long one") == "fix-the-api-bug-a-lo" and one("!!!") == "session"
     assert T.entity_key("Al O'Neil-X") == "al_oneil_x"
+
+
+def test_stream_statistics(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("tea cup\ntea")
+    run = lambda: ingest.corpus_statistics(ingest.files(spark, str(tmp_path / "in")).withColumnRenamed("path", "id"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    run()
+    (tmp_path / "in" / "b.txt").write_text("cup Café")
+    run()
+    words, size = ingest.read_statistics(spark, str(tmp_path / "out"))
+    assert {r.token: r.df for r in words.collect()} == {"tea": 1, "cup": 2, "cafe": 1}
+    assert tuple(size.first()) == (2, 2.5)
+
+
+def test_codes(spark, tmp_path):
+    names = {"Ann": "ANN", "Ann Lee": "A$L"}
+    extract.save_codes(str(tmp_path / "c.json"), names)
+    assert extract.load_codes(str(tmp_path / "c.json")) == names and extract.load_codes(str(tmp_path / "none")) == {}
+    assert df(spark, [("ann lee met Ann, Anna",)], "s string").select(extract.substitute(F.col("s"), names).alias("x")).first().x == "A$L met ANN, Anna"
