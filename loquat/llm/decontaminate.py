@@ -3,13 +3,15 @@
 Built from DataFrame functions only.  Texts are lower-cased and split into
 words of letters and digits.  For every benchmark item, windows of the item's
 length are taken from the documents; window and item fingerprints are SimHash
-values of their k-word shingles.  The 64 bits are cut into radius + 1 blocks:
+values of their k-word shingles; a document shorter than the item is one window
+as a whole.  The 64 bits are cut into radius + 1 blocks:
 two fingerprints within the radius agree in at least one block, so an equi-join
 on (length, block, value) finds all of them.  Candidates are verified exactly:
 weighted Jaccard similarity of the shingles, weights being occurrences.
 
-A window that is alike enough has that share of its item's shingles, so only
-windows with as many known shingles are fingerprinted; that loses none.  The
+A window that is alike enough, a whole shorter document too, has that share of
+its item's shingles, so only windows with as many known shingles are
+fingerprinted; that loses none.  The
 radius of 23 bits is 4.5 deviations over the distance expected at similarity
 0.8 (9.7 of 64 bits).
 
@@ -95,7 +97,8 @@ def window_starts(pos: Column, length: Column, k: int, threshold: float) -> Colu
     pos: sorted word positions of shingles that items of this length hold.  A
     window's common weight is at most the number of these inside it, and must
     be `threshold` of the item's shingles; so the window spans at least that
-    many neighbours of `pos`."""
+    many neighbours of `pos`.  A shorter document that has enough of them gets
+    start 0 among others, as its positions are all within reach."""
     reach = length - F.least(length, F.lit(k))  # a shingle starts at most so far into a window
     need = F.greatest(F.ceil((reach + 1) * threshold - 1e-9).cast("int"), F.lit(1))
     last = lambda i: F.get(pos, i + need - 1)
@@ -131,7 +134,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: f
     window = lambda n, at: F.struct(n.alias("length"), at.alias("start"), F.slice("w", at + 1, n).alias("w"))
     cut = F.flatten(F.transform("windows", lambda x: F.transform(x["starts"], lambda at: window(x["length"], at))))
     near = near.select("doc_id", F.explode(cut).alias("x")).select("doc_id", "x.*")
-    near = near.where(F.size("w") == F.col("length")).select("doc_id", "length", "start", shingles(F.col("w"), k).alias("grams")).distinct()
+    # a window that the document's end cuts short counts only as the whole document
+    near = near.where((F.size("w") == F.col("length")) | (F.col("start") == 0)).select("doc_id", "length", "start", shingles(F.col("w"), k).alias("grams")).distinct()
     near = materialise(near.withColumn("fingerprint", simhash(F.col("grams"))), "windows")
     left = near.select("doc_id", "length", "start", "grams", "fingerprint", F.explode(blocks(F.col("fingerprint"), radius)).alias("x")).select("*", "x.*").drop("x")
     right = items.select("item_id", "length", F.col("grams").alias("item_grams"), F.col("fingerprint").alias("item_fingerprint"), F.explode(blocks(F.col("fingerprint"), radius)).alias("x")).select("*", "x.*").drop("x")

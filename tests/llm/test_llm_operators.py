@@ -414,6 +414,33 @@ def test_contaminated(spark, plain, odd):
     assert decontaminate.contaminated(odd, b.where("false")).count() == 0
 
 
+def test_contaminated_short_documents(spark):
+    """Clipped copies: a document with fewer words than the item is one window."""
+    rng = random.Random(7)
+    items = [(i, " ".join(f"w{rng.randrange(2000)}" for _ in range(n))) for i, n in enumerate((4, 5, 8, 20, 30, 59, 59, 120))]
+    items.append((8, " ".join(["the same five words here"] * 8)))
+    rows = [(0, " ".join(items[5][1].split()[:55]))]
+    for i, text in items:
+        x = text.split()
+        for n in sorted({len(x) - 1, len(x) - 2, len(x) * 9 // 10, len(x) * 8 // 10, len(x) // 2} - {0}):
+            edited = list(x[:n])
+            edited[n // 2] = "edited"
+            rows += [(len(rows) + j, " ".join(w)) for j, w in enumerate((x[:n], x[-n:], x[len(x) - n - 1 :][:n], edited))]
+    rows += [(len(rows), items[5][1]), (len(rows) + 1, "before " + rows[0][1] + " one two three four five")]
+    grams = lambda w: Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else Counter([tuple(w)])
+    want = brute_leaks(rows, items)
+    for d, w in [(d, t.split()) for d, t in rows]:
+        for i, text in items:
+            g, h = grams(text.split()), grams(w)
+            sim = (common := sum((g & h).values())) / (sum(g.values()) + sum(h.values()) - common)
+            if len(w) < len(text.split()) and sim >= 0.8:
+                want.add((d, i, round(sim, 6), 0))
+    docs, b = frame(spark, rows, "doc_id long, text string"), frame(spark, items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id, round(r.similarity, 6), r.start_word) for r in decontaminate.contaminated(docs, b).collect()}
+    assert got == want and (0, 5, round(51 / 55, 6), 0) in got and len(want) > len(brute_leaks(rows, items)) + 10
+    assert {r.doc_id for r in decontaminate.decontaminate(docs, b).collect()} == {d for d, _ in rows} - {g[0] for g in want}
+
+
 def test_contamination_stays_native(spark, odd):
     plan = decontaminate.contaminated(odd, frame(spark, [(1, "one two")], "item_id long, text string"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
