@@ -5,7 +5,8 @@ near-duplicate group stays, documents that hold benchmark items go, and the
 rest is packed into sequences.  Each stage reads what the one before wrote.
 
 Defined results: an empty table passes through every stage; null texts stay in
-the corpus until packing counts them as empty; columns of their own pass
+the corpus until packing counts them as empty; rows of null or repeated ids are
+documents of their own, each judged by its own text; columns of their own pass
 through all stages but the last."""
 
 from __future__ import annotations
@@ -34,17 +35,34 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return out.select([columns[c].alias(c) if c in columns else F.col(c) for c in docs.columns])
 
 
+def number_rows(docs: DataFrame) -> tuple[DataFrame, str]:
+    """`docs` with a doc_id of each row's own, and the column of the given ids.
+    Written, as numbers may differ when rows are read again."""
+    given = free(docs, "_given")
+    columns = [F.monotonically_increasing_id().alias(c) if c == "doc_id" else F.col(c) for c in docs.columns]
+    return materialise(docs.select(*columns, F.col("doc_id").alias(given)), "numbered"), given
+
+
+def restore_ids(rows: DataFrame, given: str) -> DataFrame:
+    return rows.select([F.col(given).alias(c) if c == "doc_id" else F.col(c) for c in rows.columns if c != given])
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate group the document with the smallest id."""
-    found = jaccard_join.near_duplicates(docs)
-    name = free(docs, "_spare")
-    spare = found.where("doc_id != component_id").select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(spare, docs["doc_id"] == spare[name], "left_anti")
+    """Of each near-duplicate group one row: the first of the smallest id, of a
+    null id only where the group has no other."""
+    rows, given = number_rows(docs)
+    found = jaccard_join.near_duplicates(rows).select("doc_id", "component_id")
+    found = materialise(found.join(rows.select("doc_id", F.col(given).alias("_id")), "doc_id"), "groups")
+    first = F.min(F.struct(F.col("_id").isNull(), F.col("_id"), F.col("doc_id").alias("row"))).alias("first")
+    kept = found.groupBy("component_id").agg(first).select(F.col("first.row").alias("doc_id"))
+    spare = found.join(kept, "doc_id", "left_anti").select("doc_id")
+    return restore_ids(rows.join(spare, "doc_id", "left_anti"), given)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    return decontaminate.decontaminate(docs, read_table(spark, sf_dir, "benchmark"))
+    """Rows that hold no benchmark item."""
+    rows, given = number_rows(docs)
+    return restore_ids(decontaminate.decontaminate(rows, read_table(spark, sf_dir, "benchmark")), given)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,3 +26,22 @@ def test_empty(spark, sf):
     for _, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, sf)
         assert out.count() == 0
+
+
+def test_null_and_repeated_ids(spark, sf):
+    text = {c: " ".join(f"{c}{i}" for i in range(30)) for c in "abcdef"}
+    near = text["a"].replace("a29", "other")
+    rows = [(None, "a"), (7, "a"), (7, "a"), (None, "a"), (9, "near"), (5, "b"), (4, "b"), (5, "c"), (None, "d"), (None, "d"), (None, "e"), (3, "f"), (3, "f")]
+    rows = [(d, text.get(c, near)) for d, c in rows] + [(None, None), (None, None), (4, ""), (4, "")]
+    docs = spark.createDataFrame([(d, t, i) for i, (d, t) in enumerate(rows)], "doc_id long, text string, row int").coalesce(1)
+    kept = corpus_pipeline.drop_copies(spark, docs, sf)
+    assert kept.columns == docs.columns and kept.schema == docs.schema
+    # one row of each group: the first of the smallest id that is not null
+    assert sorted(r.row for r in kept.collect()) == [1, 6, 7, 8, 10, 11, 13, 14, 15, 16]
+
+    item = max((r.text for r in read_table(spark, sf, "benchmark").collect()), key=len)
+    rows = [(None, item), (None, text["a"]), (1, text["b"]), (1, "before " + item), (2, text["c"]), (None, None), (1, None)]
+    docs = spark.createDataFrame([(d, t, i) for i, (d, t) in enumerate(rows)], "doc_id long, text string, row int")
+    kept = corpus_pipeline.drop_leaks(spark, docs, sf)
+    assert kept.columns == docs.columns
+    assert sorted((r.row, r.doc_id) for r in kept.collect()) == [(1, None), (2, 1), (4, 2), (5, None), (6, 1)]
