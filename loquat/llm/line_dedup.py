@@ -2,7 +2,11 @@
 
 For each host, a line's ratio is the number of the host's pages that hold it
 over the number of the host's pages; lines over the ratio are boilerplate and
-are dropped from the host's pages.  A host has at most (mean lines a page) /
+are dropped from the host's pages if at least `min_pages` pages hold them.  At
+ratio 0.1 that floor of 5 pages decides on hosts of under 50 pages (the ratio is
+in effect 5 / pages) and leaves hosts of under 5 pages as they are: a menu line
+on 4 of 10 pages stays.  Under it, two copies of a page on a host of under 20
+pages would be boilerplate to each other and lose all their lines.  A host has at most (mean lines a page) /
 ratio such lines, so they travel to the pages; the texts are not shuffled.
 
 Defined results: null text stays null; null host is a host of its own; a page
