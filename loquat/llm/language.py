@@ -25,7 +25,6 @@ from .shared import crc_bucket
 BITS = 17
 SIZE = 1 << BITS
 SCHEMA = "lang string, score double, proportions map<string,double>"
-MOST = 6  # largest language set tried
 
 
 @dataclass
@@ -108,7 +107,7 @@ def infer(texts: list, model: LanguageModel, rounds: int = 8) -> pd.DataFrame:
             best_pi, _ = _mixture(like, top, of, cut, np.ones((n_lang, len(cut))), rounds)
             rank = np.argsort(np.argsort(-best_pi, axis=0, kind="stable"), axis=0, kind="stable")
             best, pick = np.full(len(cut), -np.inf), np.zeros_like(best_pi)
-            for k in range(1, min(n_lang, MOST) + 1):
+            for k in range(1, n_lang + 1):
                 if k == 1:
                     pi = (rank == 0).astype(float)
                     fit_ = _sums(np.log((like * pi[:, of]).sum(0)) + top, cut)

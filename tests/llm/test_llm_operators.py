@@ -99,6 +99,15 @@ def test_language_mixture_and_edges(spark, odd):
     assert language.fit(odd.where("false")).langs == []
 
 
+def test_language_mixture_of_eight():
+    rng = random.Random(8)
+    words = {f"l{i}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz"[3 * i : 3 * i + 3]) for _ in range(5)) for _ in range(40)] for i in range(8)}
+    model = language.fit_texts([(" ".join(w), lang) for lang, w in words.items()])
+    got = language.infer([" ".join(x for w in words.values() for x in w), " ".join(words["l3"])], model)
+    assert set(got.proportions[0]) == set(words) and 0.1 < got.score[0] < 0.2
+    assert set(got.proportions[1]) == {"l3"}
+
+
 def test_toxicity_held_out(spark):
     out = queries.op3_toxic_spans(spark, "/root/testdata/sf0.1").toPandas()
     truth = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").toPandas()
