@@ -45,7 +45,12 @@ EMOTIONS = {
     "pride": "proud, accomplished, achieved, success, nailed, pulled off", "hope": "hope, optimistic, looking forward, hopefully, believe",
     "overwhelm": "overwhelmed, too much, can't handle, swamped, drowning", "gratitude": "grateful, thankful, appreciate, thanks, thank you",
 }
-EMOTION_CODES = {"joy": "joy", "sadness": "sad", "fear": "fea", "anger": "ang", "vulnerability": "vul", "determination": "det", "pride": "prd", "hope": "hop", "overwhelm": "ovw", "gratitude": "grt"}
+EMOTION_CODES = {
+    "vulnerability": "vul", "joy": "joy", "fear": "fea", "anger": "ang", "sadness": "sad", "disgust": "dsg", "surprise": "sur", "anticipation": "ant",
+    "trust": "tru", "love": "lov", "excitement": "exc", "anxiety": "anx", "frustration": "fru", "relief": "rel", "pride": "prd", "shame": "shm",
+    "guilt": "glt", "envy": "env", "gratitude": "grt", "hope": "hop", "nostalgia": "nos", "loneliness": "lon", "confusion": "cnf", "determination": "det",
+    "curiosity": "cur", "regret": "rgt", "empathy": "emp", "overwhelm": "ovw", "boredom": "bor", "awe": "awe",
+}
 FLAGS, EMOTIONS = ({k: v.split(", ") for k, v in t.items()} for t in (FLAGS, EMOTIONS))
 DECISION_PHRASES = ["decided", "chose", "because", "so that", "in order to"]
 

@@ -2,13 +2,32 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import constants as C
 
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćčďēęěğīłńňōőřśşšţťūůűźżž"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyyaaaccdeeegilnnoorssstt" + "uuuzzz"
+
+
+def folding() -> tuple[str, str, str]:
+    """Lower-case letters, what they fold to, and the marks that fold away.  A
+    Latin letter with one mark is the plain letter, one with two marks stays;
+    lower-case variants such as a final sigma are the usual letter."""
+    letters, plain, marks = "", "", set()
+    for c in map(chr, range(0xB5, 0x2000)):
+        usual = c.casefold()
+        usual = usual if len(usual) == 1 and usual == usual.lower() and c.isalpha() else c
+        parts = unicodedata.normalize("NFD", usual)
+        marked = len(parts) == 2 and "a" <= parts[0] <= "z" and unicodedata.category(parts[1]) == "Mn"
+        if c == c.lower() and (marked or usual != c):
+            letters, plain = letters + c, plain + (parts[0] if marked else usual)
+            marks |= {parts[1]} if marked else set()
+    return letters, plain, "".join(sorted(marks))
+
+
+ACCENTED, PLAIN, MARKS = folding()
 
 
 def normalize_whitespace(s: Column) -> Column:
@@ -29,8 +48,14 @@ def entity_key(name: str) -> str:
 
 
 def tokens(s: Column) -> Column:
-    """Case- and accent-folded runs of letters and digits."""
-    return F.regexp_extract_all(F.translate(F.lower(s), ACCENTED, PLAIN), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    """Case- and accent-folded runs of letters and digits; a mark that follows
+    its letter counts as an accent."""
+    return F.regexp_extract_all(F.translate(F.lower(s), ACCENTED + MARKS, PLAIN), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+
+
+def text_id(s: Column, number: Column) -> Column:
+    """MD5 of a text and its number, as evaluation ids."""
+    return F.md5(F.concat(s, number.cast("string")))
 
 
 def ascii_words(s: Column) -> Column:

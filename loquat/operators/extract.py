@@ -49,7 +49,7 @@ def memories(segments: DataFrame, least: float = 0.3) -> DataFrame:
 def is_code_line(line: Column) -> Column:
     indented = line.rlike(r"^[ \t]") & line.rlike(r"[=(){};]|//|#")
     sparse = (F.length(line) > 10) & (F.length(F.regexp_replace(line, r"\P{L}+", "")) / F.length(line) < 0.4)
-    return indented | sparse | F.ltrim(line).rlike("^(" + "|".join(C.CODE_WORDS) + r") ")
+    return indented | sparse | line.rlike(r"(?U)^\s*(" + "|".join(C.CODE_WORDS) + r") ")
 
 
 def prose(s: Column) -> Column:
@@ -109,7 +109,7 @@ def summary_topics(docs: DataFrame, n: int = 3) -> DataFrame:
     counted = words.withColumn("key", F.lower("word")).where(~F.col("key").isin(C.TOPIC_STOP)).groupBy("id", "key").agg(F.sum(points).alias("points"), F.min("pos").alias("first"))
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("points"), "first"))
     top = counted.withColumn("rank", rank).where(F.col("rank") <= n)
-    return top.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "key"))), lambda x: x["key"]), "_").alias("topics"))
+    return top.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "key"))), lambda x: x["key"]), "+").alias("topics"))
 
 
 def key_sentence(s: Column, most: int = 55) -> Column:
@@ -119,18 +119,25 @@ def key_sentence(s: Column, most: int = 55) -> Column:
     return F.coalesce(F.when(F.length(top) > most, F.concat(F.substring(top, 1, most), F.lit("…"))).otherwise(top), F.lit(""))
 
 
-def compress(docs: DataFrame) -> DataFrame:
-    """(id, summary): topics|key sentence|emotions|flags."""
-    fields = docs.select("id", key_sentence(F.col("content")).alias("k"), T.codes(F.col("content"), C.EMOTIONS, C.EMOTION_CODES).alias("e"), T.codes(F.col("content"), C.FLAGS, {}).alias("f"))
+def compress(docs: DataFrame, metadata: tuple[str, ...] = ()) -> DataFrame:
+    """(id, summary): topics|key sentence|emotions|flags, after a line
+    `# name: value` for each of the columns `metadata` that is not null."""
+    head = F.concat_ws("", *[F.concat(F.lit(f"# {c}: "), F.col(c).cast("string"), F.lit("\n")) for c in metadata])
+    fields = docs.select("id", head.alias("h"), key_sentence(F.col("content")).alias("k"), T.codes(F.col("content"), C.EMOTIONS, C.EMOTION_CODES).alias("e"), T.codes(F.col("content"), C.FLAGS, {}).alias("f"))
     both = fields.join(summary_topics(docs), "id", "left")
-    return both.select("id", F.concat_ws("|", F.coalesce("topics", F.lit("")), "k", "e", "f").alias("summary"))
+    return both.select("id", F.concat("h", F.concat_ws("|", F.coalesce("topics", F.lit("")), "k", "e", "f")).alias("summary"))
 
 
 def decode(s: Column) -> Column:
-    parts = F.split(F.array_join(F.filter(F.split(s, "\n"), lambda x: ~F.startswith(x, F.lit("#"))), "\n"), r"\|", 4)
+    """Fields of a summary: comment lines go, emotion codes become names; codes
+    that are unknown stay."""
+    body = strip(F.array_join(F.filter(F.split(s, "\n"), lambda x: ~x.rlike(r"(?U)^\s*#")), "\n"))
+    parts = F.transform(F.split(body, r"\|", 4), strip)
     name = F.create_map(*[F.lit(x) for k, v in C.EMOTION_CODES.items() for x in (v, k)])
-    feelings = F.transform(F.filter(F.split(F.get(parts, F.lit(2)), r"\+"), lambda c: c != ""), lambda c: F.coalesce(F.try_element_at(name, c), c))
-    return F.struct(F.get(parts, F.lit(0)).alias("topics"), F.get(parts, F.lit(1)).alias("sentence"), feelings.alias("emotions"), F.get(parts, F.lit(3)).alias("flags"))
+    part = lambda i: F.coalesce(F.get(parts, F.lit(i)), F.lit(""))
+    codes = F.filter(F.transform(F.split(part(2), r"\+"), strip), lambda c: c != "")
+    feelings = F.transform(codes, lambda c: F.coalesce(F.try_element_at(name, F.lower(c)), c))
+    return F.struct(part(0).alias("topics"), part(1).alias("sentence"), feelings.alias("emotions"), part(3).alias("flags"))
 
 
 def spec() -> str:
@@ -142,26 +149,38 @@ def spec() -> str:
 
 
 def compression_stats(original: Column, compressed: Column) -> Column:
-    ratio = F.coalesce(F.try_divide(F.length(original).cast("double"), F.length(compressed)), F.lit(0.0))
+    """Sizes of both texts; the ratio is the compressed one's share of the original, 0 for an empty one."""
+    ratio = F.coalesce(F.try_divide(F.length(compressed).cast("double"), F.length(original)), F.lit(0.0))
     return F.struct(F.length(original).alias("original_chars"), F.length(compressed).alias("compressed_chars"), T.count_tokens(original).alias("original_tokens"), T.count_tokens(compressed).alias("compressed_tokens"), ratio.alias("ratio"))
 
 
-def substitute(s: Column, names: dict[str, str]) -> Column:
-    """Text with whole-word names replaced by their codes, longer names first, case folded."""
+def encode_entity(name: Column, names: dict[str, str]) -> Column:
+    """Code of a name, case folded; null if it has none."""
+    known = [x for k, v in names.items() for x in (F.lit(k.lower()), F.lit(v))]
+    return F.try_element_at(F.create_map(*known), F.lower(name)) if known else F.lit(None).cast("string")
+
+
+def substitute(s: Column, names: dict[str, str], skip: tuple[str, ...] = ()) -> Column:
+    """Text with whole-word names replaced by their codes, longer names first,
+    case folded; names of `skip` stay."""
+    left_out = {x.lower() for x in skip}
     for name in sorted(names, key=len, reverse=True):
-        s = F.regexp_replace(s, r"(?i)\b" + re.escape(name) + r"\b", names[name].replace("\\", r"\\").replace("$", r"\$"))
+        if name.lower() not in left_out:
+            s = F.regexp_replace(s, r"(?i)\b" + re.escape(name) + r"\b", names[name].replace("\\", r"\\").replace("$", r"\$"))
     return s
 
 
-def save_codes(path: str, names: dict[str, str]) -> None:
+def save_codes(path: str, names: dict[str, str], skip: tuple[str, ...] = ()) -> None:
     with open(path, "w", encoding="utf-8") as f:
-        json.dump({"entities": names}, f, ensure_ascii=False, indent=2)
+        json.dump({"entities": names, "skip": list(skip)}, f, ensure_ascii=False, indent=2)
 
 
-def load_codes(path: str) -> dict[str, str]:
-    """Codes of a file that `save_codes` wrote; without it, or if it is damaged, none."""
+def load_codes(path: str) -> tuple[dict[str, str], tuple[str, ...]]:
+    """Codes and names to skip of a file that `save_codes` wrote; without it, or
+    if it is damaged, none."""
     try:
         with open(path, encoding="utf-8") as f:
-            return dict(json.load(f)["entities"])
-    except (FileNotFoundError, ValueError, KeyError, TypeError):
-        return {}
+            held = json.load(f)
+        return dict(held.get("entities") or {}), tuple(x for x in held.get("skip") or () if isinstance(x, str))
+    except (FileNotFoundError, ValueError, AttributeError, TypeError):
+        return {}, ()

@@ -17,10 +17,12 @@ def rule_regex(line: str) -> tuple[str, bool] | None:
     if not line or line.startswith("#"):
         return None
     negated = line.startswith("!")
-    line = line[1:] if negated else line
+    line = line[1:].strip() if negated else line
     rooted = line.startswith("/")
     body = line.strip("/")
-    out = "".join(".*" if p == "**" else "[^/]+" if p == "*" else "[^/]" if p == "?" else re.escape(p) for p in re.split(r"(\*\*|\*|\?)", body) if p)
+    # `**` takes the slash after it along, so `**/x` holds at the root too
+    wild = {"**": ".*", "**/": ".*", "*": "[^/]+", "?": "[^/]"}
+    out = "".join(wild.get(p) or re.escape(p) for p in re.split(r"(\*\*/?|\*|\?)", body) if p)
     return f"(?i)^{'' if rooted else '(.*/)?'}{out}(/.*)?$", negated
 
 
