@@ -6,6 +6,7 @@ hashed words and trigrams, no files and no network."""
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -56,3 +57,46 @@ def listing(chunks: DataFrame, vectors: DataFrame, dims: int = 8, n: int = 20) -
     meta = chunks.select(F.col("id").alias("chunk_id"), "domain", "topic", "source_file", title(F.col("source_file")).alias("title"), snippet(F.col("content"), 120).alias("snippet"))
     rows = vectors.join(meta, "chunk_id").orderBy("domain", "topic", "source_file", "chunk_id").limit(n)
     return rows.select(F.substring("chunk_id", 1, 8).alias("id"), "domain", "topic", "title", "snippet", norm(F.col("embedding")).alias("norm"), F.slice("embedding", 1, dims).alias("head"), F.greatest(F.size("embedding") - dims, F.lit(0)).alias("more"))
+
+
+def pooled(vectors: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """Unit means of the token vectors (texts, tokens, size) that a mask (texts,
+    tokens) keeps; a text without any gives zeros."""
+    kept = mask.astype(np.float32)[:, :, None]
+    mean = (vectors * kept).sum(1) / np.maximum(kept.sum(1), 1e-9)
+    length = np.linalg.norm(mean, axis=1, keepdims=True)
+    return (mean / np.where(length == 0, 1, length)).astype(np.float32)
+
+
+def infer(texts: list[str], encode: Callable, session, longest: int = 512) -> np.ndarray:
+    """Vectors of a sentence model: its `sentence_embedding` if it gives one,
+    else the pooled token vectors.  `encode` gives a text's token ids."""
+    ids = [encode(t)[:longest] if t.strip() else [] for t in texts]
+    width = max(map(len, ids), default=0) or 1
+    grid, mask = np.zeros((len(texts), width), np.int64), np.zeros((len(texts), width), np.int64)
+    for i, row in enumerate(ids):
+        grid[i, : len(row)], mask[i, : len(row)] = row, 1
+    given = {"input_ids": grid, "attention_mask": mask, "token_type_ids": np.zeros_like(grid)}
+    names = [o.name for o in session.get_outputs()]
+    found = session.run(None, {i.name: given[i.name] for i in session.get_inputs()})
+    out = np.asarray(found[names.index("sentence_embedding")], np.float32) if "sentence_embedding" in names else pooled(np.asarray(found[0]), mask)
+    out[mask.sum(1) == 0] = 0
+    return out
+
+
+def sentence_model(folder: str, longest: int = 512) -> Callable[[], Model] | None:
+    """Factory of the model in `folder` (model.onnx and vocab.txt, which all
+    workers see); None where a file is missing, so that search does without."""
+    model, vocabulary = f"{folder}/model.onnx", f"{folder}/vocab.txt"
+    if not (os.path.exists(model) and os.path.exists(vocabulary)):
+        return None
+
+    def make() -> Model:
+        import onnxruntime
+        from tokenizers import BertWordPieceTokenizer
+
+        words = BertWordPieceTokenizer(vocabulary, lowercase=True)
+        session = onnxruntime.InferenceSession(model)
+        return lambda texts: infer(texts, lambda t: words.encode(t).ids, session, longest)
+
+    return make

@@ -53,3 +53,23 @@ def summary(results: DataFrame) -> DataFrame:
     """Recall by category and over all (category null)."""
     hit = F.col("hit").cast("int")
     return results.rollup("category").agg(F.count("*").alias("queries"), F.sum(hit).cast("long").alias("hits"), F.avg(hit).alias("recall"))
+
+
+def documents(docs: DataFrame, filed_at: str) -> DataFrame:
+    """docs (id, text, domain, topic) as chunks of an evaluation, whose source is the id."""
+    return docs.select("id", "domain", "topic", F.lit("").alias("category"), F.col("id").alias("source_file"), F.col("text").alias("content"), F.lit(0).alias("chunk_index"), F.lit("bench").alias("added_by"), F.lit(filed_at).alias("filed_at"))
+
+
+def running(results: DataFrame, every: int = 50) -> DataFrame:
+    """results (place, hit), places from 0: (done, recall) after each `every`
+    questions.  The window runs over groups of questions, not over questions."""
+    group = F.floor(F.col("place") / every).alias("group")
+    counts = results.groupBy(group).agg(F.count("*").alias("n"), F.sum(F.col("hit").cast("int")).alias("hits"))
+    so_far = Window.orderBy("group").rowsBetween(Window.unboundedPreceding, 0)
+    out = counts.select("n", F.sum("n").over(so_far).alias("done"), F.sum("hits").over(so_far).alias("hits"))
+    return out.where(F.col("n") == every).select("done", (F.col("hits") / F.col("done")).alias("recall"))
+
+
+def save(results: DataFrame, folder: str) -> None:
+    """Write the results as JSON lines."""
+    results.write.mode("overwrite").json(folder)

@@ -32,26 +32,34 @@ def index(chunks: DataFrame, within: str | None = None) -> tuple[DataFrame, Data
     return text.select("id", *keys, "x.col", F.posexplode("x.t").alias("pos", "token")), chunks.select("id", *keys, length.alias("len"), "domain", "topic")
 
 
-def save_index(chunks: DataFrame, folder: str) -> None:
-    """Write both tables anew.  Postings are dealt by token range, so a query reads the row groups of its words only."""
+def save_index(chunks: DataFrame, folder: str, mode: str = "overwrite") -> None:
+    """Write both tables anew, or with mode `append` a segment more.  Postings
+    are dealt by token range, so a query reads the row groups of its words only.
+    Sizes come last: a segment that was cut short is written again."""
     postings, sizes = index(chunks)
-    postings.repartitionByRange("token", "id").sortWithinPartitions("token").write.mode("overwrite").parquet(f"{folder}/postings")
-    sizes.write.mode("overwrite").parquet(f"{folder}/sizes")
+    postings.repartitionByRange("token", "id").sortWithinPartitions("token").write.mode(mode).parquet(f"{folder}/postings")
+    sizes.write.mode(mode).parquet(f"{folder}/sizes")
 
 
 def load_index(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/sizes")
 
 
-def matches(postings: DataFrame, wanted: DataFrame, within: str | None = None) -> DataFrame:
-    """(query_id, phrase, id, f): occurrences of each phrase in each chunk.
+def matches(postings: DataFrame, wanted: DataFrame, within: str | None = None, saved: bool = False) -> DataFrame:
+    """(query_id, phrase, id, f): occurrences of each phrase in each chunk.  Of
+    `saved` postings the scan reads the row groups of up to 1,000 query words
+    alone, and a segment that was written twice counts once.
 
     A posting at position p of a phrase's j-th token votes for a start at
     p - j; a start with a vote of every token is an occurrence."""
     keys = [within] if within else []
     terms = wanted.select("query_id", *keys, "phrase", F.size("tokens").alias("n"), F.posexplode("tokens").alias("j", "token"))
+    if saved:
+        words = [r["token"] for r in terms.select("token").distinct().limit(1001).collect()]
+        postings = postings.where(F.col("token").isin(words)) if len(words) <= 1000 else postings
     # a few query words prune the postings before any shuffle
-    votes = postings.join(bounded(terms), ["token", *keys]).groupBy("query_id", *keys, "phrase", "n", "id", "col", (F.col("pos") - F.col("j")).alias("start")).count()
+    hits = postings.join(bounded(terms), ["token", *keys])
+    votes = (hits.distinct() if saved else hits).groupBy("query_id", *keys, "phrase", "n", "id", "col", (F.col("pos") - F.col("j")).alias("start")).count()
     return votes.where("count = n").groupBy("query_id", *keys, "phrase", "id").agg(F.count("*").alias("f"))
 
 
@@ -63,10 +71,12 @@ def search(chunks: DataFrame, queries: DataFrame, k: int = 10, domain: str | Non
     return search_index(*index(chunks, within), queries, k, domain, topic, within)
 
 
-def search_index(postings: DataFrame, sizes: DataFrame, queries: DataFrame, k: int = 10, domain: str | None = None, topic: str | None = None, within: str | None = None) -> DataFrame:
+def search_index(postings: DataFrame, sizes: DataFrame, queries: DataFrame, k: int = 10, domain: str | None = None, topic: str | None = None, within: str | None = None, saved: bool = False) -> DataFrame:
     keys = [within] if within else []
     wanted = phrases(queries, within)
-    found = matches(postings, wanted, within)
+    found = matches(postings, wanted, within, saved)
+    # what was deleted since counts neither as a match nor for the statistics
+    found = found.join(sizes.select("id"), "id", "left_semi") if saved else found
     corpus = sizes.groupBy(*keys).agg(F.count("*").alias("docs"), F.avg("len").alias("mean"))
     df = found.groupBy("query_id", "phrase").agg(F.count("*").alias("df"))
     need = wanted.groupBy("query_id").agg(F.count("*").alias("need"))

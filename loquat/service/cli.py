@@ -7,11 +7,13 @@ import json
 import os
 import sys
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import constants as C
 from ..operators import embed, entities, extract, sessions
 from ..sources import files
+from . import settings
 from .memory import Memory
 from .rpc import Server
 
@@ -32,9 +34,9 @@ def parser() -> argparse.ArgumentParser:
 
     for name, positional, flags in (
         ("init", [], {}), ("mine", ["path"], {"mode": "projects", "domain": None, "limit": 0, "dry_run": False, "paragraphs": False}),
-        ("search", ["query"], {"domain": None, "topic": None, "limit": 10}), ("embed", [], {}), ("embeddings", [], {"domain": None, "limit": 20, "dims": 8}),
+        ("search", ["query"], {"domain": None, "topic": None, "limit": 10}), ("embed", [], {}), ("embeddings", [], {"domain": None, "topic": None, "query": None, "limit": 20, "dims": 8}),
         ("status", [], {}), ("wake-up", [], {"domain": None}), ("compress", ["path"], {}), ("split", ["path", "out"], {"min_sessions": 2}),
-        ("repair", [], {}), ("onboard", [], {"people": "", "projects": "", "mode": "personal", "scan": None}), ("serve", [], {}),
+        ("repair", [], {}), ("onboard", [], {"people": "", "projects": "", "domains": "", "edit": "", "mode": "personal", "scan": None}), ("who", ["words"], {}), ("serve", [], {}),
     ):
         verb(name, *positional, **flags)
     return p
@@ -56,13 +58,21 @@ def onboard(spark: SparkSession, store: str, a: argparse.Namespace) -> str:
         text = files.prose(spark, a.scan).agg(F.array_join(F.array_sort(F.collect_list("content")), "\n").alias("content")).withColumn("id", F.lit(a.scan))
         found = {r.entity_type: list(r.names) for r in entities.detect(text).collect()}
     registry = entities.registry_seed(people, [x.strip() for x in a.projects.split(",") if x.strip()], mode=a.mode)
+    found = {kind: settings.edited(names, a.edit) for kind, names in found.items()}
     registry |= {"codes": entities.assign_codes(list(registry["people"])), "detected": found}
-    os.makedirs(store, exist_ok=True)
-    with open(f"{store}/registry.json", "w", encoding="utf-8") as f:
-        json.dump(registry, f, ensure_ascii=False, indent=2)
+    settings.save_registry(f"{store}/registry.json", registry)
+    settings.bootstrap(store, registry, [x.strip() for x in a.domains.split(",") if x.strip()])
     return entities.registry_summary(registry)
 
 
+def who(spark: SparkSession, registry: dict, text: str) -> DataFrame:
+    """The words of a text as the registry knows them, the text being their context."""
+    listed = lambda names: spark.createDataFrame([(n,) for n in names], "name string")
+    people = spark.createDataFrame([(n, float(e.get("confidence", 1.0))) for n, e in registry["people"].items()], "name string, confidence double")
+    words = spark.createDataFrame([(w, text) for w in dict.fromkeys(text.split())], "word string, context string")
+    return extract.lookup(words, people, listed(registry["projects"]), listed(registry["ambiguous_flags"]), C.PERSON_CONTEXT).orderBy("word")
+
+
 def run(spark: SparkSession, argv: list[str], lines=sys.stdin, out=sys.stdout) -> int:
     a = parser().parse_args(argv)
     m = Memory(spark, a.store, None if a.no_embed else embed.hashing, read_text(f"{a.store}/identity.txt"))
@@ -72,6 +82,7 @@ def run(spark: SparkSession, argv: list[str], lines=sys.stdin, out=sys.stdout) -
 
     if a.verb == "init":
         m.init()
+        settings.load_config(f"{a.store}/config.json")
         say(f"Initialised {a.store}")
     elif a.verb == "mine":
         r = m.mine(a.path, a.domain, a.mode, a.limit, a.dry_run, a.paragraphs)
@@ -86,6 +97,13 @@ def run(spark: SparkSession, argv: list[str], lines=sys.stdin, out=sys.stdout) -
             say("No results found.")
     elif a.verb == "embed":
         say(f"{m.embed()} chunks embedded.")
+    elif a.verb == "embeddings" and a.query is not None:
+        if m.model is None:
+            print("--query needs the embedding model; leave --no-embed out", file=sys.stderr)
+            return 1
+        for r in m.nearest(a.query, a.domain, a.topic, a.limit).collect():
+            line = " ".join(r.snippet.split())
+            say(f"{r.score:5.3f}  {r.domain:<16} {r.topic:<14} {r.title:<30}  {line[:60] + '…' if len(line) > 60 else line}")
     elif a.verb == "embeddings":
         for r in m.page(a.domain, a.limit, a.dims).collect():
             say(f"{r.id:<10} {r.domain:<16} {r.topic:<14} {r.title:<28} {r.norm:5.3f} " + " ".join(f"{x:6.3f}" for x in r.head) + (f" … {r.more} more" if r.more else ""))
@@ -97,7 +115,7 @@ def run(spark: SparkSession, argv: list[str], lines=sys.stdin, out=sys.stdout) -
         docs = files.read(spark, a.path).withColumnRenamed("path", "id")
         both = extract.compress(docs).join(docs, "id").select("id", "summary", extract.compression_stats(F.col("content"), F.col("summary")).alias("s"))
         for r in both.orderBy("id").toLocalIterator():
-            say(f"# {r.id}\n{r.summary}\n# {r.s.original_tokens} -> {r.s.compressed_tokens} tokens, {r.s.ratio:.1f}x")
+            say(f"# {r.id}\n{r.summary}\n# {r.s.original_tokens} -> {r.s.compressed_tokens} tokens, {100 * r.s.ratio:.1f}%")
     elif a.verb == "split":
         top = files.relative(files.read(spark, a.path), a.path)
         named = top.where(F.lower("path").rlike(r"^[^/]+\.(txt|md|jsonl)$")).select(F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1).alias("id"), "content")
@@ -108,6 +126,9 @@ def run(spark: SparkSession, argv: list[str], lines=sys.stdin, out=sys.stdout) -
         say("Index written.")
     elif a.verb == "onboard":
         say(onboard(spark, a.store, a))
+    elif a.verb == "who":
+        for r in who(spark, settings.load_registry(f"{a.store}/registry.json"), a.words).collect():
+            say(f"{r.word}: {r.entity_type} ({r.confidence:.2f})")
     elif a.verb == "serve":
         Server(m).serve(lines, out)
     return 0

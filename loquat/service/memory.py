@@ -34,6 +34,11 @@ def now() -> str:
     return datetime.now(UTC).isoformat()
 
 
+def _one(rows: DataFrame) -> dict | None:
+    found = rows.first()
+    return None if found is None else found.asDict(recursive=True)
+
+
 class Memory:
     def __init__(self, spark: SparkSession, root: str, model: Callable[[], embed.Model] | None = None, identity: str | None = None):
         self.spark, self.root, self.model, self.identity = spark, root.rstrip("/"), model, identity
@@ -79,16 +84,32 @@ class Memory:
         return kg.first_of(self.log("entities"), ["id"], "seq")
 
     def triples(self) -> DataFrame:
-        """Facts; an active one is ended by the first ending written after it."""
+        """Facts; an active one is ended by the first ending written after it.  A
+        fact without a confidence is certain."""
         key = ["subject", "predicate", "object"]
         t, e = self.log("triples"), self.log("ended")
         later = t.where("valid_to IS NULL").select("id", *key, "seq").join(e.select(*key, "ended", F.col("seq").alias("_s")), key).where("_s > seq")
         ends = later.groupBy("id").agg(F.min_by("ended", "_s").alias("_ended"))
-        return t.join(ends, "id", "left").withColumn("valid_to", F.coalesce("valid_to", "_ended")).drop("_ended")
+        return t.join(ends, "id", "left").withColumn("valid_to", F.coalesce("valid_to", "_ended")).withColumn("confidence", F.coalesce("confidence", F.lit(1.0))).drop("_ended")
 
     def nodes(self) -> DataFrame:
         return topicgraph.nodes(self.chunks())
 
+    # single rows
+
+    def entity(self, name: str) -> dict | None:
+        return _one(self.entities().where(F.col("id") == T.entity_key(name)).drop("seq"))
+
+    def fact(self, key: str) -> dict | None:
+        return _one(self.triples().where(F.col("id") == key).drop("seq"))
+
+    def chunk(self, key: str) -> dict | None:
+        return _one(self.chunks().where(F.col("id") == key).drop("seq"))
+
+    def vector(self, key: str) -> list[float] | None:
+        found = _one(self.vectors().where(F.col("chunk_id") == key))
+        return found and list(found["embedding"])
+
     # writing
 
     def add(self, rows: DataFrame) -> int:
@@ -169,8 +190,28 @@ class Memory:
             todo.unpersist()
         return n
 
+    def index(self) -> tuple[DataFrame, DataFrame]:
+        """The saved search index of the live chunks.  What was written since
+        the last call, or lost, is added first; what was deleted is left out.
+        An entry is known by id and sequence number, as an id may come again."""
+        live = self.chunks().withColumn("id", F.struct("id", "seq"))
+        try:
+            _, sizes = fts.load_index(self.spark, f"{self.root}/index")
+            todo = live.join(sizes.select("id"), "id", "left_anti")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            todo = live
+        if not todo.isEmpty():
+            fts.save_index(todo, f"{self.root}/index", "append")
+        try:
+            postings, sizes = fts.load_index(self.spark, f"{self.root}/index")
+        except AnalysisException:  # nothing was ever stored
+            postings, sizes = fts.index(live)
+        return postings, sizes.dropDuplicates(["id"]).join(live.select("id"), "id", "left_semi")
+
     def repair(self) -> None:
-        fts.save_index(self.chunks(), f"{self.root}/index")
+        fts.save_index(self.chunks().withColumn("id", F.struct("id", "seq")), f"{self.root}/index")
 
     # questions
 
@@ -179,20 +220,22 @@ class Memory:
         chunks = self.chunks()
         asked = self.spark.createDataFrame([(0, query)], "query_id long, query string")
         stored = self.vectors() if self.model else None
+        words = lambda n: fts.search_index(*self.index(), asked, n, domain, topic, saved=True).withColumn("id", F.col("id.id"))
         if stored is None or stored.isEmpty():
-            hits = fts.search(chunks, asked, k, domain, topic)
+            hits = words(k)
         else:
             scoped = self.chunks(domain, topic).select("id")
             near = stored.select(F.col("chunk_id").alias("id"), "embedding").join(scoped, "id", "left_semi")
             q = asked.select("query_id", embed.embedding(F.col("query"), self.model).alias("embedding"))
-            hits = fts.fuse([fts.search(chunks, asked, C.DEPTH * k, domain, topic), vectors.knn(near, q, C.DEPTH * k)], k)
+            hits = fts.fuse([words(C.DEPTH * k), vectors.knn(near, q, C.DEPTH * k)], k)
         return fts.hydrate(hits, chunks).orderBy("rank")
 
     def is_duplicate(self, content: str, threshold: float = 0.9) -> bool:
         one = self.spark.createDataFrame([("asked", content)], "id string, content string")
         stored = self.vectors() if self.model else None
         if stored is None or stored.isEmpty():
-            return not vectors.keyword_duplicates(one, self.chunks(), threshold).isEmpty()
+            live = self.chunks().withColumn("id", F.struct("id", "seq"))
+            return not vectors.keyword_duplicates(one, live, threshold, index=self.index()).isEmpty()
         q = one.select(F.col("id").alias("query_id"), embed.embedding(F.col("content"), self.model).alias("embedding"))
         return not vectors.knn(stored.select(F.col("chunk_id").alias("id"), "embedding"), q, 1).where(F.col("score") >= threshold).isEmpty()
 
@@ -213,5 +256,14 @@ class Memory:
     def log_read(self, agent: str, n: int = 10, oldest: bool = False) -> list[str]:
         return [r.content for r in store.log_read(self.chunks(), agent, n, oldest).collect()]
 
+    def nearest(self, query: str, domain: str | None = None, topic: str | None = None, n: int = 10) -> DataFrame:
+        """Stored chunks by similarity to a query; without a model an error."""
+        if self.model is None:
+            raise ValueError("a query needs an embedding model")
+        near = self.vectors().select(F.col("chunk_id").alias("id"), "embedding").join(self.chunks(domain, topic).select("id"), "id", "left_semi")
+        asked = self.spark.createDataFrame([(0, query)], "query_id long, query string")
+        hits = vectors.knn(near, asked.select("query_id", embed.embedding(F.col("query"), self.model).alias("embedding")), n)
+        return fts.hydrate(hits, self.chunks()).orderBy("rank")
+
     def page(self, domain: str | None = None, n: int = 20, dims: int = 8) -> DataFrame:
         return embed.listing(self.chunks(domain), self.vectors(), dims, n)
