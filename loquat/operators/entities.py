@@ -9,36 +9,51 @@ from ..functions import constants as C
 from .extract import candidates
 
 
-def _points(text: Column, name: Column, signs: dict[str, tuple[int, list[str]]]) -> list[Column]:
-    """Points of each kind of sign.  Names are runs of letters and spaces, so they are regular expressions of themselves."""
-    out = []
-    for weight, patterns in signs.values():
-        parts = [[F.lit(x) for x in p.split("{n}")] for p in patterns]
-        out.append(weight * sum((F.regexp_count(text, F.concat(F.lit("(?i)"), a, name, b)) for a, b in parts), F.lit(0)))
-    return out
+EDGE, CONTEXT = r"[\p{L}\p{N}_]", 100
+
+
+def occurrences(pieces: Column, key: Column, low: Column, reach: int = 50) -> Column:
+    """(before, after, near) of each occurrence of `key` in the text `low` that
+    it cuts into `pieces`: up to CONTEXT characters on each side, and the text
+    within `reach` of it."""
+    def cut(acc: Column, piece: Column) -> Column:
+        at = acc["next"]
+        here = F.struct(F.substring(low, F.greatest(at - CONTEXT, F.lit(1)), F.least(at - 1, F.lit(CONTEXT))).alias("before"), F.substring(low, at + F.length(key), F.lit(CONTEXT)).alias("after"),
+                        F.substring(low, F.greatest(at - reach, F.lit(1)), F.least(at - 1, F.lit(reach)) + F.length(key) + reach).alias("near"))
+        return F.struct(F.concat(acc["found"], F.array(here)).alias("found"), (at + F.length(key) + F.length(piece)).alias("next"))
+
+    start = F.struct(F.array().cast("array<struct<before:string,after:string,near:string>>").alias("found"), (F.length(F.get(pieces, F.lit(0))) + 1).alias("next"))
+    return F.aggregate(F.slice(pieces, 2, F.size(pieces)), start, cut, lambda acc: acc["found"])
+
+
+def _points(found: Column, signs: dict[str, tuple[int, list[str]]]) -> list[Column]:
+    """Points of each kind of sign, whose patterns name the text before and after a name."""
+    def count(pattern: str) -> Column:
+        a, b = pattern.split("{n}")
+        # a bound next to the name: no letter, digit or underscore there
+        before, after = (rf"(?<!{EDGE})" if a == r"\b" else a) + "$", "^" + (rf"(?!{EDGE})" if b == r"\b" else b)
+        return F.size(F.filter(found, lambda c: c["before"].rlike(before) & c["after"].rlike(after)))
+
+    return [weight * sum(map(count, patterns), F.lit(0)) for weight, patterns in signs.values()]
 
 
-def pronoun_points(text: Column, name: Column, reach: int = 50) -> Column:
-    """Two points for each pronoun within `reach` characters of an occurrence of
-    the name, six at most.  The occurrences are read off the pieces between
-    them, so the work is linear in the text."""
-    low, key = F.lower(text), F.lower(name)
-    pieces = F.split(low, F.concat(F.lit(r"\Q"), key, F.lit(r"\E")))
-    starts = F.aggregate(
-        pieces, F.struct(F.array().cast("array<int>").alias("at"), F.lit(1).alias("next")),
-        lambda a, p: F.struct(F.concat(a["at"], F.array(a["next"] + F.length(p))).alias("at"), (a["next"] + F.length(p) + F.length(key)).alias("next")), lambda a: F.slice(a["at"], 1, F.size(a["at"]) - 1))
-    window = lambda i: F.substring(low, F.greatest(i - reach, F.lit(1)), F.least(i - 1, F.lit(reach)) + F.length(key) + reach)
-    found = F.aggregate(starts, F.lit(0), lambda n, i: F.when(n >= 3, n).otherwise(n + sum((F.contains(window(i), F.lit(p)).cast("int") for p in C.PRONOUNS), F.lit(0))))
-    return F.least(found * 2, F.lit(6))
+def pronoun_points(found: Column) -> Column:
+    """Two points for each pronoun near an occurrence of the name, six at most."""
+    near = F.transform(found, lambda c: sum((F.contains(c["near"], F.lit(p)).cast("int") for p in C.PRONOUNS), F.lit(0)))
+    return F.least(2 * F.aggregate(near, F.lit(0), lambda a, x: a + x), F.lit(6))
 
 
 def classify(names: DataFrame, docs: DataFrame) -> DataFrame:
     """names (id, name, count) of docs (id, content) to person, project or
     uncertain, with both scores."""
-    both = names.join(docs.select("id", "content"), "id")
-    text, name = F.col("content"), F.col("name")
-    person = [*_points(text, name, C.PERSON_SIGNS), pronoun_points(text, name)]
-    both = both.select("id", "name", "count", F.array(*person).alias("_p"), sum(_points(text, name, C.PROJECT_SIGNS), F.lit(0)).alias("project_score"))
+    both = names.join(docs.select("id", F.lower("content").alias("_low")), "id")
+    # exploding keeps a value a column; inlined, each occurrence would make it again
+    cut = F.split("_low", F.concat(F.lit(r"\Q"), F.lower("name"), F.lit(r"\E")))
+    both = both.select("id", "name", "count", "_low", F.explode(F.array(cut)).alias("_pieces"))
+    both = both.select("id", "name", "count", F.explode(F.array(occurrences(F.col("_pieces"), F.lower("name"), F.col("_low")))).alias("_found"))
+    found = F.col("_found")
+    person = [*_points(found, C.PERSON_SIGNS), pronoun_points(found)]
+    both = both.select("id", "name", "count", F.array(*person).alias("_p"), sum(_points(found, C.PROJECT_SIGNS), F.lit(0)).alias("project_score"))
     score, kinds = F.aggregate("_p", F.lit(0), lambda a, x: a + x), F.size(F.filter("_p", lambda x: x > 0))
     both = both.withColumn("person_score", score).withColumn("signal_types", kinds).drop("_p")
     kind = F.expr("CASE WHEN person_score >= 4 AND signal_types >= 2 THEN 'person' WHEN project_score >= 4 THEN 'project' WHEN person_score >= 2 AND count >= 5 THEN 'person' ELSE 'uncertain' END")
