@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions import text as T
 from ..operators import chunking, embed, entities, evaluate, extract, fts, kg, layers, store, topicgraph, vectors
+from ..service.memory import Memory
 from ..sources import files, normalize, transcripts as exports
 from ..streaming import ingest
+from . import oracles
 
 TOPIC_NAMES = [*C.TOPICS, "general"]
 FTS = [(1, "the of"), (2, "de la"), (3, "und der"), (4, "src3 this"), (5, "fr/doc technical")]
@@ -150,7 +155,7 @@ def dup_semantic(spark, sf):
     return vectors.semantic_duplicates(e, e.where("id % 50 = 0").select(F.col("id").alias("query_id"), "embedding"))
 
 
-@query()
+@query(bm25_sql(oracles.DUPLICATE_KEYS, oracles.DUPLICATES))
 def dup_keyword(spark, sf):
     c = chunks(spark, sf)
     return vectors.keyword_duplicates(c.where("doc_id % 50 = 0"), c)
@@ -161,8 +166,6 @@ TRIPLES = """triples AS (SELECT 'user_' || user_id AS subject, event_type AS pre
 
 
 def triples(spark, sf):
-    from pyspark.sql import Window
-
     day = F.date_format("ts", "yyyy-MM-dd")
     after = F.lead(day).over(Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id"))
     return table(spark, sf, "events").select(F.concat(F.lit("user_"), "user_id").alias("subject"), F.col("event_type").alias("predicate"), F.concat(F.lit("k_"), F.get_json_object("props", "$.k")).alias("object"), day.alias("valid_from"), after.alias("valid_to"), day.alias("extracted_at"), "event_id")
@@ -192,9 +195,11 @@ def kg_invalidate(spark, sf):
     return kg.invalidate(t, ended).select("event_id", "valid_to")
 
 
-@query(f"WITH {TRIPLES} SELECT event_id, valid_from FROM triples WHERE subject = 'user_1'")
+@query(f"WITH {TRIPLES} SELECT row_number() OVER (ORDER BY valid_from DESC, subject, predicate, object) AS place, valid_from, predicate, object FROM triples WHERE subject = 'user_1'")
 def kg_timeline(spark, sf):
-    return kg.timeline(triples(spark, sf), "user 1").select("event_id", "valid_from")
+    """One entity's facts with their places, as the result is ordered."""
+    facts = kg.timeline(triples(spark, sf), "user 1").select(F.monotonically_increasing_id().alias("n"), "valid_from", "predicate", "object")
+    return facts.select(F.row_number().over(Window.orderBy("n")).cast("long").alias("place"), "valid_from", "predicate", "object")
 
 
 PARTS = "parts AS (SELECT DISTINCT lower(p_brand) AS t, lower(p_type) AS d FROM part), e AS (SELECT a.t AS a, b.t AS b, a.d AS via FROM parts a JOIN parts b ON a.d = b.d AND a.t < b.t)"
@@ -227,7 +232,7 @@ def find_links(spark, sf):
     return topicgraph.links(part_nodes(spark, sf))
 
 
-@query()
+@query(oracles.chunk_text(CHUNKS))
 def chunk_text(spark, sf):
     return chunking.chunk_text(chunks(spark, sf).select("id", "content"))
 
@@ -269,17 +274,17 @@ def topic_classify(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.topic(F.col("text")).alias("topic"))
 
 
-@query()
+@query(oracles.memories(CHUNKS))
 def memories(spark, sf):
     return extract.extract_memories(chunks(spark, sf).select("id", "content"))
 
 
-@query()
+@query(oracles.compress(CHUNKS))
 def compress_fields(spark, sf):
     return extract.compress(chunks(spark, sf).select("id", "content"))
 
 
-@query()
+@query(oracles.candidates(CHUNKS))
 def entity_candidates(spark, sf):
     return extract.candidates(chunks(spark, sf).select("id", "content"))
 
@@ -382,7 +387,7 @@ def kg_seed(spark, sf):
     return entities.seed_facts(facts.select(F.concat(F.lit("region:"), "r_name").alias("key"), "value", F.col("r_regionkey").alias("seq")))[1].select("subject", "predicate", "object")
 
 
-@query()
+@query(oracles.EVALUATION)
 def eval_run(spark, sf):
     """Each conversation is asked for the longest word of its first turn, which is the turn to find."""
     c = table(spark, sf, "conversations").where("text IS NOT NULL").select(F.col("conv_id").cast("string").alias("item_id"), F.concat_ws("_", "conv_id", "turn").alias("id"), F.col("text").alias("content"), "role", "turn")
@@ -392,12 +397,134 @@ def eval_run(spark, sf):
     return evaluate.summary(evaluate.run(c, q))
 
 
-@query()
+@query(oracles.classes(CHUNKS))
 def entity_classes(spark, sf):
     d = chunks(spark, sf).select("id", "content")
     return entities.classify(extract.candidates(d), d)
 
 
-@query()
+@query(oracles.story(CHUNKS))
 def context_story(spark, sf):
     return layers.story(chunks(spark, sf))
+
+
+def turns_of(spark, sf):
+    return table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
+
+
+@query("SELECT conv_id AS id, string_agg(CASE WHEN role IN ('user', 'human') THEN '> ' ELSE '' END || trim(text, ' ' || chr(9) || chr(10) || chr(13)), chr(10) || chr(10) ORDER BY turn) AS content FROM conversations WHERE trim(text) <> '' AND role <> 'system' GROUP BY conv_id")
+def norm_tree(spark, sf):
+    """Conversations written as trees of nodes and read back along first children."""
+    name = lambda i: F.concat(F.lit("n"), i.cast("string"))
+    node = lambda x, i: F.struct(name(i).alias("key"), F.struct(
+        F.when(i > 0, name(i - 1)).alias("parent"), F.when(i + 1 < F.size("t"), F.array(name(i + 1), F.lit("other"))).otherwise(F.array().cast("array<string>")).alias("children"),
+        F.struct(F.struct(x["role"].alias("role")).alias("author"), F.struct(F.array(x["text"]).alias("parts")).alias("content")).alias("message")).alias("value"))
+    raw = turns_of(spark, sf).select(F.col("conv_id").alias("id"), F.lit("tree.json").alias("path"), F.to_json(F.struct(F.map_from_entries(F.transform("t", node)).alias("mapping"))).alias("content"))
+    return exports.transcripts(raw).select("id", "content")
+
+
+@query("WITH c AS (SELECT *, first_value(role) OVER (PARTITION BY conv_id ORDER BY turn) AS opener FROM conversations WHERE trim(text) <> '') SELECT conv_id AS id, string_agg(CASE WHEN role = opener THEN '> ' ELSE '' END || trim(text, ' ' || chr(9) || chr(10) || chr(13)), chr(10) || chr(10) ORDER BY turn) AS content FROM c GROUP BY conv_id")
+def norm_channel(spark, sf):
+    """Conversations written as a channel's messages: who speaks first is the user."""
+    rows = F.transform("t", lambda x: F.struct(x["role"].alias("user"), x["text"].alias("text")))
+    raw = turns_of(spark, sf).select(F.col("conv_id").alias("id"), F.lit("channel.json").alias("path"), F.to_json(rows).alias("content"))
+    return exports.transcripts(raw).select("id", "content")
+
+
+@query(f"""WITH {TALK}, parts AS (SELECT id, list_filter(list_transform(string_split(content, chr(10) || chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: length(x) > 50) AS ps FROM talk)
+SELECT id, unnest(range(0, len(ps)))::INT AS chunk_index, unnest(ps) AS content FROM parts""")
+def convo_paragraphs(spark, sf):
+    return chunking.paragraphs(transcripts(spark, sf))
+
+
+@query("SELECT doc_id, CASE topic " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in C.CATEGORIES.items()) + f" ELSE 'cat_general' END AS category FROM ({SQL['topic_classify']})")
+def category_classify(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", T.category(T.topic(F.col("text"))).alias("category"))
+
+
+@query(f"WITH {PARTS}, ends AS (SELECT min(d) AS a, max(d) AS b FROM parts) SELECT t AS topic_key, list_sort(list(d)) AS domains FROM parts, ends GROUP BY t, a, b HAVING bool_or(d = a) AND bool_or(d = b)")
+def find_links_between(spark, sf):
+    n = part_nodes(spark, sf)
+    ends = n.select(F.explode("domains").alias("d")).agg(F.min("d").alias("a"), F.max("d").alias("b")).first()
+    return topicgraph.links(n, ends.a, ends.b)
+
+
+@query(f"WITH {CHUNKS} SELECT lower(topic) AS topic_key, arg_max(topic, (filed_at, id)) AS topic, list_sort(list(DISTINCT lower(domain))) AS domains, list_sort(list(DISTINCT lower(category))) AS categories, count(*) AS chunk_count FROM chunks GROUP BY lower(topic)")
+def topic_nodes(spark, sf):
+    return topicgraph.nodes(chunks(spark, sf))
+
+
+@query("SELECT doc_id, md5(text || '0') AS id FROM documents")
+def text_ids(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", T.text_id(F.col("text"), F.lit(0)).alias("id"))
+
+
+@query(oracles.decoded(CHUNKS))
+def summary_decode(spark, sf):
+    """Summaries under a metadata line, decoded, and their share of the text."""
+    c = chunks(spark, sf)
+    both = extract.compress(c, ("domain",)).join(c.select("id", "content"), "id")
+    d = extract.decode(F.col("summary"))
+    size = extract.compression_stats(F.col("content"), F.col("summary"))
+    return both.select("id", d["topics"].alias("topics"), d["sentence"].alias("sentence"), F.array_join(d["emotions"], ", ").alias("emotions"), d["flags"].alias("flags"), F.round(size["ratio"], 6).alias("ratio"))
+
+
+@query(f"WITH {CHUNKS} SELECT '[L2 ON-DEMAND: src0/planning]' || chr(10) || string_agg(CASE WHEN length(content) > 200 THEN substr(content, 1, 200) || '…' ELSE content END, chr(10) ORDER BY filed_at DESC, id) || chr(10) AS text FROM (SELECT * FROM chunks WHERE domain = 'src0' AND topic = 'planning' ORDER BY filed_at DESC, id LIMIT 10)")
+def context_on_demand(spark, sf):
+    return layers.on_demand(chunks(spark, sf), "src0", "planning")
+
+
+@query(bm25_sql("SELECT 0 AS query_id, 'the of' AS query", "SELECT '[L3 DEEP SEARCH: the of]' || chr(10) || string_agg('[' || c.domain || '/' || c.topic || '] ' || CASE WHEN length(content) > 200 THEN substr(content, 1, 200) || '…' ELSE content END, chr(10) ORDER BY rank) || chr(10) AS text FROM ranked r JOIN chunks c USING (id) WHERE rank <= 5"))
+def context_search(spark, sf):
+    return layers.deep_search(chunks(spark, sf), "the of")
+
+
+@query(f"WITH hits AS (SELECT doc_id, (length(text) % 3 = 0)::INT AS hit, row_number() OVER (ORDER BY doc_id) AS n FROM documents), s AS (SELECT n, sum(hit) OVER (ORDER BY n) AS h FROM hits) SELECT n AS done, round(h / n::DOUBLE, 6) AS recall FROM s WHERE n % 50 = 0")
+def running_recall(spark, sf):
+    d = table(spark, sf, "documents").select((F.row_number().over(Window.orderBy("doc_id")) - 1).alias("place"), (F.length("text") % 3 == 0).alias("hit"))
+    return evaluate.running(d).select("done", F.round("recall", 6).alias("recall"))
+
+
+def scratch(spark) -> str:
+    """A new folder that all executors see; on one machine a temporary one."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{named.rstrip('/')}/plans-{uuid.uuid4().hex}" if named else tempfile.mkdtemp(prefix="loquat-plans-")
+
+
+def streamed(spark, sf):
+    """The documents as a stream, file by file."""
+    folder = scratch(spark)
+    table(spark, sf, "documents").repartition(4, "doc_id").write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema("doc_id long, text string").option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
+    return folder, stream.select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+
+
+@query("SELECT doc_id AS id, length(text) AS chars FROM documents")
+def stream_ingest(spark, sf):
+    """The stream appended to a table twice, from two checkpoints: each row is there once."""
+    folder, stream = streamed(spark, sf)
+    for n in range(2):
+        ingest.append_new(stream, f"{folder}/out", f"{folder}/log{n}", "id").awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("id", F.length("content").cast("long").alias("chars"))
+
+
+@query("SELECT token, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(strip_accents(text)), '[\\p{L}\\p{N}]+')) AS token FROM documents) GROUP BY token")
+def stream_statistics(spark, sf):
+    folder, stream = streamed(spark, sf)
+    ingest.corpus_statistics(stream, f"{folder}/out", f"{folder}/log").awaitTermination()
+    return ingest.read_statistics(spark, f"{folder}/out")[0]
+
+
+@query(bm25_sql(FTS_SQL, SCORES).replace("text AS content,", "text AS content, ", 1).replace("FROM documents))", "FROM documents WHERE doc_id % 7 <> 0))", 1))
+def store_search(spark, sf):
+    """A store filled in two steps, some of its chunks deleted, and searched by its saved index."""
+    m = Memory(spark, scratch(spark))
+    c = chunks(spark, sf)
+    m.add(c.where("doc_id % 2 = 0"))
+    m.index()
+    m.add(c)
+    m.append("deleted", c.where("doc_id % 7 = 0").select("id"))
+    hits = fts.search_index(*m.index(), asked(spark), saved=True)
+    return rounded(hits.withColumn("id", F.col("id.id")))

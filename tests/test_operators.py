@@ -2,14 +2,17 @@
 
 import re
 import sqlite3
+import unicodedata
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from loquat.functions import constants as C
 from loquat.functions import text as T
-from loquat.operators import chunking, evaluate, extract, fts, kg, store, topicgraph, vectors
+from loquat.operators import chunking, embed, entities, evaluate, extract, fts, kg, store, topicgraph, vectors
 from loquat.sources import files, normalize
 from loquat.streaming import ingest
 
@@ -50,6 +53,24 @@ def test_search_equals_fts5(spark, chunks):
     assert all(abs(got[k] - want[k]) < 1e-6 for k in got)
 
 
+def test_folding_equals_fts5(spark):
+    """Every letter, and every mark that may follow one, as stock SQLite folds it."""
+    letters = [chr(i) for i in range(0xAA, 0x1F00) if unicodedata.category(chr(i)) in ("Ll", "Lm", "Nd") or 0x300 <= i < 0x370]
+    letters += [chr(i) for i in range(0xC0, 0x530) if unicodedata.category(chr(i)) == "Lu"]
+    words = [f"q{c}z" for c in letters] + ["cafe\u0301", "Việt", "Vie\u0323\u0302t", "ΆΛΦΑ", "ά", "Ёлка"]
+    db = sqlite3.connect(":memory:")
+    db.execute("CREATE VIRTUAL TABLE t USING fts5(x, tokenize='unicode61')")
+    db.execute("CREATE VIRTUAL TABLE v USING fts5vocab('t', 'instance')")
+    db.executemany("INSERT INTO t(rowid, x) VALUES (?, ?)", enumerate(words))
+    want = {}
+    for term, row, place in db.execute("SELECT term, doc, offset FROM v ORDER BY doc, offset"):
+        want.setdefault(row, []).append(term)
+    got = spark.createDataFrame(list(enumerate(words)), "n long, s string").select("n", T.tokens(F.col("s")).alias("t")).collect()
+    odd = [(words[r.n], r.t, want[r.n]) for r in got if list(r.t) != want[r.n]]
+    # the two know letters of other Unicode versions
+    assert all(ord(w[1]) >= 0x370 for w, *_ in odd) and len(odd) < 40, odd[:40]
+
+
 def test_domain_filter_keeps_statistics(spark, chunks):
     q = spark.createDataFrame([(1, "speed")], "query_id long, query string")
     every = {r.id: r.score for r in fts.search(chunks, q).collect()}
@@ -110,6 +131,10 @@ def test_scan_cases(spark):
     assert scan(["docs/guide.md"], ["docs/"], ["docs"]) == {"docs/guide.md"}
     assert scan(["README"], ["README"], ["README"]) == {"README"}
     assert scan([".pytest_cache/cache.py", "main.py"]) == {"main.py"}
+    tree = ["foo.py", "a/foo.py", "logs/x.txt", "logs/a/b/x.txt", "logs/y.txt", "a.py"]
+    assert scan(tree, ["**/foo.py"]) == {"logs/x.txt", "logs/a/b/x.txt", "logs/y.txt", "a.py"}
+    assert scan(tree, ["logs/**/x.txt"]) == {"foo.py", "a/foo.py", "logs/y.txt", "a.py"}
+    assert scan(tree, ["logs/**"]) == {"foo.py", "a/foo.py", "a.py"} and scan(tree, ["*", "! a.py"]) == {"a.py"}
 
 
 def test_knowledge_graph(spark):
@@ -152,9 +177,17 @@ def test_extractors(spark):
     docs = spark.createDataFrame([("x", text)], "id string, content string")
     assert [(r["name"], r["count"]) for r in extract.candidates(docs).collect()] == [("Alice Smith", 3)]
     s = extract.compress(docs).first().summary.split("|")
-    assert s[1] == "We decided to use caching because it works." and s[2] == "joy" and "DECISION" in s[3] and "SENSITIVE" in s[3]
-    d = one(spark, "# k: v\na_b|key|joy+fea|CORE", extract.decode)
-    assert d.topics == "a_b" and list(d.emotions) == ["joy", "fear"] and d.flags == "CORE"
+    assert s[0] == "alice+smith+decided" and s[1] == "We decided to use caching because it works." and s[2] == "joy" and "DECISION" in s[3] and "SENSITIVE" in s[3]
+    noted = spark.createDataFrame([("x", text, "src", None)], "id string, content string, origin string, none string")
+    assert extract.compress(noted, ("origin", "none")).first().summary == "# origin: src\n" + "|".join(s)
+    d = one(spark, "# k: v\n  # more\n a+b | key |joy+ FEA+nos+zzz| CORE ", extract.decode)
+    assert d.topics == "a+b" and d.sentence == "key" and list(d.emotions) == ["joy", "fear", "nostalgia", "zzz"] and d.flags == "CORE"
+    assert len(C.EMOTION_CODES) == len(set(C.EMOTION_CODES.values())) == 30 and set(C.EMOTIONS) <= set(C.EMOTION_CODES)
+    sizes = spark.createDataFrame([("0123456789", "ab"), ("", "ab")], "a string, b string").select(extract.compression_stats(F.col("a"), F.col("b")).alias("s")).collect()
+    assert [r.s.ratio for r in sizes] == [0.2, 0.0]
+    code = ["\timport os", "  def f", "let x be", "\tplain words", " x = 1", "import os", "important words", "12345 67890 12"]
+    got = spark.createDataFrame([(x,) for x in code], "s string").select("s", extract.is_code_line(F.col("s")).alias("c")).collect()
+    assert [r.c for r in got] == [True, True, True, False, True, True, False, True]
     m = extract.memories(spark.createDataFrame([("x", 0, "The bug is a crash and an error"), ("x", 1, "calm"), ("x", 2, "we decided to go")], "id string, chunk_index int, content string")).collect()
     assert {(r.chunk_index, r.memory_type) for r in m} == {(0, "problem"), (2, "decision")}
 
@@ -199,3 +232,77 @@ def test_streaming_ingestion(spark, tmp_path):
         (source / f"f{i}.txt").write_text(f"text {i}")
         ingest.append_new(ingest.files(spark, str(source)), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+
+
+def test_nearest_vectors(spark):
+    rng = np.random.default_rng(1)
+    v = rng.normal(size=(300, 8)).round(1)
+    v[100:200] = v[7]  # a third are copies: ties go to the smallest id
+    rows = [(f"v{i:03d}", [float(x) for x in r]) for i, r in enumerate(v)] + [("short", [1.0]), ("none", None)]
+    schema = "id string, embedding array<double>"
+    asked = [(i, rows[i][1]) for i in (7, 50, 250, 120)] + [(1000, [2.0])]
+    got = vectors.knn(spark.createDataFrame(rows, schema).repartition(7), spark.createDataFrame(asked, "query_id long, embedding array<double>"), 5, block=2).collect()
+    score = lambda a, b: sum(x * y for x, y in zip(a, b)) if a and len(a) == len(b) else 0.0
+    for q, e in asked:
+        want = sorted((-round(score(x, e), 7), i) for i, x in rows)[:5]
+        assert [(-round(r.score, 7), r.id) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])] == want
+    assert vectors.knn(spark.createDataFrame(rows, schema), spark.createDataFrame([], "query_id long, embedding array<double>"), 5).count() == 0
+    assert vectors.knn(spark.createDataFrame([], schema), spark.createDataFrame(asked, "query_id long, embedding array<double>"), 5).count() == 0
+
+
+def test_word_duplicates(spark):
+    rng = np.random.default_rng(3)
+    base = [" ".join("".join(chr(97 + x) for x in rng.integers(0, 26, 6)) for _ in range(60)) for _ in range(30)]
+    rows = [(f"a{i}", t) for i, t in enumerate(base)] + [(f"b{i}", t + " extra") for i, t in enumerate(base)]
+    d = spark.createDataFrame(rows, "id string, content string")
+    got = {(r.query_id, r.id) for r in vectors.word_duplicates(d.where("id like 'a%'"), d).collect()}
+    assert got == {(f"a{i}", f"{x}{i}") for i in range(30) for x in "ab"}
+    store_ = d.selectExpr("id", "content", "'' as domain", "'' as topic", "'' as category", "id as source_file")
+    long = store_.where("id in ('a1', 'b1')")
+    assert vectors.keyword_duplicates(long.where("id = 'a1'"), store_).count() == 2
+    assert vectors.keyword_duplicates(long.where("id = 'a1'"), store_, shown=True).count() == 0  # a snippet of a long text is not alike
+
+
+def test_pooling_and_models(tmp_path):
+    x = np.zeros((2, 3, 2))
+    x[0] = [[3, 0], [0, 4], [9, 9]]
+    out = embed.pooled(x, np.array([[1, 1, 0], [0, 0, 0]]))
+    assert np.allclose(out, [[0.6, 0.8], [0, 0]])
+
+    class Fake:
+        def __init__(self, names):
+            self.names = names
+
+        def get_inputs(self):
+            return [type("I", (), {"name": n}) for n in ("input_ids", "attention_mask")]
+
+        def get_outputs(self):
+            return [type("O", (), {"name": n}) for n in self.names]
+
+        def run(self, _, given):
+            ids = given["input_ids"]
+            tokens = np.stack([ids, ids * 0 + 1], -1).astype(float)
+            return [tokens, tokens.sum(1)][: len(self.names)]
+
+    encode = lambda t: [len(w) for w in t.split()]
+    assert np.allclose(embed.infer(["aaa", "", "a a a a"], encode, Fake(["tokens"]), 2), [[3 / 10**0.5, 1 / 10**0.5], [0, 0], [0.5**0.5, 0.5**0.5]])
+    assert np.allclose(embed.infer(["aa b", " "], encode, Fake(["tokens", "sentence_embedding"])), [[3, 2], [0, 0]])
+    assert embed.sentence_model(str(tmp_path)) is None
+
+
+def test_running_recall_and_documents(spark, tmp_path):
+    r = spark.createDataFrame([(i, i % 4 == 0) for i in range(125)], "place long, hit boolean")
+    assert [(x.done, x.recall) for x in evaluate.running(r).orderBy("done").collect()] == [(50, 13 / 50), (100, 0.25)]
+    evaluate.save(r, str(tmp_path / "r"))
+    assert spark.read.json(str(tmp_path / "r")).count() == 125
+    d = evaluate.documents(spark.createDataFrame([("a", "t", "d", "p")], "id string, text string, domain string, topic string"), "2024")
+    assert (d.first().source_file, d.first().added_by, d.first().chunk_index) == ("a", "bench", 0)
+
+
+def test_signs_at_their_edges(spark):
+    text = "Ann said hi. Hi Ann, dear Ann! Anna said. ann came; using Ann v2. Ann.py AnnAnn said. project  Ann"
+    d = spark.createDataFrame([("x", text)], "id string, content string")
+    n = spark.createDataFrame([("x", "Ann", 9)], "id string, name string, count long")
+    r = entities.classify(n, d).first()
+    # said 3, came 2, hi and dear 8; versions 3, using 2, a file 3, project 2
+    assert (r.person_score, r.signal_types, r.project_score, r.entity_type) == (13, 3, 10, "person")

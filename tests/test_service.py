@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from loquat.functions import text as T
 from loquat.operators import embed, entities, evaluate, extract, fts, layers, sessions
-from loquat.service import cli, rpc
+from loquat.service import cli, rpc, settings
 from loquat.service.memory import Memory
 from loquat.sources import datasets, files, transcripts
 from loquat.streaming import ingest
@@ -50,7 +50,7 @@ def test_mine_search_delete(spark, folder, tmp_path):
     m.delete_chunk(hit.id)
     assert m.chunks("proj").count() == 1 and m.vectors().count() == 3
     m.repair()
-    found = fts.search_index(*fts.load_index(spark, f"{m.root}/index"), df(spark, [(0, "roadmap")], "query_id long, query string"))
+    found = fts.search_index(*m.index(), df(spark, [(0, "roadmap")], "query_id long, query string"), saved=True).withColumn("id", F.col("id.id"))
     assert found.count() == 2
 
 
@@ -211,6 +211,54 @@ def test_stream_statistics(spark, tmp_path):
 
 def test_codes(spark, tmp_path):
     names = {"Ann": "ANN", "Ann Lee": "A$L"}
-    extract.save_codes(str(tmp_path / "c.json"), names)
-    assert extract.load_codes(str(tmp_path / "c.json")) == names and extract.load_codes(str(tmp_path / "none")) == {}
+    extract.save_codes(str(tmp_path / "c.json"), names, ("Ann",))
+    assert extract.load_codes(str(tmp_path / "c.json")) == (names, ("Ann",)) and extract.load_codes(str(tmp_path / "none")) == ({}, ())
+    (tmp_path / "bad.json").write_text("[1")
+    assert extract.load_codes(str(tmp_path / "bad.json")) == ({}, ())
+    one = df(spark, [("ann lee met Ann",)], "s string").select(extract.substitute(F.col("s"), names, ("ann",)).alias("x"), extract.encode_entity(F.lit("ANN"), names).alias("c"), extract.encode_entity(F.lit("Bob"), names).alias("n")).first()
+    assert one.x == "A$L met Ann" and one.c == "ANN" and one.n is None
     assert df(spark, [("ann lee met Ann, Anna",)], "s string").select(extract.substitute(F.col("s"), names).alias("x")).first().x == "A$L met ANN, Anna"
+
+
+def test_settings(spark, tmp_path):
+    path = str(tmp_path / "a" / "config.json")
+    assert settings.load_config(path) == settings.CONFIG  # and writes it
+    settings.save_config(path, {"store": "/x", "index": None})
+    assert settings.load_config(path) == settings.CONFIG | {"store": "/x"}
+    r = str(tmp_path / "registry.json")
+    assert settings.load_registry(r) == settings.REGISTRY
+    settings.save_registry(r, {"mode": "work", "people": {"Will": {"confidence": 0.9, "relationship": "friend"}}, "projects": ["Loq"], "ambiguous_flags": ["Will"], "codes": {}})
+    held = settings.load_registry(r)
+    assert held["mode"] == "work" and held["projects"] == ["Loq"]
+    assert {(x.word, x.entity_type) for x in cli.who(spark, held, "Will met Loq zzz").collect()} == {("Will", "person"), ("met", "unknown"), ("Loq", "project"), ("zzz", "unknown")}
+    (tmp_path / "registry.json").write_text('{"people": 3, "mode"')
+    assert settings.load_registry(r) == settings.REGISTRY
+    assert settings.edited(["Ann", "Bo"], "+Cy, -ANN,+bo, x, +") == ["Bo", "Cy"]
+    settings.bootstrap(str(tmp_path), held, ["home"])
+    assert "| Will | WIL | friend |" in (tmp_path / "entity_codes.md").read_text() and "Domains: home" in (tmp_path / "critical_facts.md").read_text()
+
+
+def test_index_follows_writes(spark, tmp_path):
+    m = Memory(spark, str(tmp_path / "s"), embed.hashing)
+    m.init()
+    first = m.add_chunk("d", "planning", "the roadmap of comets")
+    for i in range(6):
+        m.add_chunk("d", "general", f"other words number {i}")
+    ids = lambda q: [r.id for r in m.search(q).collect()]
+    model, m.model = m.model, None
+    assert ids("roadmap") == [first]
+    second = m.add_chunk("d", "planning", "a roadmap again")
+    assert set(ids("roadmap")) == {first, second}
+    m.delete_chunk(first)
+    assert ids("roadmap") == [second]
+    m.append("chunks", spark.createDataFrame([(first, "d", "planning", "c", "f", "comets without it", 0, "x", "2024")], "id string, domain string, topic string, category string, source_file string, content string, chunk_index int, added_by string, filed_at string"))
+    assert ids("roadmap") == [second] and ids("comets") == [first]
+    fts.save_index(m.chunks().withColumn("id", F.struct("id", "seq")), f"{m.root}/index", "append")  # a segment written twice
+    plain = fts.search(m.chunks(), df(spark, [(0, "comets")], "query_id long, query string")).first()
+    assert abs(m.search("comets").first().score - plain.score) < 1e-9
+    assert m.chunk(second)["topic"] == "planning" and m.chunk(first)["content"] == "comets without it" and m.chunk("none") is None
+    key = m.add_fact("Ann", "knows", "Bo")
+    assert m.fact(key)["confidence"] == 1.0 and m.entity("ann")["name"] == "Ann" and m.entity("zed") is None
+    m.model = model
+    assert m.embed() == 8 and len(m.vector(second)) == 384 and m.vector("none") is None
+    assert m.nearest("roadmap again", n=1).first().id == second
