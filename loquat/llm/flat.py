@@ -3,12 +3,35 @@ vectorised over many documents at once."""
 
 from __future__ import annotations
 
+import ctypes
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 
 POINTS = 0x110000
-CHUNK = 1_500_000
+CHUNK = 400_000
+
+
+@lru_cache(maxsize=None)
+def _trim():
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+
+
+def release() -> None:
+    """Hand freed memory back to the system: a worker that is kept for later
+    tasks otherwise stays as large as its largest batch made it."""
+    pa.default_memory_pool().release_unused()
+    if _trim() is not None:
+        _trim()(0)
+
+
+def released(batches):
+    """The batches, with `release` after each one has been dealt with."""
+    for batch in batches:
+        yield batch
+        del batch
+        release()
 
 
 def chunks(texts: list, limit: int = CHUNK):

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,8 +14,8 @@ from pyspark.sql import functions as F
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors see (`spark.checkpoint.dir`).
 
-    Where the session names none, as in tests on one machine, a temporary
-    folder is made and set."""
+    Where the session names none and runs on one machine, as in tests, a
+    temporary folder is made and set; a cluster has to name one."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if named:
@@ -21,6 +23,8 @@ def shared_folder(spark: SparkSession) -> str:
             sc.setCheckpointDir(named)
         return named.rstrip("/")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="loquat-"))
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
@@ -34,7 +38,39 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     lineage ends there, and a lost executor costs a read, not a recomputation."""
     path = new_folder(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete what `materialise` wrote for these frames.  Only for frames that
+    nothing reads any more: all that came of them has been written itself."""
+    for f in frames:
+        path = getattr(f, "written_to", None)
+        if path:
+            at = f.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(f.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def addressed(df: DataFrame, first: str, second: str) -> DataFrame:
+    """Add two longs that name a row wherever it is read again: the hash of its
+    file's path and its place in the file.  Rows of no file are written first."""
+    try:
+        return df.select("*", F.xxhash64("_metadata.file_path").alias(first), F.col("_metadata.row_index").alias(second))
+    except AnalysisException:
+        return addressed(materialise(df, "rows"), first, second)
+
+
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession, size: str = "4m") -> SparkSession:
+    """Bound the batches that go to Python workers by bytes, as texts may be
+    long, unless the session has a bound of its own."""
+    if not spark._jsparkSession.sessionState().conf().contains(BATCH_BYTES):
+        spark.conf.set(BATCH_BYTES, size)
+    return spark
 
 
 def n_partitions(spark: SparkSession) -> int:
@@ -51,8 +87,9 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, per_class: tuple[int, int]):
-    """A bounded sample of labelled training rows.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, per_class: tuple[int, int], longest: int = 200_000):
+    """A bounded sample of labelled training rows: whole texts of at most
+    `longest` characters.
 
     Of the classes 0 and 1 the per_class[0] and per_class[1] rows with the smallest hash of
     doc_id, without the rows whose crc bucket is `held_out`.  Returns the list
@@ -70,6 +107,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
         known.where("label = 1").orderBy(*order).limit(per_class[1]))
     rows = (
         docs.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+        .where(F.length("text") <= longest)
         .join(F.broadcast(picked), "doc_id")  # at most sum(per_class) rows
         .groupBy("doc_id", "label").agg(F.max("text").alias("text"))
         .collect()
@@ -84,3 +122,10 @@ def free(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """`name`, if `df` has no such column yet: an output never replaces one."""
+    if free(df, name) != name:
+        raise ValueError(f"there is a column {name!r} already; give another output name")
+    return name

@@ -13,7 +13,8 @@ leaves at most a file that nobody names.
 Defined results: null html is an empty payload; null url gives the record's own
 URN as target; repeated rows of the largest id are responses each; pages with a
 null id are revisits where a page with an id has their payload, else responses;
-an empty table gives no record; a wrong digest or a broken frame raises."""
+an empty table gives no record; a wrong digest or a broken frame raises;
+columns besides page_id, url and html are not carried."""
 
 from __future__ import annotations
 
@@ -25,10 +26,12 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialise, n_partitions, new_folder
+from . import flat
+from .shared import bound_batches, materialise, n_partitions, new_folder
 
 BLOCK = 1 << 20
 DATE = "2000-01-01T00:00:00Z"
@@ -143,12 +146,33 @@ def _open(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+SALTS = 16  # shares of the pages of one payload
+LIMIT = 200_000  # payloads of several pages that may be broadcast (28 bytes each)
+FRAME = 8 << 20  # bytes of html that a writer turns into Python strings at once
+
+
 def decide(pages: DataFrame, least: int = 1000) -> DataFrame:
-    """Add refers_to (page that has the payload) and revisit."""
+    """Add refers_to (page that has the payload) and revisit.
+
+    Digests and ids alone find the payloads of several pages; what is known of
+    these travels to the pages, so html stays where it is.  Where there are too
+    many to broadcast, narrow rows meet them under salts, as a payload may be
+    that of a third of all pages, and pages below `least` bytes meet nothing."""
     raw = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"), F.when(F.octet_length(raw) >= least, F.sha1(raw)).alias("_sha"))
-    several = rows.where("_sha is not null").groupBy("_sha").agg(F.max("page_id").alias("_last"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    joined = rows.join(several, "_sha", "left")
+    sha = F.when(F.octet_length(raw) >= least, F.unhex(F.sha1(raw)))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"), sha.alias("_sha"))
+    several = rows.where("_sha is not null").groupBy("_sha").agg(F.max("page_id").alias("_last"), F.count("*").alias("_n")).where("_n > 1").select(F.col("_sha").alias("_key"), "_last")
+    bound_batches(pages.sparkSession)
+    several = materialise(several, "payloads")
+    if several.count() <= LIMIT:
+        joined = rows.join(F.broadcast(several), F.col("_sha") == F.col("_key"), "left")
+    else:
+        salts = n_partitions(pages.sparkSession)
+        rows = rows.withColumn("_salt", F.when(F.col("_sha").isNotNull(), F.pmod(F.xxhash64("page_id"), F.lit(SALTS))).otherwise(F.pmod(F.xxhash64("page_id", "url"), F.lit(salts * SALTS))))
+        # a page without a digest has a key of its own kind, so such pages are dealt evenly
+        key = F.coalesce(F.col("_sha"), F.col("_salt").cast("string").cast("binary"))
+        salted = several.withColumn("_turn", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        joined = rows.withColumn("_meet", key).join(salted, (F.col("_meet") == F.col("_key")) & (F.col("_salt") == F.col("_turn")), "left")
     revisit = F.col("_last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_last"))
     return joined.select("page_id", "url", "html", revisit.alias("revisit"), F.when(revisit, F.col("_last")).alias("refers_to"))
 
@@ -156,27 +180,29 @@ def decide(pages: DataFrame, least: int = 1000) -> DataFrame:
 def write_archives(pages: DataFrame, folder: str, least: int = 1000, roll: int = 64 << 20) -> DataFrame:
     """Write the pages; rows (path, records, bytes) of the finished archives."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, path, records, size = None, None, 0, 0
-        for frame in frames:
-            for page_id, url, html, revisit, refers_to in zip(frame["page_id"].astype(object), frame["url"], frame["html"], frame["revisit"], frame["refers_to"].astype(object)):
-                if out is None:
-                    path, records, size = f"{folder}/{uuid.uuid4().hex}.warc.gz", 0, 0
-                    system, at = _open(path)
-                    out = system.open_output_stream(at, compression=None)
-                number = lambda v: None if v is None or v != v else int(v)
-                data = record(number(page_id), url if isinstance(url, str) else None, html.encode("utf-8", "surrogatepass"), number(refers_to), bool(revisit))
-                out.write(data)
-                records, size = records + 1, size + len(data)
-                if size >= roll:
-                    out.close()
-                    yield pd.DataFrame([(path, records, size)], columns=["path", "records", "bytes"])
-                    out = None
+        done = lambda: pa.record_batch([pa.array([path]), pa.array([records], pa.int64()), pa.array([size], pa.int64())], ["path", "records", "bytes"])
+        for batch in flat.released(batches):
+            step = max(1, min(2000, FRAME * batch.num_rows // max(batch.nbytes, 1)))
+            for i in range(0, batch.num_rows, step):
+                for page_id, url, html, revisit, refers_to in zip(*(c.to_pylist() for c in batch.slice(i, step).columns)):
+                    if out is None:
+                        path, records, size = f"{folder}/{uuid.uuid4().hex}.warc.gz", 0, 0
+                        system, at = _open(path)
+                        out = system.open_output_stream(at, compression=None)
+                    data = record(page_id, url, html.encode("utf-8", "surrogatepass"), refers_to, revisit)
+                    out.write(data)
+                    records, size = records + 1, size + len(data)
+                    if size >= roll:
+                        out.close()
+                        yield done()
+                        out = None
         if out is not None:
             out.close()
-            yield pd.DataFrame([(path, records, size)], columns=["path", "records", "bytes"])
+            yield done()
 
-    return materialise(decide(pages, least).mapInPandas(run, "path string, records long, bytes long"), "archives")
+    return materialise(decide(pages, least).mapInArrow(run, "path string, records long, bytes long"), "archives")
 
 
 def read_archives(archives: DataFrame, keep: bool = False) -> DataFrame:
