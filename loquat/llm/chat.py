@@ -12,7 +12,9 @@ backslashes are escaped too.
 
 Defined results: null role and null text are empty; turns with equal numbers
 are ordered by role and text, null numbers come first; rows with null conv_id
-form one conversation; an empty table gives an empty result."""
+form one conversation; a conversation of 2 GiB or more is an error, as no
+string of Spark holds it; an empty table gives an empty result; other columns
+are not carried."""
 
 from __future__ import annotations
 
@@ -27,10 +29,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import n_partitions
+from . import flat
+from .shared import bound_batches, n_partitions
 
 START, END = "<|im_start|>", "<|im_end|>\n"
 CONSTANTS = (START + "\n" + END).encode()
+BYTES = 32 << 20  # of formatted text a batch
 FORMATTED = "conv_id long, formatted string, loss array<struct<start:long,length:long>>"
 
 
@@ -105,45 +109,51 @@ def format_conversations(rows: DataFrame, trained: tuple[str, ...] = ("assistant
     Rows are dealt by conversation and sorted, and batches are formatted as
     they stream by; only the conversation that a batch ends in is held back."""
 
+    layout = pa.schema([("conv_id", pa.int64()), ("none", pa.bool_()), ("role", pa.large_string()), ("text", pa.large_string())])
+
+    def form(tables: list) -> Iterator[pa.RecordBatch]:
+        now = pa.concat_tables(tables).combine_chunks()
+        conv, none = now["conv_id"].to_numpy(), now["none"].to_numpy()
+        edge = np.flatnonzero(np.concatenate([[True], (conv[1:] != conv[:-1]) | (none[1:] != none[:-1]), [True]]))
+        length = lambda c: pc.binary_length(now[c]).to_numpy().astype(np.int64)
+        size = np.concatenate([[0], np.cumsum(length("role") + length("text") + 100)])[edge]
+        a = 0
+        while a < len(edge) - 1:  # runs of whole conversations of about BYTES bytes
+            b = max(a + 1, int(np.searchsorted(size, size[a] + BYTES, "right")) - 1)
+            some = now.slice(int(edge[a]), int(edge[b] - edge[a]))
+            group = np.repeat(np.arange(b - a), np.diff(edge[a : b + 1]))
+            role, text = (pa.concat_arrays(some[c].chunks) for c in ("role", "text"))
+            first, strings, loss = format_batch(group, role, text, trained)
+            ids = pa.array(conv[edge[a:b]], mask=none[edge[a:b]])
+            yield pa.record_batch([ids, strings.cast(pa.string()), loss], ["conv_id", "formatted", "loss"])
+            a = b
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in _with_end(batches):
-            table = None
-            if batch is not None and batch.num_rows:
-                table = pa.Table.from_batches([batch])
-                table = table.select(["conv_id", "none", "role", "text"])
-                table = table.cast(pa.schema([("conv_id", pa.int64()), ("none", pa.bool_()), ("role", pa.large_string()), ("text", pa.large_string())]))
-                held = table if held is None else pa.concat_tables([held, table])
-                key = np.stack([held["conv_id"].to_numpy(), held["none"].to_numpy()])
-                last = int(np.flatnonzero((key != key[:, -1:]).any(0)).max(initial=-1)) + 1
-                now, held = held.slice(0, last), held.slice(last)
-            elif batch is None:
-                now, held = held, None
-            else:
+        held, open_key = [], None  # parts of the conversation that is not ended
+        for batch in flat.released(batches):
+            if not batch.num_rows:
                 continue
-            if now is None or not now.num_rows:
-                continue
-            now = now.combine_chunks()
-            conv, none = now["conv_id"].to_numpy(), now["none"].to_numpy()
-            group = np.cumsum(np.concatenate([[0], (conv[1:] != conv[:-1]) | (none[1:] != none[:-1])]))
-            role, text = (pa.concat_arrays(now[c].chunks) for c in ("role", "text"))
-            first, strings, loss = format_batch(group, role, text, trained)
-            ids = pa.array(conv[first], mask=none[first])
-            out = pa.record_batch([ids, strings.cast(pa.string()) if strings.nbytes < 2**31 else strings, loss], ["conv_id", "formatted", "loss"])
-            yield out
+            table = pa.Table.from_batches([batch]).select(layout.names).cast(layout)
+            key = np.stack([table["conv_id"].to_numpy(), table["none"].to_numpy()])
+            if held and (key[:, 0] != open_key).any():
+                yield from form(held)
+                held = []
+            last = int(np.flatnonzero((key != key[:, -1:]).any(0)).max(initial=-1)) + 1
+            if last:
+                yield from form([*held, table.slice(0, last)])
+                held = []
+            held.append(table.slice(last))
+            open_key = key[:, -1]
+        if held:
+            yield from form(held)
 
     clean = rows.select(
         F.coalesce(F.col("conv_id").cast("long"), F.lit(0)).alias("conv_id"), F.col("conv_id").isNull().alias("none"),
         F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    dealt = clean.repartition(n_partitions(rows.sparkSession), "conv_id", "none").sortWithinPartitions("none", "conv_id", F.col("turn").asc_nulls_first(), "role", "text")
+    dealt = clean.repartition(n_partitions(bound_batches(rows.sparkSession)), "conv_id", "none").sortWithinPartitions("none", "conv_id", F.col("turn").asc_nulls_first(), "role", "text")
     return dealt.mapInArrow(run, FORMATTED)
 
 
-def _with_end(it):
-    yield from it
-    yield None
-
-
 TURN = re.compile(re.escape(START) + r"([^\n]*)\n(.*?)" + re.escape(END), re.S)
 
 
@@ -163,7 +173,7 @@ def digest(formatted: DataFrame) -> DataFrame:
     """Read formatted conversations back and sum up what they hold."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
+        for f in flat.released(frames):
             rows = []
             for conv, text, loss in zip(f["conv_id"], f["formatted"], f["loss"]):
                 turns = parse(text)

@@ -9,7 +9,8 @@ likeness is 1 minus its share of that bound.
 
 Defined results: null text is empty; texts under three bytes have no triplet
 and a digest of zero quartiles; equal texts have equal digests.  Documents with
-equal ids follow each other by text; a null id sorts first."""
+equal ids follow each other by text; a null id sorts first; an empty table
+gives an empty result; other columns are not carried."""
 
 from __future__ import annotations
 
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import flat
-from .shared import n_partitions
+from .shared import bound_batches, n_partitions
 
 BUCKETS = 128
 BOUND = 1.625 * BUCKETS  # expected difference of independent quartiles: (6*1 + 4*2 + 2*6) / 16 a bucket
@@ -118,11 +119,11 @@ def in_order(docs: DataFrame, buckets: int) -> DataFrame:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """Digests of each document and of its edited text, with likenesses."""
-    parts = n_partitions(docs.sparkSession)
+    parts = n_partitions(bound_batches(docs.sparkSession))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last = None  # (bucket, doc_id, text) that waits for its follower
-        for frame in frames:
+        for frame in flat.released(frames):
             ids = [None if v is None or v != v else int(v) for v in frame["doc_id"].astype(object)]
             rows = list(zip(frame["bucket"], frame["wrap"], ids, frame["text"]))
             for a in range(0, len(rows), 2000):

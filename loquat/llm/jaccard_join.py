@@ -34,9 +34,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import flat
-from .shared import materialise, n_partitions
+from .shared import bound_batches, discard, materialise, n_partitions
 
-FLUSH = 4_000_000  # shingles that a task holds before it deals them out
+FLUSH = 500_000  # shingles that a task holds before it deals them out
+SEGMENT = 1 << 20  # bytes of words that are hashed at once
+TEXT = 32 << 20  # bytes of text a block
+LIMIT = 1_000_000  # rows of two longs that may be broadcast
+WORK = 500_000  # shingles of a block that are compared at once
 BLOB = "kind int, part int, a binary, b binary, c binary, d binary"
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -44,6 +48,28 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+def word_hashes(byte: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word byte[start:end], in runs of whole words of
+    about SEGMENT bytes.  Beyond 1,024 bytes a byte's term is mixed with its
+    block's number, so equal blocks at other places count differently."""
+    size = end - start
+    ends, out = np.cumsum(size), np.empty(len(start), np.uint64)
+    factors, a = flat.multipliers(1024), 0
+    while a < len(start):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + SEGMENT, "right")))
+        n = size[a:b]
+        first = np.concatenate([[0], np.cumsum(n)[:-1]])
+        place = np.arange(int(n.sum())) - np.repeat(first, n)
+        term = byte[np.repeat(start[a:b], n) + place].astype(np.uint64) + np.uint64(1)
+        term *= factors[place & 1023]
+        far = np.flatnonzero(place > 1023)
+        if len(far):
+            term[far] = flat.mix(term[far] + (place[far] >> 10).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        out[a:b] = np.add.reduceat(term, first) + n.astype(np.uint64)
+        a = b
+    return flat.mix(out)
+
+
 def shingle_sets(texts: list, k: int = 5):
     """Sorted distinct shingle hashes of all texts in one array, and the n + 1
     offsets of the texts in it."""
@@ -51,14 +77,10 @@ def shingle_sets(texts: list, k: int = 5):
     raw = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
     byte = LOWER[np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)]
     edge = np.concatenate([[0], np.cumsum(np.fromiter((len(x) + 1 for x in raw), np.int64, n))])
-    word = ~SPACE[byte]
-    start, end = flat.runs(word)
+    start, end = flat.runs(~SPACE[byte])
     if not len(start):
         return np.zeros(0, np.uint64), np.zeros(n + 1, np.int64)
-    size = end - start
-    first = np.concatenate([[0], np.cumsum(size)[:-1]])
-    place = np.arange(int(size.sum())) - np.repeat(first, size)
-    h = flat.mix(np.add.reduceat((byte[word].astype(np.uint64) + np.uint64(1)) * flat.multipliers(1024)[place & 1023], first) + size.astype(np.uint64))
+    h = word_hashes(byte, start, end)
     doc = np.searchsorted(edge, start, "right") - 1
     words = np.bincount(doc, minlength=n)
     r = flat.multipliers(k, 11)
@@ -97,107 +119,146 @@ def _batch(rows: list) -> pa.RecordBatch:
     return pa.record_batch([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32())] + [pa.array(c, pa.binary()) for c in cols[2:]], ["kind", "part", "a", "b", "c", "d"])
 
 
-def _deal(k: int, parts: int):
-    """Documents to rows of kind 0 (doc_id, null flag, size, class) and of kind
-    1 (shingles of the classes in one block)."""
+def _deal(k: int, parts: int, carry: int):
+    """Documents to rows of kind 0 (doc_id, null flag, size, class, carried
+    longs) and of kind 1 (shingles of the classes in one block)."""
 
     def flush(sets, classes, sizes):
         tokens = np.concatenate(sets)
-        owner = np.repeat(np.arange(len(classes), dtype=np.uint32), sizes)
-        part = (tokens % np.uint64(parts)).astype(np.int32)
-        order = np.argsort(part.astype(np.uint16) if parts < 65536 else part, kind="stable")
-        rest = (tokens // np.uint64(parts))[order]
+        part = (tokens % np.uint64(parts)).astype(np.uint16 if parts < 65536 else np.int32)
+        order = np.argsort(part, kind="stable")
         cut = np.searchsorted(part[order], np.arange(parts + 1))
-        owner = owner[order]
+        tokens //= np.uint64(parts)
+        tokens = tokens[order]
+        owner = np.repeat(np.arange(len(classes), dtype=np.uint32), sizes)[order]
+        del part, order
         cls, n = np.array(classes, np.uint64), np.array(sizes, np.uint32)
-        low, high = rest.astype(np.uint32), (rest >> np.uint64(32)).astype(np.uint16)
-        for p in range(parts):
+        for p in np.flatnonzero(np.diff(cut)):
             a, b = cut[p], cut[p + 1]
-            if a < b:
-                mine, index = np.unique(owner[a:b], return_inverse=True)
-                index = index.astype(np.uint16 if len(mine) <= 65536 else np.uint32)
-                yield 1, p, low[a:b].tobytes() + high[a:b].tobytes(), index.tobytes(), cls[mine].tobytes(), n[mine].tobytes()
+            mine, index = np.unique(owner[a:b], return_inverse=True)
+            index = index.astype(np.uint16 if len(mine) <= 65536 else np.uint32)
+            low, high = tokens[a:b].astype(np.uint32), (tokens[a:b] >> np.uint64(32)).astype(np.uint16)
+            yield 1, int(p), low.tobytes() + high.tobytes(), index.tobytes(), cls[mine].tobytes(), n[mine].tobytes()
+
+    def groups(rows: Iterator) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for r in rows:
+            held.append(r)
+            size += len(r[2]) + len(r[3]) + len(r[4]) + len(r[5])
+            if size > SEGMENT:
+                yield _batch(held)
+                held, size = [], 0
+        if held:
+            yield _batch(held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets, classes, sizes, held, seen, serial = [], [], [], 0, set(), 0
-        for batch in batches:
-            ids, texts = batch.column("doc_id"), batch.column("text").to_pylist()
-            null = ids.is_null().to_numpy(zero_copy_only=False)
-            ids = ids.fill_null(0).to_numpy()
-            for a, b in flat.chunks(texts):
-                found, cut = shingle_sets(texts[a:b], k)
-                cls, n = set_digests(found, cut), np.diff(cut)
-                serial += 1
-                at = int(cls.sum() % np.uint64(parts)) if len(cls) else 0
-                yield _batch([(0, at, ids[a:b].astype(np.int64).tobytes(), null[a:b].astype(np.uint8).tobytes(), n.astype(np.int64).tobytes(), cls.tobytes())])
-                for i in np.flatnonzero(n):
-                    key = int(cls[i])
-                    if key not in seen:
-                        seen.add(key)
-                        sets.append(found[cut[i] : cut[i + 1]])
-                        classes.append(key)
-                        sizes.append(int(n[i]))
-                        held += int(n[i])
-                if held >= FLUSH:
-                    yield _batch(list(flush(sets, classes, sizes)))
-                    sets, classes, sizes, held, seen = [], [], [], 0, set()
+        sets, classes, sizes, held, seen = [], [], [], 0, set()  # a class is dealt once a task
+        for batch in flat.released(batches):
+            for i in range(0, batch.num_rows, 500):
+                some = batch.slice(i, 500)
+                ids, texts = some.column("doc_id"), some.column("text").to_pylist()
+                null = ids.is_null().to_numpy(zero_copy_only=False)
+                ids = ids.fill_null(0).to_numpy()
+                more = [some.column(2 + j).fill_null(0).to_numpy() for j in range(carry)]
+                for a, b in flat.chunks(texts, SEGMENT):
+                    found, cut = shingle_sets(texts[a:b], k)
+                    cls, n = set_digests(found, cut), np.diff(cut)
+                    at = int(cls.sum() % np.uint64(parts)) if len(cls) else 0
+                    yield _batch([(0, at, ids[a:b].astype(np.int64).tobytes(), null[a:b].astype(np.uint8).tobytes(), n.astype(np.int64).tobytes() + b"".join(x[a:b].tobytes() for x in more), cls.tobytes())])
+                    for j in np.flatnonzero(n):
+                        key = int(cls[j])
+                        if key not in seen:
+                            seen.add(key)
+                            sets.append(found[cut[j] : cut[j + 1]].copy())
+                            classes.append(key)
+                            sizes.append(int(n[j]))
+                            held += int(n[j])
+                    if held >= FLUSH:
+                        yield from groups(flush(sets, classes, sizes))
+                        sets, classes, sizes, held = [], [], [], 0
         if held:
-            yield _batch(list(flush(sets, classes, sizes)))
+            yield from groups(flush(sets, classes, sizes))
 
     return run
 
 
+def _columns(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """Rows of a batch, one at a time; binary values as buffers."""
+    for i in range(batch.num_rows):
+        yield tuple(batch.column(j)[i].as_py() if j < 2 else batch.column(j)[i].as_buffer() for j in range(6))
+
+
 def _shared_tokens(parts: int):
-    """One block: keep the shingles that two classes or more hold, by class."""
-
-    def run(table: pa.Table) -> pa.Table:
-        rows = [r for r in table.to_pylist() if r["kind"] == 0]
-        out = [(0, r["part"], r["a"], r["b"], r["c"], r["d"]) for r in rows]
-        tokens, owners, classes, sizes, base = [], [], [], [], 0
-        for r in table.to_pylist():
-            if r["kind"] == 1:
-                n = len(r["a"]) // 6
-                low = np.frombuffer(r["a"], np.uint32, n)
-                high = np.frombuffer(r["a"], np.uint16, n, offset=4 * n)
-                cls = np.frombuffer(r["c"], np.uint64)
-                tokens.append(low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32)))
-                owners.append(np.frombuffer(r["b"], np.uint16 if len(cls) <= 65536 else np.uint32).astype(np.int64) + base)
-                classes.append(cls)
-                sizes.append(np.frombuffer(r["d"], np.uint32))
-                base += len(cls)
-        if tokens:
-            part = np.uint64(table["part"][0].as_py())
-            token, owner = np.concatenate(tokens), np.concatenate(owners)
-            cls, first, index = np.unique(np.concatenate(classes), return_index=True, return_inverse=True)
-            size = np.concatenate(sizes)[first]
-            del tokens, owners
-            owner = index[owner]
+    """One block: keep the shingles that two classes or more hold, by class.
+    The block's shingles are held in ten bytes each and compared in shares."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lows, highs, owners, classes, sizes, base, part = [], [], [], [], [], 0, 0
+        for batch in batches:
+            part = batch.column("part")[0].as_py()
+            kind = batch.column("kind").to_numpy()
+            if (kind == 0).any():
+                yield batch.filter(pa.array(kind == 0))
+            for r in _columns(batch):
+                if r[0] == 1:
+                    n, c = len(r[2]) // 6, len(r[4]) // 8
+                    lows.append(np.frombuffer(r[2], np.uint32, n).copy())
+                    highs.append(np.frombuffer(r[2], np.uint16, n, offset=4 * n).copy())
+                    owners.append(np.frombuffer(r[3], np.uint16 if c <= 65536 else np.uint32).astype(np.uint32) + np.uint32(base))
+                    classes.append(np.frombuffer(r[4], np.uint64).copy())
+                    sizes.append(np.frombuffer(r[5], np.uint32).copy())
+                    base += c
+        if not base:
+            return
+        cls, first, index = np.unique(np.concatenate(classes), return_index=True, return_inverse=True)
+        size = np.concatenate(sizes)[first]
+        del classes, sizes
+        low, high, owner = np.concatenate(lows), np.concatenate(highs), np.concatenate(owners)
+        del lows, highs, owners
+        index = index.astype(np.uint32)
+        shares = -(-len(low) // WORK)
+        kept = []
+        for s in range(shares):
+            some = np.flatnonzero(low % np.uint32(shares) == s)
+            token = low[some].astype(np.uint64) | (high[some].astype(np.uint64) << np.uint64(32))
+            who = index[owner[some]]
             order = np.argsort(token, kind="stable")
-            token, owner = token[order], owner[order]
+            token, who = token[order], who[order]
             same = np.zeros(len(token) + 1, bool)
             same[1:-1] = token[1:] == token[:-1]
             near = same[:-1] | same[1:]  # tokens that occur once are most; they end here
-            token, owner = token[near], owner[near]
-            order = np.lexsort((owner, token))
-            token, owner = token[order], owner[order]
+            token, who = token[near], who[near]
+            order = np.lexsort((who, token))
+            token, who = token[order], who[order]
             new = np.ones(len(token), bool)
-            new[1:] = (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])
-            token, owner = token[new], owner[new]
-            start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
-            df = np.diff(np.append(start, len(token)))
+            new[1:] = (token[1:] != token[:-1]) | (who[1:] != who[:-1])
+            token, who = token[new], who[new]
+            begin = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
+            df = np.diff(np.append(begin, len(token)))
             df = np.repeat(df, df)
             keep = df > 1
-            token, owner, df = token[keep] * np.uint64(parts) + part, owner[keep], df[keep]
-            rare = np.minimum(np.floor(np.log2(np.maximum(df, 1)) * 4), 255).astype(np.uint8)
-            at = (cls[owner] % np.uint64(parts)).astype(np.int64)
-            order = np.lexsort((owner, at))
-            token, owner, rare, at = token[order], owner[order], rare[order], at[order]
-            cut = np.searchsorted(at, np.arange(parts + 1))
-            for p in np.flatnonzero(np.diff(cut)):
-                a, b = cut[p], cut[p + 1]
-                who, count = np.unique(owner[a:b], return_counts=True)
-                out.append((1, int(p), cls[who].tobytes() + size[who].astype(np.uint32).tobytes() + count.astype(np.uint32).tobytes(), token[a:b].tobytes(), rare[a:b].tobytes(), b""))
-        return pa.Table.from_batches([_batch(out)])
+            rare = np.minimum(np.floor(np.log2(np.maximum(df[keep], 1)) * 4), 255).astype(np.uint8)
+            kept.append((token[keep] * np.uint64(parts) + np.uint64(part), who[keep], rare))
+        del low, high, owner
+        token, owner, rare = (np.concatenate(x) for x in zip(*kept))
+        del kept
+        at = (cls % np.uint64(parts)).astype(np.int32)[owner]
+        order = np.lexsort((owner, at))
+        token, owner, rare, at = token[order], owner[order], rare[order], at[order]
+        del order
+        cut, out, held = np.searchsorted(at, np.arange(parts + 1)), [], 0
+        for p in np.flatnonzero(np.diff(cut)):
+            a, b = cut[p], cut[p + 1]
+            who, count = np.unique(owner[a:b], return_counts=True)
+            out.append((1, int(p), cls[who].tobytes() + size[who].astype(np.uint32).tobytes() + count.astype(np.uint32).tobytes(), token[a:b].tobytes(), rare[a:b].tobytes(), b""))
+            held += 9 * int(b - a) + 16 * len(who)
+            if held > SEGMENT:
+                yield _batch(out)
+                out, held = [], 0
+        if out:
+            yield _batch(out)
+        del token, owner, rare, at
+        flat.release()
 
     return run
 
@@ -205,15 +266,16 @@ def _shared_tokens(parts: int):
 def _prefixes(share: int, orders: int):
     """Per class: its shared shingles, and its prefix under each order."""
 
-    def run(table: pa.Table) -> pa.Table:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cls, size, count, token, rare = [], [], [], [], []
-        for r in table.to_pylist():
-            m = len(r["a"]) // 16
-            cls.append(np.frombuffer(r["a"], np.uint64, m))
-            size.append(np.frombuffer(r["a"], np.uint32, m, offset=8 * m))
-            count.append(np.frombuffer(r["a"], np.uint32, m, offset=12 * m))
-            token.append(np.frombuffer(r["b"], np.uint64))
-            rare.append(np.frombuffer(r["c"], np.uint8))
+        for batch in batches:
+            for r in _columns(batch):
+                m = len(r[2]) // 16
+                cls.append(np.frombuffer(r[2], np.uint64, m).copy())
+                size.append(np.frombuffer(r[2], np.uint32, m, offset=8 * m).copy())
+                count.append(np.frombuffer(r[2], np.uint32, m, offset=12 * m).copy())
+                token.append(np.frombuffer(r[3], np.uint64).copy())
+                rare.append(np.frombuffer(r[4], np.uint8).copy())
         cls, size, count, token, rare = (np.concatenate(x) for x in (cls, size, count, token, rare))
         who, first, index = np.unique(cls, return_index=True, return_inverse=True)
         n = size[first].astype(np.int64)
@@ -223,50 +285,62 @@ def _prefixes(share: int, orders: int):
         live = held >= need
         keep = live[owner]
         owner, token, rare = owner[keep], token[keep], rare[keep]
+        order = np.argsort(owner, kind="stable")
+        owner, token, rare = owner[order], token[order], rare[order]
+        del order, keep
         alive = np.flatnonzero(live)
-        length = (held - need + 1)[alive]
-
-        def lists(order: np.ndarray, most: np.ndarray | None) -> pa.Array:
-            o, t = owner[order], token[order].view(np.int64)
-            if most is not None:
-                begin = np.searchsorted(o, alive)
-                place = np.arange(len(o)) - np.repeat(begin, held[alive])
-                ok = place < np.repeat(most, held[alive])
-                o, t = o[ok], t[ok]
-            cut = np.append(np.searchsorted(o, alive), len(o)).astype(np.int32)
-            return pa.ListArray.from_arrays(pa.array(cut), pa.array(t))
-
-        keys = [flat.mix(token * m) for m in flat.multipliers(orders, 23)]
-        central = np.bincount(owner, weights=rare, minlength=len(who)) / np.maximum(n, 1)
-        columns = [pa.array(who[alive].view(np.int64)), pa.array(n[alive]), pa.array(held[alive].astype(np.int64)), pa.array(central[alive]), lists(np.lexsort((token, owner)), None)]
-        for j, h in enumerate(keys):
-            columns.append(lists(np.lexsort((h, rare, owner) if j == 0 else (h, owner)), length))
-        return pa.table(columns, ["cls", "n", "held", "central", "tokens"] + [f"pre{j + 1}" for j in range(orders)])
+        edge = np.concatenate([[0], np.cumsum(held[alive])])
+        names = ["cls", "n", "held", "central", "tokens"] + [f"pre{j + 1}" for j in range(orders)]
+        a = 0
+        while a < len(alive):  # runs of whole classes of about WORK shingles
+            b = max(a + 1, int(np.searchsorted(edge, edge[a] + WORK, "right")) - 1)
+            mine, o = alive[a:b], np.repeat(np.arange(b - a), held[alive[a:b]])
+            t, r = token[edge[a] : edge[b]], rare[edge[a] : edge[b]]
+            begin = edge[a:b] - edge[a]
+            length = held[mine] - need[mine] + 1
+            place = np.arange(len(o)) - begin[o]
+
+            def lists(order: np.ndarray, most: np.ndarray) -> pa.Array:
+                ok = place < most[o]
+                cut = np.concatenate([[0], np.cumsum(np.minimum(most, held[mine]))]).astype(np.int32)
+                return pa.ListArray.from_arrays(pa.array(cut), pa.array(t[order][ok].view(np.int64)))
+
+            central = np.bincount(o, weights=r, minlength=b - a) / np.maximum(n[mine], 1)
+            columns = [pa.array(who[mine].view(np.int64)), pa.array(n[mine]), pa.array(held[mine].astype(np.int64)), pa.array(central), lists(np.lexsort((t, o)), held[mine])]
+            for j, m in enumerate(flat.multipliers(orders, 23)):
+                h = flat.mix(t * m)
+                columns.append(lists(np.lexsort((h, r, o) if j == 0 else (h, o)), length))
+            yield pa.record_batch(columns, names)
+            a = b
+        flat.release()
 
     return run
 
 
-def components(edges: DataFrame, most: int = 100) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) of the nodes of undirected edges (a, b); a component
-    is named by its smallest node."""
+    is named by its smallest node.  Rounds go on until the edges settle, about
+    the logarithm of the longest path."""
     e = materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "edges")
     before = None
-    for _ in range(most):
+    while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         small = joined.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        e = materialise(small, "edges")
+        last, e = e, materialise(small, "edges")
+        discard(last)
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError("components did not settle")
     stars = e.groupBy("u").agg(F.min("v").alias("component"))
-    return stars.select(F.col("u").alias("node"), "component").unionByName(stars.select(F.col("component").alias("node"), "component").distinct())
+    nodes = stars.select(F.col("u").alias("node"), "component").unionByName(stars.select(F.col("component").alias("node"), "component").distinct())
+    out = materialise(nodes, "components")
+    discard(e)
+    return out
 
 
 def verified(pairs: DataFrame, sets: DataFrame, share: int, orders: int) -> DataFrame:
@@ -286,21 +360,32 @@ def verified(pairs: DataFrame, sets: DataFrame, share: int, orders: int) -> Data
     return both.where(100 * F.col("common") >= share * (F.col("a_n") + F.col("b_n") - F.col("common"))).select("a", "b")
 
 
-def classes_and_links(docs: DataFrame, k: int = 5, share: int = 80, orders: int = 3):
-    """(doc_id, n_shingles, cls) of all documents; verified links between
-    classes that connect every component; (cls, component) of linked classes."""
-    parts = n_partitions(docs.sparkSession)
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    dealt = source.mapInArrow(_deal(k, parts), BLOB)
+def n_blocks(docs: DataFrame) -> int:
+    """As many blocks as shuffle partitions, more where a block would get over
+    TEXT bytes of text."""
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(n_partitions(docs.sparkSession), -(-total // TEXT))
+
+
+def classes_and_links(docs: DataFrame, k: int = 5, share: int = 80, orders: int = 3, carry: tuple[str, ...] = ()):
+    """(doc_id, n_shingles, cls and the `carry` columns) of all documents;
+    verified links between classes that connect every component; (node,
+    component) of linked classes; the frames that can be discarded once what
+    comes of these has been written."""
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(c).cast("long").alias(c) for c in carry])
+    bound_batches(docs.sparkSession)
+    parts = n_blocks(source)
+    dealt = source.mapInArrow(_deal(k, parts, len(carry)), BLOB)
     found = materialise(dealt.repartition(parts, "part").groupBy("part").applyInArrow(_shared_tokens(parts), BLOB), "shared")
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
-                ids = pa.array(np.frombuffer(r["a"], np.int64), mask=np.frombuffer(r["b"], np.uint8).astype(bool))
-                yield pa.record_batch([ids, pa.array(np.frombuffer(r["c"], np.int64)), pa.array(np.frombuffer(r["d"], np.uint64).view(np.int64))], ["doc_id", "n_shingles", "cls"])
+            for r in _columns(batch):
+                ids = pa.array(np.frombuffer(r[2], np.int64), mask=np.frombuffer(r[3], np.uint8).astype(bool))
+                sizes, *more = np.frombuffer(r[4], np.int64).reshape(1 + len(carry), -1)
+                yield pa.record_batch([ids, pa.array(sizes), pa.array(np.frombuffer(r[5], np.uint64).view(np.int64)), *map(pa.array, more)], ["doc_id", "n_shingles", "cls", *carry])
 
-    members = found.where("kind = 0").mapInArrow(unpack, "doc_id long, n_shingles long, cls long")
+    members = found.where("kind = 0").mapInArrow(unpack, "doc_id long, n_shingles long, cls long" + "".join(f", `{c}` long" for c in carry))
     schema = "cls long, n long, held long, central double, tokens array<long>" + "".join(f", pre{j + 1} array<long>" for j in range(orders))
     sets = materialise(found.where("kind = 1").repartition(parts, "part").groupBy("part").applyInArrow(_prefixes(share, orders), schema), "prefixes")
     rows = sets.select("cls", "n", "held", "central", F.posexplode("pre1").alias("pos", "t"))
@@ -320,16 +405,28 @@ def classes_and_links(docs: DataFrame, k: int = 5, share: int = 80, orders: int
     pairs = x.join(y, (F.col("x.t") == F.col("y.t")) & (F.col("x.component") != F.col("y.component")) & ((100 + share) * rest >= share * (F.col("x.n") + F.col("y.n"))))
     pairs = pairs.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
     links = materialise(verified(pairs, sets, share, orders).unionByName(first), "links")
-    return members, links, components(links)
+    discard(known, first, rows, sets)
+    linked = components(links)
+    return members, links, linked, (found, links, linked)
+
+
+def groups(docs: DataFrame, k: int = 5, share: int = 80, orders: int = 3, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_shingles, the `carry` columns and `label`, a number that the
+    documents of a near-duplicate group share (null without words); written.
+    Nulls in `carry` columns count as 0."""
+    members, _, linked, used = classes_and_links(docs, k, share, orders, carry)
+    out = members.join(linked.withColumnRenamed("node", "cls"), "cls", "left")
+    out = out.select("doc_id", "n_shingles", *carry, F.when(F.col("n_shingles") > 0, F.coalesce("component", "cls")).alias("label"))
+    out = materialise(out, "groups")
+    discard(*used)
+    return out
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, share: int = 80, orders: int = 3) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
-    members, _, linked = classes_and_links(docs, k, share, orders)
-    smallest = members.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("own"))
-    linked = linked.withColumnRenamed("node", "cls")
-    joined = smallest.join(linked, "cls")
-    best = joined.groupBy("component").agg(F.min("own").alias("best"))
-    names = smallest.join(linked.join(best, "component").select("cls", "best"), "cls", "left").select("cls", F.coalesce("best", "own").alias("name"))
-    out = members.join(names, "cls", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("name")).otherwise(F.col("doc_id")).alias("component_id"))
+    found = groups(docs, k, share, orders)
+    least = materialise(found.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least")), "names")
+    # written, so that Spark can split the join of a large group
+    least = F.broadcast(least) if least.count() <= LIMIT else least
+    out = found.join(least, "label", "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))

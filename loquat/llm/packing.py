@@ -5,9 +5,16 @@ are cut, the first piece taking the remainder).  Pieces over half the capacity
 open a sequence each; then, in rounds, the other pieces and the gaps are sorted
 by size, each piece takes its successor, the smallest gap that holds it, ranks
 inside a size decide who gets which gap, the gaps shrink, and the next round
-begins; where no gap is left, new sequences are opened.  Sizes are integers up
-to the capacity, so a round's sweep runs over two histograms of at most
-`capacity` numbers, and pieces and gaps meet by (size, rank).
+begins; where no gap is left, new sequences are opened.
+
+The sort is a counting sort: sizes are integers up to the capacity, so the
+ranges are the sizes themselves, and every piece and gap learns its rank in its
+range where it lies (per salt, with offsets between salts).  All that a sweep
+over the sorted pieces and gaps can depend on is then how many of each size
+there are.  So the order of the ranges is swept on the driver, over two
+histograms of at most `capacity` numbers whatever the input, as range bounds
+of any distributed sort are found there; which piece meets which gap is decided
+by (size, rank) in a join, in all tasks alike.
 
 Defined results: null or empty text is one piece that holds the end token
 alone; repeated rows are packed as often as they occur; an empty table gives an
@@ -26,7 +33,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialise, n_partitions
+from . import flat
+from .shared import bound_batches, materialise, n_partitions
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -78,7 +86,7 @@ def pieces(docs: DataFrame, capacity: int = 1024, end: int = 2, vocabulary: str
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = encoder(vocabulary, ranks)
-        for frame in batches:
+        for frame in flat.released(batches):
             rows = []
             for doc_id, text in zip(frame["doc_id"].astype(object), frame["text"]):
                 ids = np.append(encode(text) if isinstance(text, str) and text else np.zeros(0, np.uint32), np.uint32(end)).astype("<u4")
@@ -89,6 +97,7 @@ def pieces(docs: DataFrame, capacity: int = 1024, end: int = 2, vocabulary: str
             out["doc_id"] = out["doc_id"].astype("Int64")
             yield out
 
+    bound_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(cut, PIECES + ", ids array<long>" * with_ids)
 
 
