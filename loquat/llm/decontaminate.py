@@ -6,8 +6,11 @@ length are taken from the documents; window and item fingerprints are SimHash
 values of their k-word shingles; a document shorter than the item is one window
 as a whole.  The 64 bits are cut into radius + 1 blocks:
 two fingerprints within the radius agree in at least one block, so an equi-join
-on (length, block, value) finds all of them.  Candidates are verified exactly:
-weighted Jaccard similarity of the shingles, weights being occurrences.
+on (item, block, value) finds all of them.  As so many blocks have 2 or 3 bits
+each and would hardly tell items apart, a window meets the items alone of whose
+rarest shingles it holds one, which every pair alike enough does.  Candidates
+are verified exactly: weighted Jaccard similarity of the shingles, weights being
+occurrences.
 
 A window that is alike enough, a whole shorter document too, has that share of
 its item's shingles, so only windows with as many known shingles are
@@ -22,12 +25,13 @@ ids included; other columns are not carried."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import free, materialise
+from .shared import discard, free, materialise
 
 LIMIT = 1_000_000  # rows of a few longs that may be broadcast
+TEXT = 32 << 20  # bytes of shingles that may be broadcast
 
 
 def words(text: Column) -> Column:
@@ -109,14 +113,28 @@ def window_starts(pos: Column, length: Column, k: int, threshold: float) -> Colu
     return F.array_sort(F.array_distinct(F.flatten(F.filter(starts, lambda x: x.isNotNull()))))
 
 
+def known_shingles(grams: Column) -> Column:
+    return F.array_distinct(F.transform(grams, lambda g: F.xxhash64(g)))
+
+
+def rarest(items: DataFrame, threshold: float) -> DataFrame:
+    """(length, h, _item): of each item so many of its rarest shingles that a
+    window without any of them lacks more than 1 - threshold of the item."""
+    held = items.select("_item", "length", F.size("grams").alias("n"), F.explode(known_shingles(F.col("grams"))).alias("h"))
+    count = held.groupBy("length", "h").agg(F.count("*").alias("holders"))
+    place = F.row_number().over(Window.partitionBy("_item").orderBy("holders", "h"))
+    ranked = held.join(count, ["length", "h"]).withColumn("place", place)
+    return ranked.where(F.col("place") <= F.floor(F.col("n") * (1 - threshold) + 1e-9) + 1).select("length", "h", "_item")
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: float = 0.8, radius: int = 23) -> DataFrame:
     """Rows (doc_id, item_id, similarity, start_word): a document's best window
     for each item that it holds."""
     items = benchmark.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0).withColumn("length", F.size("w"))
     items = items.withColumn("grams", shingles(F.col("w"), k)).withColumn("fingerprint", simhash(F.col("grams")))
-    items = materialise(items, "items")
+    items = materialise(items.withColumn("_item", F.monotonically_increasing_id()), "items")
     sizes = sorted(r[0] for r in items.select(F.least("length", F.lit(k))).distinct().collect())  # at most k numbers
-    n_items = items.select(F.sum("length")).first()[0] or 0
+    rows, n_items, letters = items.select(F.count("*"), F.coalesce(F.sum("length"), F.lit(0)), F.coalesce(F.sum(F.aggregate("grams", F.lit(0), lambda n, g: n + F.octet_length(g))), F.lit(0))).first()
     small = lambda df, n: F.broadcast(df) if n <= LIMIT else df
     anchors = None
     text = docs.select("doc_id", words(F.col("text")).alias("w"))
@@ -136,16 +154,26 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: f
     near = near.select("doc_id", F.explode(cut).alias("x")).select("doc_id", "x.*")
     # a window that the document's end cuts short counts only as the whole document
     near = near.where((F.size("w") == F.col("length")) | (F.col("start") == 0)).select("doc_id", "length", "start", shingles(F.col("w"), k).alias("grams")).distinct()
-    near = materialise(near.withColumn("fingerprint", simhash(F.col("grams"))), "windows")
-    left = near.select("doc_id", "length", "start", "grams", "fingerprint", F.explode(blocks(F.col("fingerprint"), radius)).alias("x")).select("*", "x.*").drop("x")
-    right = items.select("item_id", "length", F.col("grams").alias("item_grams"), F.col("fingerprint").alias("item_fingerprint"), F.explode(blocks(F.col("fingerprint"), radius)).alias("x")).select("*", "x.*").drop("x")
-    close = left.join(small(right, n_items * (radius + 1) // 8), ["length", "block", "value"]).where(F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("item_fingerprint"))) <= radius)
+    near = materialise(near.withColumn("fingerprint", simhash(F.col("grams"))).withColumn("_window", F.monotonically_increasing_id()), "windows")
+    # a pair that is alike enough shares one of the item's rarest shingles
+    found = near.select("_window", "length", "fingerprint", F.explode(known_shingles(F.col("grams"))).alias("h"))
+    pairs = found.join(small(rarest(items, threshold), n_items), ["length", "h"]).select("_window", "fingerprint", "_item").distinct()
+    left = pairs.select("*", F.explode(blocks(F.col("fingerprint"), radius)).alias("x")).select("*", "x.*").drop("x")
+    right = items.select("_item", F.col("fingerprint").alias("item_fingerprint"), F.explode(blocks(F.col("fingerprint"), radius)).alias("x")).select("*", "x.*").drop("x")
+    difference = F.col("fingerprint").bitwiseXOR(F.col("item_fingerprint"))
+    close = left.join(small(right, rows * (radius + 1)), ["_item", "block", "value"]).where(F.bit_count(difference) <= radius)
     # of the blocks in which a pair agrees, the first one stands for it
-    close = close.where(first_block(F.col("fingerprint").bitwiseXOR(F.col("item_fingerprint")), radius) == F.col("block"))
+    close = close.where(first_block(difference, radius) == F.col("block")).select("_window", "_item")
+    held = items.select("_item", "item_id", F.col("grams").alias("item_grams"))
+    held = F.broadcast(held) if letters <= TEXT else held
+    close = close.join(near.select("_window", "doc_id", "start", "grams"), "_window").join(held, "_item")
     close = close.withColumn("common", common_weight(F.col("grams"), F.col("item_grams")))
     scored = close.withColumn("similarity", F.col("common") / (F.size("grams") + F.size("item_grams") - F.col("common"))).where(F.col("similarity") >= threshold)
     best = F.max(F.struct("similarity", (-F.col("start")).alias("back"))).alias("best")
-    return scored.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.similarity", (-F.col("best.back")).cast("long").alias("start_word"))
+    out = scored.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.similarity", (-F.col("best.back")).cast("long").alias("start_word"))
+    out = materialise(out, "contaminated")
+    discard(items, anchors, near)
+    return out
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: float = 0.8, radius: int = 23) -> DataFrame:
