@@ -83,4 +83,73 @@ WITH {LINES_SQL}
 SELECT l.doc_id, count(*)::BIGINT AS n_lines, count(o.line)::BIGINT AS n_dropped,
        coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (WHERE o.line IS NULL), '') AS clean_text
 FROM lines l LEFT JOIN over o ON o.source = l.source AND o.line = l.line GROUP BY l.doc_id""",
+    "op5_warc": """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+q AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS last FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN last > page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN last > page_id THEN last END AS refers_to FROM q""",
+    "op6_jaccard_join": r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+                                    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM words),
+held AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM held a JOIN held b ON a.g = b.g AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.y FROM reach r JOIN ways e ON e.x = r.b)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, min(r.b) AS component_id FROM sets s JOIN reach r ON r.a = s.doc_id GROUP BY s.doc_id, len(s.s)""",
+    "op7_decontamination": r"""
+WITH iw AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM benchmark),
+items AS (SELECT row_number() OVER () AS item, item_id, w, len(w) AS n, least(len(w), 5) AS g FROM iw WHERE len(w) > 0),
+item_grams AS (SELECT item, n, g, gram, count(*) AS times FROM (SELECT item, n, g, unnest(list_transform(range(1, n - g + 2), lambda i: array_to_string(w[i:i + g - 1], ' '))) AS gram FROM items) GROUP BY ALL),
+dw AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents),
+doc_grams AS (SELECT doc_id, len(w) AS words, g, unnest(range(0, len(w) - g + 1)) AS pos, unnest(list_transform(range(1, len(w) - g + 2), lambda i: array_to_string(w[i:i + g - 1], ' '))) AS gram
+              FROM dw, (SELECT DISTINCT g FROM items) WHERE len(w) >= g),
+hits AS (SELECT d.doc_id, d.words, d.pos, d.gram, i.item, i.n, i.g, i.times FROM doc_grams d JOIN item_grams i ON d.g = i.g AND d.gram = i.gram),
+starts AS (SELECT DISTINCT doc_id, words, item, n, g, CASE WHEN words < n THEN 0 ELSE s END AS start
+           FROM (SELECT *, unnest(range(greatest(pos - (n - g), 0), pos + 1)) AS s FROM hits) WHERE words < n OR s + n <= words),
+common AS (SELECT s.doc_id, s.words, s.item, s.n, s.g, s.start, h.gram, least(count(*), any_value(h.times)) AS weight
+           FROM starts s JOIN hits h ON h.doc_id = s.doc_id AND h.item = s.item AND h.pos BETWEEN s.start AND s.start + s.n - s.g GROUP BY ALL),
+alike AS (SELECT doc_id, item, start, sum(weight) AS c, any_value(greatest(least(words, n) - 4, 1) + greatest(n - 4, 1)) AS sizes FROM common GROUP BY doc_id, item, start),
+scored AS (SELECT doc_id, item_id, start, c / (sizes - c) AS similarity FROM alike JOIN items USING (item) WHERE c / (sizes - c) >= 0.8)
+SELECT doc_id, item_id, round(max(similarity), 6) AS similarity, arg_min(start, (-similarity, start))::BIGINT AS start_word FROM scored GROUP BY doc_id, item_id""",
+    "op8_chat_format": r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+u AS (SELECT *, replace(replace(role, '\', '\\'), chr(10), '\n') AS name FROM t),
+agg AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS whole,
+         coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '') AS loss,
+         sum(24 + length(name) + len(regexp_extract_all(name, '<\\*\|')) + length(text) + len(regexp_extract_all(text, '<\\*\|'))) AS formatted_chars
+  FROM u GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(whole) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars::BIGINT AS formatted_chars FROM agg""",
+    "op2_quartile_digest": """
+WITH base AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM documents),
+pairs AS (SELECT doc_id, text, n, coalesce(lead(text) OVER (ORDER BY doc_id), first_value(text) OVER (ORDER BY doc_id)) AS follow,
+                 coalesce(lead(doc_id) OVER (ORDER BY doc_id), min(doc_id) OVER ()) AS follow_id FROM base),
+made AS (SELECT doc_id, follow_id, n, text, left(text, n - n // 4) || left(follow, n // 4) AS edited FROM pairs),
+every AS (SELECT doc_id, 0 AS kind, text FROM made UNION ALL SELECT doc_id, 1, edited FROM made),
+lists AS (SELECT doc_id, kind, strlen(text) AS size, regexp_extract_all(hex(encode(text)), '..') AS pair FROM every),
+bytes AS (SELECT doc_id, kind, ('0x' || unnest(pair))::UBIGINT AS x, generate_subscripts(pair, 1) AS pos FROM lists),
+near AS (SELECT doc_id, kind, x, lead(x, 1) OVER o AS x1, lead(x, 2) OVER o AS x2, lead(x, 3) OVER o AS x3 FROM bytes WINDOW o AS (PARTITION BY doc_id, kind ORDER BY pos)),
+three AS (
+  SELECT doc_id, kind, (x * 2654435761 + x1 * 2246822519 + x2 * 3266489917 + 668265263) % 4294967296 AS h FROM near WHERE x2 IS NOT NULL
+  UNION ALL SELECT doc_id, kind, (x * 2654435761 + x1 * 2246822519 + x3 * 3266489917 + 1336530526) % 4294967296 FROM near WHERE x3 IS NOT NULL
+  UNION ALL SELECT doc_id, kind, (x * 2654435761 + x2 * 2246822519 + x3 * 3266489917 + 2004795789) % 4294967296 FROM near WHERE x3 IS NOT NULL),
+counted AS (SELECT doc_id, kind, (xor(h, h >> 15) * 739982445 % 4294967296) >> 25 AS bucket, count(*) AS c FROM three GROUP BY ALL),
+filled AS (SELECT l.doc_id, l.kind, l.size, b.range AS bucket, coalesce(c.c, 0) AS c FROM lists l CROSS JOIN range(128) b
+           LEFT JOIN counted c ON c.doc_id = l.doc_id AND c.kind = l.kind AND c.bucket = b.range),
+cuts AS (SELECT doc_id, kind, any_value(size) AS size, list(c ORDER BY bucket) AS c, list(c ORDER BY c) AS s FROM filled GROUP BY doc_id, kind),
+codes AS (SELECT doc_id, kind, least(255, floor(ln(1 + size) / ln(1.1)))::INTEGER AS len_code,
+                 list_transform(c, lambda v: (v > s[32])::INTEGER + (v > s[64])::INTEGER + (v > s[96])::INTEGER) AS q FROM cuts),
+written AS (SELECT *, lower(printf('%02x', len_code) || array_to_string(list_transform(range(0, 32), lambda i: printf('%02x', 64 * q[4 * i + 1] + 16 * q[4 * i + 2] + 4 * q[4 * i + 3] + q[4 * i + 4])), '')) AS digest FROM codes),
+joined AS (SELECT m.doc_id, m.n, m.edited, a.digest, a.q, a.len_code, e.digest AS e_digest, e.q AS e_q, e.len_code AS e_len, f.q AS f_q, f.len_code AS f_len
+         FROM made m JOIN written a ON a.doc_id = m.doc_id AND a.kind = 0 JOIN written e ON e.doc_id = m.doc_id AND e.kind = 1 JOIN written f ON f.doc_id = m.follow_id AND f.kind = 0)
+SELECT doc_id, n::BIGINT AS n_chars, sha256(edited) AS edited_sha256, digest AS fingerprint, e_digest AS edited_fingerprint,
+       1 - least(list_sum(list_transform(range(1, 129), lambda i: [0, 1, 2, 6][abs(q[i] - e_q[i]) + 1])) + greatest(0, abs(len_code - e_len) - 1), 208.0::DOUBLE) / 208.0::DOUBLE AS near_edited,
+       1 - least(list_sum(list_transform(range(1, 129), lambda i: [0, 1, 2, 6][abs(q[i] - f_q[i]) + 1])) + greatest(0, abs(len_code - f_len) - 1), 208.0::DOUBLE) / 208.0::DOUBLE AS near_next FROM joined""",
 }
