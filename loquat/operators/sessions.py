@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import os
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
@@ -46,21 +51,25 @@ def split(files: DataFrame, least: int = 2, marker: str = C.SESSION_MARKER, nega
 
 
 def write(rows: DataFrame, folder: str) -> DataFrame:
-    """Write each session to `folder`/`file_name` through Hadoop's file system,
-    so any shared store works; returns (file_name, bytes).  Sessions of one name
-    get their number before the ending, so none is lost."""
+    """Write each session to `folder`/`file_name`, in tasks, so the folder has to
+    be one that all executors see; returns (file_name, bytes).  Sessions of one
+    name get their number before the ending, so none is lost, and a task that
+    runs again writes the same files."""
     again = F.row_number().over(Window.partitionBy("file_name").orderBy("id", "session"))
     name = F.when(again > 1, F.concat(F.expr("substring(file_name, 1, length(file_name) - 4)"), F.lit("_"), again, F.lit(".txt"))).otherwise(F.col("file_name"))
-    named = rows.withColumn("_a", name)
-    spark: SparkSession = rows.sparkSession
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(folder)
-    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    done = []
-    for r in named.select("_a", "content").toLocalIterator():  # files of a user's folder; one session in memory at a time
-        data = r["content"].encode()
-        stream = fs.create(jvm.org.apache.hadoop.fs.Path(target, r["_a"]), True)
-        stream.write(bytearray(data))
-        stream.close()
-        done.append((r["_a"], len(data)))
-    return spark.createDataFrame(done, "file_name string, bytes long")
+    target = folder if "://" in folder else "file://" + os.path.abspath(folder)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, top = fs.FileSystem.from_uri(target)
+        system.create_dir(top)
+        for batch in batches:
+            sizes = []
+            for i in range(batch.num_rows):
+                data = batch.column("content")[i].as_py().encode()
+                with system.open_output_stream(f"{top}/{batch.column('name')[i].as_py()}") as out:
+                    out.write(data)
+                sizes.append(len(data))
+            yield pa.record_batch([batch.column("name"), pa.array(sizes, pa.int64())], ["file_name", "bytes"])
+
+    done = rows.select(name.alias("name"), "content").mapInArrow(run, "file_name string, bytes long").collect()  # a name and a size a file
+    return rows.sparkSession.createDataFrame([tuple(r) for r in done], "file_name string, bytes long")

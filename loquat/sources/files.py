@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import re
-from collections.abc import Callable
+from collections.abc import Iterator
 
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,35 +79,41 @@ def relative(files: DataFrame, folder: str) -> DataFrame:
     return files.withColumn("path", F.substring(bare, len(root) + 1, 1 << 30))
 
 
-def unlisted(spark: SparkSession, folder: str, wanted: Callable[[str], bool]) -> list[tuple[str, str]]:
+def unlisted(spark: SparkSession, folder: str, endings: tuple[str, ...]) -> DataFrame:
     """(path, content) of files that Spark's readers leave out: those with a name
-    or folder that begins with `_` or `.`; folders that a scan skips are left.
-    They are few in a source tree and are read through Hadoop's file system."""
-    jvm = spark._jvm
-    root = jvm.org.apache.hadoop.fs.Path(folder)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    top = fs.makeQualified(root).toUri().getPath().rstrip("/") + "/"
-    todo, out = [root], []
-    while todo:
-        for status in fs.listStatus(todo.pop()):
-            path = status.getPath().toUri().getPath().removeprefix(top)
-            parts = path.split("/")
-            if status.isDirectory():
-                if parts[-1] not in C.SKIP_DIRS:
-                    todo.append(status.getPath())
-            elif any(p[0] in "_." for p in parts) and wanted(path):
-                stream = fs.open(status.getPath())
-                out.append((path, jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
-                stream.close()
-    return out
+    or folder that begins with `_` or `.`, if they end as wanted; folders that a
+    scan skips are left.  Folders are listed and files read in tasks; the driver
+    holds the names of one level's folders."""
+    target = folder if "://" in folder else "file://" + os.path.abspath(folder)
+
+    def listed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, top = fs.FileSystem.from_uri(target)
+        for frame in frames:
+            rows = []
+            for below in frame["path"]:
+                for x in system.get_file_info(fs.FileSelector(f"{top}/{below}".rstrip("/"))):
+                    path = f"{below}/{x.base_name}".lstrip("/")
+                    if x.type == fs.FileType.Directory:
+                        rows.append((path, None)) if x.base_name not in C.SKIP_DIRS else None
+                    elif path.endswith(endings) and any(p[0] in "_." for p in path.split("/")):
+                        with system.open_input_stream(x.path, compression=None) as f:
+                            rows.append((path, f.read().decode("utf-8", "replace")))
+            yield pd.DataFrame(rows, columns=["path", "content"])
+
+    level, found = [""], spark.createDataFrame([], "path string, content string")
+    while level:
+        here = spark.createDataFrame([(p,) for p in level], "path string").repartition(min(len(level), 64)).mapInPandas(listed, "path string, content string")
+        found = found.unionByName(here.where("content IS NOT NULL"))
+        level = [r["path"] for r in here.where("content IS NULL").select("path").collect()]
+    return found
 
 
 def project(spark: SparkSession, folder: str, include: list[str] = (), respect_ignore: bool = True) -> DataFrame:
     """(path, content) of the files that a project scan takes, with the ignore files found in it."""
-    hidden = unlisted(spark, folder, lambda p: p.endswith((*C.ALLOW_EXTENSIONS, ".gitignore")))
-    rules = {p.rpartition("/")[0]: text.splitlines() for p, text in hidden if p.rpartition("/")[2] == ".gitignore"}
-    more = spark.createDataFrame(hidden, "path string, content string").where(F.col("content").rlike(r"\S"))
-    return scan(relative(read(spark, folder), folder).unionByName(more), rules if respect_ignore else None, include)
+    hidden = unlisted(spark, folder, (*C.ALLOW_EXTENSIONS, ".gitignore"))
+    own = hidden.where(F.substring_index("path", "/", -1) == ".gitignore").collect()  # the ignore files themselves
+    rules = {r["path"].rpartition("/")[0]: r["content"].splitlines() for r in own}
+    return scan(relative(read(spark, folder), folder).unionByName(hidden.where(F.col("content").rlike(r"\S"))), rules if respect_ignore else None, include)
 
 
 def conversations(spark: SparkSession, folder: str) -> DataFrame:
