@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 
 from loquat.llm import decontaminate, jaccard_join, line_dedup, packing, toxicity
 from loquat.llm.queries import MIN_PAGES, RATIO
-from loquat.llm.shared import free, materialise, read_table
+from loquat.llm.shared import addressed, discard, free, materialise, read_table
+
+LIMIT = 1_000_000  # rows that may be broadcast
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,34 +37,30 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return out.select([columns[c].alias(c) if c in columns else F.col(c) for c in docs.columns])
 
 
-def number_rows(docs: DataFrame) -> tuple[DataFrame, str]:
-    """`docs` with a doc_id of each row's own, and the column of the given ids.
-    Written, as numbers may differ when rows are read again."""
-    given = free(docs, "_given")
-    columns = [F.monotonically_increasing_id().alias(c) if c == "doc_id" else F.col(c) for c in docs.columns]
-    return materialise(docs.select(*columns, F.col("doc_id").alias(given)), "numbered"), given
-
-
-def restore_ids(rows: DataFrame, given: str) -> DataFrame:
-    return rows.select([F.col(given).alias(c) if c == "doc_id" else F.col(c) for c in rows.columns if c != given])
-
-
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate group one row: the first of the smallest id, of a
-    null id only where the group has no other."""
-    rows, given = number_rows(docs)
-    found = jaccard_join.near_duplicates(rows).select("doc_id", "component_id")
-    found = materialise(found.join(rows.select("doc_id", F.col(given).alias("_id")), "doc_id"), "groups")
-    first = F.min(F.struct(F.col("_id").isNull(), F.col("_id"), F.col("doc_id").alias("row"))).alias("first")
-    kept = found.groupBy("component_id").agg(first).select(F.col("first.row").alias("doc_id"))
-    spare = found.join(kept, "doc_id", "left_anti").select("doc_id")
-    return restore_ids(rows.join(spare, "doc_id", "left_anti"), given)
+    """Of each near-duplicate group one row: of those with the smallest id (a
+    null id only where the group has no other) the first by file and place.
+    Rows without words are no copies."""
+    file, place = free(docs, "_file"), free(docs, "_place")
+    rows = addressed(docs, file, place)
+    found = jaccard_join.groups(rows.select("doc_id", "text", file, place), carry=(file, place))
+    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(file), F.col(place))).alias("first")
+    kept = found.where("label IS NOT NULL").groupBy("label").agg(first).select(F.col(f"first.{file}").alias(file), F.col(f"first.{place}").alias(place))
+    # rows meet by their own address, so a large group is no single task's work
+    spare = found.where("label IS NOT NULL").join(kept, [file, place], "left_anti").select(file, place)
+    spare = materialise(spare, "spare")
+    discard(found)
+    side = F.broadcast(spare) if spare.count() <= LIMIT else spare  # 16 bytes a row
+    return rows.join(side, [file, place], "left_anti").drop(file, place)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that hold no benchmark item."""
-    rows, given = number_rows(docs)
-    return restore_ids(decontaminate.decontaminate(rows, read_table(spark, sf_dir, "benchmark")), given)
+    """Rows whose text holds no benchmark item; equal texts have one key."""
+    given = free(docs, "_given")
+    key = F.struct(F.xxhash64("text").alias("a"), F.xxhash64(F.lit("second"), "text").alias("b"))
+    keyed = docs.select(*[key.alias(c) if c == "doc_id" else F.col(c) for c in docs.columns], F.col("doc_id").alias(given))
+    kept = decontaminate.decontaminate(keyed, read_table(spark, sf_dir, "benchmark"))
+    return kept.select([F.col(given).alias(c) if c == "doc_id" else F.col(c) for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -82,7 +80,8 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+        before, docs = docs, materialise(stage(spark, docs, sf_dir), name)
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 

@@ -58,6 +58,19 @@ def text_id(s: Column, number: Column) -> Column:
     return F.md5(F.concat(s, number.cast("string")))
 
 
+def most_frequent(words: Column, most: int) -> Column:
+    """Of an array of (key, pos), sorted, the keys that occur most often as (n,
+    pos, key), n below zero, those that come first leading on ties.  `words` has
+    to be a column, as it is looked at once a word."""
+    n = F.size(words)
+    places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    starts = F.filter(places, lambda i: (i == 0) | (F.get(words, i)["key"] != F.get(words, i - 1)["key"]))
+    one = lambda a, b: F.struct((a - b).alias("n"), F.get(words, a)["pos"].alias("pos"), F.get(words, a)["key"].alias("key"))
+    # of a one-element array, so that the starts are looked for once
+    counted = F.transform(F.array(starts), lambda s: F.transform(s, lambda a, j: one(a, F.coalesce(F.get(s, j + 1), n))))
+    return F.slice(F.sort_array(F.get(counted, F.lit(0))), 1, most)
+
+
 def ascii_words(s: Column) -> Column:
     return F.regexp_extract_all(F.lower(s), F.lit("[a-z]+"), F.lit(0))
 

@@ -376,7 +376,7 @@ def classes_and_links(docs: DataFrame, k: int = 5, share: int = 80, orders: int
     bound_batches(docs.sparkSession)
     parts = n_blocks(source)
     dealt = source.mapInArrow(_deal(k, parts, len(carry)), BLOB)
-    found = materialise(dealt.repartition(parts, "part").groupBy("part").applyInArrow(_shared_tokens(parts), BLOB), "shared")
+    found = materialise(dealt.repartitionById(parts, F.col("part")).groupBy("part").applyInArrow(_shared_tokens(parts), BLOB), "shared")
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -387,7 +387,7 @@ def classes_and_links(docs: DataFrame, k: int = 5, share: int = 80, orders: int
 
     members = found.where("kind = 0").mapInArrow(unpack, "doc_id long, n_shingles long, cls long" + "".join(f", `{c}` long" for c in carry))
     schema = "cls long, n long, held long, central double, tokens array<long>" + "".join(f", pre{j + 1} array<long>" for j in range(orders))
-    sets = materialise(found.where("kind = 1").repartition(parts, "part").groupBy("part").applyInArrow(_prefixes(share, orders), schema), "prefixes")
+    sets = materialise(found.where("kind = 1").repartitionById(parts, F.col("part")).groupBy("part").applyInArrow(_prefixes(share, orders), schema), "prefixes")
     rows = sets.select("cls", "n", "held", "central", F.posexplode("pre1").alias("pos", "t"))
     central = rows.groupBy("t").agg(F.max(F.struct("central", "cls")).alias("p"), F.count("*").alias("size")).where("size > 1").select("t", F.col("p.cls").alias("b"))
     tries = rows.join(central, "t").where("cls != b").groupBy(F.col("cls").alias("a"), "b").agg(F.count("*").alias("hits"))

@@ -7,7 +7,8 @@ languages, the one with the best penalised likelihood (BIC) is kept.
 
 Defined results: null text or a text without letters is `und` with score 0 and
 no proportions; without training rows every text is `und`; equal proportions go
-to the language that sorts first; other columns pass through."""
+to the language that sorts first; other columns pass through, and an
+`output` that is a column already is an error."""
 
 from __future__ import annotations
 
@@ -16,11 +17,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import flat
-from .shared import crc_bucket
+from .shared import bound_batches, crc_bucket, fresh
 
 BITS = 17
 SIZE = 1 << BITS
@@ -60,17 +61,15 @@ def fit_texts(rows: list, smoothing: float = 0.05) -> LanguageModel:
     return LanguageModel(langs, np.log(table / table.sum(1, keepdims=True)).astype(np.float32))
 
 
-def fit(docs: DataFrame, modulus: int = 4, held_out: int = 2, per_language: int = 500) -> LanguageModel:
+def fit(docs: DataFrame, modulus: int = 4, held_out: int = 2, per_language: int = 500, longest: int = 200_000) -> LanguageModel:
     """Fit on the `per_language` documents of each language with the smallest
-    hash of doc_id, without those whose crc bucket is `held_out`."""
+    hash of doc_id, without those whose crc bucket is `held_out` and those of
+    more than `longest` characters."""
+    docs = docs.where(F.length("text") <= longest)
     known = docs.select("doc_id", "lang").where(F.col("lang").isNotNull() & (crc_bucket("doc_id", modulus) != held_out))
-    picked = None
-    for lang in sorted(r[0] for r in known.select("lang").distinct().collect()):
-        some = known.where(F.col("lang") == lang).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_language)
-        picked = some if picked is None else picked.unionByName(some)
-    if picked is None:
-        return LanguageModel([], np.zeros((0, SIZE), np.float32))
-    rows = docs.select("doc_id", "lang", "text").join(F.broadcast(picked.distinct()), ["doc_id", "lang"]).where("text is not null").collect()
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))  # partial top rows come before the shuffle
+    picked = known.withColumn("_place", place).where(F.col("_place") <= per_language).select("doc_id", "lang").distinct()
+    rows = docs.select("doc_id", "lang", "text").join(F.broadcast(picked), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.max("text").alias("text")).collect()
     return fit_texts(sorted((r["text"], r["lang"]) for r in rows))
 
 
@@ -78,20 +77,32 @@ def _sums(x: np.ndarray, cut: np.ndarray) -> np.ndarray:
     return np.add.reduceat(x, cut, axis=-1)
 
 
-def _mixture(like: np.ndarray, top: np.ndarray, of: np.ndarray, cut: np.ndarray, prior: np.ndarray, rounds: int):
+def _mixture(like: np.ndarray, top: np.ndarray, of: np.ndarray, cut: np.ndarray, prior: np.ndarray, tolerance: float):
     """EM over words. like: (languages, words), scaled so that the best is 1;
-    prior: (languages, documents), 0 for languages outside the set."""
+    prior: (languages, documents), 0 for languages outside the set.  Every
+    document has its rounds until no proportion moves by `tolerance`."""
     pi = prior / prior.sum(0)
     n = np.diff(np.append(cut, len(of)))
-    for _ in range(rounds):
-        joint = like * pi[:, of]
-        joint /= joint.sum(0)
-        pi = _sums(joint, cut) / n
+    live, x, o, c = np.arange(len(cut)), like, of, cut
+    while len(live):
+        now = pi[:, live]
+        for _ in range(3):
+            before = now
+            joint = x * now[:, o]
+            joint /= joint.sum(0)
+            now = _sums(joint, c) / n[live]
+        pi[:, live] = now
+        moving = np.abs(now - before).max(0) >= tolerance
+        if not moving.all():
+            live = live[moving]
+            x = x[:, moving[o]]
+            o = np.repeat(np.arange(len(live)), n[live])
+            c = np.concatenate([[0], np.cumsum(n[live])[:-1]])
     total = np.log((like * pi[:, of]).sum(0)) + top
     return pi, _sums(total, cut)
 
 
-def infer(texts: list, model: LanguageModel, rounds: int = 8) -> pd.DataFrame:
+def infer(texts: list, model: LanguageModel, tolerance: float = 1e-3) -> pd.DataFrame:
     n_lang = len(model.langs)
     langs, scores, shares = [], [], []
     for a, b in flat.chunks(texts):
@@ -104,7 +115,7 @@ def infer(texts: list, model: LanguageModel, rounds: int = 8) -> pd.DataFrame:
             cut = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
             of = np.repeat(np.arange(len(cut)), np.diff(np.append(cut, len(doc))))
             words = np.diff(np.append(cut, len(doc)))
-            best_pi, _ = _mixture(like, top, of, cut, np.ones((n_lang, len(cut))), rounds)
+            best_pi, _ = _mixture(like, top, of, cut, np.ones((n_lang, len(cut))), tolerance)
             rank = np.argsort(np.argsort(-best_pi, axis=0, kind="stable"), axis=0, kind="stable")
             best, pick = np.full(len(cut), -np.inf), np.zeros_like(best_pi)
             for k in range(1, n_lang + 1):
@@ -112,7 +123,7 @@ def infer(texts: list, model: LanguageModel, rounds: int = 8) -> pd.DataFrame:
                     pi = (rank == 0).astype(float)
                     fit_ = _sums(np.log((like * pi[:, of]).sum(0)) + top, cut)
                 else:
-                    pi, fit_ = _mixture(like, top, of, cut, np.where(rank < k, best_pi + 1e-3, 0.0), rounds)
+                    pi, fit_ = _mixture(like, top, of, cut, np.where(rank < k, best_pi + 1e-3, 0.0), tolerance)
                 value = fit_ - 0.5 * (k - 1) * np.log(words + 1.0)
                 better = value > best + 1e-9
                 best = np.where(better, value, best)
@@ -129,11 +140,11 @@ def infer(texts: list, model: LanguageModel, rounds: int = 8) -> pd.DataFrame:
 
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text", output: str = "language") -> DataFrame:
     """Add `output`: struct of the main language, its proportion and all proportions."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # 0.5 MB a language
+    shared = bound_batches(docs.sparkSession).sparkContext.broadcast(model)  # 0.5 MB a language
 
     @F.pandas_udf(SCHEMA)
     def mixture(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for s in batches:
+        for s in flat.released(batches):
             yield infer([t if isinstance(t, str) else "" for t in s], shared.value)
 
-    return docs.withColumn(output, mixture(F.col(text)))
+    return docs.withColumn(fresh(docs, output), mixture(F.col(text)))

@@ -12,15 +12,17 @@ ratio such lines, so they travel to the pages; the texts are not shuffled.
 Defined results: null text stays null; null host is a host of its own; a page
 that holds a line twice counts once; empty lines are never dropped; repeated
 rows are pages of their own; a page whose lines are all dropped gets the empty
-text; other columns pass through."""
+text; other columns pass through, and an
+`output` that is a column already is an error."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import free, materialise
+from .shared import free, fresh, materialise
 
+SALTS = 32  # shares of a host's pages
 LIMIT = 200_000  # boilerplate lines that may be broadcast (16 bytes each)
 
 
@@ -39,6 +41,12 @@ def boilerplate(pages: DataFrame, host: str = "source", text: str = "text", rati
     return over.where(F.col("_n") > F.lit(ratio) * F.col("_pages")).groupBy("_host").agg(F.collect_set("_line").alias("_keys"))
 
 
+def host_of(url: Column) -> Column:
+    """Lower-cased host of a URL without port and user, null where there is
+    none; for tables of pages, whose host is no column."""
+    return F.nullif(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)", 1)), F.lit(""))
+
+
 def dedup_lines(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = 0.1, min_pages: int = 5, output: str = "clean") -> DataFrame:
     """Add `output`: struct of the text without boilerplate lines, the number
     of lines and of dropped lines."""
@@ -46,8 +54,13 @@ def dedup_lines(pages: DataFrame, host: str = "source", text: str = "text", rati
     n = found.select(F.sum(F.size("_keys"))).first()[0] or 0
     site, keys, kept = free(pages, "_site"), free(pages, "_found"), free(pages, "_rest")
     found = found.select(F.col("_host").alias(site), F.col("_keys").alias(keys))
-    side = F.broadcast(found) if n <= LIMIT else found
-    joined = pages.join(side, pages[host].eqNullSafe(found[site]), "left")
+    if n <= LIMIT:
+        joined = pages.join(F.broadcast(found), pages[host].eqNullSafe(found[site]), "left")
+    else:  # a host's pages are dealt over salts, each of which gets the host's lines
+        salt, turn = free(pages, "_salt"), free(pages, "_turn")
+        found = found.withColumn(turn, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        pages = pages.withColumn(salt, F.pmod(F.xxhash64(F.col(text)), F.lit(SALTS)))
+        joined = pages.join(found, pages[host].eqNullSafe(found[site]) & (pages[salt] == found[turn]), "left").drop(salt, turn)
     lines = F.split(F.col(text), "\n")
     rest = F.filter(lines, lambda x: (x == "") | ~F.coalesce(F.array_contains(F.col(keys), _key(x)), F.lit(False)))
     rest = F.when(F.col(keys).isNull(), lines).otherwise(rest)
@@ -56,4 +69,4 @@ def dedup_lines(pages: DataFrame, host: str = "source", text: str = "text", rati
         F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("lines"),
         F.coalesce(F.size(lines) - F.size(kept), F.lit(0)).cast("long").alias("dropped"),
     )
-    return joined.withColumn(kept, rest).withColumn(output, clean).drop(site, keys, kept)
+    return joined.withColumn(kept, rest).withColumn(fresh(pages, output), clean).drop(site, keys, kept)

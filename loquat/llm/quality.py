@@ -8,7 +8,8 @@ the first fit finds good are relabelled before the second.
 
 Defined results: null or empty text has one empty line of no weight; with no
 labelled row of one class every score is the other class's, without any label
-1; repeated rows are scored alike; other columns pass through."""
+1; repeated rows are scored alike; other columns pass through, and an
+`output` that is a column already is an error."""
 
 from __future__ import annotations
 
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import chain_crf, flat
-from .shared import labelled_sample
+from .shared import bound_batches, fresh, labelled_sample
 
 PUNCTUATION = [c for c in range(33, 127) if not chr(c).isalnum()]
 CLASSES = 9 + len(PUNCTUATION)
@@ -131,7 +132,7 @@ def fit_texts(rows: list, totals: dict, rounds: int = 60) -> QualityModel:
         return QualityModel(np.zeros(SIZE), np.zeros(4), np.zeros(2), np.array([-30.0 if len(y) and not y[0] else 30.0, 0, 0]))
     parts = []
     texts = [t for t, _ in rows]
-    for a, b in flat.chunks(texts, flat.CHUNK // 3):
+    for a, b in flat.chunks(texts):
         ids, doc, size = lines(texts[a:b])
         parts.append((ids, doc + a, size))
     ids, doc, size = (np.concatenate([p[i] for p in parts]) for i in range(3))
@@ -169,11 +170,11 @@ def score_texts(texts: list, model: QualityModel) -> pd.DataFrame:
 
 def score(docs: DataFrame, model: QualityModel, text: str = "text", output: str = "quality") -> DataFrame:
     """Add `output`: struct of score (higher: good likelier) and the numbers of bad lines."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # a few KB
+    shared = bound_batches(docs.sparkSession).sparkContext.broadcast(model)  # a few KB
 
     @F.pandas_udf("score double, bad_lines array<int>")
     def rate(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for s in batches:
+        for s in flat.released(batches):
             yield score_texts([t if isinstance(t, str) else "" for t in s], shared.value)
 
-    return docs.withColumn(output, rate(F.col(text)))
+    return docs.withColumn(fresh(docs, output), rate(F.col(text)))

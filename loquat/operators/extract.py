@@ -101,15 +101,16 @@ def lookup(words: DataFrame, people: DataFrame, projects: DataFrame, ambiguous:
     return x.withColumn("entity_type", kind).withColumn("confidence", sure).drop("_k", "_p", "_j", "_a")
 
 
-def summary_topics(docs: DataFrame, n: int = 3) -> DataFrame:
+def summary_topics(docs: DataFrame, n: int = 3, kept: list[str] = ()) -> DataFrame:
     """(id, topics): words over three letters, one point each and two more for
     each capitalised occurrence; the best n, first seen first on ties."""
-    words = docs.select("id", F.posexplode(F.regexp_extract_all("content", F.lit(r"(?U)\w+"), F.lit(0))).alias("pos", "word")).where(F.length("word") > 3)
-    points = F.lit(1) + F.when(F.col("word").rlike(r"^\p{Lu}"), 2).otherwise(0)
-    counted = words.withColumn("key", F.lower("word")).where(~F.col("key").isin(C.TOPIC_STOP)).groupBy("id", "key").agg(F.sum(points).alias("points"), F.min("pos").alias("first"))
-    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("points"), "first"))
-    top = counted.withColumn("rank", rank).where(F.col("rank") <= n)
-    return top.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "key"))), lambda x: x["key"]), "+").alias("topics"))
+    words = F.filter(F.regexp_extract_all("content", F.lit(r"[\p{L}\p{Mn}\p{Nd}\p{Pc}]+"), F.lit(0)), lambda w: F.length(w) > 3)
+    big = lambda w: (F.lower(w) != w) & w.rlike(r"^\p{Lu}")
+    point = lambda w, i: F.struct(F.lower(w).alias("key"), i.alias("pos"))
+    keyed = F.flatten(F.transform(words, lambda w, i: F.array_repeat(point(w, i), F.when(F.lower(w).isin(C.TOPIC_STOP), 0).when(big(w), 3).otherwise(1))))
+    # a document's words are counted in its own row, so nothing is shuffled; exploding keeps an array a column
+    rows = docs.select("id", *kept, F.explode(F.array(F.sort_array(keyed))).alias("_w"))
+    return rows.select("id", *kept, F.array_join(F.transform(T.most_frequent(F.col("_w"), n), lambda x: x["key"]), "+").alias("topics"))
 
 
 def key_sentence(s: Column, most: int = 55) -> Column:
@@ -123,9 +124,9 @@ def compress(docs: DataFrame, metadata: tuple[str, ...] = ()) -> DataFrame:
     """(id, summary): topics|key sentence|emotions|flags, after a line
     `# name: value` for each of the columns `metadata` that is not null."""
     head = F.concat_ws("", *[F.concat(F.lit(f"# {c}: "), F.col(c).cast("string"), F.lit("\n")) for c in metadata])
-    fields = docs.select("id", head.alias("h"), key_sentence(F.col("content")).alias("k"), T.codes(F.col("content"), C.EMOTIONS, C.EMOTION_CODES).alias("e"), T.codes(F.col("content"), C.FLAGS, {}).alias("f"))
-    both = fields.join(summary_topics(docs), "id", "left")
-    return both.select("id", F.concat("h", F.concat_ws("|", F.coalesce("topics", F.lit("")), "k", "e", "f")).alias("summary"))
+    parts = {"h": head, "k": key_sentence(F.col("content")), "e": T.codes(F.col("content"), C.EMOTIONS, C.EMOTION_CODES), "f": T.codes(F.col("content"), C.FLAGS, {})}
+    both = summary_topics(docs.select("*", *[x.alias(f"_{k}") for k, x in parts.items()]), kept=[f"_{k}" for k in parts])
+    return both.select("id", F.concat("_h", F.concat_ws("|", F.coalesce("topics", F.lit("")), "_k", "_e", "_f")).alias("summary"))
 
 
 def decode(s: Column) -> Column:

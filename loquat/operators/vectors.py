@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
-from ..functions.text import ascii_words, jaccard, snippet
+from ..functions.text import ascii_words, jaccard, most_frequent, snippet
 from . import fts
 
 
@@ -104,10 +104,12 @@ def semantic_duplicates(vectors: DataFrame, queries: DataFrame, threshold: float
 
 def keyword_rank(docs: DataFrame, n: int = 5, stop: list[str] = C.DUPLICATE_STOP) -> DataFrame:
     """(id, word, count, rank): most frequent words over four letters, first seen first."""
-    words = docs.select("id", F.posexplode(ascii_words(F.col("content"))).alias("pos", "word")).where((F.length("word") > 4) & ~F.col("word").isin(stop))
-    counted = words.groupBy("id", "word").agg(F.count("*").alias("count"), F.min("pos").alias("first"))
-    order = Window.partitionBy("id").orderBy(F.desc("count"), "first")
-    return counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).select("id", "word", "count", "rank")
+    words = F.filter(ascii_words(F.col("content")), lambda w: (F.length(w) > 4) & ~w.isin(stop))
+    keyed = F.sort_array(F.transform(words, lambda w, i: F.struct(w.alias("key"), i.alias("pos"))))
+    # counted in the document's own row, so nothing is shuffled; exploding keeps an array a column
+    rows = docs.select("id", F.explode(F.array(keyed)).alias("_w"))
+    top = rows.select("id", F.posexplode(most_frequent(F.col("_w"), n)).alias("rank", "x"))
+    return top.select("id", F.col("x.key").alias("word"), (-F.col("x.n")).cast("long").alias("count"), (F.col("rank") + 1).alias("rank"))
 
 
 def keyword_duplicates(docs: DataFrame, store: DataFrame, threshold: float = 0.9, candidates: int = 5, shown: bool = False, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:

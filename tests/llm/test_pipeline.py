@@ -1,5 +1,11 @@
+import re
+from collections import Counter
+
+from test_llm_operators import brute_components, brute_lines, check_packing
+
 import corpus_pipeline
-from loquat.llm import jaccard_join
+from loquat.llm import jaccard_join, toxicity
+from loquat.llm.queries import MIN_PAGES, RATIO
 from loquat.llm.shared import materialise, read_table
 
 
@@ -45,3 +51,66 @@ def test_null_and_repeated_ids(spark, sf):
     kept = corpus_pipeline.drop_leaks(spark, docs, sf)
     assert kept.columns == docs.columns
     assert sorted((r.row, r.doc_id) for r in kept.collect()) == [(1, None), (2, 1), (4, 2), (5, None), (6, 1)]
+
+
+def plain_leaks(rows, items):
+    """Texts that hold an item: some window of its words, or the whole of a shorter text, is alike enough."""
+    split = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    grams = lambda w: Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else Counter([tuple(w)])
+    out = set()
+    wanted = [(len(w), grams(w)) for w in map(split, items) if w]
+    for text in {t for _, t, *_ in rows}:
+        w = split(text)
+        own = grams(w) if w else Counter()
+        for n, g in wanted:
+            if sum((g & own).values()) < 0.8 * sum(g.values()):
+                continue
+            for s in range(max(len(w) - n, 0) + 1):
+                h = grams(w[s : s + n])
+                common = sum((g & h).values())
+                if common >= 0.8 * (sum(g.values()) + sum(h.values()) - common):
+                    out.add(text)
+    return out
+
+
+def test_stages_against_plain_versions(spark, sf, monkeypatch):
+    """Each stage on its own input; ids are null and repeated among them."""
+    docs = read_table(spark, sf, "documents")
+    real = [tuple(r) for r in docs.collect()]
+    odd = [(None, real[3][1], "en", "x", 1), (None, real[3][1], "en", "x", 1), (real[5][0], real[6][1], None, None, 2), (real[5][0], "", None, None, 0), (None, None, None, None, None), (10**7, "a b", "en", "y", 3), (10**7, "a b", "en", "y", 3)]
+    docs = materialise(spark.createDataFrame(real + odd, docs.schema), "docs")
+    model = toxicity.fit(docs, read_table(spark, sf, "labels"))
+    scores = toxicity.score_texts([t for _, t, *_ in real + odd], model).score
+    kept = materialise(corpus_pipeline.drop_toxic(spark, docs, sf), "kept")
+    assert Counter(map(tuple, kept.collect())) == Counter(r for r, s in zip(real + odd, scores) if s < 0.7)
+
+    rows = [tuple(r) for r in kept.collect()]
+    clean = materialise(corpus_pipeline.drop_boilerplate(spark, kept, sf), "clean")
+    want = brute_lines([(d, t, s) for d, t, _, s, _ in rows], RATIO, MIN_PAGES)
+    assert Counter((r.doc_id, r.text) for r in clean.collect()) == want
+    assert all(r.n_chars == len(r.text or "") for r in clean.collect())
+
+    rows = [tuple(r) for r in clean.collect()]
+    for limit in (corpus_pipeline.LIMIT, 0):
+        monkeypatch.setattr(corpus_pipeline, "LIMIT", limit)
+        single = materialise(corpus_pipeline.drop_copies(spark, clean, sf), "single")
+        got = Counter(map(tuple, single.collect()))
+        assert not got - Counter(rows)
+        # numbered rows give each group a name of its own, whatever its ids are
+        names = {i: c for i, _, c in brute_components([(i, t) for i, (_, t, *_) in enumerate(rows)])}
+        groups = {}
+        for i, (d, t, *_) in enumerate(rows):
+            if (t or "").split():
+                groups.setdefault(names[i], []).append((d is None, d or 0, t))
+        best = sum(1 for _ in groups)
+        blank = sum(not (t or "").split() for _, t, *_ in rows)
+        assert sum(got.values()) == best + blank
+        texts = Counter((d is None, d or 0, t) for d, t, *_ in got.elements() if (t or "").split())
+        assert all(sum(texts[x] for x in set(g)) == 1 and min(x[:2] for x in g) in {x[:2] for x in g if texts[x]} for g in groups.values())
+
+    rows = [tuple(r) for r in single.collect()]
+    items = [r.text for r in read_table(spark, sf, "benchmark").collect()]
+    bad = plain_leaks(rows, items)
+    rest = corpus_pipeline.drop_leaks(spark, single, sf)
+    assert Counter(map(tuple, rest.collect())) == Counter(r for r in rows if r[1] not in bad)
+    check_packing(corpus_pipeline.pack(spark, rest, sf).collect(), [(r.doc_id, r.text) for r in rest.collect()], 1024)
