@@ -25,6 +25,7 @@ from .shared import bound_batches, crc_bucket, fresh
 
 BITS = 17
 SIZE = 1 << BITS
+BOUNDS = [-(2**63) + 2 ** (64 - 2 * j) - 1 for j in range(16, 0, -1)]  # shares 4^-16 to 1/4 of all 64-bit hashes
 SCHEMA = "lang string, score double, proportions map<string,double>"
 
 
@@ -66,9 +67,15 @@ def fit(docs: DataFrame, modulus: int = 4, held_out: int = 2, per_language: int
     hash of doc_id, without those whose crc bucket is `held_out` and those of
     more than `longest` characters."""
     docs = docs.where(F.length("text") <= longest)
-    known = docs.select("doc_id", "lang").where(F.col("lang").isNotNull() & (crc_bucket("doc_id", modulus) != held_out))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))  # partial top rows come before the shuffle
-    picked = known.withColumn("_place", place).where(F.col("_place") <= per_language).select("doc_id", "lang").distinct()
+    known = docs.select("doc_id", "lang", F.xxhash64("doc_id").alias("_hash")).where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (crc_bucket("doc_id", modulus) != held_out))
+    # rows of each language under nested bounds of the hash: the least bound that leaves enough of them
+    # keeps the smallest hashes, so a language of any size sends few rows to the task that ranks them
+    counts = known.groupBy("lang").agg(F.count("*").alias("n"), *[F.count_if(F.col("_hash") <= h).alias(f"n{j}") for j, h in enumerate(BOUNDS)]).collect()
+    bounds = {r["lang"]: next((h for j, h in enumerate(BOUNDS) if r[f"n{j}"] >= per_language), 2**63 - 1) for r in counts}
+    side = docs.sparkSession.createDataFrame(list(bounds.items()), "_lang string, _bound long")
+    near = known.join(F.broadcast(side), (F.col("lang") == F.col("_lang")) & (F.col("_hash") <= F.col("_bound")))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("_hash", "doc_id"))
+    picked = near.withColumn("_place", place).where(F.col("_place") <= per_language).select("doc_id", "lang").distinct()
     rows = docs.select("doc_id", "lang", "text").join(F.broadcast(picked), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.max("text").alias("text")).collect()
     return fit_texts(sorted((r["text"], r["lang"]) for r in rows))
 

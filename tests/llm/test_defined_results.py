@@ -323,3 +323,15 @@ def test_chain_parts(monkeypatch):
     whole = chain_crf.fit(f, 50, y, starts, rounds=5)
     monkeypatch.setattr(chain_crf, "PART", 20)
     assert all(np.allclose(a, b) for a, b in zip(whole, chain_crf.fit(f, 50, y, starts, rounds=5)))
+
+
+def test_language_sample_is_the_least_hashes(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    held = []
+    monkeypatch.setattr(language, "fit_texts", held.append)
+    known = docs.where("length(text) <= 200000 AND lang IS NOT NULL AND doc_id IS NOT NULL AND crc32(cast(cast(doc_id AS string) AS binary)) % 4 != 2")
+    known = sorted(known.selectExpr("xxhash64(doc_id) AS h", "doc_id", "text", "lang").collect())
+    for k in (3, 20, 10**6):
+        language.fit(docs, per_language=k)
+        plain = [r for lang in {r.lang for r in known} for r in [x for x in known if x.lang == lang][:k]]
+        assert held.pop() == sorted((r.text, r.lang) for r in plain)
