@@ -88,8 +88,10 @@ def _places(names: np.ndarray) -> np.ndarray:
 
 
 def hybrid(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """BM25 and vector legs of three times the depth, fused by reciprocal rank."""
-    return fts.fuse([fts.search(chunks, queries, C.DEPTH * k), knn(vectors, queries, C.DEPTH * k)], k)
+    """BM25 and vector legs of three times the depth, fused by reciprocal rank.
+    A query without a vector or without words has the other leg alone."""
+    seen = queries.where(F.col("embedding").isNotNull())
+    return fts.fuse([fts.search(chunks, queries, C.DEPTH * k), knn(vectors, seen, C.DEPTH * k)], k)
 
 
 def missing(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -112,13 +114,19 @@ def keyword_rank(docs: DataFrame, n: int = 5, stop: list[str] = C.DUPLICATE_STOP
     return top.select("id", F.col("x.key").alias("word"), (-F.col("x.n")).cast("long").alias("count"), (F.col("rank") + 1).alias("rank"))
 
 
+def keyword_queries(docs: DataFrame, n: int = 5) -> DataFrame:
+    """(query_id, query): a text's top keywords as a search; texts without any ask nothing."""
+    best = F.array_sort(F.collect_list(F.struct("rank", "word")))
+    top = keyword_rank(docs, n).groupBy("id").agg(F.concat_ws(" ", F.transform(best, lambda x: x["word"])).alias("query"))
+    return top.withColumnRenamed("id", "query_id")
+
+
 def keyword_duplicates(docs: DataFrame, store: DataFrame, threshold: float = 0.9, candidates: int = 5, shown: bool = False, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """(query_id, id, similarity): stored chunks among the BM25 candidates of a
     text's top keywords whose words are alike.  `shown` compares with the words
     of the candidate's snippet alone, as a client that sees no more would; with
     `index`, a search index of the store, its texts are not split again."""
-    top = keyword_rank(docs).groupBy("id").agg(F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.struct("rank", "word"))), lambda x: x["word"])).alias("query"))
-    asked = top.withColumnRenamed("id", "query_id")
+    asked = keyword_queries(docs)
     found = fts.search(store, asked, candidates) if index is None else fts.search_index(*index, asked, candidates, saved=True)
     words = lambda d, name, text: d.select(F.col("id").alias(name), F.array_distinct(ascii_words(text)).alias(name + "_words"))
     content = F.col("content")

@@ -17,7 +17,6 @@ from ..streaming import ingest
 from . import oracles
 
 TOPIC_NAMES = [*C.TOPICS, "general"]
-FTS = [(1, "the of"), (2, "de la"), (3, "und der"), (4, "src3 this"), (5, "fr/doc technical")]
 QUERIES, SQL = {}, {}
 
 
@@ -67,12 +66,16 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sco
 {tail}"""
 
 
-FTS_SQL = "SELECT * FROM (VALUES " + ", ".join(map(str, FTS)) + ") AS v(query_id, query)"
+# what every document whose id is divisible by 50 says most
+FTS_SQL = f"""SELECT doc_id AS query_id, string_agg(word, ' ' ORDER BY n) AS query FROM (SELECT doc_id, word, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, min(pos)) AS n FROM
+  (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word, generate_subscripts(regexp_extract_all(lower(text), '[a-z]+'), 1) AS pos FROM documents WHERE doc_id % 50 = 0)
+  WHERE length(word) > 4 AND word NOT IN ({oracles.quoted(C.DUPLICATE_STOP)}) GROUP BY doc_id, word) WHERE n <= 2 GROUP BY doc_id"""
 SCORES = "SELECT query_id::BIGINT AS query_id, id, round(score, 6) AS score, rank::INT AS rank FROM ranked WHERE rank <= 10"
 
 
-def asked(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(FTS, "query_id long, query string")
+def asked(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").where("doc_id % 50 = 0")
+    return vectors.keyword_queries(docs.select(F.col("doc_id").alias("id"), F.col("text").alias("content")), 2)
 
 
 def rounded(df: DataFrame) -> DataFrame:
@@ -81,18 +84,18 @@ def rounded(df: DataFrame) -> DataFrame:
 
 @query(bm25_sql(FTS_SQL, SCORES))
 def fts_bm25_topk(spark, sf):
-    return rounded(fts.search(chunks(spark, sf), asked(spark)))
+    return rounded(fts.search(chunks(spark, sf), asked(spark, sf)))
 
 
 @query(bm25_sql(FTS_SQL, "SELECT query_id::BIGINT AS query_id, id, round(score, 6) AS score, r::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS r FROM ranked WHERE domain = 'src0') WHERE r <= 10"))
 def fts_domain_filter(spark, sf):
-    return rounded(fts.search(chunks(spark, sf), asked(spark), domain="src0"))
+    return rounded(fts.search(chunks(spark, sf), asked(spark, sf), domain="src0"))
 
 
 @query(bm25_sql(FTS_SQL, "SELECT r.query_id::BIGINT AS query_id, r.id, r.rank::INT AS rank, 'doc_' || doc_id || '.txt' AS title, CASE WHEN length(content) > 200 THEN substr(content, 1, 200) || '…' ELSE content END AS snippet FROM ranked r JOIN chunks USING (id) WHERE rank <= 3"))
 def search_hydrated(spark, sf):
     c = chunks(spark, sf)
-    return fts.hydrate(fts.search(c, asked(spark), 3), c).select("query_id", "id", "rank", "title", "snippet")
+    return fts.hydrate(fts.search(c, asked(spark, sf), 3), c).select("query_id", "id", "rank", "title", "snippet")
 
 
 @query(f"WITH {CHUNKS} SELECT domain, topic, count(*) AS chunks FROM chunks GROUP BY ALL")
@@ -135,7 +138,7 @@ def emb_missing(spark, sf):
     return vectors.missing(chunks(spark, sf).drop("id").withColumnRenamed("doc_id", "id"), embedded(spark, sf)).select(F.col("id").alias("doc_id"), "domain")
 
 
-HYBRID_SQL = """, near AS (SELECT q.vec_id AS query_id, e.vec_id AS id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 7) DESC, e.vec_id) AS rank FROM embeddings e CROSS JOIN (SELECT * FROM embeddings WHERE vec_id BETWEEN 1 AND 5) q),
+HYBRID_SQL = """, near AS (SELECT q.vec_id AS query_id, e.vec_id AS id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 7) DESC, e.vec_id) AS rank FROM embeddings e CROSS JOIN (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q),
 legs AS (SELECT query_id, id, 0 AS leg, rank FROM ranked WHERE rank <= 30 UNION ALL SELECT query_id, id, 1, rank FROM near WHERE rank <= 30),
 fused AS (SELECT query_id, id, sum(1.0::DOUBLE / (60 + rank)) AS score, min(leg * 1000 + rank) AS first FROM legs GROUP BY query_id, id)
 SELECT query_id::BIGINT AS query_id, id, round(score, 6) AS score, rank FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, first, id))::INT AS rank FROM fused) WHERE rank <= 10"""
@@ -145,7 +148,7 @@ SELECT query_id::BIGINT AS query_id, id, round(score, 6) AS score, rank FROM (SE
 def hybrid_search(spark, sf):
     c = chunks(spark, sf).drop("id").withColumn("id", F.col("doc_id"))
     e = embedded(spark, sf)
-    q = asked(spark).join(e.select(F.col("id").alias("query_id"), "embedding"), "query_id")
+    q = asked(spark, sf).join(e.where("id % 50 = 0").select(F.col("id").alias("query_id"), "embedding"), "query_id", "full")
     return rounded(vectors.hybrid(c, e, q))
 
 
@@ -526,5 +529,5 @@ def store_search(spark, sf):
     m.index()
     m.add(c)
     m.append("deleted", c.where("doc_id % 7 = 0").select("id"))
-    hits = fts.search_index(*m.index(), asked(spark), saved=True)
+    hits = fts.search_index(*m.index(), asked(spark, sf), saved=True)
     return rounded(hits.withColumn("id", F.col("id.id")))
