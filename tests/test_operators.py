@@ -225,6 +225,18 @@ def test_keyword_duplicates_and_rerank(spark, chunks):
     assert evaluate.rerank(found).where("rank = 1").first().id == "b" and evaluate.rerank(found, True).where("rank = 1").first().id == "a"
 
 
+def test_keyword_queries_and_single_legs(spark, chunks):
+    docs = spark.createDataFrame([("p", "alpha gamma gamma delta delta delta"), ("q", ""), ("r", None)], "id string, content string")
+    assert [tuple(r) for r in vectors.keyword_queries(docs, 2).collect()] == [("p", "delta gamma")]
+    stored = spark.createDataFrame([("c", [0.0, 1.0]), ("d", [1.0, 0.0])], "id string, embedding array<double>")
+    asked = spark.createDataFrame([(1, "speed", None), (2, None, [1.0, 0.1]), (3, None, None)], "query_id long, query string, embedding array<double>")
+    got = {}
+    for r in vectors.hybrid(chunks, stored, asked, 2).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.id)
+    words = [r.id for r in fts.search(chunks, asked.where("query_id = 1"), 2).orderBy("rank").collect()]
+    assert got == {1: words, 2: ["d", "c"]} and len(words) == 2
+
+
 def test_streaming_ingestion(spark, tmp_path):
     source = tmp_path / "in"
     source.mkdir()
