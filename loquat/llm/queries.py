@@ -1,14 +1,15 @@
-"""The queries of the ten operators over whole tables, and their SQL."""
+"""The queries of the operators over whole tables, and their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, fingerprint, jaccard_join, language, line_dedup, packing, quality, toxicity, warc
+from . import chat, decontaminate, fill_middle, fingerprint, hard_negatives, jaccard_join, language, line_dedup, packing, quality, toxicity, url_rules, warc
 from .shared import crc_bucket, read_table
 
 RATIO, MIN_PAGES = 0.1, 5
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
 
 def op1_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,9 +65,27 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (crc_bucket("doc_id", 5) == 0).alias("held_out"), F.col("quality.score").alias("score"), (F.col("quality.score") >= 0.3).cast("int").alias("predicted"), F.col("quality.bad_lines").alias("bad_lines"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.col("label").cast("long")
+    label = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hard_negatives.mine(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label=label)
+
+
+def op12_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_rules.judge(pages, url_rules.rule_table(spark, URL_RULES)).select("page_id", "url_rule.*")
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.fill_in_middle(read_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "fim.*")
+    back = fill_middle.restore(F.col("text"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("text", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_language_mixture, op2_quartile_digest, op3_toxic_spans, op4_best_fit_packing, op5_warc,
     op6_jaccard_join, op7_decontamination, op8_chat_format, op9_line_dedup, op10_quality,
+    op11_hard_negatives, op12_url_rules, op13_fill_in_middle,
 )}
 
 LINES_SQL = f"""
@@ -152,4 +171,27 @@ joined AS (SELECT m.doc_id, m.n, m.edited, a.digest, a.q, a.len_code, e.digest A
 SELECT doc_id, n::BIGINT AS n_chars, sha256(edited) AS edited_sha256, digest AS fingerprint, e_digest AS edited_fingerprint,
        1 - least(list_sum(list_transform(range(1, 129), lambda i: [0, 1, 2, 6][abs(q[i] - e_q[i]) + 1])) + greatest(0, abs(len_code - e_len) - 1), 208.0::DOUBLE) / 208.0::DOUBLE AS near_edited,
        1 - least(list_sum(list_transform(range(1, 129), lambda i: [0, 1, 2, 6][abs(q[i] - f_q[i]) + 1])) + greatest(0, abs(len_code - f_len) - 1), 208.0::DOUBLE) / 208.0::DOUBLE AS near_next FROM joined""",
+    "op11_hard_negatives": """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS alike, list_dot_product(a.e, b.e)::BIGINT AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS n FROM s WHERE alike) WHERE n <= 5)
+SELECT * FROM (
+  SELECT p.anchor_id, p.vec_id AS positive_id, (row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id))::INT AS rank, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.alike AND 100 * s.score BETWEEN 50 * p.score AND 95 * p.score) WHERE rank <= 3""",
+    "op12_url_rules": f"""
+WITH rules AS (SELECT unnest({[v for v, _ in URL_RULES]!r}) AS verdict, unnest({[t.partition("/")[0] for _, t in URL_RULES]!r}) AS h, unnest({["/" + t.partition("/")[2] for _, t in URL_RULES]!r}) AS p),
+cut AS (SELECT page_id, url, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+u AS (SELECT row_number() OVER () AS place, page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+fits AS (SELECT u.*, h || p AS rule, verdict, row_number() OVER (PARTITION BY place ORDER BY length(h || p) DESC NULLS LAST) AS n FROM u LEFT JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fits WHERE n = 1""",
+    "op13_fill_in_middle": """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, ''))::BIGINT AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+k AS (SELECT *, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM d),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+             CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM k),
+t AS (SELECT *, substr(text, 1, a) AS p, substr(text, a + 1, b - a) AS m, substr(text, b + 1) AS s FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256 FROM t""",
 }
