@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions import text as T
-from ..operators import chunking, embed, entities, evaluate, extract, fts, kg, layers, store, topicgraph, vectors
+from ..operators import chunking, embed, entities, evaluate, extract, fts, kg, layers, store, topicgraph, vectors, written
 from ..service.memory import Memory
 from ..sources import files, normalize, transcripts as exports
 from ..streaming import ingest
@@ -230,6 +227,20 @@ def bfs_hops(spark, sf):
     return topicgraph.traverse(topicgraph.edges(n), start)
 
 
+@query("""WITH RECURSIVE m AS (SELECT DISTINCT lower(p_name || ' ' || p_brand) AS t, lower(p_type || ' ' || p_size) AS d FROM part),
+e AS (SELECT DISTINCT x.t AS a, y.t AS b, x.d AS via FROM m x JOIN m y ON x.d = y.d AND x.t <> y.t),
+steps AS (SELECT DISTINCT a, b FROM e),
+begun AS (SELECT DISTINCT lower(p_name || ' ' || p_brand) AS start FROM part WHERE p_partkey % 50 = 0),
+reach AS (SELECT start, start AS t, 0 AS h FROM begun UNION SELECT r.start, s.b, r.h + 1 FROM reach r JOIN steps s ON s.a = r.t WHERE r.h < 10),
+nearest AS (SELECT start, t, min(h) AS h FROM reach GROUP BY start, t),
+found AS (SELECT n.start, n.t, n.h, min(e.via) AS domain FROM nearest n JOIN nearest b ON b.start = n.start AND b.h = n.h - 1 JOIN e ON e.a = b.t AND e.b = n.t WHERE n.h > 0 GROUP BY n.start, n.t, n.h)
+SELECT start, t AS topic_key, domain, h::INT AS hops FROM (SELECT *, row_number() OVER (PARTITION BY start ORDER BY h, t) AS place FROM found) WHERE place <= 50""")
+def bfs_all_starts(spark, sf):
+    """Ten hops from every topic of a part whose key is divisible by 50, 50 rows each."""
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_brand").alias("topic"), F.concat_ws(" ", "p_type", "p_size").alias("domain"), F.lit("").alias("category"), F.lit("2024").alias("filed_at"))
+    return topicgraph.traverse_all(topicgraph.nodes(p), p.where("id % 50 = 0").select(F.col("topic").alias("start")), 10)
+
+
 @query(f"WITH {PARTS} SELECT t AS topic_key, list_sort(list(d)) AS domains FROM parts GROUP BY t HAVING count(*) >= 2")
 def find_links(spark, sf):
     return topicgraph.links(part_nodes(spark, sf))
@@ -489,11 +500,7 @@ def running_recall(spark, sf):
 
 
 def scratch(spark) -> str:
-    """A new folder that all executors see; on one machine a temporary one."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{named.rstrip('/')}/plans-{uuid.uuid4().hex}" if named else tempfile.mkdtemp(prefix="loquat-plans-")
+    return written.folder(spark, "plans")
 
 
 def streamed(spark, sf):

@@ -87,7 +87,8 @@ class Server:
         return counted("timeline", rows(facts.select("subject", "predicate", "object", "valid_from", "valid_to")), entity=entity or "all")
 
     def traverse(self, start_room: str, max_hops: int = 2):
-        found = topicgraph.traverse(topicgraph.edges(self.memory.nodes()), start_room, max_hops)
+        start = self.memory.spark.createDataFrame([(start_room,)], "start string")
+        found = topicgraph.traverse_all(self.memory.nodes(), start, max_hops).orderBy("hops", "topic_key")
         return counted("topics", [{"topic": r["topic_key"], "domain": r["domain"], "hops": r["hops"]} for r in rows(found)], start_room=start_room, max_hops=max_hops)
 
     def links(self, domain_a: str | None = None, domain_b: str | None = None):
