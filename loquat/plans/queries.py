@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions import text as T
-from ..operators import chunking, embed, entities, evaluate, extract, fts, kg, layers, store, topicgraph, vectors, written
+from ..operators import blockmax, chunking, embed, entities, evaluate, extract, fts, kg, layers, store, topicgraph, vectors, written
 from ..service.memory import Memory
 from ..sources import files, normalize, transcripts as exports
 from ..streaming import ingest
@@ -95,6 +95,14 @@ def search_hydrated(spark, sf):
     return fts.hydrate(fts.search(c, asked(spark, sf), 3), c).select("query_id", "id", "rank", "title", "snippet")
 
 
+@query(bm25_sql(FTS_SQL, SCORES))
+def fts_pruned_topk(spark, sf):
+    """The rows of `fts_bm25_topk` from block-max postings."""
+    folder = scratch(spark)
+    blockmax.save(chunks(spark, sf), folder)
+    return rounded(blockmax.search(spark, folder, asked(spark, sf)))
+
+
 @query(f"WITH {CHUNKS} SELECT domain, topic, count(*) AS chunks FROM chunks GROUP BY ALL")
 def taxonomy(spark, sf):
     return store.taxonomy(chunks(spark, sf))
