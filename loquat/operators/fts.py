@@ -32,13 +32,12 @@ def index(chunks: DataFrame, within: str | None = None) -> tuple[DataFrame, Data
     return text.select("id", *keys, "x.col", F.posexplode("x.t").alias("pos", "token")), chunks.select("id", *keys, length.alias("len"), "domain", "topic")
 
 
-def save_index(chunks: DataFrame, folder: str, mode: str = "overwrite") -> None:
-    """Write both tables anew, or with mode `append` a segment more.  Postings
-    are dealt by token range, so a query reads the row groups of its words only.
-    Sizes come last: a segment that was cut short is written again."""
+def save_index(chunks: DataFrame, folder: str) -> None:
+    """Write both tables anew.  Postings are dealt by token range, so a query
+    reads the row groups of its words only."""
     postings, sizes = index(chunks)
-    postings.repartitionByRange("token", "id").sortWithinPartitions("token").write.mode(mode).parquet(f"{folder}/postings")
-    sizes.write.mode(mode).parquet(f"{folder}/sizes")
+    postings.repartitionByRange("token", "id").sortWithinPartitions("token").write.mode("overwrite").parquet(f"{folder}/postings")
+    sizes.write.mode("overwrite").parquet(f"{folder}/sizes")
 
 
 def load_index(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -48,7 +47,7 @@ def load_index(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 def matches(postings: DataFrame, wanted: DataFrame, within: str | None = None, saved: bool = False) -> DataFrame:
     """(query_id, phrase, id, f): occurrences of each phrase in each chunk.  Of
     `saved` postings the scan reads the row groups of up to 1,000 query words
-    alone, and a segment that was written twice counts once.
+    alone.
 
     A posting at position p of a phrase's j-th token votes for a start at
     p - j; a start with a vote of every token is an occurrence."""
@@ -59,7 +58,7 @@ def matches(postings: DataFrame, wanted: DataFrame, within: str | None = None, s
         postings = postings.where(F.col("token").isin(words)) if len(words) <= 1000 else postings
     # a few query words prune the postings before any shuffle
     hits = postings.join(bounded(terms), ["token", *keys])
-    votes = (hits.distinct() if saved else hits).groupBy("query_id", *keys, "phrase", "n", "id", "col", (F.col("pos") - F.col("j")).alias("start")).count()
+    votes = hits.groupBy("query_id", *keys, "phrase", "n", "id", "col", (F.col("pos") - F.col("j")).alias("start")).count()
     return votes.where("count = n").groupBy("query_id", *keys, "phrase", "id").agg(F.count("*").alias("f"))
 
 

@@ -546,3 +546,21 @@ def store_search(spark, sf):
     m.append("deleted", c.where("doc_id % 7 = 0").select("id"))
     hits = fts.search_index(*m.index(), asked(spark, sf), saved=True)
     return rounded(hits.withColumn("id", F.col("id.id")))
+
+
+@query(SQL["store_search"])
+def store_snapshot(spark, sf):
+    """The same rows from a store written in many steps, merged, with a snapshot
+    between them: chunks deleted before and after it, one id written twice."""
+    m = Memory(spark, scratch(spark))
+    m.tables.fan = 3
+    c = chunks(spark, sf)
+    for n in range(4):
+        m.append("chunks", c.where(F.col("doc_id") % 8 == n))
+    m.append("deleted", c.where("doc_id % 14 = 0").select("id"))
+    m.index()
+    m.snapshot()
+    m.append("chunks", c.where("doc_id % 8 >= 3 AND doc_id % 14 <> 0"))
+    m.append("deleted", c.where("doc_id % 7 = 0").select("id"))
+    hits = fts.search_index(*m.index(), asked(spark, sf), saved=True)
+    return rounded(hits.withColumn("id", F.col("id.id")))

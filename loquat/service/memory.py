@@ -1,17 +1,20 @@
-"""A memory store in a folder: append-only Parquet logs, read as live views.
+"""A memory store in a folder: append-only logs in segments, read as live views.
 
 Any store that Spark reads will do.  Writes append rows with a growing `seq`;
-deletions and endings are rows of their own, so nothing is rewritten and a
-lost job leaves no half-written table."""
+deletions and endings are rows of their own, so a write changes nothing that
+is there and a lost job leaves no half-written table.  Small segments are
+merged as they gather.  The live chunks are read from a snapshot, which holds
+each id once and nothing that was deleted, and from what came after it; the
+search index follows in segments of its own."""
 
 from __future__ import annotations
 
+import hashlib
 import time
 import uuid
 from collections.abc import Callable
 from datetime import UTC, datetime
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +22,7 @@ from ..functions import constants as C
 from ..functions import text as T
 from ..operators import chunking, embed, fts, kg, layers, store, topicgraph, vectors
 from ..sources import files, transcripts
+from .segments import BASE, Conflict, Segments
 
 TABLES = {
     "chunks": store.CHUNKS + ", seq long",
@@ -28,6 +32,12 @@ TABLES = {
     "triples": "id string, subject string, predicate string, object string, valid_from string, valid_to string, confidence double, source_ref string, source_file string, extracted_at string, seq long",
     "ended": "subject string, predicate string, object string, ended string, seq long",
 }
+INDEX = {
+    "postings": "id struct<id: string, seq: bigint>, col int, pos int, token string",
+    "sizes": "id struct<id: string, seq: bigint>, len int, domain string, topic string",
+}
+TAIL = 0.25  # a snapshot is due when the rows after it are this share of it
+FEW = 100_000  # rows of a tail whose ids may be broadcast
 
 
 def now() -> str:
@@ -43,24 +53,44 @@ class Memory:
     def __init__(self, spark: SparkSession, root: str, model: Callable[[], embed.Model] | None = None, identity: str | None = None):
         self.spark, self.root, self.model, self.identity = spark, root.rstrip("/"), model, identity
 
+        self.tables = Segments(spark, self.root, TABLES | INDEX)
+
     # tables
 
     def init(self) -> None:
-        for name, schema in TABLES.items():
-            self.spark.createDataFrame([], schema).write.mode("append").parquet(f"{self.root}/{name}")
+        """Nothing is needed: a table that no version lists is empty."""
 
     def log(self, name: str) -> DataFrame:
-        try:
-            return self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/{name}")
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return self.spark.createDataFrame([], TABLES[name])
+        return self.tables.read(name)
 
-    def append(self, name: str, rows: DataFrame) -> None:
+    def append(self, name: str, rows: DataFrame) -> int:
+        """Add rows as a segment, merge what has gathered; returns the rows."""
         columns = [c.split(" ", 1) for c in TABLES[name].split(", ") if not c.startswith("seq ")]
         seq = F.lit(time.time_ns()).alias("seq")
-        rows.select(*[F.col(c).cast(t) for c, t in columns], seq).write.mode("append").parquet(f"{self.root}/{name}")
+        n = self.tables.put({name: rows.select(*[F.col(c).cast(t) for c, t in columns], seq)})[name]
+        if self.tables.merge(name) and name in ("chunks", "deleted"):
+            held, tail = self._parts(self.tables.state()[1])
+            rows_of = lambda part: sum(s["rows"] for s in part.values())
+            if rows_of(tail) + rows_of(self.tables.segments("deleted")) > TAIL * rows_of(held):
+                self.snapshot()
+        return n
+
+    def _parts(self, state: dict) -> tuple[dict, dict]:
+        """Segments of chunks: of the snapshot, and after it."""
+        every = self.tables.segments("chunks", state)
+        held = {k: v for k, v in every.items() if v["level"] == BASE}
+        return held, {k: v for k, v in every.items() if k not in held}
+
+    def snapshot(self) -> None:
+        """Write the live chunks as they are now; replaces all segments of chunks
+        and deletions, in one version of the manifest.  Deleted rows are gone
+        after it.  If another writer merges meanwhile, nothing changes."""
+        _, state = self.tables.state()
+        replaced = {n for t in ("chunks", "deleted") for n in self.tables.segments(t, state)}
+        try:
+            self.tables.put({"chunks": self._live(state)}, BASE, replaced)
+        except Conflict:
+            pass
 
     def row(self, name: str, **values) -> None:
         schema = ", ".join(c for c in TABLES[name].split(", ") if not c.startswith("seq "))
@@ -69,10 +99,31 @@ class Memory:
 
     # views
 
+    def _live(self, state: dict) -> DataFrame:
+        """Chunks that are not deleted, the first of each id.  The snapshot's rows
+        only lose what was deleted since; the tail is looked at alone, and of
+        the snapshot it meets the ids."""
+        held, tail = self._parts(state)
+        deleted = self.tables.segments("deleted", state)
+        rows = self.tables.read("chunks", held)
+        gone = self.tables.read("deleted", deleted).groupBy("id").agg(F.max("seq").alias("_gone"))
+        if deleted:  # a deletion after the snapshot is later than all its rows
+            rows = rows.join(gone.select("id"), "id", "left_anti")
+        if not tail:
+            return rows
+        new = self.tables.read("chunks", tail)
+        if deleted:
+            new = new.join(gone, "id", "left").where("_gone IS NULL OR seq > _gone").drop("_gone")
+        new = kg.first_of(new, ["id"], "seq")
+        if not held:
+            return new
+        ids = new.select("id")
+        few = sum(s["rows"] for s in tail.values()) <= FEW
+        known = rows.select("id").join(F.broadcast(ids) if few else ids, "id", "left_semi")
+        return rows.unionByName(new.join(known, "id", "left_anti"))
+
     def chunks(self, domain: str | None = None, topic: str | None = None) -> DataFrame:
-        gone = self.log("deleted").groupBy("id").agg(F.max("seq").alias("_gone"))
-        rows = self.log("chunks").join(gone, "id", "left").where("_gone IS NULL OR seq > _gone").drop("_gone")
-        rows = kg.first_of(rows, ["id"], "seq")
+        rows = self._live(self.tables.state()[1])
         for column, value in (("domain", domain), ("topic", topic)):
             rows = rows if value is None else rows.where(F.col(column) == value)
         return rows
@@ -114,15 +165,7 @@ class Memory:
 
     def add(self, rows: DataFrame) -> int:
         """New chunks; ids that exist are left alone.  Returns how many were new."""
-        fresh = store.new_chunks(self.chunks().drop("seq"), rows)
-        held = fresh.persist()
-        try:
-            n = held.count()
-            if n:
-                self.append("chunks", held)
-        finally:
-            held.unpersist()
-        return n
+        return self.append("chunks", store.new_chunks(self.chunks().drop("seq"), rows))
 
     def add_chunk(self, domain: str, topic: str, content: str, source_file: str = "", added_by: str = "service", category: str | None = None) -> str:
         key = str(uuid.uuid4())
@@ -181,37 +224,67 @@ class Memory:
         return {"files": n, "added": added, "skipped": 0 if limit else every - n, "topics": topics}
 
     def embed(self) -> int:
-        todo = embed.backlog(self.chunks(), self.log("vectors"), self.model or embed.hashing).persist()
-        try:
-            n = todo.count()
-            if n:
-                self.append("vectors", todo)
-        finally:
-            todo.unpersist()
-        return n
+        return self.append("vectors", embed.backlog(self.chunks(), self.log("vectors"), self.model or embed.hashing))
+
+    def _entries(self, live: DataFrame) -> dict[str, DataFrame]:
+        """Index rows of chunks, the postings in order of their tokens."""
+        postings, sizes = fts.index(live)
+        return {"postings": self._sorted(postings), "sizes": sizes}
+
+    @staticmethod
+    def _sorted(postings: DataFrame) -> DataFrame:
+        return postings.repartitionByRange("token", "id").sortWithinPartitions("token")
+
+    def _indexed(self, state: dict) -> str:
+        """Names a state of chunks and deletions."""
+        return hashlib.sha256("".join(sorted(n for t in ("chunks", "deleted") for n in self.tables.segments(t, state))).encode()).hexdigest()
 
     def index(self) -> tuple[DataFrame, DataFrame]:
         """The saved search index of the live chunks.  What was written since
-        the last call, or lost, is added first; what was deleted is left out.
-        An entry is known by id and sequence number, as an id may come again."""
-        live = self.chunks().withColumn("id", F.struct("id", "seq"))
-        try:
-            _, sizes = fts.load_index(self.spark, f"{self.root}/index")
-            todo = live.join(sizes.select("id"), "id", "left_anti")
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-            todo = live
-        if not todo.isEmpty():
-            fts.save_index(todo, f"{self.root}/index", "append")
-        try:
-            postings, sizes = fts.load_index(self.spark, f"{self.root}/index")
-        except AnalysisException:  # nothing was ever stored
-            postings, sizes = fts.index(live)
-        return postings, sizes.dropDuplicates(["id"]).join(live.select("id"), "id", "left_semi")
+        the last call is added first, both tables in one version; what was
+        deleted is left out, and goes from the postings when they are merged.
+        An entry is known by id and sequence number, as an id may come again.
+        Where nothing was written since, only the manifest is read."""
+        for _ in range(10):
+            _, state = self.tables.state()
+            live = self._live(state).withColumn("id", F.struct("id", "seq"))
+            if state["marks"].get("indexed") == self._indexed(state):
+                break
+            held = self.tables.segments("sizes", state)
+            todo = live.join(self.tables.read("sizes", held).select("id"), "id", "left_anti") if held else live
+            try:
+                self.tables.put(self._entries(todo), marks={"indexed": self._indexed(state)}, expect={"sizes": set(held)})
+                self._merge_index()
+                break
+            except Conflict:  # another session has added to the index: see what is left
+                continue
+        state = self.tables.state()[1]
+        sizes = self.tables.read("sizes", self.tables.segments("sizes", state))
+        return self.tables.read("postings", self.tables.segments("postings", state)), sizes.join(live.select("id"), "id", "left_semi")
+
+    def _merge_index(self) -> None:
+        """Merge both tables of the index at once, without what was deleted."""
+        while True:
+            _, state = self.tables.state()
+            found = self.tables.full("sizes", state)
+            if found is None:
+                return
+            level, sizes = found
+            postings = [n for n, s in self.tables.segments("postings", state).items() if s["level"] == level]
+            stays = self._live(state).select(F.struct("id", "seq").alias("id"))
+            try:
+                self.tables.put({
+                    "postings": self._sorted(self.tables.read("postings", postings).join(stays, "id", "left_semi")),
+                    "sizes": self.tables.gathered("sizes", sizes).join(stays, "id", "left_semi"),
+                }, level + 1, {*postings, *sizes})
+            except Conflict:
+                return
 
     def repair(self) -> None:
-        fts.save_index(self.chunks().withColumn("id", F.struct("id", "seq")), f"{self.root}/index")
+        """Make the index anew."""
+        _, state = self.tables.state()
+        old = {n for t in INDEX for n in self.tables.segments(t, state)}
+        self.tables.put(self._entries(self._live(state).withColumn("id", F.struct("id", "seq"))), replaces=old, marks={"indexed": self._indexed(state)})
 
     # questions
 

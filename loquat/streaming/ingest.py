@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..service.segments import Segments
 
 
 def files(spark: SparkSession, folder: str) -> DataFrame:
@@ -33,20 +34,29 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -
     return df.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("events")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "events")
 
 
+STATISTICS = {"df": "token string, df long", "size": "docs long, length long"}
+
+
 def corpus_statistics(stream: DataFrame, target: str, checkpoint: str):
     """Document frequencies and lengths of a stream of (id, content), added up
-    batch by batch.  A batch writes its own folder, so one that runs again
-    after a loss replaces what it wrote."""
+    batch by batch.  A batch's counts come into `target` in one version of its
+    manifest under the batch's number, so one that runs again after a loss adds
+    nothing; counts of several batches are summed as they gather, so a read
+    meets a few files.  A target belongs to one stream."""
     def write(batch: DataFrame, number: int) -> None:
+        held = Segments(batch.sparkSession, target, STATISTICS)
         words = batch.select("id", tokens(F.col("content")).alias("t")).where("t IS NOT NULL")
         df = words.select(F.explode(F.array_distinct("t")).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
-        df.write.mode("overwrite").parquet(f"{target}/df/batch={number}")
-        words.agg(F.count("*").alias("docs"), F.coalesce(F.sum(F.size("t")), F.lit(0)).cast("long").alias("length")).write.mode("overwrite").parquet(f"{target}/size/batch={number}")
+        size = words.agg(F.count("*").alias("docs"), F.coalesce(F.sum(F.size("t")), F.lit(0)).cast("long").alias("length"))
+        held.put({"df": df, "size": size}, batch=number)
+        held.merge("df", lambda d: d.groupBy("token").agg(F.sum("df").alias("df")))
+        held.merge("size", lambda d: d.agg(F.sum("docs").alias("docs"), F.sum("length").alias("length")))
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def read_statistics(spark: SparkSession, target: str) -> tuple[DataFrame, DataFrame]:
     """(token, df) and one row (docs, mean length) over all batches."""
-    df = spark.read.parquet(f"{target}/df").groupBy("token").agg(F.sum("df").alias("df"))
-    return df, spark.read.parquet(f"{target}/size").agg(F.sum("docs").alias("docs"), F.try_divide(F.sum("length"), F.sum("docs")).alias("mean"))
+    held = Segments(spark, target, STATISTICS)
+    df = held.read("df").groupBy("token").agg(F.sum("df").alias("df"))
+    return df, held.read("size").agg(F.sum("docs").alias("docs"), F.try_divide(F.sum("length"), F.sum("docs")).alias("mean"))
