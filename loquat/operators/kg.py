@@ -30,9 +30,64 @@ def query_relationship(triples: DataFrame, predicate: str, as_of: str | None = N
     return df if as_of is None else df.where(valid_at(as_of))
 
 
+LEVELS = 8  # bucket sizes of 1, 8, 64, ... days; the largest holds all dates of four digits' years
+FAN = 8
+DATED, ODD, SHARES = -2, -1, 8  # classes beside the buckets, for texts that are no dates
+
+
+def _day(t: Column) -> Column:
+    """A number that orders texts which begin with a date as the texts are
+    ordered; null for other texts."""
+    date = F.regexp_like(t, F.lit(r"^\d{4}-(0[1-9]|1[0-2])-(0[1-9]|[12]\d|3[01])"))
+    part = lambda i, n: F.try_to_number(F.substr(t, F.lit(i), F.lit(n)), F.lit("9" * n)).cast("long")
+    return F.when(date, part(1, 4) * 372 + (part(6, 2) - 1) * 31 + part(9, 2) - 1)
+
+
+def _levelled(numbers: Column, level: int) -> Column:
+    return F.transform(numbers, lambda n: F.struct(F.lit(level).alias("level"), n.alias("number")))
+
+
+def _buckets(low: Column, high: Column) -> Column:
+    """The fewest buckets (level, number) that make up the days low to high:
+    at each level those inside that no bucket of the next level holds."""
+    out = []
+    for level in range(LEVELS + 1):
+        size = FAN**level
+        first, last = F.floor((low + size - 1) / size).cast("long"), F.floor((high + 1) / size).cast("long") - 1
+        up, down = F.floor((low + size * FAN - 1) / (size * FAN)).cast("long"), F.floor((high + 1) / (size * FAN)).cast("long") - 1
+        span = lambda a, b: F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<long>"))
+        if level == LEVELS:
+            held = span(first, last)
+        else:
+            held = F.when(up > down, span(first, last)).otherwise(F.concat(span(first, up * FAN - 1), span((down + 1) * FAN, last)))
+        out.append(_levelled(held, level))
+    return F.concat(*out)
+
+
 def as_of_join(probes: DataFrame, triples: DataFrame) -> DataFrame:
-    """probes (entity, t) with the facts about the entity that hold at t."""
-    return probes.join(triples, F.col("entity") == F.col("subject")).where(valid_at(F.col("t")))
+    """probes (entity, t) with the facts about the entity that hold at t.
+
+    A fact stands in the few buckets of days, of eight times growing sizes, that
+    its time is made of (an open end reaches the last day there is); a probe
+    looks into one bucket of each size.  So facts and probes of a busy entity
+    meet only where they match, but for the hours of the first and last day,
+    and the entity's rows are dealt over its buckets.  Facts with a bound that
+    is no date meet all probes of their entity, and probes at no date all facts;
+    both are dealt over a few shares and compared as texts.  A null t meets
+    nothing unless both bounds are open."""
+    last = FAN**LEVELS - 1
+    low = F.when(F.col("valid_from").isNull(), F.lit(0).cast("long")).otherwise(_day(F.col("valid_from")))
+    high = F.when(F.col("valid_to").isNull(), F.lit(last).cast("long")).otherwise(_day(F.col("valid_to")))
+    every = F.sequence(F.lit(0).cast("long"), F.lit(SHARES - 1).cast("long"))
+    share = F.array(F.pmod(F.xxhash64(*triples.columns), F.lit(SHARES)))
+    held = triples.withColumn("_low", low).withColumn("_high", high)
+    plain = F.col("_low").isNotNull() & F.col("_high").isNotNull()
+    stands = F.when(plain, F.concat(_buckets(F.col("_low"), F.col("_high")), _levelled(share, DATED))).otherwise(_levelled(share, ODD))
+    asked = probes.withColumn("_day", _day(F.col("t")))
+    sizes = F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), lambda n: F.struct(n.alias("level"), F.floor(F.col("_day") / F.pow(F.lit(float(FAN)), n)).cast("long").alias("number")))
+    looks = F.concat(F.when(F.col("_day").isNotNull(), sizes).otherwise(_levelled(every, DATED)), _levelled(every, ODD))
+    met = asked.withColumn("_p", F.explode(looks)).join(held.withColumn("_b", F.explode(stands)), (F.col("entity") == F.col("subject")) & (F.col("_b") == F.col("_p")))
+    return met.where(valid_at(F.col("t"))).drop("_low", "_high", "_day", "_b", "_p")
 
 
 def timeline(triples: DataFrame, name: str | None = None) -> DataFrame:

@@ -185,6 +185,18 @@ def kg_as_of(spark, sf):
     return kg.as_of_join(probes, triples(spark, sf)).select("entity", "t", "event_id", "predicate", "object")
 
 
+BUSY = TRIPLES.replace("SELECT 'user_' || user_id AS subject", "SELECT CASE WHEN event_id % 3 = 0 THEN 'busy' ELSE 'user_' || user_id END AS subject")
+
+
+@query(f"WITH {BUSY}, probes AS (SELECT CASE WHEN event_id % 3 = 0 THEN 'busy' ELSE 'user_' || user_id END AS entity, strftime(ts + INTERVAL 2 DAY, '%Y-%m-%d') AS t, event_id AS probe FROM events WHERE event_id % 50 = 0) SELECT probe, count(*) AS facts, min(event_id) AS first, max(event_id) AS last FROM probes JOIN triples ON entity = subject WHERE (valid_from IS NULL OR valid_from <= t) AND (valid_to IS NULL OR valid_to >= t) GROUP BY probe")
+def kg_as_of_busy(spark, sf):
+    """Facts that hold two days after every fiftieth event; one entity has a third of both."""
+    name = F.when(F.col("event_id") % 3 == 0, "busy")
+    facts = triples(spark, sf).withColumn("subject", F.coalesce(name, F.col("subject")))
+    probes = table(spark, sf, "events").where("event_id % 50 = 0").select(F.coalesce(name, F.concat(F.lit("user_"), "user_id")).alias("entity"), F.date_format(F.col("ts") + F.expr("interval 2 days"), "yyyy-MM-dd").alias("t"), F.col("event_id").alias("probe"))
+    return kg.as_of_join(probes, facts).groupBy("probe").agg(F.count("*").alias("facts"), F.min("event_id").alias("first"), F.max("event_id").alias("last"))
+
+
 @query(f"WITH {TRIPLES} SELECT event_id, subject, object, valid_to IS NULL AS is_current FROM triples WHERE subject = 'user_1' OR object = 'user_1'")
 def kg_entity(spark, sf):
     return kg.query_entity(triples(spark, sf), "User 1").select("event_id", "subject", "object", "is_current")
