@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions import text as T
-from ..operators import blockmax, chunking, embed, entities, evaluate, extract, fts, kg, layers, store, topicgraph, vectors, written
+from ..operators import blockmax, chunking, clusters, embed, entities, evaluate, extract, fts, kg, layers, store, topicgraph, vectors, written
 from ..service.memory import Memory
 from ..sources import files, normalize, transcripts as exports
 from ..streaming import ingest
@@ -133,6 +133,14 @@ def knn_topk(spark, sf):
     return vectors.knn(e, e.where("id % 50 = 0").select(F.col("id").alias("query_id"), "embedding")).select("query_id", "id", F.round("score", 5).alias("score"), "rank")
 
 
+@query(SQL["knn_topk"])
+def knn_clusters(spark, sf):
+    """The rows of `knn_topk` through clusters and their bounds."""
+    e, folder = embedded(spark, sf), scratch(spark)
+    clusters.save(e, folder)
+    return clusters.knn(spark, folder, e.where("id % 50 = 0").select(F.col("id").alias("query_id"), "embedding")).select("query_id", "id", F.round("score", 5).alias("score"), "rank")
+
+
 @query("SELECT vec_id AS id, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 5) AS norm FROM embeddings")
 def vector_norms(spark, sf):
     return embedded(spark, sf).select("id", F.round(T.norm(F.col("embedding")), 5).alias("norm"))
