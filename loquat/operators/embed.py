@@ -46,10 +46,35 @@ def embedding(text: Column, factory: Callable[[], Model] = hashing) -> Column:
     return F.pandas_udf(batches, "array<float>")(text)
 
 
+def attempted(text: Column, factory: Callable[[], Model] = hashing) -> Column:
+    """Struct of the vector and the error of a text, one of them null.  A batch
+    that fails is tried again text by text, so that one text costs no other."""
+    def batches(columns: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        model = factory()
+
+        def one(t: str) -> tuple:
+            try:
+                return model([t])[0], None
+            except Exception as e:  # noqa: BLE001  whatever a model raises belongs to the text
+                return None, f"{type(e).__name__}: {e}"
+
+        for texts in columns:
+            held = [t or "" for t in texts]
+            try:
+                rows = [(v, None) for v in model(held)]
+            except Exception:  # noqa: BLE001
+                rows = [one(t) for t in held]
+            yield pd.DataFrame({"embedding": pd.Series([r[0] for r in rows], index=texts.index, dtype=object), "error": pd.Series([r[1] for r in rows], index=texts.index, dtype=object)})
+
+    batches.__annotations__ = {"columns": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
+    return F.pandas_udf(batches, "embedding array<float>, error string")(text)
+
+
 def backlog(chunks: DataFrame, vectors: DataFrame, factory: Callable[[], Model] = hashing) -> DataFrame:
-    """(chunk_id, embedding) of the chunks that have no vector yet."""
+    """(chunk_id, embedding, error) of the chunks that have no vector yet; those
+    that failed have none, so a later run takes them up again."""
     todo = chunks.join(vectors.select(F.col("chunk_id").alias("id")), "id", "left_anti")
-    return todo.select(F.col("id").alias("chunk_id"), embedding(F.col("content"), factory).alias("embedding"))
+    return todo.select(F.col("id").alias("chunk_id"), attempted(F.col("content"), factory).alias("x")).select("chunk_id", "x.*")
 
 
 def listing(chunks: DataFrame, vectors: DataFrame, dims: int = 8, n: int = 20) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import keyword_overlap, keywords, person_names, snippet
-from . import fts
+from . import fts, written
 
 
 def rerank(found: DataFrame, penalise: bool = False) -> DataFrame:
@@ -60,6 +60,16 @@ def documents(docs: DataFrame, filed_at: str) -> DataFrame:
     return docs.select("id", "domain", "topic", F.lit("").alias("category"), F.col("id").alias("source_file"), F.col("text").alias("content"), F.lit(0).alias("chunk_index"), F.lit("bench").alias("added_by"), F.lit(filed_at).alias("filed_at"))
 
 
+def placed(results: DataFrame, order: str = "id") -> DataFrame:
+    """Add `place`, from 0, by an order: rows are sorted in ranges, and each range
+    starts after the rows of those before it (one row a range on the way)."""
+    ranged = written.written(results.repartitionByRange(order).withColumn("_range", F.spark_partition_id()), "places")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    start = ranged.groupBy("_range").count().withColumn("_start", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
+    at = F.row_number().over(Window.partitionBy("_range").orderBy(order)) - 1
+    return ranged.join(F.broadcast(start), "_range").withColumn("place", F.col("_start") + at).drop("_range", "_start")
+
+
 def running(results: DataFrame, every: int = 50) -> DataFrame:
     """results (place, hit), places from 0: (done, recall) after each `every`
     questions.  The window runs over groups of questions, not over questions."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions.text import snippet, title, tokens
+from . import written
 
 COLUMNS = ["content", "domain", "topic", "category", "source_file"]
 
@@ -72,7 +73,7 @@ def search(chunks: DataFrame, queries: DataFrame, k: int = 10, domain: str | Non
 
 def search_index(postings: DataFrame, sizes: DataFrame, queries: DataFrame, k: int = 10, domain: str | None = None, topic: str | None = None, within: str | None = None, saved: bool = False) -> DataFrame:
     keys = [within] if within else []
-    wanted = phrases(queries, within)
+    wanted = written.written(phrases(queries, within), "phrases")  # queries may be dear to make
     found = matches(postings, wanted, within, saved)
     # what was deleted since counts neither as a match nor for the statistics
     found = found.join(sizes.select("id"), "id", "left_semi") if saved else found
@@ -96,6 +97,7 @@ def search_index(postings: DataFrame, sizes: DataFrame, queries: DataFrame, k: i
 
 def hydrate(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     meta = chunks.select("id", title(F.col("source_file")).alias("title"), snippet(F.col("content")).alias("snippet"), "domain", "topic", "category")
+    hits = written.written(hits, "hits")  # the search runs once, whatever its rows are used for
     return meta.join(bounded(hits), "id")
 
 

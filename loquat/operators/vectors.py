@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
-from ..functions.text import ascii_words, jaccard, most_frequent, snippet
+from ..functions.text import ascii_words, jaccard, most_frequent, snippet, tokens
 from . import fts
 
 
@@ -137,13 +137,25 @@ def keyword_duplicates(docs: DataFrame, store: DataFrame, threshold: float = 0.9
 def word_duplicates(docs: DataFrame, store: DataFrame, threshold: float = 0.9, bands: int = 8, rows: int = 4) -> DataFrame:
     """(query_id, id, similarity): as `keyword_duplicates`, but candidates share
     a band of MinHash values of their words, so no keyword has to match.  At
-    similarity 0.9 a pair is missed once in 100,000 with 8 bands of 4 values."""
-    def signed(d: DataFrame, name: str) -> DataFrame:
-        w = d.select(F.col("id").alias(name), F.explode(F.array(F.array_distinct(ascii_words(F.col("content"))))).alias(name + "_words"))
-        least = lambda i: F.array_min(F.transform(F.col(name + "_words"), lambda x: F.xxhash64(F.lit(i), x)))
+    similarity 0.9 a pair is missed once in 100,000 with 8 bands of 4 values.
+
+    Words are those of the search, of any script; texts without any are like
+    nothing.  Texts of equal words are one class, which meets the others once;
+    ids alone travel with the bands, and a pair's words are fetched once."""
+    def classes(d: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        words = F.array_sort(F.array_distinct(tokens(F.col("content"))))
+        w = d.select(F.col("id").alias(name), F.explode(F.array(words)).alias("_w")).where(F.size("_w") > 0)
+        kind = F.sha2(F.array_join("_w", " "), 256).alias("_" + name)
+        return w.select(name, kind), w.select(kind, "_w").dropDuplicates(["_" + name])
+
+    def banded(words: DataFrame, name: str) -> DataFrame:
+        least = lambda i: F.array_min(F.transform("_w", lambda x: F.xxhash64(F.lit(i), x)))
         bits = [F.struct(F.lit(b).alias("band"), F.xxhash64(*[least(b * rows + r) for r in range(rows)]).alias("value")) for b in range(bands)]
-        return w.select("*", F.explode(F.array(*bits)).alias("x")).select("*", "x.*").drop("x")
-
-    pairs = signed(docs, "query_id").join(signed(store, "id"), ["band", "value"])
-    alike = pairs.withColumn("similarity", jaccard(F.col("query_id_words"), F.col("id_words"))).where(F.col("similarity") >= threshold)
-    return alike.select("query_id", "id", "similarity").distinct()
+        return words.select(name, F.explode(F.array(*bits)).alias("x")).select(name, "x.*")
+
+    asked, asked_words = classes(docs, "query_id")
+    held, held_words = classes(store, "id")
+    pairs = banded(asked_words, "_query_id").join(banded(held_words, "_id"), ["band", "value"]).select("_query_id", "_id").distinct()
+    both = pairs.join(asked_words.withColumnRenamed("_w", "_a"), "_query_id").join(held_words.withColumnRenamed("_w", "_b"), "_id")
+    alike = both.withColumn("similarity", jaccard(F.col("_a"), F.col("_b"))).where(F.col("similarity") >= threshold).select("_query_id", "_id", "similarity")
+    return alike.join(asked, "_query_id").join(held, "_id").select("query_id", "id", "similarity")

@@ -402,7 +402,7 @@ def embeddings_list(spark, sf):
 
 @query()
 def embed_text(spark, sf):
-    d = table(spark, sf, "documents").where("trim(text) <> ''")
+    d = table(spark, sf, "documents")
     return d.select(F.col("doc_id").alias("id"), embed.embedding(F.col("text")).alias("embedding"))
 
 
@@ -523,8 +523,8 @@ def context_search(spark, sf):
 
 @query(f"WITH hits AS (SELECT doc_id, (length(text) % 3 = 0)::INT AS hit, row_number() OVER (ORDER BY doc_id) AS n FROM documents), s AS (SELECT n, sum(hit) OVER (ORDER BY n) AS h FROM hits) SELECT n AS done, round(h / n::DOUBLE, 6) AS recall FROM s WHERE n % 50 = 0")
 def running_recall(spark, sf):
-    d = table(spark, sf, "documents").select((F.row_number().over(Window.orderBy("doc_id")) - 1).alias("place"), (F.length("text") % 3 == 0).alias("hit"))
-    return evaluate.running(d).select("done", F.round("recall", 6).alias("recall"))
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.coalesce(F.length("text") % 3 == 0, F.lit(False)).alias("hit"))
+    return evaluate.running(evaluate.placed(d)).select("done", F.round("recall", 6).alias("recall"))
 
 
 def scratch(spark) -> str:
@@ -584,3 +584,57 @@ def store_snapshot(spark, sf):
     m.append("deleted", c.where("doc_id % 7 = 0").select("id"))
     hits = fts.search_index(*m.index(), asked(spark, sf), saved=True)
     return rounded(hits.withColumn("id", F.col("id.id")))
+
+
+class Fussy:
+    """A model that fails on texts whose length is divisible by 7."""
+
+    def __call__(self, texts: list[str]):
+        if any(len(t) % 7 == 0 for t in texts):
+            raise ValueError("cannot embed")
+        return embed.hashing()(texts)
+
+
+@query("SELECT doc_id AS id, length(coalesce(text, '')) % 7 <> 0 AS embedded, CASE WHEN length(coalesce(text, '')) % 7 = 0 THEN 'ValueError: cannot embed' END AS error FROM documents")
+def embed_failures(spark, sf):
+    """Texts that a model fails on are rows with their error, all others have vectors."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), embed.attempted(F.col("text"), Fussy).alias("x"))
+    return d.select("id", F.col("x.embedding").isNotNull().alias("embedded"), "x.error")
+
+
+WORD_SETS = """sets AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(strip_accents(text)), '[\\p{L}\\p{N}]+')) AS w FROM documents),
+words AS (SELECT doc_id, len(w) AS n, unnest(w) AS t FROM sets)"""
+
+
+@query(f"WITH {WORD_SETS} SELECT query_id, id, round(c / (m + n - c), 6) AS similarity FROM (SELECT a.doc_id AS query_id, b.doc_id AS id, a.n AS m, b.n AS n, count(*)::DOUBLE AS c FROM (SELECT * FROM words WHERE doc_id % 50 = 0) a JOIN words b ON a.t = b.t GROUP BY ALL) WHERE c / (m + n - c) >= 0.9")
+def dup_words(spark, sf):
+    """Texts whose words are like those of a text whose id is divisible by 50."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    return vectors.word_duplicates(d.where("id % 50 = 0"), d).withColumn("similarity", F.round("similarity", 6))
+
+
+GAP, LATE = "INTERVAL 30 MINUTE", "INTERVAL 1 HOUR"
+
+
+def _sessions_sql(rows: str, name: str) -> str:
+    return f"""{name}_g AS (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + {GAP} THEN 0 ELSE 1 END AS fresh FROM {rows}),
+{name}_n AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM {name}_g),
+{name} AS (SELECT *, min(ts) OVER (PARTITION BY user_id, n) AS start, max(ts) OVER (PARTITION BY user_id, n) + {GAP} AS stop FROM {name}_n)"""
+
+
+@query(f"""WITH one AS (SELECT user_id, ts FROM events WHERE event_id * 2 < (SELECT count(*) FROM events) AND event_id % 10 <> 3),
+two AS (SELECT user_id, ts FROM events WHERE NOT (event_id * 2 < (SELECT count(*) FROM events) AND event_id % 10 <> 3)),
+marks AS (SELECT (SELECT max(ts) FROM one) - {LATE} AS first, (SELECT max(ts) FROM events) - {LATE} AS second),
+{_sessions_sql("one", "early")},
+rest AS (SELECT user_id, ts FROM early, marks WHERE stop > first UNION ALL SELECT user_id, ts FROM two, marks WHERE ts + {GAP} > first),
+{_sessions_sql("rest", "after")}
+SELECT user_id, start, stop AS "end", count(*) AS events FROM (SELECT * FROM early, marks WHERE stop <= first UNION ALL SELECT * FROM after, marks WHERE stop <= second) GROUP BY user_id, start, stop""")
+def stream_sessions(spark, sf):
+    """Sessions of a stream that stops and goes on: a tenth of the first half's
+    events come with the second half, most of them too late."""
+    folder, e = scratch(spark), table(spark, sf, "events")
+    half = (F.col("event_id") * 2 < e.count()) & (F.col("event_id") % 10 != 3)
+    for rows in (e.where(half), e.where(~half)):
+        rows.write.mode("append").parquet(f"{folder}/in")
+        ingest.append_sessions(spark.readStream.schema(e.schema).parquet(f"{folder}/in"), f"{folder}/out", f"{folder}/log").awaitTermination()
+    return spark.read.parquet(f"{folder}/out")

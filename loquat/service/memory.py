@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions import text as T
-from ..operators import chunking, embed, fts, kg, layers, store, topicgraph, vectors
+from ..operators import chunking, embed, fts, kg, layers, store, topicgraph, vectors, written
 from ..sources import files, transcripts
 from .segments import BASE, Conflict, Segments
 
@@ -28,6 +28,7 @@ TABLES = {
     "chunks": store.CHUNKS + ", seq long",
     "deleted": "id string, seq long",
     "vectors": "chunk_id string, embedding array<float>, seq long",
+    "failed": "chunk_id string, error string, seq long",
     "entities": "id string, name string, entity_type string, properties string, seq long",
     "triples": "id string, subject string, predicate string, object string, valid_from string, valid_to string, confidence double, source_ref string, source_file string, extracted_at string, seq long",
     "ended": "subject string, predicate string, object string, ended string, seq long",
@@ -224,7 +225,18 @@ class Memory:
         return {"files": n, "added": added, "skipped": 0 if limit else every - n, "topics": topics}
 
     def embed(self) -> int:
-        return self.append("vectors", embed.backlog(self.chunks(), self.log("vectors"), self.model or embed.hashing))
+        """Vectors of the chunks that have none; returns how many.  A chunk whose
+        text the model fails on goes to `failures` and is tried by the next run."""
+        tried = written.written(embed.backlog(self.chunks(), self.log("vectors"), self.model or embed.hashing), "vectors")
+        n = self.append("vectors", tried.where("error IS NULL"))
+        self.append("failed", tried.where("error IS NOT NULL"))
+        written.discard(tried)
+        return n
+
+    def failures(self) -> DataFrame:
+        """(chunk_id, error) of live chunks without a vector whose last try failed."""
+        last = self.log("failed").groupBy("chunk_id").agg(F.max_by("error", "seq").alias("error"))
+        return last.join(self.log("vectors").select("chunk_id"), "chunk_id", "left_anti").join(self.chunks().select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi")
 
     def _entries(self, live: DataFrame) -> dict[str, DataFrame]:
         """Index rows of chunks, the postings in order of their tokens."""

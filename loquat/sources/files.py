@@ -12,58 +12,98 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
+from ..operators import written
+
+
+FEW = 100_000  # paths that may be broadcast
+RULES = "folder string, number int, regex string, negated boolean"
 
 
 def rule_regex(line: str) -> tuple[str, bool] | None:
-    """(regex, negated) of an ignore rule; None for blanks and comments."""
+    """(regex, negated) of an ignore rule; None for blanks and comments.  Folders
+    are matched with a slash behind, so a rule that ends in one is for them alone."""
     line = line.strip()
     if not line or line.startswith("#"):
         return None
     negated = line.startswith("!")
     line = line[1:].strip() if negated else line
     rooted = line.startswith("/")
-    body = line.strip("/")
+    body = line.lstrip("/").rstrip("/")
     # `**` takes the slash after it along, so `**/x` holds at the root too
     wild = {"**": ".*", "**/": ".*", "*": "[^/]+", "?": "[^/]"}
     out = "".join(wild.get(p) or re.escape(p) for p in re.split(r"(\*\*/?|\*|\?)", body) if p)
-    return f"(?i)^{'' if rooted else '(.*/)?'}{out}(/.*)?$", negated
+    return f"(?i)^{'' if rooted else '(.*/)?'}{out}{'/' if line.endswith('/') and body else '(/.*)?'}$", negated
+
+
+def rule_rows(found: DataFrame) -> DataFrame:
+    """The rules of ignore files (path, content) as rows: the folder they hold
+    under ("" the root), their number, regex, and whether they take back."""
+    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            made = [(path.rpartition("/")[0], n, *rule) for path, content in zip(frame["path"], frame["content"]) for n, line in enumerate((content or "").splitlines()) if (rule := rule_regex(line))]
+            yield pd.DataFrame(made, columns=["folder", "number", "regex", "negated"])
+
+    return found.select("path", "content").mapInPandas(rows, RULES)
 
 
-def ignored(path: Column, rules: list[str]) -> Column:
-    """The last rule that matches decides; none: not ignored."""
-    out = F.lit(False)
-    for rule in filter(None, map(rule_regex, rules)):
-        out = F.when(path.rlike(rule[0]), F.lit(not rule[1])).otherwise(out)
-    return out
+def _above(parts: Column, last: Column) -> Column:
+    """Paths of the first 0 to `last` parts."""
+    return F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
 
 
-def ignored_by(path: Column, nested: dict[str, list[str]]) -> Column:
-    out = F.lit(False)
-    for folder in sorted(nested, key=lambda f: f.count("/") + bool(f)):
-        under = F.startswith(path, F.lit(folder + "/")) if folder else F.lit(True)
-        for rule in filter(None, map(rule_regex, nested[folder])):
-            out = F.when(under & path.rlike(rule[0]), F.lit(not rule[1])).otherwise(out)
-    return out
+def ignored(entries: DataFrame, rules: DataFrame) -> DataFrame:
+    """The entries (entry; a folder's ends in a slash) that rules hide: of the
+    rules of all folders above, outer ones first, the last that matches
+    decides.  Entries meet the rules of each folder above them by its path."""
+    bare = F.split(F.rtrim("entry", F.lit("/")), "/")
+    met = entries.select("entry", F.posexplode(_above(bare, F.size(bare) - 1)).alias("depth", "folder")).join(rules, "folder").where(F.regexp_like("entry", F.col("regex")))
+    last = met.groupBy("entry").agg(F.max_by("negated", F.struct("depth", "number")).alias("negated"))
+    return last.where("NOT negated").select("entry")
 
 
-def scan(files: DataFrame, rules: list[str] | dict[str, list[str]] | None = None, include: list[str] = ()) -> DataFrame:
+def scan(files: DataFrame, rules: list[str] | dict[str, list[str]] | DataFrame | None = None, include: list[str] = ()) -> DataFrame:
     """files (path) that a project scan takes.  A folder that is ignored or
-    skipped is not entered; `include` names files or folders that are taken
-    all the same.  `rules` are the root's, or those of several folders by
-    their path ("" the root): a folder's rules hold for what lies under it,
-    after those of the folders above, and match paths from the root."""
+    skipped is not entered.  `rules` are the root's, or those of several folders
+    by their path ("" the root), or rows as `rule_rows` makes them, of any
+    number: a folder's rules hold for what lies under it, after those of the
+    folders above, and match paths from the root.
+
+    `include` overrides, at any depth and in any case.  A name without a slash
+    takes files of that name, and folders of that name with all they hold.  A
+    path takes that file; folders named as its first part are entered, but of
+    what they hold only files named by `include` are taken."""
+    if rules is None or isinstance(rules, (list, dict)):
+        lines = rules if isinstance(rules, dict) else {"": rules or []}
+        made = [(folder, n, *rule) for folder, own in lines.items() for n, line in enumerate(own) if (rule := rule_regex(line))]
+        rules = files.sparkSession.createDataFrame(made, RULES) if made else None
+    names = [x.replace("\\", "/").strip("/").lower() for x in include]
+    whole, through = [x for x in names if "/" not in x], [x.partition("/")[0] for x in names if "/" in x]
     path = F.col("path")
-    forced = F.lit(False)
-    for x in include:
-        forced = forced | (path == x) | F.startswith(path, F.lit(x.rstrip("/") + "/"))
     parts = F.split(path, "/")
     folders = F.slice(parts, 1, F.size(parts) - 1)
-    skipped = F.arrays_overlap(folders, F.array(*map(F.lit, C.SKIP_DIRS)))
-    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
-    nested = rules if isinstance(rules, dict) else {"": rules or []}
-    hidden = F.exists(above, lambda p: ignored_by(p, nested))
+    named = lambda c, held: F.lower(c).isin(held) if held else F.lit(False)
+    if rules is not None:
+        each = F.transform(F.filter(_above(parts, F.size(parts) - 1), lambda p: p != ""), lambda p: F.concat(p, F.lit("/")))
+        entries = files.select(F.explode(F.concat(each, F.array(path))).alias("entry")).distinct()  # a folder is judged once
+        hidden = ignored(entries, rules)
+        met = files.select("path", F.explode(F.concat(each, F.array(path))).alias("entry")).distinct().join(hidden, "entry").groupBy("path").agg(F.collect_set("entry").alias("_hidden"))
+        met = written.written(met, "hidden")
+        files = files.join(F.broadcast(met) if met.count() <= FEW else met, "path", "left")  # few, or contents travel too
+    else:
+        files = files.withColumn("_hidden", F.lit(None).cast("array<string>"))
+    hides = lambda entry: F.coalesce(F.array_contains("_hidden", entry), F.lit(False))
+    in_whole = F.exists(folders, lambda n: named(n, whole))
+    places = F.filter(F.sequence(F.lit(0), F.size(folders)), lambda i: i > 0)
+
+    def closed(i: Column) -> Column:
+        name = F.get(folders, i - 1)
+        opened = F.exists(F.slice(folders, 1, i), lambda n: named(n, whole)) | named(name, through)
+        return ~opened & (name.isin(C.SKIP_DIRS) | hides(F.concat(F.array_join(F.slice(folders, 1, i), "/"), F.lit("/"))))
+
+    forced = in_whole | named(path, names) | named(F.element_at(parts, -1), names)
     extension = F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1))
-    return files.where(forced | (~skipped & ~hidden & extension.isin(C.ALLOW_EXTENSIONS) & ~extension.isin(C.DENY_EXTENSIONS)))
+    usual = ~F.exists(folders, lambda n: named(n, through)) & ~hides(path) & extension.isin(C.ALLOW_EXTENSIONS) & ~extension.isin(C.DENY_EXTENSIONS)
+    return files.where(~F.exists(places, closed) & (forced | usual)).drop("_hidden")
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
@@ -101,8 +141,9 @@ def unlisted(spark: SparkSession, folder: str, endings: tuple[str, ...]) -> Data
             yield pd.DataFrame(rows, columns=["path", "content"])
 
     level, found = [""], spark.createDataFrame([], "path string, content string")
-    while level:
+    while level:  # each level is listed once, and written
         here = spark.createDataFrame([(p,) for p in level], "path string").repartition(min(len(level), 64)).mapInPandas(listed, "path string, content string")
+        here = written.written(here, "listed")
         found = found.unionByName(here.where("content IS NOT NULL"))
         level = [r["path"] for r in here.where("content IS NULL").select("path").collect()]
     return found
@@ -111,9 +152,8 @@ def unlisted(spark: SparkSession, folder: str, endings: tuple[str, ...]) -> Data
 def project(spark: SparkSession, folder: str, include: list[str] = (), respect_ignore: bool = True) -> DataFrame:
     """(path, content) of the files that a project scan takes, with the ignore files found in it."""
     hidden = unlisted(spark, folder, (*C.ALLOW_EXTENSIONS, ".gitignore"))
-    own = hidden.where(F.substring_index("path", "/", -1) == ".gitignore").collect()  # the ignore files themselves
-    rules = {r["path"].rpartition("/")[0]: r["content"].splitlines() for r in own}
-    return scan(relative(read(spark, folder), folder).unionByName(hidden.where(F.col("content").rlike(r"\S"))), rules if respect_ignore else None, include)
+    rules = rule_rows(hidden.where(F.substring_index("path", "/", -1) == ".gitignore")) if respect_ignore else None
+    return scan(relative(read(spark, folder), folder).unionByName(hidden.where(F.col("content").rlike(r"\S"))), rules, include)
 
 
 def conversations(spark: SparkSession, folder: str) -> DataFrame:

@@ -29,9 +29,20 @@ def append_new(stream: DataFrame, target: str, checkpoint: str, key: str = "path
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
-    """Sessions of each user; on a stream, events later than the watermark are dropped."""
-    df = events.withWatermark("ts", late) if events.isStreaming else events
-    return df.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("events")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "events")
+    """Sessions of each user; on a stream, events later than the watermark are
+    dropped.  Watermarks need times with a zone, so others take the session's."""
+    kind, df = dict(events.dtypes)["ts"], events
+    if events.isStreaming:
+        df = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    return df.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("events")).select("user_id", F.col("w.start").cast(kind).alias("start"), F.col("w.end").cast(kind).alias("end"), "events")
+
+
+def append_sessions(stream: DataFrame, target: str, checkpoint: str, gap: str = "30 minutes", late: str = "1 hour"):
+    """Write the sessions of a stream of events (user_id, ts) as they close, that
+    is, when the watermark (latest time so far less `late`) is past their end.
+    Open sessions are state, kept in the checkpoint over restarts.  An event
+    whose own session would have closed before the batch began is dropped."""
+    return sessions(stream, gap, late).writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(target, format="parquet")
 
 
 STATISTICS = {"df": "token string, df long", "size": "docs long, length long"}

@@ -130,6 +130,13 @@ def test_scan_cases(spark):
     assert scan(["generated/drop.py", "generated/keep.py"], ["generated/", "!generated/keep.py"]) == set()
     assert scan(["docs/guide.md"], ["docs/"], ["docs"]) == {"docs/guide.md"}
     assert scan(["README"], ["README"], ["README"]) == {"README"}
+    assert scan(["sub/README", "a/Docs/x.md", "a/Docs/b/y.bin", "a/z.bin"], ["docs/"], ["README", "docs"]) == {"sub/README", "a/Docs/x.md", "a/Docs/b/y.bin"}
+    assert scan(["generated/keep.py", "generated/drop.py", "a/generated/other.py", "a/x.py"], ["generated/"], ["generated/keep.py"]) == {"generated/keep.py", "a/x.py"}
+    assert scan(["notes.md", "a/notes.md/x.py", "notes.md.txt"], ["notes.md/"]) == {"notes.md", "notes.md.txt"}
+    many = spark.createDataFrame([(f"d{i}/.gitignore", "*.csv\n!keep.csv\n# no\nsub/\n") for i in range(300)] + [(".gitignore", "/d7/*.md")], "path string, content string")
+    tree = [f"d{i}/{x}" for i in range(300) for x in ("a.csv", "keep.csv", "sub/x.py", "b.md")] + ["a.csv"]
+    got = {r.path for r in files.scan(spark.createDataFrame([(p,) for p in tree], "path string"), files.rule_rows(many)).collect()}
+    assert got == {f"d{i}/{x}" for i in range(300) for x in ("keep.csv", "b.md")} - {"d7/b.md"} | {"a.csv"}
     assert scan([".pytest_cache/cache.py", "main.py"]) == {"main.py"}
     tree = ["foo.py", "a/foo.py", "logs/x.txt", "logs/a/b/x.txt", "logs/y.txt", "a.py"]
     assert scan(tree, ["**/foo.py"]) == {"logs/x.txt", "logs/a/b/x.txt", "logs/y.txt", "a.py"}
