@@ -34,7 +34,7 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     out = line_dedup.dedup_lines(docs, "source", "text", RATIO, MIN_PAGES, name)
     text = F.col(name)["text"]
     columns = {"text": text, "n_chars": F.coalesce(F.length(text), F.lit(0)).cast("long")}
-    return out.select([columns[c].alias(c) if c in columns else F.col(c) for c in docs.columns])
+    return out.select([columns[c].alias(c) if c in columns else F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,9 +58,9 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose text holds no benchmark item; equal texts have one key."""
     given = free(docs, "_given")
     key = F.struct(F.xxhash64("text").alias("a"), F.xxhash64(F.lit("second"), "text").alias("b"))
-    keyed = docs.select(*[key.alias(c) if c == "doc_id" else F.col(c) for c in docs.columns], F.col("doc_id").alias(given))
+    keyed = docs.select(*[key.alias(c) if c == "doc_id" else F.col(f"`{c}`") for c in docs.columns], F.col("doc_id").alias(given))
     kept = decontaminate.decontaminate(keyed, read_table(spark, sf_dir, "benchmark"))
-    return kept.select([F.col(given).alias(c) if c == "doc_id" else F.col(c) for c in docs.columns])
+    return kept.select([F.col(given).alias(c) if c == "doc_id" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
