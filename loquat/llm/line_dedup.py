@@ -7,7 +7,9 @@ ratio 0.1 that floor of 5 pages decides on hosts of under 50 pages (the ratio is
 in effect 5 / pages) and leaves hosts of under 5 pages as they are: a menu line
 on 4 of 10 pages stays.  Under it, two copies of a page on a host of under 20
 pages would be boilerplate to each other and lose all their lines.  A host has at most (mean lines a page) /
-ratio such lines, so they travel to the pages; the texts are not shuffled.
+ratio such lines, so they travel to the pages: up to `LIMIT` lines by broadcast,
+and the texts stay where they are; beyond, by a join on host and salt, for which
+the pages are shuffled with the columns handed in.
 
 Defined results: null text stays null; null host is a host of its own; a page
 that holds a line twice counts once; empty lines are never dropped; repeated

@@ -154,10 +154,11 @@ FRAME = 8 << 20  # bytes of html that a writer turns into Python strings at once
 def decide(pages: DataFrame, least: int = 1000) -> DataFrame:
     """Add refers_to (page that has the payload) and revisit.
 
-    Digests and ids alone find the payloads of several pages; what is known of
-    these travels to the pages, so html stays where it is.  Where there are too
-    many to broadcast, narrow rows meet them under salts, as a payload may be
-    that of a third of all pages, and pages below `least` bytes meet nothing."""
+    Digests and ids alone find the payloads of several pages; up to `LIMIT` of
+    these travel to the pages by broadcast, and html stays where it is.  Beyond,
+    pages meet them under salts, as a payload may be that of a third of all
+    pages, and are shuffled once with their html; pages below `least` bytes
+    meet nothing."""
     raw = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     sha = F.when(F.octet_length(raw) >= least, F.unhex(F.sha1(raw)))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"), sha.alias("_sha"))

@@ -1,6 +1,7 @@
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
 from test_llm_operators import brute_components, brute_lines, check_packing
 
 import corpus_pipeline
@@ -114,3 +115,12 @@ def test_stages_against_plain_versions(spark, sf, monkeypatch):
     rest = corpus_pipeline.drop_leaks(spark, single, sf)
     assert Counter(map(tuple, rest.collect())) == Counter(r for r in rows if r[1] not in bad)
     check_packing(corpus_pipeline.pack(spark, rest, sf).collect(), [(r.doc_id, r.text) for r in rest.collect()], 1024)
+
+
+def test_columns_of_their_own_pass_through(spark, sf):
+    docs = read_table(spark, sf, "documents").limit(60)
+    own = docs.select("*", F.lit("dot").alias("a.b"), F.lit(1).alias("_clean"), F.lit(2).alias("_file"), F.lit(3).alias("_given"), F.lit(4).alias("_toxicity"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        before, own = own, materialise(stage(spark, own, sf), "own")
+        assert own.columns == before.columns and {tuple(r) for r in own.select("`a.b`", "_clean", "_file", "_given", "_toxicity").distinct().collect()} <= {("dot", 1, 2, 3, 4)}
+    assert own.count() > 10 and corpus_pipeline.pack(spark, own, sf).count() > 0
