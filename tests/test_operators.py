@@ -276,6 +276,9 @@ def test_word_duplicates(spark):
     d = spark.createDataFrame(rows, "id string, content string")
     got = {(r.query_id, r.id) for r in vectors.word_duplicates(d.where("id like 'a%'"), d).collect()}
     assert got == {(f"a{i}", f"{x}{i}") for i in range(30) for x in "ab"}
+    other = spark.createDataFrame([("q", "один два три"), ("r", "совсем другое дело"), ("s", "три, два... Один!"), ("t", "..."), ("u", ""), ("v", None)], "id string, content string")
+    got = {(r.query_id, r.id, r.similarity) for r in vectors.word_duplicates(other, other).collect()}
+    assert got == {(a, b, 1.0) for a in "qs" for b in "qs"} | {("r", "r", 1.0)}  # texts without words are like nothing
     store_ = d.selectExpr("id", "content", "'' as domain", "'' as topic", "'' as category", "id as source_file")
     long = store_.where("id in ('a1', 'b1')")
     assert vectors.keyword_duplicates(long.where("id = 'a1'"), store_).count() == 2

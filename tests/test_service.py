@@ -263,3 +263,19 @@ def test_index_follows_writes(spark, tmp_path):
     m.model = model
     assert m.embed() == 8 and len(m.vector(second)) == 384 and m.vector("none") is None
     assert m.nearest("roadmap again", n=1).first().id == second
+
+
+def test_failing_texts_are_taken_up_again(spark, tmp_path):
+    class Fussy:
+        def __call__(self, texts):
+            if any("comet" in t for t in texts):
+                raise RuntimeError("no comet")
+            return embed.hashing()(texts)
+
+    m = Memory(spark, str(tmp_path / "s"), Fussy)
+    bad = m.add_chunk("d", "general", "a comet came")
+    for i in range(3):
+        m.add_chunk("d", "general", f"other words {i}")
+    assert m.embed() == 3 and [tuple(r) for r in m.failures().collect()] == [(bad, "RuntimeError: no comet")]
+    m.model = embed.hashing
+    assert m.embed() == 1 and m.failures().count() == 0 and m.vectors().count() == 4
