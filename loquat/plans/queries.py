@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
+from ..functions import sql as functions
 from ..functions import text as T
-from ..operators import blockmax, chunking, clusters, embed, entities, evaluate, extract, fts, kg, layers, store, topicgraph, vectors, written
+from ..operators import blockmax, chunking, clusters, embed, entities, evaluate, extract, fts, kg, layers, names, store, topicgraph, vectors, written
 from ..service.memory import Memory
 from ..sources import files, normalize, transcripts as exports
 from ..streaming import ingest
@@ -638,3 +639,53 @@ def stream_sessions(spark, sf):
         rows.write.mode("append").parquet(f"{folder}/in")
         ingest.append_sessions(spark.readStream.schema(e.schema).parquet(f"{folder}/in"), f"{folder}/out", f"{folder}/log").awaitTermination()
     return spark.read.parquet(f"{folder}/out")
+
+
+# names: how every fiftieth document begins, by one, two and three words
+BEGINS = [rf"^[^\p{{L}}\p{{Nd}}_]*({names.WORD}([^\p{{L}}\p{{Nd}}_]+{names.WORD}){{{n}}})" for n in range(3)]
+NAMES = "SELECT lower(name) AS name, min(upper(left(name, 3))) AS code FROM ({}) WHERE name <> '' GROUP BY 1"
+BEGUN = [f"SELECT regexp_extract(text, '{p}', 1) AS name FROM documents WHERE doc_id % 50 = 0" for p in BEGINS]
+PIECES = f"pieces AS (SELECT doc_id, unnest(p) AS piece, generate_subscripts(p, 1) AS place FROM (SELECT doc_id, regexp_extract_all(lower(text), '{names.PIECES}') AS p FROM documents))"
+
+
+def begun(spark, sf, most):
+    d = table(spark, sf, "documents").where("doc_id % 50 = 0")
+    name = F.explode(F.array(*[F.regexp_extract("text", p, 1) for p in BEGINS[:most]])).alias("name")
+    return d.select(name).withColumn("code", F.upper(F.substring("name", 1, 3)))
+
+
+@query(f"""WITH names AS ({NAMES.format(" UNION ALL ".join(BEGUN))}), {PIECES},
+runs AS (SELECT doc_id, piece AS one, piece || lead(piece, 1) OVER w || lead(piece, 2) OVER w AS two, piece || lead(piece, 1) OVER w || lead(piece, 2) OVER w || lead(piece, 3) OVER w || lead(piece, 4) OVER w AS three FROM pieces WINDOW w AS (PARTITION BY doc_id ORDER BY place)),
+each AS (SELECT doc_id, one AS name FROM runs UNION ALL SELECT doc_id, two FROM runs UNION ALL SELECT doc_id, three FROM runs)
+SELECT doc_id AS id, name, code, count(*) AS count FROM each JOIN names USING (name) GROUP BY doc_id, name, code""")
+def name_mentions(spark, sf):
+    """How often each of many names stands in each document."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    return names.mentions(d, begun(spark, sf, 3))
+
+
+@query(f"""WITH names AS ({NAMES.format(BEGUN[0])}), held AS (SELECT map_from_entries(list({{'k': name, 'v': code}})) AS m FROM names)
+SELECT doc_id AS id, array_to_string(list_transform(regexp_extract_all(text, '{names.PIECES}'), lambda p: coalesce(m[lower(p)], p)), '') AS content FROM documents, held""")
+def name_codes(spark, sf):
+    """Texts with names of one word replaced by their codes."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    return names.encode(d, begun(spark, sf, 1))
+
+
+@query(SQL["chunk_text"])
+def sql_chunks(spark, sf):
+    """The rows of `chunk_text` by a function in SQL text."""
+    functions.register(spark)
+    return spark.sql("SELECT id, chunk_index, chunk AS content FROM (SELECT id, chunks_of(content, 800, 100) AS parts FROM {notes}) LATERAL VIEW posexplode(parts) AS chunk_index, chunk", notes=chunks(spark, sf))
+
+
+@query(SQL["convo_exchanges"])
+def sql_exchanges(spark, sf):
+    functions.register(spark)
+    return spark.sql("SELECT id, chunk_index, chunk AS content FROM (SELECT id, exchanges_of(content, 8) AS parts FROM {talks}) LATERAL VIEW posexplode(parts) AS chunk_index, chunk", talks=transcripts(spark, sf))
+
+
+@query(SQL["sessions_split"])
+def sql_sessions(spark, sf):
+    functions.register(spark)
+    return spark.sql("SELECT id, session, line_no, line FROM (SELECT id, sessions_of(content, '> ', array('previous messages'), 6) AS parts FROM {talks}) LATERAL VIEW inline(parts) AS session, line_no, line", talks=transcripts(spark, sf))
