@@ -83,7 +83,7 @@ def people_in(query: Column, people: list[str]) -> Column:
 
 def parse_people(text: Column) -> Column:
     """`Name[:relationship],...` to an array of (name, relationship)."""
-    parts = F.filter(F.transform(F.split(text, ","), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")
     colon = lambda x: F.instr(x, ":")
     pair = lambda x: F.struct(
         F.when(colon(x) > 1, F.trim(F.substring_index(x, ":", 1))).otherwise(x).alias("name"),
