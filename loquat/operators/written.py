@@ -7,7 +7,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def folder(spark: SparkSession, name: str) -> str:
@@ -30,6 +30,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def counted(df: DataFrame, name: str, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
+    """Write and read back, with aggregates of the rows that the write itself takes."""
+    seen = Observation()
+    out = written(df.observe(seen, *[c.alias(k) for k, c in counts.items()]), name)
+    return out, seen.get
+
+
 def filesystem(spark: SparkSession, path: str):
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at

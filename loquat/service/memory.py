@@ -15,7 +15,7 @@ import uuid
 from collections.abc import Callable
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
@@ -201,28 +201,34 @@ class Memory:
         chat = mode == "convos"
         domain = domain or ("conversations" if chat else folder.rstrip("/").rsplit("/", 1)[-1])
         found = files.project(self.spark, folder) if not chat else files.conversations(self.spark, folder)
-        known = self.chunks(domain).select(F.col("source_file").alias("path")).distinct()
-        fresh = found.join(known, "path", "left_anti")
+        known = self.chunks(domain).select(F.col("source_file").alias("path"), F.lit(True).alias("known")).distinct()
+        new = F.col("known").isNull()
+        # one write lists the files, keeps the new ones' contents and counts both
+        listed, n = written.counted(found.join(known, "path", "left").select("path", F.when(new, F.col("content")).alias("content"), "known"), "mined", every=F.count("*"), new=F.count_if(new))
+        fresh = listed.where(new).select("path", "content")
         if limit:
             fresh = fresh.orderBy("path").limit(limit)
-        fresh = fresh.select("path", "content").persist()
-        try:
-            if chat:
-                texts = transcripts.transcripts(fresh).select(F.col("path").alias("id"), "content")
-                parts = (chunking.paragraphs if by_paragraph else chunking.exchanges)(texts)
-            else:
-                parts = chunking.chunk_text(fresh.select(F.col("path").alias("id"), "content"))
-            topic = T.topic(F.col("content"))
-            key = F.sha2(F.concat(F.lit(domain + "\n"), F.col("id"), F.lit("\n"), F.col("chunk_index").cast("string")), 256)
-            rows = parts.select(key.alias("id"), F.lit(domain).alias("domain"), topic.alias("topic"), T.category(topic).alias("category"), F.col("id").alias("source_file"), "content", "chunk_index", F.lit("miner").alias("added_by"), F.lit(now()).alias("filed_at"))
-            topics = {r["topic"]: r["count"] for r in rows.groupBy("topic").count().collect()}  # at most the topics of the table
-            n, every = fresh.count(), found.count()
-            added = sum(topics.values()) if dry_run else self.add(rows)
-        finally:
-            fresh.unpersist()
+        if chat:
+            texts = transcripts.transcripts(fresh).select(F.col("path").alias("id"), "content")
+            parts = (chunking.paragraphs if by_paragraph else chunking.exchanges)(texts)
+        else:
+            parts = chunking.chunk_text(fresh.select(F.col("path").alias("id"), "content"))
+        topic = T.topic(F.col("content"))
+        key = F.sha2(F.concat(F.lit(domain + "\n"), F.col("id"), F.lit("\n"), F.col("chunk_index").cast("string")), 256)
+        rows = parts.select(key.alias("id"), F.lit(domain).alias("domain"), topic.alias("topic"), T.category(topic).alias("category"), F.col("id").alias("source_file"), "content", "chunk_index", F.lit("miner").alias("added_by"), F.lit(now()).alias("filed_at"))
+        each = [F.count_if(F.col("topic") == t).alias(t) for t in (*C.TOPICS, "general")]
+        if dry_run:
+            topics = rows.agg(*each).first().asDict()
+            added = sum(topics.values())
+        else:
+            seen = Observation()
+            added = self.append("chunks", store.new_chunks(self.chunks().drop("seq"), rows).observe(seen, *each))
+            topics = seen.get
+        written.discard(listed)
         if not dry_run and not chat and self.model:
             self.embed()
-        return {"files": n, "added": added, "skipped": 0 if limit else every - n, "topics": topics}
+        count = min(n["new"], limit) if limit else n["new"]
+        return {"files": count, "added": added, "skipped": 0 if limit else n["every"] - count, "topics": {k: v for k, v in topics.items() if v}}
 
     def embed(self) -> int:
         """Vectors of the chunks that have none; returns how many.  A chunk whose
