@@ -120,7 +120,7 @@ def eval_evidence(spark, sf):
     c = table(spark, sf, "conversations").where("text IS NOT NULL").select(F.col("conv_id").cast("string").alias("item_id"), F.concat_ws("_", "conv_id", "turn").alias("id"), F.col("text").alias("content"), "role", "turn")
     first = c.groupBy("item_id").agg(F.min_by("content", "turn").alias("f"))
     word = F.array_max(F.transform(T.tokens(F.col("f")), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    q = first.select(F.col("item_id").alias("query_id"), "item_id", F.lit("all").alias("category"), F.concat(F.upper(F.substring(word, 1, 1)), F.substring(word, 2, 1 << 20)).alias("query"), F.array().cast("array<string>").alias("targets"), F.array(F.substring("f", 1, 30)).alias("evidence"))
+    q = first.select(F.col("item_id").alias("query_id"), "item_id", F.lit("all").alias("category"), T.capital(word).alias("query"), F.array().cast("array<string>").alias("targets"), F.array(F.substring("f", 1, 30)).alias("evidence"))
     return evaluate.summary(evaluate.run(c, q))
 
 
