@@ -30,3 +30,9 @@ def documents(texts):
 
 def test_asked_words_keep_their_letters(spark, tmp_path):
     same(spark, tmp_path, "eval_evidence", **talks(["ßuper ok", "ıssızlık a", "ﬁnd", "hello"]))
+
+
+def test_codes_are_upper_case_letter_by_letter(spark, tmp_path):
+    texts = ["öß one", "ßa two", "ǰab öß", "Öß and ßa", None]
+    same(spark, tmp_path / "a", "name_mentions", **documents(texts))
+    same(spark, tmp_path / "b", "name_codes", **documents(texts))
