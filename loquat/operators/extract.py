@@ -104,7 +104,8 @@ def lookup(words: DataFrame, people: DataFrame, projects: DataFrame, ambiguous:
 def summary_topics(docs: DataFrame, n: int = 3, kept: list[str] = ()) -> DataFrame:
     """(id, topics): words over three letters, one point each and two more for
     each capitalised occurrence; the best n, first seen first on ties."""
-    words = F.filter(F.regexp_extract_all("content", F.lit(r"[\p{L}\p{Mn}\p{Nd}\p{Pc}]+"), F.lit(0)), lambda w: F.length(w) > 3)
+    # a dotted capital I is one letter in lower case too
+    words = F.filter(F.regexp_extract_all(F.translate("content", "İ", "I"), F.lit(r"[\p{L}\p{Mn}\p{Nd}\p{Pc}]+"), F.lit(0)), lambda w: F.length(w) > 3)
     big = lambda w: (F.lower(w) != w) & w.rlike(r"^\p{Lu}")
     point = lambda w, i: F.struct(F.lower(w).alias("key"), i.alias("pos"))
     keyed = F.flatten(F.transform(words, lambda w, i: F.array_repeat(point(w, i), F.when(F.lower(w).isin(C.TOPIC_STOP), 0).when(big(w), 3).otherwise(1))))
@@ -113,8 +114,13 @@ def summary_topics(docs: DataFrame, n: int = 3, kept: list[str] = ()) -> DataFra
     return rows.select("id", *kept, F.array_join(F.transform(T.most_frequent(F.col("_w"), n), lambda x: x["key"]), "+").alias("topics"))
 
 
+def trimmed(s: Column) -> Column:
+    """Without blanks of any kind at both ends; tabs and line ends are none."""
+    return F.regexp_replace(s, r"^\p{Zs}+|\p{Zs}+\z", "")
+
+
 def key_sentence(s: Column, most: int = 55) -> Column:
-    parts = F.filter(F.transform(F.split(s, r"(?<=[.!?])\s+"), lambda x: F.trim(x)), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(s, r"(?<=[.!?])\s+"), trimmed), lambda x: x != "")
     ranked = F.transform(parts, lambda x, i: F.struct(T.hits(F.lower(x), C.DECISION_PHRASES).alias("n"), (-i).alias("i"), x.alias("x")))
     top = F.array_max(ranked)["x"]
     return F.coalesce(F.when(F.length(top) > most, F.concat(F.substring(top, 1, most), F.lit("…"))).otherwise(top), F.lit(""))
@@ -130,13 +136,13 @@ def compress(docs: DataFrame, metadata: tuple[str, ...] = ()) -> DataFrame:
 
 
 def decode(s: Column) -> Column:
-    """Fields of a summary: comment lines go, emotion codes become names; codes
-    that are unknown stay."""
-    body = strip(F.array_join(F.filter(F.split(s, "\n"), lambda x: ~x.rlike(r"(?U)^\s*#")), "\n"))
-    parts = F.transform(F.split(body, r"\|", 4), strip)
+    """Fields of a summary: comment lines before it go, emotion codes become
+    names; codes that are unknown stay.  A line of the key sentence is no comment."""
+    body = F.regexp_replace(s, r"\A(?:\s*#[^\n]*(?:\n|\z))++", "")
+    parts = F.transform(F.split(body, r"\|", 4), trimmed)
     name = F.create_map(*[F.lit(x) for k, v in C.EMOTION_CODES.items() for x in (v, k)])
     part = lambda i: F.coalesce(F.get(parts, F.lit(i)), F.lit(""))
-    codes = F.filter(F.transform(F.split(part(2), r"\+"), strip), lambda c: c != "")
+    codes = F.filter(F.transform(F.split(part(2), r"\+"), trimmed), lambda c: c != "")
     feelings = F.transform(codes, lambda c: F.coalesce(F.try_element_at(name, F.lower(c)), c))
     return F.struct(part(0).alias("topics"), part(1).alias("sentence"), feelings.alias("emotions"), part(3).alias("flags"))
 
@@ -150,8 +156,8 @@ def spec() -> str:
 
 
 def compression_stats(original: Column, compressed: Column) -> Column:
-    """Sizes of both texts; the ratio is the compressed one's share of the original, 0 for an empty one."""
-    ratio = F.coalesce(F.try_divide(F.length(compressed).cast("double"), F.length(original)), F.lit(0.0))
+    """Sizes of both texts; the ratio is the compressed one's share of the original, 0 for an empty one, null for none."""
+    ratio = F.when(F.length(original) == 0, F.lit(0.0)).otherwise(F.try_divide(F.length(compressed).cast("double"), F.length(original)))
     return F.struct(F.length(original).alias("original_chars"), F.length(compressed).alias("compressed_chars"), T.count_tokens(original).alias("original_tokens"), T.count_tokens(compressed).alias("compressed_tokens"), ratio.alias("ratio"))
 
 

@@ -36,3 +36,9 @@ def test_codes_are_upper_case_letter_by_letter(spark, tmp_path):
     texts = ["öß one", "ßa two", "ǰab öß", "Öß and ßa", None]
     same(spark, tmp_path / "a", "name_mentions", **documents(texts))
     same(spark, tmp_path / "b", "name_codes", **documents(texts))
+
+
+def test_summaries_with_odd_blanks_lines_and_letters(spark, tmp_path):
+    texts = ["\n# Title one\nWe decided to go. More here.", "We decided | this\n# is no comment. End", " We decided that. ", "\tTab first. We decided it\t",
+             "we chose it　", None, "", "  ", "İstanbul decided İ. DECIDEDİ", "joy+love|we decided joy + LOVE |Joy+ love|x |y "]
+    same(spark, tmp_path, "summary_decode", **documents(texts))
