@@ -245,13 +245,14 @@ class Memory:
         return last.join(self.log("vectors").select("chunk_id"), "chunk_id", "left_anti").join(self.chunks().select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi")
 
     def _entries(self, live: DataFrame) -> dict[str, DataFrame]:
-        """Index rows of chunks, the postings in order of their tokens."""
+        """Index rows of chunks.  Each file has its postings in order of their
+        tokens, so nothing is shuffled, and a read skips the pages of others."""
         postings, sizes = fts.index(live)
         return {"postings": self._sorted(postings), "sizes": sizes}
 
     @staticmethod
     def _sorted(postings: DataFrame) -> DataFrame:
-        return postings.repartitionByRange("token", "id").sortWithinPartitions("token")
+        return postings.sortWithinPartitions("token", "id")
 
     def _indexed(self, state: dict) -> str:
         """Names a state of chunks and deletions."""
@@ -270,12 +271,15 @@ class Memory:
                 break
             held = self.tables.segments("sizes", state)
             todo = live.join(self.tables.read("sizes", held).select("id"), "id", "left_anti") if held else live
+            todo = written.written(todo.select("id", *fts.COLUMNS), "todo")
             try:
                 self.tables.put(self._entries(todo), marks={"indexed": self._indexed(state)}, expect={"sizes": set(held)})
                 self._merge_index()
                 break
             except Conflict:  # another session has added to the index: see what is left
                 continue
+            finally:
+                written.discard(todo)
         state = self.tables.state()[1]
         sizes = self.tables.read("sizes", self.tables.segments("sizes", state))
         return self.tables.read("postings", self.tables.segments("postings", state)), sizes.join(live.select("id"), "id", "left_semi")
@@ -289,11 +293,14 @@ class Memory:
                 return
             level, sizes = found
             postings = [n for n, s in self.tables.segments("postings", state).items() if s["level"] == level]
-            stays = self._live(state).select(F.struct("id", "seq").alias("id"))
+            every = self.tables.gathered("sizes", sizes)
+            stays = written.written(every.join(self._live(state).select(F.struct("id", "seq").alias("id")), "id", "left_semi"), "stays")
+            # what is gone is mostly little, and the postings need not move for it
+            gone = fts.bounded(written.written(every.select("id").join(stays.select("id"), "id", "left_anti"), "gone"), FEW)
             try:
                 self.tables.put({
-                    "postings": self._sorted(self.tables.read("postings", postings).join(stays, "id", "left_semi")),
-                    "sizes": self.tables.gathered("sizes", sizes).join(stays, "id", "left_semi"),
+                    "postings": self._sorted(self.tables.read("postings", postings).join(gone, "id", "left_anti")),
+                    "sizes": stays,
                 }, level + 1, {*postings, *sizes})
             except Conflict:
                 return

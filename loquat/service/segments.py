@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from ..operators.written import filesystem, remove
 
+DICTIONARY = 64 << 20  # bytes of a column's distinct values; long ids that repeat stay numbers in a file
 FILE_BYTES = 256 << 20  # of a merged segment's files
 BASE = 1000  # the level of snapshots, which are never merged by level
 
@@ -112,7 +113,7 @@ class Segments:
             name = uuid.uuid4().hex
             path = f"{self.root}/{table}/{name}"
             seen = Observation()
-            df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+            df.observe(seen, F.count(F.lit(1)).alias("rows")).write.option("parquet.dictionary.page.size", DICTIONARY).parquet(path)
             counted[table] = seen.get["rows"]
             fs, at = filesystem(self.spark, path)
             if counted[table]:

@@ -4,7 +4,8 @@ import re
 
 from pyspark.sql import functions as F
 
-from loquat.operators import fts
+from loquat.operators import fts, store
+from loquat.service.memory import Memory
 
 
 def test_equal_queries_are_one_search(spark):
@@ -26,3 +27,13 @@ def test_equal_queries_are_one_search(spark):
     # all 14 words stand in chunks that begin with the first ones
     assert {r[1] for r in got[0]} <= {f"c{i}" for i in range(30) if set(rows[i][1].split()) == set(words)} and len(got[0]) == 4
     assert 6 not in got and [r[2] for r in got[1]] == [r[2] for r in got[2]]
+
+
+def test_index_of_the_store_is_written_where_its_chunks_are(spark, tmp_path):
+    m = Memory(spark, str(tmp_path))
+    rows = [(f"c{i}", "red", "t", "x", "f.txt", f"apple w{i}", 0, "me", f"2024-01-{i + 1:02}") for i in range(9)]
+    m.append("chunks", spark.createDataFrame(rows, store.CHUNKS))
+    postings, sizes = m.index()
+    assert sizes.count() == 9 and postings.where("token = 'apple'").count() == 9
+    plan = m._sorted(postings)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" in plan
