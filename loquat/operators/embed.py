@@ -21,14 +21,30 @@ SIZE = 384
 Model = Callable[[list[str]], np.ndarray]
 
 
+WORDS, LONG = 200_000, 40  # words whose parts a worker keeps, and their longest
+
+
 def hashing(size: int = SIZE) -> Model:
+    held: dict[str, np.ndarray] = {}
+
+    def parts(word: str) -> np.ndarray:
+        """Twice the places of a word and its trigrams, plus one where they count
+        down; hashed once, as words come again."""
+        hashes = [zlib.crc32(p.encode("utf-8", "surrogatepass")) for p in (word, *(f"#{word}#"[i : i + 3] for i in range(len(word))))]
+        got = np.array([h % size * 2 + 1 - (h >> 31) for h in hashes])
+        if len(word) <= LONG:
+            if len(held) >= WORDS:
+                held.clear()
+            held[word] = got
+        return got
+
     def embed(texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), size), np.float32)
         for row, text in zip(out, texts):
-            words = text.lower().split()
-            for part in (p for w in words for p in (w, *(f"#{w}#"[i : i + 3] for i in range(len(w))))):
-                h = zlib.crc32(part.encode("utf-8", "surrogatepass"))
-                row[h % size] += 1 if h >> 31 else -1
+            found = [held[w] if w in held else parts(w) for w in text.lower().split()]
+            if found:
+                counts = np.bincount(np.concatenate(found), minlength=2 * size).reshape(size, 2)
+                row[:] = counts[:, 0] - counts[:, 1]
         length = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(length == 0, 1, length)
 
