@@ -1,14 +1,18 @@
 """Pruned top-k search over block-max postings.
 
-The chunks are dealt into blocks of about 32 of like length.  A posting row is
-(token, block): the largest part of a BM25 score that the token gives there
-(`impact`), the number of chunks, and the packed chunks with their counts and
-lengths.  A search reads the narrow columns first: of each query's blocks that
-hold all its words, the sum of the impacts bounds every score in it.  The
-blocks of the highest bounds, as many as may hold `probe` times k matches, are
-scored and give the k-th score so far; then
-only blocks whose bound reaches that score are unpacked.  The rows are those of
-`fts.search`, as no block that could hold one is left out.
+The chunks are dealt into blocks of about 32 of like length and numbered there.
+A posting row is (token, block): the largest part of a BM25 score that the token
+gives there (`impact`), the number of chunks, and the packed chunks, as their
+places in the block with their counts.  A chunk moves once, as its words, to
+where its block is; all postings of a block are made there.
+
+Queries of equal words are one group.  A search keeps the postings of the query
+words as one row a block, which meets the groups whose rarest word it has; no
+pair of a group and a block is written.  The sum of the impacts bounds every
+score of a block.  The blocks of the highest bounds, `probe` and k at most and
+no more than may hold `probe` times k matches, are scored and give the k-th
+score so far; then only blocks whose bound reaches that score are unpacked.
+The rows are those of `fts.search`, as no block that could hold one is left out.
 
 An index is of a frozen set of chunks: its mean length is part of the impacts.
 Phrases of several tokens need all their occurrences for their own frequency,
@@ -34,11 +38,9 @@ def _impact(f: Column, length: Column, mean: Column) -> Column:
 
 def save(chunks: DataFrame, folder: str, per_block: int = 32) -> None:
     """Write the index of `chunks` anew: `sizes`, `about` (one row) and `blocks`."""
-    words = F.flatten(F.array(*[F.coalesce(tokens(F.col(c)), F.array().cast("array<string>")) for c in fts.COLUMNS]))
-    sizes = chunks.select("id", F.size(words).alias("len"), "domain", "topic")
-    sizes.write.mode("overwrite").parquet(f"{folder}/sizes")
-    spark = chunks.sparkSession
-    sizes = spark.read.parquet(f"{folder}/sizes")
+    every = F.flatten(F.array(*[F.coalesce(tokens(F.col(c)), F.array().cast("array<string>")) for c in fts.COLUMNS]))
+    words = written.written(chunks.select("id", every.alias("w"), "domain", "topic").withColumn("len", F.size("w")), "words")
+    sizes = words.select("id", "len", "domain", "topic")
     about = sizes.agg(F.count("*").alias("docs"), F.avg("len").alias("mean"))
     about.write.mode("overwrite").parquet(f"{folder}/about")
     docs, mean = about.first()
@@ -49,26 +51,68 @@ def save(chunks: DataFrame, folder: str, per_block: int = 32) -> None:
     splits = -(-blocks // (len(cuts) + 1))
     band = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col("len"))) if cuts else F.lit(0)
     block = (band.cast("long") * splits + F.pmod(F.xxhash64("id"), F.lit(splits))).alias("block")
-    # words are looked at twice, so they are made once, as a column
-    rows = chunks.select("id", F.explode(F.array(words)).alias("w")).select("id", "w", F.size("w").alias("len")).select("id", "len", block, F.explode("w").alias("token"))
-    counted = rows.groupBy("token", "block", "id", "len").agg(F.count("*").cast("int").alias("f"))
-    packed = counted.groupBy("token", "block").agg(  # a block's chunks, so bounded
-        F.count("*").cast("int").alias("n"), F.max(_impact(F.col("f"), F.col("len"), F.lit(mean or 1.0))).alias("impact"), F.collect_list(F.struct("id", "f", "len")).alias("docs"))
-    packed.repartitionByRange("token", "block").sortWithinPartitions("token", "block").write.mode("overwrite").parquet(f"{folder}/blocks")
-
-
-def _scored(pairs: DataFrame, asked: DataFrame, blocks: DataFrame, mean: Column, sizes: DataFrame | None) -> DataFrame:
-    """(query_id, id, score) of the chunks of (query_id, block) that hold all words."""
-    wanted = pairs.join(asked, "query_id").select("query_id", "block", "token", "idf", "need")
-    hits = blocks.select("token", "block", "docs").join(wanted, ["token", "block"]).select("query_id", "idf", "need", F.explode("docs").alias("d"))
-    part = F.col("idf") * _impact(F.col("d.f"), F.col("d.len"), mean)
-    out = hits.groupBy("query_id", F.col("d.id").alias("id"), "need").agg(F.sum(part).alias("score"), F.count("*").alias("got")).where("got = need")
-    out = out if sizes is None else out.join(sizes, "id", "left_semi")
-    return out.select("query_id", "id", "score")
+    slot = (F.row_number().over(Window.partitionBy("block").orderBy("id")) - 1).alias("slot")
+    known = words.where("id IS NOT NULL")
+    known.select(block, "id", "len", "domain", "topic").select("block", slot, "id", "len", "domain", "topic").write.mode("overwrite").parquet(f"{folder}/sizes")
+    # dealt by block once; places, counts and packing stay where their block is
+    rows = known.select(block, "id", "len", "w").repartition("block").select("block", slot, "len", "w").select("block", "slot", "len", F.explode("w").alias("token"))
+    counted = rows.groupBy("block", "slot", "len", "token").agg(F.count("*").cast("int").alias("f"))
+    packed = counted.groupBy("block", "token").agg(  # a block's chunks, so bounded
+        F.count("*").cast("int").alias("n"), F.max(_impact(F.col("f"), F.col("len"), F.lit(mean or 1.0))).alias("impact"), F.collect_list(F.struct("slot", "f")).alias("docs"))
+    packed.sortWithinPartitions("token", "block").write.mode("overwrite").parquet(f"{folder}/blocks")
+    written.discard(words)
+
+
+def _held(blocks: DataFrame, sizes: DataFrame, terms: DataFrame, kept: Column) -> DataFrame:
+    """(block, f, members): one row a block.  `f` is a map from the terms it has
+    to (n, impact, docs), `docs` one from places to counts; `members` has the
+    chunks by place."""
+    entry = F.struct("n", "impact", F.map_from_entries("docs").alias("docs"))
+    f = blocks.join(fts.bounded(terms), "token").groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("term", entry.alias("entry")))).alias("f"))
+    members = sizes.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("slot", "id", "len", kept.alias("kept")))).alias("members"))
+    return f.join(members, "block")
+
+
+def _met(held: DataFrame, asked: DataFrame, most: int) -> DataFrame:
+    """Pairs of a group and a block that has all its terms, with the bound of
+    its scores, the numbers of packed entries and of chunks that may match."""
+    met = held.withColumn("rare", F.explode(F.map_keys("f"))).join(F.broadcast(asked), "rare")
+    entry = lambda p: F.try_element_at("f", p["term"])
+    bound, entries, holds = F.lit(0.0), F.lit(0), F.lit(1 << 30)
+    for j in range(min(most, fts.UNROLLED)):
+        p, has = F.get("parts", F.lit(j)), F.size("parts") > j
+        met = met.where(~has | entry(p).isNotNull())
+        bound = bound + F.when(has, p["idf"] * entry(p)["impact"]).otherwise(0.0)
+        entries = entries + F.when(has, entry(p)["n"]).otherwise(0)
+        holds = F.least(holds, entry(p)["n"])
+    if most > fts.UNROLLED:
+        rest = F.slice("parts", fts.UNROLLED + 1, most)
+        met = met.where(F.forall(rest, lambda p: entry(p).isNotNull()))
+        bound = bound + F.aggregate(rest, F.lit(0.0), lambda acc, p: acc + p["idf"] * entry(p)["impact"])
+        entries = entries + F.aggregate(rest, F.lit(0), lambda acc, p: acc + entry(p)["n"])
+    return met.select("*", bound.alias("bound"), entries.alias("entries"), holds.alias("holds"))
+
+
+def _scored(pairs: DataFrame, most: int, *kept: str) -> DataFrame:
+    """(group, id, score) of the chunks of pairs of a group and a block that have all terms."""
+    rows = pairs.select("group", "mean", "parts", "f", "members", *kept, F.explode(F.map_keys(F.try_element_at("f", F.get("parts", F.lit(0))["term"])["docs"])).alias("slot"))
+    chunk = F.get("members", F.col("slot"))
+    times = lambda p: F.try_element_at(F.try_element_at("f", p["term"])["docs"], F.col("slot"))
+    part = lambda p: p["idf"] * _impact(times(p), chunk["len"], F.col("mean"))
+    score = F.lit(0.0)
+    for j in range(min(most, fts.UNROLLED)):
+        p, has = F.get("parts", F.lit(j)), F.size("parts") > j
+        rows = rows.where(~has | times(p).isNotNull())
+        score = score + F.when(has, part(p)).otherwise(0.0)
+    if most > fts.UNROLLED:
+        rest = F.slice("parts", fts.UNROLLED + 1, most)
+        rows = rows.where(F.forall(rest, lambda p: times(p).isNotNull()))
+        score = score + F.aggregate(rest, F.lit(0.0), lambda acc, p: acc + part(p))
+    return rows.where(chunk["kept"]).select("group", chunk["id"].alias("id"), score.alias("score"), *kept)
 
 
 def _ranked(scored: DataFrame, k: int) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id"))
+    rank = F.row_number().over(Window.partitionBy("group").orderBy(F.desc(F.round("score", 9)), "id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
@@ -87,28 +131,47 @@ def search(spark: SparkSession, folder: str, queries: DataFrame, k: int = 10, do
         if rest is None:
             raise ValueError("a query has a phrase of several tokens; give `rest`, a full search")
         left = rest(queries.join(others, "query_id", "left_semi"))
-    terms = wanted.join(whole.where("most = 1"), "query_id").select("query_id", "phrase", F.col("tokens")[0].alias("token"), "need")
-    words = [r["token"] for r in terms.select("token").distinct().limit(1001).collect()]
+    number = F.monotonically_increasing_id()  # differs from run to run, so it is written
+    one = wanted.join(whole.where("most = 1"), "query_id").select("query_id", F.col("tokens")[0].alias("token"))
+    sets = one.groupBy("query_id").agg(F.sort_array(F.collect_list("token")).alias("tokens"))
+    terms = written.written(one.select("token").distinct().withColumn("term", number), "terms")
+    groups = written.written(sets.select("tokens").distinct().withColumn("group", number), "groups")
+    words = [r["token"] for r in terms.select("token").limit(1001).collect()]
     if len(words) <= 1000:  # else the join alone leaves the other tokens out
         blocks = blocks.where(F.col("token").isin(words))
-    heads = blocks.select("token", "block", "n", "impact")
-    df = heads.join(fts.bounded(terms.select("token").distinct()), "token").groupBy("token").agg(F.sum("n").alias("df"))
-    idf = F.log((docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    asked = written.written(terms.join(df, "token").withColumn("idf", F.when(idf > 0, idf).otherwise(F.lit(C.IDF_FLOOR))), "asked")
-    open_ = heads.join(asked, "token").groupBy("query_id", "block", "need").agg(F.count("*").alias("got"), F.sum(F.col("idf") * F.col("impact")).alias("bound"), F.sum("n").alias("entries"), F.min("n").alias("most")).where("got = need")
-    open_ = written.written(open_.select("query_id", "block", "bound", "entries", "most"), "bounds")
-    before = Window.partitionBy("query_id").orderBy(F.desc("bound"), "block").rowsBetween(Window.unboundedPreceding, -1)
-    first = open_.withColumn("before", F.coalesce(F.sum("most").over(before), F.lit(0))).where(F.col("before") < probe * k)
-    kept = None
+    kept = F.lit(True)
     for column, value in (("domain", domain), ("topic", topic)):
-        kept = kept if value is None else (sizes if kept is None else kept).where(F.col(column) == value)
-    mean = F.lit(mean or 1.0)
-    least = _ranked(_scored(first, asked, blocks, mean, kept), k).where(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
+        kept = kept if value is None else kept & F.coalesce(F.col(column) == value, F.lit(False))
+    held = written.written(_held(blocks, sizes, terms, kept), "held")
+    df = held.select(F.explode("f").alias("term", "e")).groupBy("term").agg(F.sum("e.n").alias("df"))
+    x = groups.select("group", F.size("tokens").alias("need"), F.explode("tokens").alias("token")).join(terms, "token").join(df, "term")
+    idf = F.log((docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    parts = F.sort_array(F.collect_list(F.struct("df", "term", F.when(idf > 0, idf).otherwise(F.lit(C.IDF_FLOOR)).alias("idf"))))
+    asked = x.groupBy("group", "need").agg(parts.alias("parts")).where(F.size("parts") == F.col("need"))
+    asked = written.written(asked.select("group", F.lit(mean or 1.0).alias("mean"), "parts", F.col("parts")[0]["term"].alias("rare")), "asked")
+    n, most = asked.agg(F.count("*"), F.coalesce(F.max(F.size("parts")), F.lit(0))).first()
+    turns = -(-n // fts.BLOCK) or 1
+
+    def met(asked: DataFrame) -> DataFrame:
+        out = None
+        for turn in range(turns):
+            one = _met(held, asked.where(F.pmod(F.xxhash64("group"), F.lit(turns)) == turn), most)
+            out = one if out is None else out.unionByName(one)
+        return out
+
+    best = Window.partitionBy("group").orderBy(F.desc("bound"), "block")
+    # each task keeps the highest bounds of a group, so that is all that is shuffled
+    top = met(asked).select("group", "block", "bound", "entries", "holds").withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= probe + k)
+    before = F.coalesce(F.sum("holds").over(best.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = written.written(top.withColumn("before", before).where(F.col("before") < probe * k).select("group", "block", "entries"), "first")
+    least = _ranked(_scored(fts.bounded(first.join(asked, "group")).join(held, "block"), most), k).where(F.col("rank") == k).select("group", F.col("score").alias("least"))
     # scores are compared to nine places
-    second = written.written(open_.join(least, "query_id", "left").where(F.col("least").isNull() | (F.col("bound") >= F.col("least") - 1e-8)), "second")
+    asked = written.written(asked.join(least, "group", "left").withColumn("least", F.coalesce(F.col("least") - 1e-8, F.lit(float("-inf")))), "bounds")
+    second = met(asked).where(F.col("bound") >= F.col("least"))
     if read is not None:
-        total = lambda d: d.agg(F.coalesce(F.sum("entries"), F.lit(0))).first()[0]
-        read |= {"first": total(first), "second": total(second), "full": heads.join(asked, "token").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]}
-    found = _ranked(_scored(second, asked, blocks, mean, kept), k).select("query_id", "id", "score", "rank")
-    written.discard(open_, *([wanted] if left is None else []))  # `left` still reads the phrases
+        total = lambda d, c: d.agg(F.coalesce(F.sum(c), F.lit(0))).first()[0]
+        read |= {"first": total(first, "entries"), "second": total(second, "entries"), "full": total(asked.select(F.explode("parts").alias("p")), "p.df")}
+    found = _ranked(_scored(second, most, "least").where(F.col("score") >= F.col("least")), k)
+    found = sets.join(groups, "tokens").select("query_id", "group").join(found, "group").select("query_id", "id", "score", "rank")
+    written.discard(first)
     return found if left is None else found.unionByName(left)

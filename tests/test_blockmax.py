@@ -44,3 +44,17 @@ def test_empty_index_and_no_queries(spark, tmp_path):
     asked = spark.createDataFrame([(1, "w1")], "query_id long, query string")
     assert blockmax.search(spark, str(tmp_path), asked).count() == 0
     assert blockmax.search(spark, str(tmp_path), asked.where(F.lit(False))).count() == 0
+
+
+def test_packed_chunks_are_places_and_equal_queries_one_group(spark, tmp_path):
+    chunks = spark.createDataFrame(corpus(100), store.CHUNKS)
+    blockmax.save(chunks, str(tmp_path), 8)
+    packed = spark.read.parquet(f"{tmp_path}/blocks").schema["docs"].dataType.elementType
+    assert "id" not in packed.names
+    reads = []
+    for n in (1, 5):
+        asked = spark.createDataFrame([(i, "w1 w2" if i % 2 else "w2 w1") for i in range(n)], "query_id long, query string")
+        reads.append({})
+        got = blockmax.search(spark, str(tmp_path), asked, 5, read=reads[-1]).collect()
+        assert len(got) == 5 * n
+    assert reads[0] == reads[1]
