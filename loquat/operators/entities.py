@@ -9,38 +9,46 @@ from ..functions import constants as C
 from .extract import candidates
 
 
-EDGE, CONTEXT = r"[\p{L}\p{N}_]", 100
+EDGE, REACH = r"[\p{L}\p{N}_]", 50
 
 
-def occurrences(pieces: Column, key: Column, low: Column, reach: int = 50) -> Column:
-    """(before, after, near) of each occurrence of `key` in the text `low` that
-    it cuts into `pieces`: up to CONTEXT characters on each side, and the text
-    within `reach` of it."""
-    def cut(acc: Column, piece: Column) -> Column:
-        at = acc["next"]
-        here = F.struct(F.substring(low, F.greatest(at - CONTEXT, F.lit(1)), F.least(at - 1, F.lit(CONTEXT))).alias("before"), F.substring(low, at + F.length(key), F.lit(CONTEXT)).alias("after"),
-                        F.substring(low, F.greatest(at - reach, F.lit(1)), F.least(at - 1, F.lit(reach)) + F.length(key) + reach).alias("near"))
-        return F.struct(F.concat(acc["found"], F.array(here)).alias("found"), (at + F.length(key) + F.length(piece)).alias("next"))
+def ends(pieces: Column) -> Column:
+    """Pieces without what is further than REACH characters from both their ends."""
+    return F.transform(pieces, lambda p: F.when(F.length(p) > 2 * REACH, F.concat(F.substring(p, 1, REACH), F.substring(p, -REACH, REACH))).otherwise(p))
 
-    start = F.struct(F.array().cast("array<struct<before:string,after:string,near:string>>").alias("found"), (F.length(F.get(pieces, F.lit(0))) + 1).alias("next"))
-    return F.aggregate(F.slice(pieces, 2, F.size(pieces)), start, cut, lambda acc: acc["found"])
 
+def near(pieces: Column, key: Column, i: Column) -> Column:
+    """The i-th occurrence of `key`, from 1, with REACH characters on each side,
+    in the text that it cuts into `pieces`.  It is put together of the pieces
+    beside it: to find a place in the text takes as long as the text is long."""
+    most = F.ceil(REACH / F.greatest(F.length(key), F.lit(1))).cast("int") + 1  # pieces that reach so far, if all are empty
+    left, right = F.least(i, most), F.least(F.size(pieces) - i, most)
+    joined = lambda first, n: F.call_function("array_join", F.slice(pieces, first, n), key)
+    own = lambda j, more: F.when(F.length(F.get(pieces, j)) >= REACH, F.get(pieces, j)).otherwise(more)
+    return F.concat(F.substring(own(i - 1, joined(i - left + 1, left)), -REACH, REACH), key, F.substring(own(i, joined(i + 1, right)), 1, REACH))
 
-def _points(found: Column, signs: dict[str, tuple[int, list[str]]]) -> list[Column]:
+
+def _points(low: Column, key: Column, signs: dict[str, tuple[int, list[str]]]) -> list[Column]:
     """Points of each kind of sign, whose patterns name the text before and after a name."""
     def count(pattern: str) -> Column:
         a, b = pattern.split("{n}")
-        # a bound next to the name: no letter, digit or underscore there
-        before, after = (rf"(?<!{EDGE})" if a == r"\b" else a) + "$", "^" + (rf"(?!{EDGE})" if b == r"\b" else b)
-        return F.size(F.filter(found, lambda c: c["before"].rlike(before) & c["after"].rlike(after)))
+        # a bound is that no letter, digit or underscore is there
+        a, b = (x.replace(r"\b", bound) for x, bound in ((a, rf"(?<!{EDGE})"), (b, rf"(?!{EDGE})")))
+        name = F.concat(F.lit(r"\Q"), key, F.lit(r"\E"))
+        if pattern.startswith(r"\b{n}"):  # the name first: it is looked for faster than a bound
+            return F.regexp_count(low, F.concat(name, F.lit(rf"(?<!{EDGE}"), name, F.lit(")" + b)))
+        return F.regexp_count(low, F.concat(F.lit(a), name, F.lit(b)))
 
     return [weight * sum(map(count, patterns), F.lit(0)) for weight, patterns in signs.values()]
 
 
-def pronoun_points(found: Column) -> Column:
-    """Two points for each pronoun near an occurrence of the name, six at most."""
-    near = F.transform(found, lambda c: sum((F.contains(c["near"], F.lit(p)).cast("int") for p in C.PRONOUNS), F.lit(0)))
-    return F.least(2 * F.aggregate(near, F.lit(0), lambda a, x: a + x), F.lit(6))
+def pronoun_points(pieces: Column, key: Column) -> Column:
+    """Two points for each pronoun near an occurrence of the name, six at most.
+    Once there are six, no more occurrences are looked at."""
+    said = lambda text: sum((F.contains(text, F.lit(p)).cast("int") for p in C.PRONOUNS), F.lit(0))
+    here = lambda i: F.get(F.transform(F.array(near(pieces, key, i)), said), F.lit(0))
+    places = F.when(F.size(pieces) > 1, F.sequence(F.lit(1), F.size(pieces) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.least(2 * F.aggregate(places, F.lit(0), lambda n, i: F.when(n >= 3, n).otherwise(n + here(i))), F.lit(6))
 
 
 def classify(names: DataFrame, docs: DataFrame) -> DataFrame:
@@ -48,12 +56,10 @@ def classify(names: DataFrame, docs: DataFrame) -> DataFrame:
     uncertain, with both scores."""
     both = names.join(docs.select("id", F.lower("content").alias("_low")), "id")
     # exploding keeps a value a column; inlined, each occurrence would make it again
-    cut = F.split("_low", F.concat(F.lit(r"\Q"), F.lower("name"), F.lit(r"\E")))
-    both = both.select("id", "name", "count", "_low", F.explode(F.array(cut)).alias("_pieces"))
-    both = both.select("id", "name", "count", F.explode(F.array(occurrences(F.col("_pieces"), F.lower("name"), F.col("_low")))).alias("_found"))
-    found = F.col("_found")
-    person = [*_points(found, C.PERSON_SIGNS), pronoun_points(found)]
-    both = both.select("id", "name", "count", F.array(*person).alias("_p"), sum(_points(found, C.PROJECT_SIGNS), F.lit(0)).alias("project_score"))
+    cut, key = F.split("_low", F.concat(F.lit(r"\Q"), F.lower("name"), F.lit(r"\E"))), F.col("_key")
+    both = both.select("id", "name", "count", "_low", F.lower("name").alias("_key"), F.explode(F.array(ends(cut))).alias("_pieces"))
+    person = [*_points(F.col("_low"), key, C.PERSON_SIGNS), pronoun_points(F.col("_pieces"), key)]
+    both = both.select("id", "name", "count", F.array(*person).alias("_p"), sum(_points(F.col("_low"), key, C.PROJECT_SIGNS), F.lit(0)).alias("project_score"))
     score, kinds = F.aggregate("_p", F.lit(0), lambda a, x: a + x), F.size(F.filter("_p", lambda x: x > 0))
     both = both.withColumn("person_score", score).withColumn("signal_types", kinds).drop("_p")
     kind = F.expr("CASE WHEN person_score >= 4 AND signal_types >= 2 THEN 'person' WHEN project_score >= 4 THEN 'project' WHEN person_score >= 2 AND count >= 5 THEN 'person' ELSE 'uncertain' END")

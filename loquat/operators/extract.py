@@ -82,10 +82,14 @@ def extract_memories(docs: DataFrame, least: float = 0.3) -> DataFrame:
 
 def candidates(docs: DataFrame, least: int = 3) -> DataFrame:
     """(id, name, count): title-case runs, and single words outside such runs."""
-    runs = docs.select("id", F.explode(F.regexp_extract_all("content", F.lit(r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+\b"), F.lit(0))).alias("name"))
-    parts = runs.select("id", F.explode(F.split("name", r"\s+")).alias("name")).distinct()
-    single = docs.select("id", F.explode(F.regexp_extract_all("content", F.lit(r"\b[A-Z][a-z]{1,19}\b"), F.lit(0))).alias("name")).where(~F.col("name").isin(C.NOT_ENTITIES)).join(parts, ["id", "name"], "left_anti")
-    return runs.unionByName(single).groupBy("id", "name").agg(F.count("*").alias("count")).where(F.col("count") >= least)
+    found = lambda p: F.regexp_extract_all("content", F.lit(rf"[A-Z](?<=\b[A-Z]){p}\b"), F.lit(0))
+    single = F.filter(found("[a-z]{1,19}"), lambda w: ~w.isin(C.NOT_ENTITIES))
+    # a text's runs and words are told apart in its own row; exploding keeps an array a column
+    rows = docs.select("id", F.explode(F.array(F.struct(found(r"[a-z]+(?:\s+[A-Z][a-z]+)+").alias("runs"), single.alias("single")))).alias("x"))
+    parts = F.array_distinct(F.flatten(F.transform("x.runs", lambda r: F.split(r, r"\s+"))))
+    rows = rows.select("id", "x", F.explode(F.array(parts)).alias("parts"))
+    names = F.concat("x.runs", F.filter("x.single", lambda w: F.col("id").isNull() | ~F.array_contains("parts", w)))
+    return rows.select("id", F.explode(names).alias("name")).groupBy("id", "name").agg(F.count("*").alias("count")).where(F.col("count") >= least)
 
 
 def lookup(words: DataFrame, people: DataFrame, projects: DataFrame, ambiguous: DataFrame, indicators: list[str]) -> DataFrame:
