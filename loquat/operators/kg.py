@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import entity_id
+from . import fts, written
 
 
 def valid_at(t: str | Column) -> Column:
@@ -90,6 +91,17 @@ def as_of_join(probes: DataFrame, triples: DataFrame) -> DataFrame:
     return met.where(valid_at(F.col("t"))).drop("_low", "_high", "_day", "_b", "_p")
 
 
+def as_of_summary(probes: DataFrame, triples: DataFrame, **values: Column) -> DataFrame:
+    """`probes` with aggregates of the facts that hold at their time, without
+    those that meet none.  Probes of one entity and time are asked once, so the
+    work grows with facts and distinct times, not with facts times probes; up to
+    20,000 of them go to where the facts are."""
+    asked = written.written(probes.select("entity", "t").distinct(), "asked")
+    met = as_of_join(fts.bounded(asked, 20_000), triples).groupBy("entity", "t").agg(*[v.alias(k) for k, v in values.items()])
+    own, theirs = F.struct("entity", "t"), F.struct(F.col("_m.entity"), F.col("_m.t"))
+    return probes.join(met.select(F.struct("entity", "t").alias("_m"), *values), own.eqNullSafe(theirs)).drop("_m")
+
+
 def timeline(triples: DataFrame, name: str | None = None) -> DataFrame:
     df = triples if name is None else query_entity(triples, name)
     return df.orderBy(F.coalesce("valid_from", "extracted_at").desc(), "subject", "predicate", "object")
