@@ -25,6 +25,16 @@ def recall(found: DataFrame, relevant: DataFrame, k: int = 5) -> DataFrame:
     return per.rollup("category").agg(F.count("*").alias("queries"), F.sum("hit").cast("long").alias("hits"), F.avg("hit").alias("recall"))
 
 
+def labelled(found: DataFrame, asked: DataFrame, labels: DataFrame, k: int = 5) -> DataFrame:
+    """As `recall`, where other rows of a query's own category are relevant.
+    asked: (query_id, category), labels: (id, category).  Only what was found is
+    looked up, so no pairs of a category's rows are made."""
+    near = found.where((F.col("rank") <= k) & (F.col("id") != F.col("query_id"))).select("query_id", "id").join(labels, "id")
+    hit = near.select("query_id", "category").distinct().withColumn("hit", F.lit(1))
+    per = asked.join(hit, ["query_id", "category"], "left").select("category", F.coalesce("hit", F.lit(0)).alias("hit"))
+    return per.rollup("category").agg(F.count("*").alias("queries"), F.sum("hit").cast("long").alias("hits"), F.avg("hit").alias("recall"))
+
+
 def run(corpus: DataFrame, questions: DataFrame, k: int = 5, hybrid: bool = True, penalise: bool = False, deep_evidence: bool = False) -> DataFrame:
     """(query_id, category, retrieved, hit): every question asked of its own
     item's corpus, all items in one job.
