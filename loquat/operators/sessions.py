@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions.text import timestamp_date
+from . import written
 from .chunking import sessions
 
 DATE = r"\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}|\d{1,2}/\d{1,2}/\d{4}"
@@ -71,5 +72,4 @@ def write(rows: DataFrame, folder: str) -> DataFrame:
                 sizes.append(len(data))
             yield pa.record_batch([batch.column("name"), pa.array(sizes, pa.int64())], ["file_name", "bytes"])
 
-    done = rows.select(name.alias("name"), "content").mapInArrow(run, "file_name string, bytes long").collect()  # a name and a size a file
-    return rows.sparkSession.createDataFrame([tuple(r) for r in done], "file_name string, bytes long")
+    return written.written(rows.select(name.alias("name"), "content").mapInArrow(run, "file_name string, bytes long"), "files")

@@ -200,12 +200,16 @@ class Memory:
             return {"files": 0, "added": 0, "skipped": 0, "topics": {}}
         chat = mode == "convos"
         domain = domain or ("conversations" if chat else folder.rstrip("/").rsplit("/", 1)[-1])
-        found = files.project(self.spark, folder) if not chat else files.conversations(self.spark, folder)
+        found = files.names(self.spark, folder) if not chat else files.conversations(self.spark, folder)
         known = self.chunks(domain).select(F.col("source_file").alias("path"), F.lit(True).alias("known")).distinct()
         new = F.col("known").isNull()
-        # one write lists the files, keeps the new ones' contents and counts both
-        listed, n = written.counted(found.join(known, "path", "left").select("path", F.when(new, F.col("content")).alias("content"), "known"), "mined", every=F.count("*"), new=F.count_if(new))
-        fresh = listed.where(new).select("path", "content")
+        # one write lists the files and counts both; a project's files are opened only if they are new
+        kept = ["path", "known", *([F.when(new, F.col("content")).alias("content")] if chat else [])]
+        listed, n = written.counted(found.join(known, "path", "left").select(*kept), "mined", every=F.count("*"), new=F.count_if(new))
+        fresh, read = listed.where(new).drop("known"), []
+        if not chat:
+            fresh, full = written.counted(files.contents(fresh, folder, n["new"]), "read", new=F.count("*"))
+            n, read = {"every": n["every"] - n["new"] + full["new"], "new": full["new"]}, [fresh]
         if limit:
             fresh = fresh.orderBy("path").limit(limit)
         if chat:
@@ -222,9 +226,10 @@ class Memory:
             added = sum(topics.values())
         else:
             seen = Observation()
-            added = self.append("chunks", store.new_chunks(self.chunks().drop("seq"), rows).observe(seen, *each))
+            # an id is of the domain, file and place, and none of these files has chunks there
+            added = self.append("chunks", rows.observe(seen, *each))
             topics = seen.get
-        written.discard(listed)
+        written.discard(listed, *read)
         if not dry_run and not chat and self.model:
             self.embed()
         count = min(n["new"], limit) if limit else n["new"]

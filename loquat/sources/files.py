@@ -7,6 +7,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,8 @@ from ..operators import written
 
 
 FEW = 100_000  # paths that may be broadcast
+FILES = 2_000  # files that a task reads
+BATCH, CHARS = 10_000, 16 << 20  # rows and characters of a batch of them
 RULES = "folder string, number int, regex string, negated boolean"
 
 
@@ -119,41 +122,90 @@ def relative(files: DataFrame, folder: str) -> DataFrame:
     return files.withColumn("path", F.substring(bare, len(root) + 1, 1 << 30))
 
 
-def unlisted(spark: SparkSession, folder: str, endings: tuple[str, ...]) -> DataFrame:
-    """(path, content) of files that Spark's readers leave out: those with a name
-    or folder that begins with `_` or `.`, if they end as wanted; folders that a
-    scan skips are left.  Folders are listed and files read in tasks; the driver
-    holds the names of one level's folders."""
-    target = folder if "://" in folder else "file://" + os.path.abspath(folder)
+def target(folder: str) -> str:
+    return folder if "://" in folder else "file://" + os.path.abspath(folder)
+
+
+def _entries(system: fs.FileSystem, path: str) -> Iterator[tuple[str, bool]]:
+    """(name, is it a folder) of a folder's entries; on a local disk one by one, however many there are."""
+    if isinstance(system, fs.LocalFileSystem):
+        with os.scandir(path) as found:
+            for x in found:
+                if x.is_dir() or x.is_file():
+                    yield x.name, x.is_dir()
+    else:
+        for x in system.get_file_info(fs.FileSelector(path)):
+            yield x.base_name, x.type == fs.FileType.Directory
+
+
+def listing(spark: SparkSession, folder: str, endings: tuple[str, ...]) -> DataFrame:
+    """(path) of all files under a folder, from the folder on.  Of those with a
+    name or folder that begins with `_` or `.` only the ones that end as wanted,
+    and none in folders that a scan skips.  Folders are listed in tasks, level by
+    level; the driver holds the names of one level's folders."""
+    at = target(folder)
 
     def listed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        system, top = fs.FileSystem.from_uri(target)
-        for frame in frames:
-            rows = []
-            for below in frame["path"]:
-                for x in system.get_file_info(fs.FileSelector(f"{top}/{below}".rstrip("/"))):
-                    path = f"{below}/{x.base_name}".lstrip("/")
-                    if x.type == fs.FileType.Directory:
-                        rows.append((path, None)) if x.base_name not in C.SKIP_DIRS else None
-                    elif path.endswith(endings) and any(p[0] in "_." for p in path.split("/")):
-                        with system.open_input_stream(x.path, compression=None) as f:
-                            rows.append((path, f.read().decode("utf-8", "replace")))
-            yield pd.DataFrame(rows, columns=["path", "content"])
-
-    level, found = [""], spark.createDataFrame([], "path string, content string")
+        system, top = fs.FileSystem.from_uri(at)
+        rows = []
+        frame = lambda: pd.DataFrame(rows, columns=["path", "folder"])
+        for below in (x for f in frames for x in f["path"]):
+            for name, is_folder in _entries(system, f"{top}/{below}".rstrip("/")):
+                path = f"{below}/{name}".lstrip("/")
+                parts = path.split("/")
+                hidden = any(p[0] in "_." for p in parts)
+                skipped = hidden and any(p in C.SKIP_DIRS for p in (parts if is_folder else parts[:-1]))
+                if not skipped and (is_folder or not hidden or path.endswith(endings)):
+                    rows.append((path, is_folder))
+                if len(rows) == BATCH:
+                    yield frame()
+                    rows = []
+        yield frame()
+
+    level, found = [""], spark.createDataFrame([], "path string")
     while level:  # each level is listed once, and written
-        here = spark.createDataFrame([(p,) for p in level], "path string").repartition(min(len(level), 64)).mapInPandas(listed, "path string, content string")
+        here = spark.createDataFrame([(p,) for p in level], "path string").repartition(min(len(level), 64)).mapInPandas(listed, "path string, folder boolean")
         here = written.written(here, "listed")
-        found = found.unionByName(here.where("content IS NOT NULL"))
-        level = [r["path"] for r in here.where("content IS NULL").select("path").collect()]
+        found = found.unionByName(here.where("NOT folder").select("path"))
+        level = [r["path"] for r in here.where("folder").select("path").collect()]
     return found
 
 
+def contents(paths: DataFrame, folder: str, number: int | None = None) -> DataFrame:
+    """(path, content) of files by their paths from the folder on; blank files
+    are left out.  Each file is read once, in tasks of some FILES files."""
+    at = target(folder)
+    number = paths.count() if number is None else number
+
+    def read_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, top = fs.FileSystem.from_uri(at)
+        names, texts, held = [], [], 0
+        frame = lambda: pa.record_batch([pa.array(names, pa.string()), pa.array(texts, pa.string())], ["path", "content"])
+        for path in (x for b in batches for x in b.column("path").to_pylist()):
+            with system.open_input_stream(f"{top}/{path}") as f:
+                names.append(path)
+                texts.append(f.read().decode("utf-8", "replace"))
+            held += len(texts[-1])
+            if held >= CHARS or len(names) == BATCH:
+                yield frame()
+                names, texts, held = [], [], 0
+        yield frame()
+
+    tasks = max(min(number, paths.sparkSession.sparkContext.defaultParallelism), -(-number // FILES), 1)
+    return paths.select("path").repartition(tasks, "path").mapInArrow(read_, "path string, content string").where(F.col("content").rlike(r"\S"))
+
+
+def names(spark: SparkSession, folder: str, include: list[str] = (), respect_ignore: bool = True) -> DataFrame:
+    """(path) of the files that a project scan takes, with the ignore files found in it; of files only those are opened."""
+    found = listing(spark, folder, (*C.ALLOW_EXTENSIONS, ".gitignore"))
+    ignores = found.where(F.substring_index("path", "/", -1) == ".gitignore")
+    number = ignores.count() if respect_ignore else 0
+    return scan(found, rule_rows(contents(ignores, folder, number)) if number else None, include)
+
+
 def project(spark: SparkSession, folder: str, include: list[str] = (), respect_ignore: bool = True) -> DataFrame:
-    """(path, content) of the files that a project scan takes, with the ignore files found in it."""
-    hidden = unlisted(spark, folder, (*C.ALLOW_EXTENSIONS, ".gitignore"))
-    rules = rule_rows(hidden.where(F.substring_index("path", "/", -1) == ".gitignore")) if respect_ignore else None
-    return scan(relative(read(spark, folder), folder).unionByName(hidden.where(F.col("content").rlike(r"\S"))), rules, include)
+    """(path, content) of the files that a project scan takes."""
+    return contents(names(spark, folder, include, respect_ignore), folder)
 
 
 def conversations(spark: SparkSession, folder: str) -> DataFrame:
