@@ -5,7 +5,10 @@ from __future__ import annotations
 import functools
 import json
 import re
+import unicodedata
+from collections import Counter
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,17 +108,42 @@ def lookup(words: DataFrame, people: DataFrame, projects: DataFrame, ambiguous:
     return x.withColumn("entity_type", kind).withColumn("confidence", sure).drop("_k", "_p", "_j", "_a")
 
 
+def _most_points(n: int):
+    @F.pandas_udf("string")
+    def run(words: pd.Series, lowered: pd.Series) -> pd.Series:
+        letters, out = {}, []
+        for text, low in zip(words, lowered):
+            keys = low.split("\n") if text else []
+            points = Counter(keys)
+            for word, key in zip(text.split("\n"), keys) if text != low else ():
+                if word != key and (letters.get(word[0]) or letters.setdefault(word[0], unicodedata.category(word[0]))) == "Lu":
+                    points[key] += 2
+            for key in C.TOPIC_STOP:
+                points.pop(key, None)
+            out.append("+".join(sorted(points, key=points.get, reverse=True)[:n]))  # stable: first seen first
+        return pd.Series(out, dtype=object)
+
+    return run
+
+
 def summary_topics(docs: DataFrame, n: int = 3, kept: list[str] = ()) -> DataFrame:
     """(id, topics): words over three letters, one point each and two more for
-    each capitalised occurrence; the best n, first seen first on ties."""
+    each capitalised occurrence; the best n, first seen first on ties.  A
+    document's words are counted in its own row, so nothing is shuffled."""
     # a dotted capital I is one letter in lower case too
-    words = F.filter(F.regexp_extract_all(F.translate("content", "İ", "I"), F.lit(r"[\p{L}\p{Mn}\p{Nd}\p{Pc}]+"), F.lit(0)), lambda w: F.length(w) > 3)
-    big = lambda w: (F.lower(w) != w) & w.rlike(r"^\p{Lu}")
-    point = lambda w, i: F.struct(F.lower(w).alias("key"), i.alias("pos"))
-    keyed = F.flatten(F.transform(words, lambda w, i: F.array_repeat(point(w, i), F.when(F.lower(w).isin(C.TOPIC_STOP), 0).when(big(w), 3).otherwise(1))))
-    # a document's words are counted in its own row, so nothing is shuffled; exploding keeps an array a column
-    rows = docs.select("id", *kept, F.explode(F.array(F.sort_array(keyed))).alias("_w"))
-    return rows.select("id", *kept, F.array_join(F.transform(T.most_frequent(F.col("_w"), n), lambda x: x["key"]), "+").alias("topics"))
+    words = F.array_join(F.regexp_extract_all(F.translate("content", "İ", "I"), F.lit(r"[\p{L}\p{Mn}\p{Nd}\p{Pc}]{4,}"), F.lit(0)), "\n")
+    rows = docs.select("id", *kept, F.explode(F.array(words)).alias("_w"))  # exploding keeps the words a column
+    return rows.select("id", *kept, _most_points(n)("_w", F.lower("_w")).alias("topics"))
+
+
+def _text_codes(tables: dict[str, tuple[dict[str, list[str]], dict[str, str]]]):
+    """`text.codes` of lower-cased texts by several tables."""
+    @F.pandas_udf(", ".join(f"{k} string" for k in tables))
+    def run(lowered: pd.Series) -> pd.DataFrame:
+        found = lambda low, table, names: "+".join(names.get(k, k) for k, v in table.items() if any(w in low for w in v))
+        return pd.DataFrame({k: [found(low or "", *x) for low in lowered] for k, x in tables.items()}, dtype=object)
+
+    return run
 
 
 def trimmed(s: Column) -> Column:
@@ -134,9 +162,10 @@ def compress(docs: DataFrame, metadata: tuple[str, ...] = ()) -> DataFrame:
     """(id, summary): topics|key sentence|emotions|flags, after a line
     `# name: value` for each of the columns `metadata` that is not null."""
     head = F.concat_ws("", *[F.concat(F.lit(f"# {c}: "), F.col(c).cast("string"), F.lit("\n")) for c in metadata])
-    parts = {"h": head, "k": key_sentence(F.col("content")), "e": T.codes(F.col("content"), C.EMOTIONS, C.EMOTION_CODES), "f": T.codes(F.col("content"), C.FLAGS, {})}
+    codes = _text_codes({"e": (C.EMOTIONS, C.EMOTION_CODES), "f": (C.FLAGS, {})})(F.lower("content"))
+    parts = {"h": head, "k": key_sentence(F.col("content")), "c": codes}
     both = summary_topics(docs.select("*", *[x.alias(f"_{k}") for k, x in parts.items()]), kept=[f"_{k}" for k in parts])
-    return both.select("id", F.concat("_h", F.concat_ws("|", F.coalesce("topics", F.lit("")), "_k", "_e", "_f")).alias("summary"))
+    return both.select("id", F.concat("_h", F.concat_ws("|", F.coalesce("topics", F.lit("")), "_k", "_c.e", "_c.f")).alias("summary"))
 
 
 def decode(s: Column) -> Column:
