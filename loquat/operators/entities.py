@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
+from . import written
 from .extract import candidates
+from .fts import bounded
 
 
-EDGE, REACH = r"[\p{L}\p{N}_]", 50
+EDGE, REACH, SEAM = r"[\p{L}\p{N}_]", 50, "\x01"
 
 
 def ends(pieces: Column) -> Column:
@@ -17,6 +19,16 @@ def ends(pieces: Column) -> Column:
     return F.transform(pieces, lambda p: F.when(F.length(p) > 2 * REACH, F.concat(F.substring(p, 1, REACH), F.substring(p, -REACH, REACH))).otherwise(p))
 
 
+def beside(low: Column, pieces: Column, key: Column) -> Column:
+    """The text `low` without what no sign of a name can hold: of each piece
+    between two places of the name stays as much beside them as a place that
+    overlaps one of them, a word, 40 blanks and a bound take.  A seam, which is
+    part of no name, stands for the rest.  Texts of more blanks in a row stay whole."""
+    reach = F.length(key) + 2 * REACH
+    part = lambda p: F.when(F.length(p) > 2 * reach, F.concat(F.left(p, reach), F.lit(SEAM), F.right(p, reach))).otherwise(p)
+    return F.when(F.regexp_like(low, F.lit(r"\s{40}")), low).otherwise(F.call_function("array_join", F.transform(pieces, part), key))
+
+
 def near(pieces: Column, key: Column, i: Column) -> Column:
     """The i-th occurrence of `key`, from 1, with REACH characters on each side,
     in the text that it cuts into `pieces`.  It is put together of the pieces
@@ -54,14 +66,16 @@ def pronoun_points(pieces: Column, key: Column) -> Column:
 def classify(names: DataFrame, docs: DataFrame) -> DataFrame:
     """names (id, name, count) of docs (id, content) to person, project or
     uncertain, with both scores."""
-    both = names.join(docs.select("id", F.lower("content").alias("_low")), "id")
-    # exploding keeps a value a column; inlined, each occurrence would make it again
-    cut, key = F.split("_low", F.concat(F.lit(r"\Q"), F.lower("name"), F.lit(r"\E"))), F.col("_key")
-    both = both.select("id", "name", "count", "_low", F.lower("name").alias("_key"), F.explode(F.array(ends(cut))).alias("_pieces"))
-    person = [*_points(F.col("_low"), key, C.PERSON_SIGNS), pronoun_points(F.col("_pieces"), key)]
-    both = both.select("id", "name", "count", F.array(*person).alias("_p"), sum(_points(F.col("_low"), key, C.PROJECT_SIGNS), F.lit(0)).alias("project_score"))
-    score, kinds = F.aggregate("_p", F.lit(0), lambda a, x: a + x), F.size(F.filter("_p", lambda x: x > 0))
-    both = both.withColumn("person_score", score).withColumn("signal_types", kinds).drop("_p")
+    both = names.join(docs.select("id", F.lower("content").alias("_low")), "id").withColumn("_key", F.lower("name"))
+    # exploding keeps a value a column; inlined, each use would make it again
+    keep = lambda df, name, value: df.select("id", "name", "count", "_key", *(c for c in df.columns if c == "_low"), F.explode(F.array(value)).alias(name))
+    key = F.col("_key")
+    cut = keep(both, "_cut", F.split("_low", F.concat(F.lit(r"\Q"), key, F.lit(r"\E"))))
+    text = keep(cut, "_x", F.struct(ends(F.col("_cut")).alias("pieces"), beside(F.col("_low"), F.col("_cut"), key).alias("near"))).drop("_low")
+    person = [*_points(F.col("_x.near"), key, C.PERSON_SIGNS), pronoun_points(F.col("_x.pieces"), key)]
+    points = keep(text, "_p", F.struct(F.array(*person).alias("person"), sum(_points(F.col("_x.near"), key, C.PROJECT_SIGNS), F.lit(0)).alias("project")))
+    score, kinds = F.aggregate("_p.person", F.lit(0), lambda a, x: a + x), F.size(F.filter("_p.person", lambda x: x > 0))
+    both = points.select("id", "name", "count", F.col("_p.project").alias("project_score"), score.alias("person_score"), kinds.alias("signal_types"))
     kind = F.expr("CASE WHEN person_score >= 4 AND signal_types >= 2 THEN 'person' WHEN project_score >= 4 THEN 'project' WHEN person_score >= 2 AND count >= 5 THEN 'person' ELSE 'uncertain' END")
     return both.withColumn("entity_type", kind)
 
@@ -75,10 +89,12 @@ def detect(docs: DataFrame) -> DataFrame:
 
 def learn(docs: DataFrame, people: DataFrame, least: float = 0.75) -> DataFrame:
     """Persons found that the registry lacks, with confidence min(0.5 + count / 20, 1)."""
-    sure = F.least(0.5 + F.col("count") * 0.05, F.lit(1.0))
-    rows = classify(candidates(docs), docs).where("entity_type = 'person'").withColumn("confidence", sure).where(F.col("confidence") >= least)
-    known = people.select(F.lower("name").alias("_k")).distinct()
-    return rows.join(known, F.lower("name") == F.col("_k"), "left_anti").select("id", "name", "count", "confidence")
+    # who is known goes before anything is classified; small sides are written, so that no broadcast waits behind that work
+    known = bounded(written.written(people.select(F.lower("name").alias("_k")).distinct(), "known"))
+    new = candidates(docs).join(known, F.lower("name") == F.col("_k"), "left_anti")
+    sure = F.least((F.col("count") + 10) / 20.0, F.lit(1.0))  # one rounding, so the nearest double
+    rows = classify(new.withColumn("confidence", sure).where(F.col("confidence") >= least).drop("confidence"), docs)
+    return rows.where("entity_type = 'person'").select("id", "name", "count", sure.alias("confidence"))
 
 
 def people_in(query: Column, people: list[str]) -> Column:

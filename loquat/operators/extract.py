@@ -85,10 +85,11 @@ def extract_memories(docs: DataFrame, least: float = 0.3) -> DataFrame:
 
 def candidates(docs: DataFrame, least: int = 3) -> DataFrame:
     """(id, name, count): title-case runs, and single words outside such runs."""
-    found = lambda p: F.regexp_extract_all("content", F.lit(rf"[A-Z](?<=\b[A-Z]){p}\b"), F.lit(0))
-    single = F.filter(found("[a-z]{1,19}"), lambda w: ~w.isin(C.NOT_ENTITIES))
+    found = lambda p: F.regexp_extract_all("content", F.lit(rf"[A-Z](?<=\b[A-Z]){p}"), F.lit(0))
+    single = F.filter(found(r"[a-z]{1,19}\b"), lambda w: ~w.isin(C.NOT_ENTITIES))
+    # nothing is given back, so a run of any length needs no stack
     # a text's runs and words are told apart in its own row; exploding keeps an array a column
-    rows = docs.select("id", F.explode(F.array(F.struct(found(r"[a-z]+(?:\s+[A-Z][a-z]+)+").alias("runs"), single.alias("single")))).alias("x"))
+    rows = docs.select("id", F.explode(F.array(F.struct(found(r"[a-z]++(?:\s++[A-Z][a-z]++\b)++").alias("runs"), single.alias("single")))).alias("x"))
     parts = F.array_distinct(F.flatten(F.transform("x.runs", lambda r: F.split(r, r"\s+"))))
     rows = rows.select("id", "x", F.explode(F.array(parts)).alias("parts"))
     names = F.concat("x.runs", F.filter("x.single", lambda w: F.col("id").isNull() | ~F.array_contains("parts", w)))
