@@ -4,7 +4,9 @@ A text is cut into words and what stands between them.  A name's first word
 leads to the numbers of words that names with this first word have; only there
 are runs of that many words looked up among the names.  So a plan has two
 equi-joins however many names there are, and a word that begins no name goes
-no further.  Letters are compared in lower case, what is between the words
+no further.  `encode` gives tasks up to LIMIT names and replaces them in the
+text's own row, so no place is shuffled; of more names a text is given those
+that it holds.  Letters are compared in lower case, what is between the words
 exactly.
 
 Defined results: a name has to begin and end with a letter, a digit or an
@@ -15,9 +17,16 @@ and are rows of their own for `encode`."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterable
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import written
+
 WORD = r"[\p{L}\p{Nd}_][\p{L}\p{Nd}_\p{Mn}]*"
 PIECES = WORD + r"|[^\p{L}\p{Nd}_]+"
 LIMIT = 200_000  # names, or first words, that may be broadcast
@@ -31,15 +40,16 @@ def pieces(s: Column) -> Column:
 def registry(names: DataFrame) -> DataFrame:
     """names (name, code) to (name in lower case, first, words, code), one row a name."""
     low = F.lower("name")
-    whole = F.regexp_like(low, F.lit(rf"^{WORD}([^\p{{L}}\p{{Nd}}_]+{WORD})*$"))
+    whole = F.regexp_like(low, F.lit(rf"^{WORD}([^\p{{L}}\p{{Nd}}_]++{WORD})*+$"))
     one = names.where(whole & F.col("code").isNotNull()).groupBy(low.alias("name")).agg(F.min("code").alias("code"))
     cut = pieces(F.col("name"))
     return one.select("name", F.get(cut, F.lit(0)).alias("first"), F.floor((F.size(cut) + 1) / 2).cast("int").alias("words"), "code")
 
 
-def occurrences(docs: DataFrame, names: DataFrame, key: str = "id") -> DataFrame:
-    """(key, at, words, name, code): every place where a name of `registry`
-    stands, `at` the number of its first piece; they may overlap."""
+def occurrences(docs: DataFrame, names: DataFrame, key: str = "id", once: bool = False) -> DataFrame:
+    """(key, name, first, words, code): a row for every place where a name of
+    `registry` stands; they may overlap.  With `once`, equal runs of a text are
+    tried once, before anything is shuffled."""
     held = names.groupBy("first").agg(F.sort_array(F.collect_set("words")).alias("counts"))
     sizes = names.agg(F.count("*").alias("n"), F.max("words").alias("most")).first()
     small = F.broadcast if sizes.n <= LIMIT else lambda x: x
@@ -47,11 +57,13 @@ def occurrences(docs: DataFrame, names: DataFrame, key: str = "id") -> DataFrame
     rows = docs.select(key, F.explode(F.array(F.transform(pieces(F.col("content")), F.lower))).alias("_p"))
     reach = 2 * (sizes.most or 1) - 1
     # each place takes its own run along, so a long text is not copied to all of its places
-    place = lambda w, i: F.when(w.rlike("^" + WORD), F.struct(i.alias("at"), w.alias("first"), F.slice("_p", i + 1, reach).alias("_run")))
-    at = rows.select(key, F.explode(F.filter(F.transform("_p", place), lambda x: x.isNotNull())).alias("_x")).select(key, "_x.at", "_x.first", "_x._run")
-    tried = at.join(small(held), "first").select(key, "at", "_run", F.explode("counts").alias("words"))
-    tried = tried.where(F.size("_run") >= 2 * F.col("words") - 1).select(key, "at", F.array_join(F.slice("_run", 1, 2 * F.col("words") - 1), "").alias("name"))
-    return tried.join(small(names.select("name", "words", "code")), "name").select(key, "at", "words", "name", "code")
+    run = lambda i: F.array_join(F.slice("_p", i + 1, reach), "") if once else F.slice("_p", i + 1, reach)
+    runs = F.filter(F.transform("_p", lambda w, i: F.when(w.rlike("^" + WORD), run(i))), lambda x: x.isNotNull())
+    at = rows.select(key, F.explode(F.array_distinct(runs) if once else runs).alias("_run"))
+    at = at.select(key, F.explode(F.array(pieces(F.col("_run")))).alias("_run")) if once else at
+    tried = at.withColumn("first", F.get("_run", F.lit(0))).join(small(held), "first").select(key, "_run", F.explode("counts").alias("words"))
+    tried = tried.where(F.size("_run") >= 2 * F.col("words") - 1).select(key, F.array_join(F.slice("_run", 1, 2 * F.col("words") - 1), "").alias("name"))
+    return tried.join(small(names), "name").select(key, "name", "first", "words", "code")
 
 
 def mentions(docs: DataFrame, names: DataFrame) -> DataFrame:
@@ -60,33 +72,83 @@ def mentions(docs: DataFrame, names: DataFrame) -> DataFrame:
     return occurrences(docs, registry(names)).groupBy("id", "name", "code").agg(F.count("*").alias("count"))
 
 
-def chosen(found: DataFrame, key: str) -> DataFrame:
-    """(key, spans): of occurrences that overlap the longest stays, of equally
-    long ones the first by name, then by place.  Only what overlaps is looked
-    at together."""
-    ends = F.max(F.col("at") + 2 * F.col("words") - 1).over(Window.partitionBy(key).orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
-    runs = found.withColumn("_new", F.coalesce(F.col("at") >= ends, F.lit(True)).cast("int"))
-    runs = runs.withColumn("_run", F.sum("_new").over(Window.partitionBy(key).orderBy("at", F.desc("_new")).rowsBetween(Window.unboundedPreceding, 0)))
-    one = F.struct((-F.length("name")).alias("rank"), "name", "at", (F.col("at") + 2 * F.col("words") - 1).alias("end"), "code")
-    runs = runs.groupBy(key, "_run").agg(F.sort_array(F.collect_list(one)).alias("_all"))
-    none = F.array().cast("array<struct<at:int,end:int,code:string>>")
-    span = lambda x: F.struct(x["at"].alias("at"), x["end"].alias("end"), x["code"].alias("code"))
-    free = lambda acc, x: ~F.exists(acc, lambda y: (y["at"] < x["end"]) & (x["at"] < y["end"]))
-    kept = F.aggregate("_all", none, lambda acc, x: F.when(free(acc, x), F.concat(acc, F.array(span(x)))).otherwise(acc))
-    return runs.select(key, kept.alias("_kept")).groupBy(key).agg(F.sort_array(F.flatten(F.collect_list("_kept"))).alias("spans"))
+def _by_words(names: Iterable[tuple[str, str, int, str]]) -> tuple[list[tuple[int, pa.Array, pa.Array, np.ndarray]], pa.Array]:
+    """Of names (name, first, words, code) for each number of words the first
+    words, the names and their ranks, and the codes by rank: the longest name
+    first, equally long ones by name.  The last code is for what a name covers."""
+    ranked = sorted(set(names), key=lambda x: (-len(x[0]), x[0]))
+    out = []
+    for words in sorted({x[2] for x in ranked}):
+        own = [(rank, x) for rank, x in enumerate(ranked) if x[2] == words]
+        out.append((words, pa.array(sorted({x[1] for _, x in own}), pa.string()), pa.array([x[0] for _, x in own], pa.string()), np.array([rank for rank, _ in own], np.int64)))
+    return out, pa.array([*(x[3] for x in ranked), ""], pa.string())
+
+
+def _coded(cut: pa.ListArray, lowered: pa.ListArray, held: list[tuple[int, pa.Array, pa.Array, np.ndarray]], codes: pa.Array) -> pa.Array:
+    """Texts, cut into pieces, with the names of `held` replaced: of those that
+    overlap the longest stays, of equally long ones the first by name, then by place."""
+    values, low = cut.flatten(), lowered.flatten()
+    ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(cut), 0).to_numpy())])
+    chosen = np.full(len(low), -1, np.int64)  # the rank of the name that begins at a piece
+    several = []
+    for words, firsts, known, ranks in held:
+        n = 2 * words - 1
+        at = np.flatnonzero(pc.is_in(low, firsts).to_numpy(zero_copy_only=False))
+        at = at[at + n <= ends[np.searchsorted(ends, at, "right")]]
+        for part in np.array_split(at, -(-len(at) * n // 1_000_000) or 1):
+            runs = low.take(pa.array((part[:, None] + np.arange(n)).ravel()))
+            if n > 1:
+                runs = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1) * n, pa.int32()), runs), "")
+            found = pc.fill_null(pc.index_in(runs, known), -1).to_numpy()
+            part, rank = part[found >= 0], ranks[found[found >= 0]]
+            if n == 1:
+                chosen[part] = rank
+            else:
+                several.append(np.stack([rank, part, part + n]))
+    if several:
+        rank, at, to = np.concatenate(several, 1)
+        covered = np.zeros(len(low) + 1, np.int64)
+        np.add.at(covered, at, 1)
+        np.add.at(covered, to, -1)
+        one = np.flatnonzero((np.cumsum(covered)[:-1] > 0) & (chosen >= 0))
+        rank, at, to = np.concatenate([rank, chosen[one]]), np.concatenate([at, one]), np.concatenate([to, one + 1])
+        chosen[one] = -1
+        taken = np.zeros(len(low), bool)
+        for i in np.lexsort((at, rank)):
+            a, b = at[i], to[i]
+            if not taken[a:b].any():
+                taken[a:b], chosen[a], chosen[a + 1 : b] = True, rank[i], len(codes) - 1
+    new = pc.if_else(pa.array(chosen >= 0), codes.take(pa.array(np.maximum(chosen, 0))), values)
+    text = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), new), "")
+    return pc.if_else(cut.is_valid(), text, pa.scalar(None, pa.string()))
 
 
 def encode(docs: DataFrame, names: DataFrame) -> DataFrame:
     """docs with each name in `content` replaced by its code, the longest first;
-    codes are not looked into.  What is replaced depends on the text alone, so
-    equal texts share one list of spans and ids play no part."""
-    own, to = (next(n for n in (f"_{x}" + "_" * i for i in range(len(docs.columns) + 1)) if n not in docs.columns) for x in ("text", "spans"))
-    keyed = docs.withColumn(own, F.md5("content"))
-    found = occurrences(keyed.select(own, "content"), registry(names), own)
-    spans = chosen(found.dropDuplicates(), own).withColumnRenamed("spans", to)
-    both = keyed.join(spans, own, "left").withColumn(own, F.when(F.col(to).isNotNull(), pieces(F.col("content"))))
-    before = lambda i: F.coalesce(F.get(to, i - 1)["end"], F.lit(0))
-    cut = lambda a, b: F.array_join(F.slice(own, a + 1, b - a), "")
-    parts = F.transform(to, lambda x, i: F.concat(cut(before(i), x["at"]), x["code"]))
-    text = F.concat(F.array_join(parts, ""), cut(F.element_at(to, -1)["end"], F.size(own)))
-    return both.select([F.coalesce(text, F.col("content")).alias(c) if c == "content" else F.col(f"`{c}`") for c in docs.columns])
+    codes are not looked into.  A text is changed in its own row; of more than
+    LIMIT names it first meets those it holds, equal texts together."""
+    own, to = (next(n for n in (f"_{x}" + "_" * i for i in range(len(docs.columns) + 1)) if n not in docs.columns) for x in ("text", "names"))
+    spark = written.bound_batches(docs.sparkSession)
+    known = written.written(registry(names), "names")
+    few = known.select("name", "first", "words", "code").limit(LIMIT + 1).collect()
+    if len(few) <= LIMIT:
+        sent = spark.sparkContext.broadcast(_by_words(map(tuple, few)))
+
+        @F.arrow_udf("string")
+        def coded(cut: pa.Array, lowered: pa.Array) -> pa.Array:
+            return _coded(cut, lowered, *sent.value)
+
+        rows, more = docs, ()
+    else:
+        @F.arrow_udf("string")
+        def coded(cut: pa.Array, lowered: pa.Array, held: pa.Array) -> pa.Array:
+            # a name of any text of the batch is a name for all of them
+            return _coded(cut, lowered, *_by_words(tuple(x.values()) for x in held.flatten().to_pylist()))
+
+        keyed = docs.withColumn(own, F.md5("content"))
+        found = occurrences(keyed.select(own, "content"), known, own, once=True)
+        rows = keyed.join(found.groupBy(own).agg(F.collect_set(F.struct("name", "first", "words", "code")).alias(to)), own, "left").drop(own)
+        more = (to,)
+    rows = rows.select("*", F.explode(F.array(pieces(F.col("content")))).alias(own))  # exploding keeps the pieces a column
+    text = coded(F.col(own), F.transform(own, F.lower), *map(F.col, more))
+    return rows.select([text.alias(c) if c == "content" else F.col(f"`{c}`") for c in docs.columns])
